@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import similar_documents
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -22,9 +23,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, _read(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
