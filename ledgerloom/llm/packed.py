@@ -1,0 +1,75 @@
+"""Shuffling one small key for each word of a corpus in packed form.
+
+A row for each word would cost about thirty bytes in a shuffle. Here a chunk of documents writes one row for each
+key range, which holds the keys of that range as byte planes and the places they came from as gaps; Spark
+deals the rows by range, and a range is read back as flat arrays. The number of ranges follows the size of
+the corpus, so a range has about RANGE_CHARS / 6 entries at any size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+RANGE_CHARS = 12_000_000
+FIELDS = "keys binary, gaps binary, ids binary, starts binary"
+
+
+def ranges_for(docs: DataFrame, text: str = "text") -> int:
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(1, -(-chars // RANGE_CHARS))
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, all lowest bytes first: equal high bytes then compress to nothing."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _values(planes: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
+
+
+def pack(keys: np.ndarray, at: np.ndarray, dealt: np.ndarray, ranges: int, ids: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple]:
+    """(range, keys, gaps, ids, starts) for each range that has an entry.
+
+    keys: the low ``width`` bytes are kept; at: rising places in the chunk; dealt: range of each entry; ids and
+    starts: the chunk's documents and the place where each begins.
+    """
+    order = np.argsort(dealt, kind="stable")
+    edges = np.searchsorted(dealt[order], np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(edges)):
+        mine = order[edges[r] : edges[r + 1]]
+        places = at[mine]
+        docs = np.unique(np.searchsorted(starts, places, "right") - 1)
+        # only documents that have an entry here
+        yield int(r), _planes(keys[mine], width), _planes(np.diff(places, prepend=0).astype(np.uint64), 4), _planes(ids[docs].view(np.uint64), 8), _planes(np.diff(starts[docs], prepend=0).astype(np.uint64), 4)
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch | None:
+    if not rows:
+        return None
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["range", "keys", "gaps", "ids", "starts"])
+
+
+def unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, document ids and places within the document of all entries of a range."""
+    keys, ids, places = [], [], []
+    for k, g, i, s in zip(*(table.column(c).to_pylist() for c in ("keys", "gaps", "ids", "starts")), strict=True):
+        at = np.cumsum(_values(g, 4).astype(np.int64))
+        starts = np.cumsum(_values(s, 4).astype(np.int64))
+        doc = np.searchsorted(starts, at, "right") - 1
+        keys.append(_values(k, width))
+        ids.append(_values(i, 8).view(np.int64)[doc])
+        places.append(at - starts[doc])
+    return np.concatenate(keys), np.concatenate(ids), np.concatenate(places)
+
+
+def by_range(rows: DataFrame, per_range: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    return rows.groupBy("range").applyInArrow(per_range, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import similar_documents
 from .quality import fit_quality, score_quality
+from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -27,10 +28,15 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_read(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
