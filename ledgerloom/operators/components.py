@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; one is made only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from ..plans.tables import materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,15 +21,15 @@ def connected_components(edges: DataFrame, src: str = "source", dst: str = "targ
     Self loops and edges with a null end are ignored.
     """
     a, b = F.col(src), F.col(dst)
-    now = checkpointed(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = materialise(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
     while (state := _state(now)) != before:
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = checkpointed(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        large = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.distinct())
+        now = materialise(small.distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
