@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import similar_documents
+from .lmscore import score_texts
 from .quality import fit_quality, score_quality
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
@@ -32,10 +33,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_lm_scoring": op7_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.tables import BROADCAST_ROWS, materialise
 from .packed import FIELDS, batch, by_range, pack, ranges_for, unpack
-from .textbatch import BROADCAST_ROWS, WordHash, flat, map_texts, materialise, rolling
+from .textbatch import WordHash, flat, map_texts, rolling
 
 WINDOW, BLOCK = 20, 10
 NO_ID = (1 << 63) - 1

@@ -59,6 +59,14 @@ def map_texts(
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+class Numbering(dict):
+    """Numbers distinct words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 class WordHash(dict):
     """64-bit hash of each distinct word, computed once."""
 
@@ -94,30 +102,3 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
         total += values[k : k + n] * np.uint64(factor)
         factor = factor * _STEP & _MASK
     return mix(total)
-
-
-def work_dir(spark) -> str:
-    """The folder shared by driver and executors; set here only when the session names none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a replicated checkpoint in the shared folder."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-#: Rows of one 8-byte key that may be broadcast: 4 MB.
-BROADCAST_ROWS = 500_000
-
-
-def semi_join(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Documents whose id is in ``ids`` (materialised). Broadcast only after counting it."""
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, column, "left_semi")

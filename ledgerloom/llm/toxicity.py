@@ -21,21 +21,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .labelled import PER_CLASS, labelled_sample
 from .quality import temperature
-from .textbatch import flat, fold, map_texts
+from .textbatch import Numbering, flat, fold, map_texts
 
 TERMS, FACTORS, MIN_DOCS, L2 = 4096, 8, 4, 1e-3
 PREFIXES = (4, 5, 6, 7)
 _STRIP = b".,;:!?*#$%&|<>\"'()"
 
 
-class _Vocabulary(dict):
-    """Numbers the distinct words of a chunk."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
-
-
 def word_terms(words: list[bytes]) -> np.ndarray:
     """The hashed terms of each word, in columns; 0 where it has none."""
     out = np.zeros((len(words), 1 + len(PREFIXES)), np.uint64)
@@ -51,7 +43,7 @@ def word_terms(words: list[bytes]) -> np.ndarray:
 
 def _bags(texts: list[bytes], of_words) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text, the distinct nonzero terms and their weights x; of_words gives a row of terms for each word."""
-    vocabulary = _Vocabulary()
+    vocabulary = Numbering()
     at, offsets = flat([t.split() for t in texts], vocabulary, np.int64)
     table = of_words(list(vocabulary))
     out = []
