@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import similar_documents
 from .lmscore import score_texts
+from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -37,8 +44,13 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_read(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_lm_scoring": op7_lm_scoring,
