@@ -8,6 +8,7 @@ from .jaccard import similar_documents
 from .lmscore import score_texts
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .secrets import find_secrets
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -48,12 +49,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_read(spark, sf_dir, "documents")).drop("base_spans")
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_secret_scans": op8_secret_scans,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
