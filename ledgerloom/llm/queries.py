@@ -8,6 +8,7 @@ from .jaccard import similar_documents
 from .lmscore import score_texts
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .rules import apply_rules, fit_rules
 from .secrets import find_secrets
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
@@ -53,6 +54,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_read(spark, sf_dir, "documents")).drop("base_spans")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return apply_rules(docs, fit_rules(docs, _read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -60,6 +66,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_secret_scans": op8_secret_scans,
+    "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
