@@ -34,8 +34,8 @@ def materialise(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def semi_join(left: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``left`` whose key is in ``keys`` (materialised); broadcast only after counting it."""
+def keyed_join(left: DataFrame, keys: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Join ``left`` with ``keys`` (materialised, a few bytes a row) from the left; broadcast only after counting it."""
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    return left.join(keys, column, "left_semi")
+    return left.join(keys, column, how)
