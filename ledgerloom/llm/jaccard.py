@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
-from ..plans.tables import materialise, semi_join
+from ..plans.tables import keyed_join, materialise
 from .textbatch import WordHash, flat, map_texts, mix, rolling
 
 WIDTH, HEAVY, PARTS = 5, 64, 8
@@ -163,7 +163,7 @@ def overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
         ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["class", "n", "part", "shingles"])
 
-    cut = map_texts(semi_join(docs.select("doc_id", "text"), chosen, "doc_id"), parts, "class long, n long, part int, shingles array<long>", ()).dropDuplicates(["class", "part"])
+    cut = map_texts(keyed_join(docs.select("doc_id", "text"), chosen, "doc_id"), parts, "class long, n long, part int, shingles array<long>", ()).dropDuplicates(["class", "part"])
     left = cut.select(F.col("class").alias("a"), F.col("n").alias("na"), "part", F.col("shingles").alias("sa"))
     right = cut.select(F.col("class").alias("b"), F.col("n").alias("nb"), "part", F.col("shingles").alias("sb"))
     return (

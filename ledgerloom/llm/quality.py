@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labelled import PER_CLASS, labelled_sample
 from .textbatch import flat, fold, map_texts
@@ -192,11 +193,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
+    return with_quality(docs.select("doc_id", "text"), model, "score").select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def with_quality(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
+    """All columns of ``docs`` and the score as column ``name``: a filter on it needs no join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: about 1.1 MB
+    columns = docs.columns
 
     def scores(kept, texts):
-        return pa.RecordBatch.from_arrays([kept[0], pa.array(shared.value.probabilities(texts).astype(np.float64))], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([*kept, pa.array(shared.value.probabilities(texts).astype(np.float64))], [*columns, name])
 
-    return map_texts(docs, scores, "doc_id long, score double").select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+    return map_texts(docs, scores, StructType([*docs.schema.fields, StructField(name, DoubleType())]), tuple(columns))

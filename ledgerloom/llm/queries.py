@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import contaminated
 from .jaccard import similar_documents
 from .lmscore import score_texts
 from .packing import pack_documents
@@ -12,6 +13,7 @@ from .rules import apply_rules, fit_rules
 from .secrets import find_secrets
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
+from .warc import derivatives, responses
 
 
 def tokenizer_path() -> str:
@@ -59,11 +61,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, _read(spark, sf_dir, "labels")))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(_read(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_rules": op9_quality_rules,

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 8 << 20
 
@@ -31,7 +32,7 @@ def fold(doc_id: str, modulus: int) -> Column:
 def map_texts(
     docs: DataFrame,
     per_chunk: Callable[[list[pa.Array], list[bytes]], pa.RecordBatch | None],
-    schema: str,
+    schema: str | StructType,
     keep: tuple[str, ...] = ("doc_id",),
     text: str = "text",
 ) -> DataFrame:
@@ -55,7 +56,7 @@ def map_texts(
                     start, held = i, 0
                 held += size
 
-    columns = [F.col(c) for c in keep] + [F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")]
+    columns = [F.col(c) for c in keep] + [F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")]
     return docs.select(*columns).mapInArrow(run, schema)
 
 

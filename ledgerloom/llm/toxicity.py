@@ -42,7 +42,7 @@ def word_terms(words: list[bytes]) -> np.ndarray:
 
 
 def _bags(texts: list[bytes], of_words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text, the distinct nonzero terms and their weights x; of_words gives a row of terms for each word."""
+    """Per text, the distinct nonzero terms and how often it has each; of_words gives a row of terms for each word."""
     vocabulary = Numbering()
     at, offsets = flat([t.split() for t in texts], vocabulary, np.int64)
     table = of_words(list(vocabulary))
@@ -50,7 +50,7 @@ def _bags(texts: list[bytes], of_words) -> list[tuple[np.ndarray, np.ndarray]]:
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         found = table[at[a:b]]
         values, times = np.unique(found[found != 0], return_counts=True)
-        out.append((values, 1 + np.log(times)))
+        out.append((values, np.minimum(times, 65535)))
     return out
 
 
@@ -78,7 +78,7 @@ class ToxicityModel:
         return out
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        bags = _bags(texts, lambda words: self.index(word_terms(words)))
+        bags = [(k, 1 + np.log(n)) for k, n in _bags(texts, lambda words: self.index(word_terms(words)))]
         return 1 / (1 + np.exp(-np.clip(self.logits(bags) / self.temperature, -40, 40)))
 
 
@@ -136,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
 
     def gather(kept, texts):
         bags = _bags(texts, word_terms)
-        return pa.RecordBatch.from_arrays([*kept, pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([x.tobytes() for _, x in bags], pa.binary())], ["doc_id", "label", "weight", "t", "x"])
+        return pa.RecordBatch.from_arrays([*kept, pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([n.astype(np.uint16).tobytes() for _, n in bags], pa.binary())], ["doc_id", "label", "weight", "t", "x"])
 
     rows = map_texts(sample, gather, "doc_id long, label int, weight double, t binary, x binary", ("doc_id", "label", "weight")).withColumn("part", fold("doc_id", 5)).orderBy("doc_id").collect()
     y = np.array([r["label"] for r in rows], np.float64)
@@ -145,7 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
         share = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.5
         return ToxicityModel(np.zeros(0, np.uint64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)), 1.0)
     w = w / w.mean()
-    sets = [(np.frombuffer(r["t"], np.uint64), np.frombuffer(r["x"], np.float64)) for r in rows]
+    sets = [(np.frombuffer(r["t"], np.uint64), 1 + np.log(np.frombuffer(r["x"], np.uint16))) for r in rows]
     fit = np.array([r["part"] for r in rows]) != 1
     mine = np.flatnonzero(fit)
     found = np.concatenate([sets[i][0] for i in mine])
