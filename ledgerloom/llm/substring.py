@@ -36,9 +36,10 @@ WINDOW, BLOCK = 20, 10
 NO_ID = (1 << 63) - 1
 
 
-def _hits(docs: DataFrame, block: int) -> DataFrame:
-    """(doc_id, at): places of probes that meet a reference block elsewhere."""
+def _hits(docs: DataFrame, window: int, block: int) -> DataFrame:
+    """(doc_id, at): first and last places, in pairs, of windows that hold a probe that meets a reference block elsewhere."""
     ranges = ranges_for(docs)
+    reach = window - block
 
     def probe(kept, texts):
         ids = kept[0].to_numpy(zero_copy_only=False).astype(np.int64)
@@ -63,13 +64,34 @@ def _hits(docs: DataFrame, block: int) -> DataFrame:
         ids, places = ids[hit], places[hit]
         order = np.lexsort((places, ids))
         ids, places = ids[order], places[order]
-        first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
-        ends = pa.array(np.append(first, len(ids)), pa.int32())
-        return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "at": pa.ListArray.from_arrays(ends, pa.array(places, pa.int32()))})
+        # runs of windows that touch
+        cut = np.flatnonzero((np.diff(ids, prepend=ids[:1] - 1) != 0) | (np.diff(places, prepend=places[:1]) > reach + 1)) if len(ids) else np.zeros(0, np.int64)
+        runs = np.stack((np.maximum(places[cut] - reach, 0), places[np.append(cut[1:], len(ids)) - 1] if len(cut) else cut), 1).ravel()
+        owners = ids[cut]
+        first = np.flatnonzero(np.diff(owners, prepend=owners[:1] - 1)) if len(cut) else cut
+        ends = pa.array(2 * np.append(first, len(cut)), pa.int32())
+        return pa.table({"doc_id": pa.array(owners[first], pa.int64()), "at": pa.ListArray.from_arrays(ends, pa.array(runs, pa.int32()))})
 
     return by_range(map_texts(docs, probe, f"range int, {FIELDS}"), meet, "doc_id long, at array<int>")
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """One row per document, its runs sorted and merged where they touch."""
+
+    def merge(batches):
+        for b in batches:
+            out = []
+            for flat_runs in b.column(1).to_pylist():
+                pairs = np.asarray(flat_runs, np.int64).reshape(-1, 2)
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                last = np.maximum.accumulate(pairs[:, 1])
+                cut = np.append(True, pairs[1:, 0] > last[:-1] + 1)
+                out.append(np.stack((pairs[cut, 0], last[np.append(cut[1:], True)]), 1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "at"])
+
+    return runs.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(merge, "doc_id long, at array<int>")
+
+
 def _with(docs: DataFrame, extra: DataFrame, how: str) -> DataFrame:
     """Join one row per document to the texts; broadcast only when counted small, else both sides are shuffled."""
     size = extra.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("at")).alias("m")).first()
@@ -94,13 +116,13 @@ def _repeats(docs: DataFrame, hits: DataFrame, window: int, block: int) -> DataF
         values, offsets = flat([t.split() for t in texts], WordHash(), np.uint64)
         hashes = rolling(values, window)
         wanted = np.zeros(len(hashes) + window + 1, np.int64)
-        for i, found in enumerate(near):  # window s holds the hit p if s <= p <= s + window - block
-            at = np.asarray(found, np.int64)
+        for i, found in enumerate(near):
+            pairs = np.asarray(found, np.int64).reshape(-1, 2)
             last = offsets[i + 1] - offsets[i] - window
             if last < 0:
                 continue
-            np.add.at(wanted, offsets[i] + np.clip(at - (window - block), 0, last + 1), 1)
-            np.add.at(wanted, offsets[i] + np.clip(at, -1, last) + 1, -1)
+            np.add.at(wanted, offsets[i] + np.minimum(pairs[:, 0], last + 1), 1)
+            np.add.at(wanted, offsets[i] + np.minimum(pairs[:, 1], last) + 1, -1)
         at = np.flatnonzero(np.cumsum(wanted)[: len(hashes)] > 0)
         doc = np.searchsorted(offsets, at, "right") - 1
         place, key, owner = at - offsets[doc], hashes[at], ids[doc]
@@ -120,7 +142,7 @@ def _repeats(docs: DataFrame, hits: DataFrame, window: int, block: int) -> DataF
     rows = map_texts(near, windows, "key long, doc_id long, at int, runs array<int>", ("doc_id", "at"))
     w = Window.partitionBy("key", F.col("runs").isNull()).orderBy("doc_id", "at")
     later = rows.withColumn("rank", F.row_number().over(w)).where("runs is not null or rank > 1")
-    return later.groupBy("doc_id").agg(F.flatten(F.collect_list(F.coalesce("runs", F.array("at", "at")))).alias("at"))
+    return _merged(later.select("doc_id", F.coalesce("runs", F.array("at", "at")).alias("at")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -131,7 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it begins")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    hits = materialise(_hits(docs, block).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at")))
+    hits = materialise(_merged(_hits(docs, window, block)))
     repeats = materialise(_repeats(docs, hits, window, block))
 
     def rest(kept, texts):
