@@ -62,8 +62,8 @@ def to_float(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date in the first ten characters, as d/m/Y, Y-m-d or d-m-Y; null otherwise."""
-    x = F.substring(F.trim(c.cast("string")), 1, 10)
+    """Date at the head of the first ten characters, as d/m/Y, Y-m-d or d-m-Y; null otherwise."""
+    x = F.split_part(F.substring(F.trim(c.cast("string")), 1, 10), F.lit(" "), F.lit(1))
     return F.coalesce(*(F.to_date(F.try_to_timestamp(x, F.lit(p))) for p in ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy")))
 
 
