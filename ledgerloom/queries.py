@@ -414,27 +414,31 @@ def _greedy(spark, d):
     return optimise.allocate(options(spark, d), _demand(spark, d))
 
 
-@_query("min_cost_flow_general", f"""with {_OPTIONS}, {_DEMAND}, o as (select product_id, unit_cost, capacity_units, wanted - coalesce(sum(capacity_units) over (partition by product_id order by unit_cost, supplier_id rows between unbounded preceding and 1 preceding), 0) lacking
-  from options join demand using (product_id) where product_id <= 40) select count(distinct product_id) n_products, sum(least(capacity_units, lacking))::double units, round(sum(unit_cost * least(capacity_units, lacking)), 4) cost from o where lacking > 0""")
-def _general(spark, d):
-    # the request asks for forty products, as a buyer does; the options table is read whole
-    flow = optimise.min_cost_flow(options(spark, d), _demand(spark, d).where("product_id <= 40"))
-    return flow.agg(F.countDistinct("product_id").alias("n_products"), F.sum("units").alias("units"), F.round(F.sum(F.col("unit_cost") * F.col("units")), 4).alias("cost"))
+def _request(spark, d):
+    """What the client with most lines has bought: product_id, quantity."""
+    lines = sales(spark, d)
+    client = lines.groupBy("entity_norm").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity_norm").limit(1).select("entity_norm")
+    return lines.join(F.broadcast(client), "entity_norm", "left_semi").groupBy("product_id").agg(F.sum("quantity").alias("quantity"))  # one row
+
 
+_REQUEST = """demand as (select product_id, sum(quantity) wanted from sales where entity_norm = (select entity_norm from sales group by 1 order by count(*) desc, entity_norm limit 1) group by 1)"""
 
-def _items(spark, d):
-    return products(spark, d).where("product_id <= 8").select("product_id", F.lit(0.0).alias("quantity"))
+
+@_query("min_cost_flow_general", f"""with {_OPTIONS}, {_SALES}, {_REQUEST}, o as (select product_id, unit_cost, capacity_units, wanted - coalesce(sum(capacity_units) over (partition by product_id order by unit_cost, supplier_id rows between unbounded preceding and 1 preceding), 0) lacking
+  from options join demand using (product_id)) select count(distinct product_id) n_products, sum(least(capacity_units, lacking))::double units, round(sum(unit_cost * least(capacity_units, lacking)), 4) cost from o where lacking > 0""")
+def _general(spark, d):
+    flow = optimise.min_cost_flow(options(spark, d), _request(spark, d))
+    return flow.agg(F.countDistinct("product_id").alias("n_products"), F.sum("units").alias("units"), F.round(F.sum(F.col("unit_cost") * F.col("units")), 4).alias("cost"))
 
 
 @_query("knapsack_lots")
 def _lots(spark, d):
-    return optimise.best_subset(optimise.budget_lots(options(spark, d), _items(spark, d), 5000.0, products(spark, d)), 5000.0)
+    return optimise.best_subset(optimise.budget_lots(options(spark, d), _request(spark, d).withColumn("quantity", F.lit(0.0)), 5000.0, products(spark, d)), 5000.0)
 
 
 @_query("knapsack_catalog")
 def _catalog(spark, d):
-    items = products(spark, d).where("product_id <= 20").select("product_id", F.lit(5.0).alias("quantity"), F.lit(10.0).alias("value"))
-    return optimise.catalog_budget(products(spark, d), items, 3000.0)
+    return optimise.catalog_budget(products(spark, d), _request(spark, d).withColumn("value", F.col("quantity") * 2), 3000.0)
 
 
 def _campaigns(spark, d):
