@@ -28,6 +28,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     rate = {k: min(1.0, per_class / n) for k, n in sizes.items()}
     unit = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
     limit = F.when(F.col("label") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0)))
-    chosen = rows.where(unit < limit).withColumn("weight", 1.0 / limit)
+    chosen = rows.where(unit < limit).withColumn("weight", F.try_divide(F.lit(1.0), limit))
     # about 2 * per_class rows of three small columns, whatever the size of the tables
     return docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
