@@ -298,7 +298,7 @@ def _semantic(spark, d):
   select source product, p_name || ' ' || p_size || 'ML B110' as label, relevance, round(coalesce(q, 0), 2) units_sold, 2::bigint seed_coverage, 2::bigint total_seeds from s join part on source = 'PRODUCT:' || p_partkey left join u on p = source
   order by units_sold desc, relevance desc, source limit 10""")
 def _search(spark, d):
-    nodes, edges = part_graph(spark, d)
+    nodes, edges = (materialise(x) for x in part_graph(spark, d))
     return search.search(nodes, edges, "red bolts unknownword", 10)
 
 
