@@ -15,7 +15,7 @@ Counts cover every training document. Word counts are grouped by hash; pair coun
 form, each chunk's pairs summed first. The held-out tokens enter EM as a histogram of their two ratios, which has
 a fixed size. Pairs with more than one count in 2**20 of all are at most 2**20; those are broadcast with their counts,
 so that no frequent pair travels. The other pairs of a text travel packed to their range and come
-back as one sum per document and range.
+back, packed, as one sum per document to the chunk that they left.
 
 Defined edge cases: a null or empty text is its end token; null ids are scored and form the fold of the empty string;
 repeated rows count as often as they occur; with no training tokens the model is uniform; other columns are ignored.
@@ -87,12 +87,12 @@ class Symbols:
 
 def _symbols(words: DataFrame, vocabulary: int) -> Symbols:
     real = words.where(F.col("word") != END_HASH)
-    top = real.orderBy(F.desc("c"), "word").limit(vocabulary).toPandas()  # bounded by the vocabulary
+    top = real.orderBy(F.desc("c"), "word").limit(vocabulary).toArrow()  # bounded by the vocabulary
     whole = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
     end = words.where(F.col("word") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
+    hashes = top["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    c, h = top["c"].to_numpy(np.int64)[order], top["h"].to_numpy(np.int64)[order]
+    c, h = top["c"].to_numpy()[order], top["h"].to_numpy()[order]
     counts = np.concatenate((c, [whole["n"] - c.sum() - end["c"], end["c"]])).astype(np.int64)
     held = np.concatenate((h, [whole["h"] - h.sum() - end["h"], end["h"]])).astype(np.int64)
     return Symbols(hashes[order], counts, held, int(whole["v"]) - len(top) - (end["c"] > 0))
@@ -214,7 +214,8 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, scored: int = SCORED_FOLD,
     found = materialise(by_range(_pair_counts(docs, symbols, ranges, folds, scored, held), sums, "cell long, n double, p2 double, p1 double, pair long"))
     histogram = found.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()  # BUCKETS * 64 * 64 at most
     weights = learn_weights([(r["cell"] >> 12, r["n"], r["p2"], r["p1"]) for r in histogram], 1 / size)
-    hot = found.where("cell < 0").select("pair", F.col("n").cast("long")).toPandas().to_numpy(np.int64).reshape(-1, 2)  # HOT_PAIRS at most
+    frequent = found.where("cell < 0").select("pair", F.col("n").cast("long").alias("n")).toArrow()  # HOT_PAIRS at most
+    hot = np.stack((frequent["pair"].to_numpy(), frequent["n"].to_numpy()), 1)
     hot = hot[np.argsort(hot[:, 0])]
     model = spark.sparkContext.broadcast((symbols, weights, hot))
 
@@ -234,20 +235,32 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, scored: int = SCORED_FOLD,
         cold = np.flatnonzero(hot_pairs[at, 0] != pairs) if len(hot_pairs) else np.arange(len(pairs))
         train = kept[1].to_numpy(zero_copy_only=False)
         # the id field carries the row's own key and whether it was learned from
-        return batch(list(pack(pairs[cold].astype(np.uint64), cold, _dealt(pairs[cold], ranges), ranges, ids << 1 | train.astype(np.int64), offsets[:-1], 5)))
+        return batch(list(pack(pairs[cold].astype(np.uint64), cold, _dealt(pairs[cold], ranges), ranges, ids << 1 | train.astype(np.int64), offsets[:-1], 5)), int(ids[0]))
 
     def meet(table: pa.Table) -> pa.Table:
         keys, ids, _ = unpack(table, 5)
         pairs, at = np.unique(keys, return_inverse=True)
         learned = np.bincount(at, ids & 1, len(pairs))
         value = log_p(pairs.astype(np.int64), learned)[at]
-        rows, of = np.unique(ids >> 1, return_inverse=True)
-        return pa.table({"row": pa.array(rows, pa.int64()), "cold": pa.array(np.bincount(of, value, len(rows)))})
+        # one answer for each packed row, in its documents' order
+        sizes = [len(k) // 5 for k in table.column("keys").to_pylist()]
+        docs_of, sums, begin = [], [], 0
+        for size in sizes:
+            rows, of = np.unique(ids[begin : begin + size] >> 1, return_inverse=True)
+            docs_of.append(rows)
+            sums.append(np.bincount(of, value[begin : begin + size], len(rows)))
+            begin += size
+        return pa.table({"chunk": table.column("chunk"), "rows": pa.array(docs_of, pa.list_(pa.int64())), "sums": pa.array(sums, pa.list_(pa.float64()))})
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows, of = np.unique(table.column("rows").combine_chunks().flatten().to_numpy(), return_inverse=True)
+        return pa.table({"row": pa.array(rows), "cold": pa.array(np.bincount(of, table.column("sums").combine_chunks().flatten().to_numpy(), len(rows)))})
 
     # a key of 63 bits for each row: rows that share an id but not the text stay apart
     row = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2)
     keyed = docs.select("doc_id", row.alias("row"), (fold("doc_id", folds) != scored).alias("train"), "text")
-    cold = by_range(map_texts(keyed, travel, f"range int, {FIELDS}", ("row", "train")), meet, "row long, cold double").groupBy("row").agg(F.sum("cold").alias("cold"))
+    answers = by_range(map_texts(keyed, travel, f"range int, {FIELDS}, chunk long", ("row", "train")), meet, "chunk long, rows array<long>, sums array<double>")
+    cold = answers.groupBy("chunk").applyInArrow(gather, "row long, cold double").groupBy("row").agg(F.sum("cold").alias("cold"))
 
     def local(kept, texts):
         s, _, hot_pairs = model.value

@@ -51,11 +51,15 @@ def pack(keys: np.ndarray, at: np.ndarray, dealt: np.ndarray, ranges: int, ids:
         yield int(r), _planes(keys[mine], width), _planes(np.diff(places, prepend=0).astype(np.uint64), 4), _planes(ids[docs].view(np.uint64), 8), _planes(np.diff(starts[docs], prepend=0).astype(np.uint64), 4)
 
 
-def batch(rows: list[tuple]) -> pa.RecordBatch | None:
+def batch(rows: list[tuple], chunk: int | None = None) -> pa.RecordBatch | None:
+    """Rows of pack(); ``chunk`` names where they come from, for answers that go back there."""
     if not rows:
         return None
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["range", "keys", "gaps", "ids", "starts"])
+    arrays, names = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["range", "keys", "gaps", "ids", "starts"]
+    if chunk is not None:
+        arrays, names = [*arrays, pa.array([chunk] * len(rows), pa.int64())], [*names, "chunk"]
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
