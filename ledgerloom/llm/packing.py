@@ -11,7 +11,8 @@ Sizes are whole tokens up to the capacity, so all planning works on the histogra
    problem, its multiplicities are rounded down.
 4. Substitution. The slots of a configuration take the group's actual lengths, longest first, so what
    rounding wasted becomes room again.
-5. Best fit. All other pieces, longest first, go to the fullest open sequence that has room.
+5. Best fit. All other pieces, longest first, go to the fullest open sequence that has room. Sequences that are then still
+   1/64 empty give up their pieces, which are fitted once more.
 6. Documents. Pieces of one length are ranked (in salted parts, so that a length with a third of all rows is
    ranked by many tasks) and rank r of a length takes the r-th place that the plan has for it.
 
@@ -21,6 +22,7 @@ are ignored; no documents give no rows.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -31,32 +33,65 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..plans.tables import materialise
 from .textbatch import map_texts
 
-CAPACITY, END_ID, GROUPS, SMALL, SALTS = 4096, 1, 40, 8, 32
+CAPACITY, END_ID, GROUPS, SMALL, SALTS = 4096, 1, 20, 8, 32
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
 _TOKENIZERS: dict = {}
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
 class _WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes."""
+    """word -> its ids as little-endian unsigned 32-bit bytes.
+
+    Words of letters and runs of punctuation are single pieces to the tokenizer, so thousands of new ones are
+    encoded as one text and told apart where a piece ends; all other words are encoded one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces: dict[bytes, bytes] = {b"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _encode_pieces(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(last) != len(some):
+                self.pieces.update((x, self.whole(x.decode())) for x in some)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for x, end in zip(some, last.tolist(), strict=True):
+                self.pieces[x] = raw[begin:end]
+                begin = end
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > KEPT_WORDS:
             self.clear()
+            self.pieces = {b"": b""}
             new = list(words)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+        pieces, split, rest = self.pieces, [], []
+        for word in new:
+            core = word.rstrip(_PUNCTUATION)
+            if core.isalpha() or not core or core.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in core:
+                split.append((word, core, word[len(core) :]))
+            else:
+                rest.append(word)
+        self._encode_pieces(list({x for _, core, tail in split for x in (core, tail) if x not in pieces}))
+        for word, core, tail in split:
+            self[word] = pieces[core] + pieces[tail] if tail else pieces[core]
+        for at in range(0, len(rest), 10_000):
+            some = rest[at : at + 10_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 self[word] = np.asarray(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -185,23 +220,37 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                     left[n] -= batch
                 open_bins[capacity - sum(chosen)].append([chosen, batch])
                 times -= batch
-    rooms = sorted(open_bins)
-    import bisect
-
+    _best_fit(left, open_bins, capacity)
+    # sequences that rounding left uneven: their pieces once more, if that takes fewer
+    loose = [(room, b) for room, bins in open_bins.items() if room > capacity // 64 for b in bins]
+    again: dict[int, int] = defaultdict(int)
+    for _, (chosen, many) in loose:
+        for n in chosen:
+            again[n] += many
+    repacked: dict[int, list[list]] = defaultdict(list)
+    _best_fit(again, repacked, capacity)
+    if sum(many for bins in repacked.values() for _, many in bins) < sum(many for _, (_, many) in loose):
+        tight = [b for room, bins in open_bins.items() if room <= capacity // 64 for b in bins]
+    else:
+        tight, repacked = [b for bins in open_bins.values() for b in bins], {}
+    return done + [(tuple(c), many) for c, many in [*tight, *(b for bins in repacked.values() for b in bins)] if c]
+
+
+def _best_fit(left: dict[int, int], open_bins: dict[int, list[list]], capacity: int) -> None:
+    """Put all pieces of ``left``, longest first, into the fullest open sequences that have room; equal ones at once."""
+    rooms = sorted(room for room, bins in open_bins.items() if bins)
     for n in sorted((n for n in left if left[n]), reverse=True):
         while left[n]:
             at = bisect.bisect_left(rooms, n)
             if at < len(rooms):
                 room = rooms[at]
                 chosen, many = open_bins[room].pop()
-                if not open_bins[room]:
-                    rooms.pop(at)
                 each = min(room // n, max(1, left[n] // many))
                 used = min(many, left[n] // each)
                 if used < many:
                     open_bins[room].append([chosen, many - used])
-                    if len(open_bins[room]) == 1:
-                        bisect.insort(rooms, room)
+                if not open_bins[room]:
+                    rooms.pop(at)
             else:
                 room, chosen = capacity, []
                 each = min(capacity // n, left[n])
@@ -210,7 +259,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             if not open_bins[room - each * n]:
                 bisect.insort(rooms, room - each * n)
             open_bins[room - each * n].append([[*chosen, *[n] * each], used])
-    return done + [(tuple(c), many) for bins in open_bins.values() for c, many in bins if c]
 
 
 def places(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
