@@ -10,14 +10,17 @@ counted fragment by fragment and summed.
    with Jaccard >= 0.8 differ in at most (|x| + |y|) / 9 shingles, and a shingle spoils one fragment, so at
    least L = (fragments that x fills) - (|x| + max |y|) / 9 filled fragments agree as a whole. A fragment's
    content is one row (signature, class). Sets with L <= 0 (short ones) also write prefix signatures.
-3. Signatures with one class are dropped; the rest are buckets. A bucket of over HEAVY rows is a passage that
-   many texts share, or a large group of near copies. A set with fewer heavy buckets than its L shares a light
-   bucket with each of its partners, so heavy buckets are needed only between sets that are saturated with them.
-4. Members of a bucket are compared with its smallest and largest class; what that links is contracted, and the
-   pairs of a bucket that are still in different components are compared. Links inside a component
-   can't change the result, so a group of n near copies costs about n comparisons, not n squared.
-5. Comparing: both sets are cut into PARTS fragments of the order, overlaps are counted for each fragment apart
-   and summed for each pair.
+   Signatures of one class alone are dropped; a class with fewer than L others links with nothing. This leaves the
+   members of near-duplicate groups, and few texts that only share a passage.
+3. Each of them is compared with the smallest and largest classes of its signatures that it shares most with, then with
+   those that have most links, and what that links is contracted. Links inside a component can't change the result: a large group costs a few
+   comparisons for each member.
+4. Pairs in different components. Over the remaining sets shingles are ordered from rare to frequent; sets that are
+   similar share one of their first ones (prefix and position filters, by size class), and differ in no more bits of
+   their odd sketches than they may in shingles. Where the sets that have a shingle
+   first are mostly of one component, only the others are paired with them.
+5. Comparing. Sets are cut into parts of the order (one for each 2048 shingles, doubled), overlaps are counted for
+   each part apart and summed for each pair.
 
 Class and shingle hashes have 64 bits; two of n different sets fall together with a chance of n^2 / 2^65.
 
@@ -34,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
-from ..plans.tables import keyed_join, materialise
+from ..plans.tables import BROADCAST_ROWS, keyed_join, materialise
 from .textbatch import WordHash, flat, map_texts, mix, rolling
 
-WIDTH, HEAVY, PARTS = 5, 64, 8
+WIDTH, PART = 5, 2048
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -74,28 +77,34 @@ def set_class(shingles: np.ndarray) -> int | None:
     return int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), np.uint64).view(np.int64)) if len(shingles) else None
 
 
-def signatures(shingles: np.ndarray, percent: int = 80) -> tuple[np.ndarray, int]:
-    """Signatures of one nonempty set, and how many of them any partner is sure to share."""
+def _spaces(shingles: np.ndarray, percent: int):
+    """(space, fragment numbers, where each filled fragment starts, signatures sure to be shared) of a set's spaces."""
     n = len(shingles)
     own = int(np.searchsorted(LOW, n, "right")) - 1
-    largest = n * 100 // percent
-    mixed, out, sure = mix(shingles + _A), [], n
+    largest, high = n * 100 // percent, shingles >> np.uint64(32)
     for space in (own, own + 1):
         if space > own and largest < LOW[space]:
             break
         top = int(LOW[space + 1]) - 1
-        k = top * 27 // 100 + 1
-        fragment = (shingles >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-        starts = np.flatnonzero(np.diff(fragment.astype(np.int64), prepend=-1))
+        fragment = high * np.uint64(top * 27 // 100 + 1) >> np.uint64(32)
+        starts = np.concatenate(([0], np.flatnonzero(fragment[1:] != fragment[:-1]) + 1))
+        yield space, fragment, starts, len(starts) - (n + min(largest, top)) * (100 - percent) // (100 + percent)
+
+
+def surely_shared(shingles: np.ndarray, percent: int = 80) -> int:
+    """How many signatures any partner is sure to share."""
+    return min((max(1, sure) for *_, sure in _spaces(shingles, percent)), default=0) if len(shingles) else 0
+
+
+def signatures(shingles: np.ndarray, percent: int = 80) -> np.ndarray:
+    """Signatures of one nonempty set."""
+    n, mixed, out = len(shingles), mix(shingles + _A), []
+    for space, fragment, starts, sure in _spaces(shingles, percent):
         salt = np.uint64(space * int(_B) % 2**64)
         out.append(mix(np.add.reduceat(mixed, starts) + fragment[starts] * _C + salt))
-        differ = (n + min(largest, top)) * (100 - percent) // (100 + percent)
-        if len(starts) - differ >= 1:
-            sure = min(sure, len(starts) - differ)
-        else:
-            sure = 1
+        if sure < 1:
             out.append(mix((shingles[: n - -(-n * percent // 100) + 1] ^ _B) + salt))
-    return np.concatenate(out), sure
+    return np.concatenate(out)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     def describe(kept, texts):
         sets = shingle_sets(texts)
         return pa.RecordBatch.from_arrays(
-            [kept[0], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_class, sets), pa.int64()), pa.array([signatures(s)[1] if len(s) else 0 for s in sets], pa.int32())],
+            [kept[0], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_class, sets), pa.int64()), pa.array(map(surely_shared, sets), pa.int32())],
             ["doc_id", "n", "class", "sure"],
         )
 
@@ -121,7 +130,7 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
             if c is not None and c not in seen:
                 seen.add(c)
                 classes.append(c)
-                lists.append(_signed(signatures(s)[0]))
+                lists.append(_signed(signatures(s)))
         if not lists:
             return None
         ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
@@ -140,65 +149,135 @@ def _memberships(rows: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """The pairs (a, b) of classes that reach the similarity; ``pairs`` is materialised."""
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    chosen = materialise(classes.join(needed, "class").select(F.col("rep").alias("doc_id")))
+def _level(n):
+    """0 up to PART shingles, one more for each doubling: 2 ** level parts."""
+    return 0 if n <= PART else int(n - 1).bit_length() - int(PART - 1).bit_length()
+
+
+def _level_column(n):
+    return F.ceil(F.greatest(F.log2(n / F.lit(float(PART))), F.lit(0.0))).cast("int")
+
+
+def odd_sketch(shingles: np.ndarray) -> list[int]:
+    """256 parities: two sets' sketches differ in no more bits than the sets differ in shingles."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
-    def parts(_, texts):
-        names, sizes, numbers, lists = [], [], [], []
+
+def cut_sets(docs: DataFrame, classes: DataFrame, chosen: DataFrame, percent: int = 80) -> DataFrame:
+    """(class, n, level, part, shingles, sketch) of the chosen classes, in the parts that their partners may need."""
+    ids = materialise(classes.join(chosen, "class", "left_semi").select(F.col("rep").alias("doc_id")))
+
+    def cut(_, texts):
+        rows, lists = [], []
         for s in shingle_sets(texts):
             c = set_class(s)
             if c is None:
                 continue
-            cuts = [0, *np.searchsorted(s, np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)), len(s)]
-            for k in range(PARTS):
-                if cuts[k + 1] > cuts[k]:
-                    names.append(c)
-                    sizes.append(len(s))
-                    numbers.append(k)
-                    lists.append(_signed(s[cuts[k] : cuts[k + 1]]))
+            sketch = odd_sketch(s)
+            for level in sorted({_level(len(s)), _level(len(s) * 100 // percent)}):
+                cuts = [0, *(np.searchsorted(s, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)) if level else ()), len(s)]
+                for k in range(1 << level):
+                    if cuts[k + 1] > cuts[k]:
+                        rows.append((c, len(s), level, k, sketch))
+                        lists.append(_signed(s[cuts[k] : cuts[k + 1]]))
         if not lists:
             return None
         ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["class", "n", "part", "shingles"])
+        c = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["class", "n", "level", "part", "sketch", "shingles"])
+
+    rows = map_texts(keyed_join(docs.select("doc_id", "text"), ids, "doc_id"), cut, "class long, n long, level int, part int, sketch array<long>, shingles array<long>", ())
+    return materialise(rows.join(chosen, "class", "left_semi").dropDuplicates(["class", "level", "part"]))
+
 
-    cut = map_texts(keyed_join(docs.select("doc_id", "text"), chosen, "doc_id"), parts, "class long, n long, part int, shingles array<long>", ()).dropDuplicates(["class", "part"])
-    left = cut.select(F.col("class").alias("a"), F.col("n").alias("na"), "part", F.col("shingles").alias("sa"))
-    right = cut.select(F.col("class").alias("b"), F.col("n").alias("nb"), "part", F.col("shingles").alias("sb"))
+def overlaps(sets: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs (a, b, na, nb) of classes that reach the similarity; ``pairs`` is materialised."""
+    wanted = pairs.withColumn("level", _level_column(F.greatest("na", "nb")))
+    if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    left = sets.select(F.col("class").alias("a"), "level", "part", F.col("shingles").alias("sa")).join(wanted, ["a", "level"])
+    right = sets.select(F.col("class").alias("b"), "level", "part", F.col("shingles").alias("sb"))
     return (
-        pairs.join(left, "a").join(right, ["b", "part"])
-        .groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("common"))
+        left.join(right, ["b", "level", "part"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("common"))
         .where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
     )
 
 
+def _pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb) of rows (class, other) whose sizes allow the similarity."""
+    n = classes.select("class", "n")
+    named = rows.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    sized = named.join(n.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
+    return materialise(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb"))
+
+
+def _hubs(spokes: DataFrame, most: int = 8) -> DataFrame:
+    """(class, other): the ``most`` hubs that a class shares most signatures with; the second round looks at all the rest."""
+    shared = spokes.where("class <> other").groupBy("class", "sure", "other").agg(F.sum("times").alias("shared")).where("2 * shared >= sure")
+    return shared.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("shared"), "other"))).where(F.col("r") <= most).select("class", "other")
+
+
+def _rare_first(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(class, other) of sets in different components that share a shingle among their first ones, rare shingles first."""
+    own = sets.where(F.col("level") == _level_column(F.col("n"))).select("class", "n", F.explode("shingles").alias("shingle"))
+    counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("class").orderBy("df", "shingle")
+    # a smaller or equal partner of size m needs an overlap of (n + m) * percent / (100 + percent)
+    need = lambda n, m: F.ceil((n + m) * percent / F.lit(100.0 + percent) - 1e-9)
+    n, place = F.col("n"), F.col("place")
+    smallest = F.ceil(n * percent / 100.0 - 1e-9)
+    ranked = own.join(counts.where("df > 1"), "shingle", "right").where("class is not null").select("class", "n", "shingle", "df")
+    # shingles of one set alone stand first, and no partner has them: only their number matters
+    alone = sets.where(F.col("level") == _level_column(F.col("n"))).groupBy("class").agg(F.sum(F.size("shingles")).alias("whole"), F.first("sketch").alias("sketch"))
+    shared = ranked.groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
+    ranked = ranked.join(alone.join(shared, "class").select("class", "sketch", (F.col("whole") - F.col("shared")).alias("first")), "class")
+    ranked = ranked.withColumn("place", F.row_number().over(order) - 1 + F.col("first")).where(place < n - need(n, smallest) + 1)
+    ranked = materialise(ranked.join(found, F.col("class") == F.col("node"), "left").select("class", "n", "shingle", "place", F.coalesce("component", "class").alias("component"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(4))))
+    step = F.log(F.lit(1.02))
+    size_class = lambda m: F.floor(F.log(m.cast("double")) / step).cast("int")
+    index = ranked.where(place < n - need(n, n) + 1).select("shingle", size_class(n).alias("size"), F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("component").alias("other_component"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(4)))
+    # the partner sizes for which a place is early enough: place <= n - need
+    least = F.ceil(F.exp(F.col("size") * step) - 1e-9)
+    probe = ranked.select("*", F.explode(F.sequence(size_class(smallest), size_class(n))).alias("size")).where(place < n - need(n, F.greatest(least, smallest)) + 1)
+    kinds = index.groupBy("shingle", "size").agg(F.mode("other_component", deterministic=True).alias("usual"), F.min("other_component").alias("one"), F.max("other_component").alias("last"))
+    probe = probe.join(kinds, ["shingle", "size"]).where("one < last or one <> component")
+    index = index.join(kinds.select("shingle", "size", "usual"), ["shingle", "size"])
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(4)), F.lit(0))
+    close = differ * (100 + percent) <= (n + F.col("m")) * (100 - percent)
+    able = close & (F.col("m") <= n) & (F.col("component") != F.col("other_component")) & (F.least(n - place, F.col("m") - F.col("other_place")) >= need(n, F.col("m")))
+    unusual = probe.drop("usual").join(index.where("other_component <> usual").drop("usual"), ["shingle", "size"]).where(able)
+    usual = probe.where("component <> usual").drop("usual").join(index.where("other_component = usual").drop("usual"), ["shingle", "size"]).where(able)
+    return unusual.select("class", "other").union(usual.select("class", "other"))
+
+
 def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text are read)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialise(_documents(docs))
     # a class without an id can't be fetched again; it is compared through its copies only
-    classes = described.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sure").alias("sure"))
+    classes = described.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sure").alias("sure"), F.min("n").alias("n"))
     members = materialise(_memberships(_signature_rows(docs)))
-
-    heavy = members.where(F.col("size") > HEAVY)
-    saturated = heavy.groupBy("class").agg(F.sum("times").alias("heavy")).join(classes, "class").where("heavy >= sure").select("class")
-    dense = heavy.join(saturated, "class", "left_semi").select("bucket", "class")
-    ends = dense.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    light = members.where(F.col("size") <= HEAVY)
-    spokes = light.select("class", "low", "high").union(dense.join(ends, "bucket").select("class", "low", "high"))
-    hubs = F.explode(F.array("low", "high")).alias("hub")
-    pairs = materialise(spokes.select("class", hubs).where("class != hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-    links = materialise(overlaps(docs, classes, pairs, percent))
-
-    # what is still apart
-    found = connected_components(links, "a", "b")
-    placed = light.select("bucket", "class").union(dense).distinct().join(found, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").select("bucket")
-    placed = materialise(placed.join(mixed, "bucket", "left_semi"))
-    a, b = placed.select("bucket", F.col("class").alias("a"), F.col("component").alias("ca")), placed.select("bucket", F.col("class").alias("b"), F.col("component").alias("cb"))
-    rest = materialise(a.join(b, "bucket").where("a < b and ca != cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    links = materialise(links.union(overlaps(docs, classes, rest, percent)))
+    able = members.groupBy("class").agg(F.sum("times").alias("total")).join(classes, "class").where("total >= sure").select("class", "sure")
+    able = materialise(able)
+    sets = cut_sets(docs, classes, able.select("class"), percent)
+
+    near = materialise(members.join(able, "class").select("bucket", "class", "times", "sure"))
+    ends = near.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    pairs = _pairs(_hubs(near.join(ends, "bucket").withColumn("other", F.explode(F.array("low", "high")))), classes, percent)
+    links = materialise(overlaps(sets, pairs, percent))
+    # once more, with the member of each bucket that has most links so far
+    found = connected_components(links, "a", "b").select(F.col("node").alias("class"), "component")
+    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+    placed = materialise(near.join(found, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    best = placed.where("degree > 0").groupBy("bucket").agg(F.max(F.struct("degree", F.col("class").alias("other"), F.col("component").alias("theirs"))).alias("x")).select("bucket", "x.other", "x.theirs")
+    more = materialise(_pairs(_hubs(placed.join(best, "bucket").where("component <> theirs")), classes, percent).join(pairs, ["a", "b"], "left_anti"))
+    links, pairs = materialise(links.union(overlaps(sets, more, percent))), pairs.union(more)
+
+    found = materialise(connected_components(links, "a", "b"))
+    rest = _pairs(_rare_first(sets, found, percent), classes, percent)
+    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"))
+    links = materialise(links.union(overlaps(sets, rest, percent)))
 
     found = connected_components(links, "a", "b")
     whole = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
