@@ -1,18 +1,18 @@
 """Language-model scores by deleted interpolation.
 
-Tokens are lower-case words and one end per document. The VOCABULARY most frequent training words have a rank;
-all others are the word class TAIL. For a token w after u the model says
+Tokens are lower-case words and one end per document. For a token w after u the model says
 
     P(w | u) = a2 * c(u, w) / c(u) + a1 * c(w) / N + a0 / S
 
-over the S symbols (ranks, TAIL and the end), and a tail word v is then told apart by (c(v) + 1) / (T + D + 1),
-T and D being the number of tail tokens and of different tail words in training (the last place is for an unseen
-word). So the probabilities of all words sum to one. The weights a2, a1, a0 depend on the context's frequency,
+over S symbols: all different training words, the end, and one place for an unseen word. So the probabilities
+sum to one (a2 is 0 after an unseen word). The weights a2, a1, a0 depend on the context's frequency,
 in BUCKETS powers of four, and are learned by expectation-maximisation on held-out counts: training documents of
 one more fold are scored with the counts of the others.
 
-Counts cover every training document. Word counts are grouped by hash; pair counts are dealt by key range in packed
-form, each chunk's pairs summed first. The held-out tokens enter EM as a histogram of their two ratios, which has
+Counts cover every word and pair of every training document. The VOCABULARY most frequent words are broadcast with
+their counts; this only decides how a pair travels. Pairs of two such words are dealt by key range in packed
+form, each chunk's pairs summed first. Any other pair is a row dealt by a word behind the vocabulary, which meets its count
+there and its equals beside it. The held-out tokens enter EM as a histogram of their two ratios, which has
 a fixed size. Pairs with more than one count in 2**20 of all are at most 2**20; those are broadcast with their counts,
 so that no frequent pair travels. The other pairs of a text travel packed to their range and come
 back, packed, as one sum per document to the chunk that they left.
@@ -27,8 +27,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.tables import materialise
 from .packed import FIELDS, batch, by_range, pack, ranges_for, unpack
@@ -64,25 +65,25 @@ def word_counts(docs: DataFrame, folds: int, scored: int, held: int) -> DataFram
 
 @dataclass
 class Symbols:
-    """The frequent words' hashes, sorted, and counts by symbol: ranks, then TAIL, then the end."""
+    """The frequent words' hashes, sorted, and counts by symbol: ranks, then all other words together, then the end."""
 
     words: np.ndarray
     counts: np.ndarray
     held: np.ndarray
-    tail_words: int
+    size: int  # S of the model: all different words, the end and an unseen word
 
     @property
     def tail(self) -> int:
         return len(self.words)
 
     @property
-    def size(self) -> int:
-        return len(self.words) + 2
+    def end(self) -> int:
+        return len(self.words) + 1
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
         known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
-        return np.where(hashes == np.uint64(END_HASH), self.tail + 1, np.where(known, at, self.tail))
+        return np.where(hashes == np.uint64(END_HASH), self.end, np.where(known, at, self.tail))
 
 
 def _symbols(words: DataFrame, vocabulary: int) -> Symbols:
@@ -95,11 +96,11 @@ def _symbols(words: DataFrame, vocabulary: int) -> Symbols:
     c, h = top["c"].to_numpy()[order], top["h"].to_numpy()[order]
     counts = np.concatenate((c, [whole["n"] - c.sum() - end["c"], end["c"]])).astype(np.int64)
     held = np.concatenate((h, [whole["h"] - h.sum() - end["h"], end["h"]])).astype(np.int64)
-    return Symbols(hashes[order], counts, held, int(whole["v"]) - len(top) - (end["c"] > 0))
+    return Symbols(hashes[order], counts, held, int(whole["v"]) - (end["c"] > 0) + 2)
 
 
-def _contexts(symbols: np.ndarray, offsets: np.ndarray, end: int) -> np.ndarray:
-    """The symbol before each token; a document begins after an end."""
+def _contexts(symbols: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
+    """The symbol (or hash) before each token; a document begins after an end."""
     before = np.empty_like(symbols)
     before[1:] = symbols[:-1]
     before[offsets[:-1]] = end
@@ -110,12 +111,18 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64) // 2 + (counts > 0), BUCKETS - 1)
 
 
+def _pairs(token: np.ndarray, offsets: np.ndarray, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """The pair that each token ends, and whether both words are frequent."""
+    before = _contexts(token, offsets, s.end)
+    return (before.astype(np.int64) << 20) | token, (before != s.tail) & (token != s.tail)
+
+
 def _dealt(pairs: np.ndarray, ranges: int) -> np.ndarray:
     return ((mix(pairs.astype(np.uint64)) >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
 
 def _pair_counts(docs: DataFrame, symbols: Symbols, ranges: int, folds: int, scored: int, held: int) -> DataFrame:
-    """Packed rows of (pair, count); the id field carries 1 for counts of the held-out fold."""
+    """Packed rows of (pair, count) of two frequent words; the id field carries 1 for counts of the held-out fold."""
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
     def count(kept, texts):
@@ -123,7 +130,8 @@ def _pair_counts(docs: DataFrame, symbols: Symbols, ranges: int, folds: int, sco
         words, at, offsets = _tokens(texts)
         part = np.repeat(kept[0].to_numpy(zero_copy_only=False), np.diff(offsets))
         token = s.of(words)[at]
-        pairs = (_contexts(token, offsets, s.size - 1).astype(np.int64) << 20) | token
+        pairs, whole = _pairs(token, offsets, s)
+        pairs, part = pairs[whole], part[whole]
         rows = []
         for flag, mine in ((0, (part != scored) & (part != held)), (1, part == held)):
             keys, times = np.unique(pairs[mine], return_counts=True)
@@ -150,6 +158,13 @@ def _cell(ratio: np.ndarray) -> np.ndarray:
     return np.where(ratio > 0, np.clip(2 * np.log2(np.maximum(ratio, 1e-300)) + CELLS, 1, CELLS).astype(np.int64), 0)
 
 
+def _cells(kept: np.ndarray, own: np.ndarray, before: np.ndarray, token: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Histogram of held-out tokens: how often each pair is held out, and retained counts of pair, context and token."""
+    pair_ratio, word_ratio, weight = kept / np.maximum(before, 1), token / n, own.astype(np.float64)
+    cells, at = np.unique((_bucket(before) * 64 + _cell(pair_ratio)) * 64 + _cell(word_ratio), return_inverse=True)
+    return {"cell": cells, "n": np.bincount(at, weight, len(cells)), "p2": np.bincount(at, weight * pair_ratio, len(cells)), "p1": np.bincount(at, weight * word_ratio, len(cells))}
+
+
 def learn_weights(cells: list, uniform: float, rounds: int = 100) -> np.ndarray:
     """EM over (bucket, n, sum of pair ratios, sum of word ratios): rows a2, a1, a0 of each bucket."""
     out = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
@@ -170,9 +185,42 @@ def learn_weights(cells: list, uniform: float, rounds: int = 100) -> np.ndarray:
     for b in range(1, BUCKETS):
         if b not in seen:
             out[b] = out[b - 1]
+    out[0] *= (0, 1, 1)  # an unseen context has no pairs
+    out[0] /= out[0].sum()
     return out
 
 
+def _rare_pairs(own: DataFrame, words: DataFrame, vocabulary: int, scored: int, held: int) -> DataFrame:
+    """(row, part, rare, kept, own, cu, hu, cw, hw) of each token that is in a pair with a word behind the vocabulary.
+
+    rare: whether the token itself is such a word; kept, own: retained and held-out count of the pair; cu, hu, cw, hw:
+    training and held-out counts of its words.
+    """
+    real = words.where(F.col("word") != END_HASH)
+    last = real.orderBy(F.desc("c"), "word").limit(vocabulary).orderBy("c", F.desc("word")).first()
+    behind = real.where((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > last["word"]))) if last else real
+    frequent = words.where((F.col("word") == END_HASH) | (F.col("c") > last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") <= last["word"]))) if last else words.where(F.col("word") == END_HASH)
+
+    def counts(table: DataFrame, word: str, c: str, h: str) -> DataFrame:
+        return table.select(F.col("word").alias(word), F.col("c").alias(c), F.col("h").alias(h))
+
+    u, w = ("before", "cu", "hu"), ("token", "cw", "hw")
+    pairs = own.select("row", "part", F.explode(F.arrays_zip("before", "token", "kind")).alias("x")).select("row", "part", "x.*")
+    # frequent words' counts are broadcast (at most the vocabulary and the end), so only rare words deal out rows
+    one = pairs.where("kind = 1").join(counts(behind, *u), "before", "left").join(F.broadcast(counts(frequent, *w)), "token", "left")
+    two = pairs.where("kind = 2").join(counts(behind, *w), "token", "left").join(F.broadcast(counts(frequent, *u)), "before", "left")
+    both = pairs.where("kind = 3").join(counts(behind, *w), "token", "left").join(counts(behind, *u), "before", "left")
+    same = Window.partitionBy("before", "token")
+    out = None
+    for part in (one, two, both):
+        part = part.select(
+            "row", "part", (F.col("kind") > 1).alias("rare"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cu", "hu", "cw", "hw")),
+            F.sum(((F.col("part") != scored) & (F.col("part") != held)).cast("long")).over(same).alias("kept"), F.sum((F.col("part") == held).cast("long")).over(same).alias("own"),
+        )
+        out = part if out is None else out.union(part)
+    return materialise(out)
+
+
 def score_texts(docs: DataFrame, folds: int = FOLDS, scored: int = SCORED_FOLD, held: int = HELD_FOLD, vocabulary: int = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -189,7 +237,28 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, scored: int = SCORED_FOLD,
     retained = symbols.counts - symbols.held
     n_retained = max(int(retained.sum()), 1)
     kept_counts = spark.sparkContext.broadcast(retained)
+    shared = spark.sparkContext.broadcast(symbols)
     limit = n / HOT_PAIRS
+    # a key of 63 bits for each row: rows that share an id but not the text stay apart
+    row = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2)
+    keyed = docs.select("doc_id", row.alias("row"), fold("doc_id", folds).alias("part"), "text")
+
+    def local(kept, texts):
+        s = shared.value
+        words, place, offsets = _tokens(texts)
+        token, hashes = s.of(words)[place], words[place]
+        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        known = token != s.tail
+        base = np.bincount(doc[known], np.log10(s.counts[token[known]] + 1), len(texts))
+        n_known = np.bincount(doc[known], s.counts[token[known]] > 0, len(texts)).astype(np.int64)
+        kind = ((_contexts(token, offsets, s.end) == s.tail) + 2 * ~known).astype(np.int8)
+        some = np.flatnonzero(kind)
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[some], minlength=len(texts))))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (_contexts(hashes, offsets, np.uint64(END_HASH))[some].view(np.int64), hashes[some].view(np.int64), kind[some])]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets), pa.int64()), pa.array(n_known), pa.array(base), *lists], ["doc_id", "row", "part", "n_tokens", "n_known", "base", "before", "token", "kind"])
+
+    own = materialise(map_texts(keyed, local, "doc_id long, row long, part long, n_tokens long, n_known long, base double, before array<long>, token array<long>, kind array<byte>", ("doc_id", "row", "part")))
+    rare = _rare_pairs(own, words, vocabulary, scored, held)
 
     def sums(table: pa.Table) -> pa.Table:
         pairs, kept, own = _summed(table)
@@ -197,109 +266,94 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, scored: int = SCORED_FOLD,
         hot = kept + own > limit
         some = own > 0
         c = kept_counts.value
-        pair_ratio = kept[some] / np.maximum(c[before[some]], 1)
-        word_ratio = c[token[some]] / n_retained
-        bucket = _bucket(c[before[some]])
-        cell = (bucket * 64 + _cell(pair_ratio)) * 64 + _cell(word_ratio)
-        cells, at = np.unique(cell, return_inverse=True)
-        weight = own[some].astype(np.float64)
-        return pa.table({
-            "cell": pa.array(np.concatenate((cells, np.full(hot.sum(), -1))), pa.int64()),
-            "n": pa.array(np.concatenate((np.bincount(at, weight, len(cells)), (kept + own)[hot].astype(np.float64)))),
-            "p2": pa.array(np.concatenate((np.bincount(at, weight * pair_ratio, len(cells)), np.zeros(hot.sum())))),
-            "p1": pa.array(np.concatenate((np.bincount(at, weight * word_ratio, len(cells)), np.zeros(hot.sum())))),
-            "pair": pa.array(np.concatenate((np.zeros(len(cells), np.int64), pairs[hot])), pa.int64()),
-        })
+        cells = _cells(kept[some], own[some], c[before[some]], c[token[some]], n_retained)
+        of = {"cell": np.full(hot.sum(), -1), "n": (kept + own)[hot].astype(np.float64), "p2": np.zeros(hot.sum()), "p1": np.zeros(hot.sum())}
+        return pa.table({k: pa.array(np.concatenate((cells[k], of[k]))) for k in of} | {"pair": pa.array(np.concatenate((np.zeros(len(cells["cell"]), np.int64), pairs[hot])), pa.int64())})
+
+    def rare_cells(batches):
+        for b in batches:
+            c = {k: b.column(k).to_numpy() for k in ("kept", "cu", "hu", "cw", "hw")}
+            cells = _cells(c["kept"], np.ones(b.num_rows), c["cu"] - c["hu"], c["cw"] - c["hw"], n_retained)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells.values()], list(cells))
 
     found = materialise(by_range(_pair_counts(docs, symbols, ranges, folds, scored, held), sums, "cell long, n double, p2 double, p1 double, pair long"))
-    histogram = found.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()  # BUCKETS * 64 * 64 at most
+    cells = found.where("cell >= 0").drop("pair").union(rare.where(F.col("part") == held).mapInArrow(rare_cells, "cell long, n double, p2 double, p1 double"))
+    histogram = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()  # BUCKETS * 64 * 64 at most
     weights = learn_weights([(r["cell"] >> 12, r["n"], r["p2"], r["p1"]) for r in histogram], 1 / size)
     frequent = found.where("cell < 0").select("pair", F.col("n").cast("long").alias("n")).toArrow()  # HOT_PAIRS at most
     hot = np.stack((frequent["pair"].to_numpy(), frequent["n"].to_numpy()), 1)
     hot = hot[np.argsort(hot[:, 0])]
-    model = spark.sparkContext.broadcast((symbols, weights, hot))
+    model = spark.sparkContext.broadcast((weights, hot))
 
-    def log_p(pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
-        s, a, _ = model.value
-        before, token = pairs >> 20, pairs & 0xFFFFF
-        mixed = a[_bucket(s.counts[before])]
-        return np.log10(mixed[:, 0] * times / np.maximum(s.counts[before], 1) + mixed[:, 1] * s.counts[token] / max(n, 1) + mixed[:, 2] / s.size)
+    def log_p(before: np.ndarray, token: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Of training counts of context, token and pair."""
+        mixed = model.value[0][_bucket(before)]
+        return np.log10(mixed[:, 0] * times / np.maximum(before, 1) + mixed[:, 1] * token / max(n, 1) + mixed[:, 2] / size)
+
+    def log_pairs(pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
+        c = shared.value.counts
+        return log_p(c[pairs >> 20], c[pairs & 0xFFFFF], times)
 
     def travel(kept, texts):
-        s, _, hot_pairs = model.value
+        s, hot_pairs = shared.value, model.value[1]
         ids = kept[0].to_numpy(zero_copy_only=False).astype(np.int64)
         words, place, offsets = _tokens(texts)
-        token = s.of(words)[place]
-        pairs = (_contexts(token, offsets, s.size - 1).astype(np.int64) << 20) | token
+        pairs, whole = _pairs(s.of(words)[place], offsets, s)
         at = np.minimum(np.searchsorted(hot_pairs[:, 0], pairs), max(len(hot_pairs) - 1, 0))
-        cold = np.flatnonzero(hot_pairs[at, 0] != pairs) if len(hot_pairs) else np.arange(len(pairs))
-        train = kept[1].to_numpy(zero_copy_only=False)
-        # the id field carries the row's own key and whether it was learned from
-        return batch(list(pack(pairs[cold].astype(np.uint64), cold, _dealt(pairs[cold], ranges), ranges, ids << 1 | train.astype(np.int64), offsets[:-1], 5)), int(ids[0]))
+        is_hot = whole & (hot_pairs[at, 0] == pairs) if len(hot_pairs) else np.zeros(len(pairs), bool)
+        cold = np.flatnonzero(whole & ~is_hot)
+        train = (kept[1].to_numpy(zero_copy_only=False) != scored).astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        sums = np.bincount(doc[is_hot], log_pairs(pairs[is_hot], hot_pairs[at[is_hot], 1]), len(texts)) if is_hot.any() else np.zeros(len(texts))
+        # the id field carries the row's own key and whether it was learned from; a row without keys, the frequent pairs' sums
+        rows = list(pack(pairs[cold].astype(np.uint64), cold, _dealt(pairs[cold], ranges), ranges, ids << 1 | train, offsets[:-1], 5))
+        return batch([*rows, (int(ids[0] % ranges), b"", b"", ids.tobytes(), sums.tobytes())], int(ids[0]))
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, ids, _ = unpack(table, 5)
-        pairs, at = np.unique(keys, return_inverse=True)
-        learned = np.bincount(at, ids & 1, len(pairs))
-        value = log_p(pairs.astype(np.int64), learned)[at]
-        # one answer for each packed row, in its documents' order
-        sizes = [len(k) // 5 for k in table.column("keys").to_pylist()]
-        docs_of, sums, begin = [], [], 0
-        for size in sizes:
-            rows, of = np.unique(ids[begin : begin + size] >> 1, return_inverse=True)
-            docs_of.append(rows)
-            sums.append(np.bincount(of, value[begin : begin + size], len(rows)))
-            begin += size
-        return pa.table({"chunk": table.column("chunk"), "rows": pa.array(docs_of, pa.list_(pa.int64())), "sums": pa.array(sums, pa.list_(pa.float64()))})
+        keyless = pc.equal(pc.binary_length(table.column("keys")), 0)
+        done, table = table.filter(keyless), table.filter(pc.invert(keyless))
+        chunks = done.column("chunk").to_pylist() + table.column("chunk").to_pylist()
+        docs_of = [np.frombuffer(x, np.int64) for x in done.column("ids").to_pylist()]
+        sums = [np.frombuffer(x, np.float64) for x in done.column("starts").to_pylist()]
+        if table.num_rows:
+            keys, ids, _ = unpack(table, 5)
+            pairs, at = np.unique(keys, return_inverse=True)
+            learned = np.bincount(at, ids & 1, len(pairs))
+            value = log_pairs(pairs.astype(np.int64), learned)[at]
+            # one answer for each packed row, in its documents' order
+            begin = 0
+            for width in [len(k) // 5 for k in table.column("keys").to_pylist()]:
+                rows, of = np.unique(ids[begin : begin + width] >> 1, return_inverse=True)
+                docs_of.append(rows)
+                sums.append(np.bincount(of, value[begin : begin + width], len(rows)))
+                begin += width
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "rows": pa.array(docs_of, pa.list_(pa.int64())), "sums": pa.array(sums, pa.list_(pa.float64()))})
 
     def gather(table: pa.Table) -> pa.Table:
         rows, of = np.unique(table.column("rows").combine_chunks().flatten().to_numpy(), return_inverse=True)
-        return pa.table({"row": pa.array(rows), "cold": pa.array(np.bincount(of, table.column("sums").combine_chunks().flatten().to_numpy(), len(rows)))})
+        return pa.table({"row": pa.array(rows), "whole": pa.array(np.bincount(of, table.column("sums").combine_chunks().flatten().to_numpy(), len(rows)))})
 
-    # a key of 63 bits for each row: rows that share an id but not the text stay apart
-    row = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2)
-    keyed = docs.select("doc_id", row.alias("row"), (fold("doc_id", folds) != scored).alias("train"), "text")
-    answers = by_range(map_texts(keyed, travel, f"range int, {FIELDS}, chunk long", ("row", "train")), meet, "chunk long, rows array<long>, sums array<double>")
-    cold = answers.groupBy("chunk").applyInArrow(gather, "row long, cold double").groupBy("row").agg(F.sum("cold").alias("cold"))
+    answers = by_range(map_texts(keyed, travel, f"range int, {FIELDS}, chunk long", ("row", "part")), meet, "chunk long, rows array<long>, sums array<double>")
+    whole = answers.groupBy("chunk").applyInArrow(gather, "row long, whole double").groupBy("row").agg(F.sum("whole").alias("whole"))
 
-    def local(kept, texts):
-        s, _, hot_pairs = model.value
-        words, place, offsets = _tokens(texts)
-        token = s.of(words)[place]
-        pairs = (_contexts(token, offsets, s.size - 1).astype(np.int64) << 20) | token
-        at = np.minimum(np.searchsorted(hot_pairs[:, 0], pairs), max(len(hot_pairs) - 1, 0))
-        is_hot = hot_pairs[at, 0] == pairs if len(hot_pairs) else np.zeros(len(pairs), bool)
-        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        hot_sum = np.bincount(doc[is_hot], log_p(pairs[is_hot], hot_pairs[at[is_hot], 1]), len(texts)) if is_hot.any() else np.zeros(len(texts))
-        known = token != s.tail
-        base = np.bincount(doc[known], np.log10(s.counts[token[known]] + 1), len(texts))
-        n_known = np.bincount(doc[known], s.counts[token[known]] > 0, len(texts)).astype(np.int64)
-        lists = np.split(words[place[~known]].view(np.int64), np.cumsum(np.bincount(doc[~known], minlength=len(texts)))[:-1]) if len(texts) else []
-        return pa.RecordBatch.from_arrays(
-            [*kept, pa.array(np.diff(offsets), pa.int64()), pa.array(n_known), pa.array(base), pa.array(hot_sum), pa.array(np.bincount(doc[~known], minlength=len(texts)), pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-            ["doc_id", "row", "n_tokens", "n_known", "base", "hot", "n_tail", "tail"],
-        )
+    def rare_sums(batches):
+        for b in batches:
+            c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("row", "rare", "kept", "own", "cu", "cw")}
+            rows, of = np.unique(c["row"], return_inverse=True)
+            values = (log_p(c["cu"], c["cw"], c["kept"] + c["own"]), c["rare"] * (c["cw"] > 0), c["rare"] * np.log10(c["cw"] + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.bincount(of, v, len(rows))) for v in values)], ["row", "rare", "rare_known", "rare_base"])
 
-    own = materialise(map_texts(keyed, local, "doc_id long, row long, n_tokens long, n_known long, base double, hot double, n_tail long, tail array<long>", ("doc_id", "row")))
-    # words behind the vocabulary's last one, in its order
-    last = words.where(F.col("word") != END_HASH).orderBy(F.desc("c"), "word").limit(vocabulary).orderBy("c", F.desc("word")).first()
-    behind = words.where(F.col("word") != END_HASH)
-    behind = behind.where((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > last["word"]))) if last else behind
-    tails = (
-        own.select("row", F.explode("tail").alias("word")).join(behind.select("word", "c"), "word", "left").groupBy("row")
-        .agg(F.count("c").alias("tail_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("tail_base"))
-    )
+    tails = rare.mapInArrow(rare_sums, "row long, rare double, rare_known double, rare_base double").groupBy("row").agg(*(F.sum(c).alias(c) for c in ("rare", "rare_known", "rare_base")))
     lows = float(np.log10(n + words.count() + 1))
-    told = float(np.log10(symbols.counts[symbols.tail] + symbols.tail_words + 1))
     copies = own.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     # what was summed over rows of equal id and text is shared among them
-    each = {c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies") for c in ("cold", "tail_known", "tail_base")}
+    each = {c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies") for c in ("whole", "rare", "rare_known", "rare_base")}
     return (
-        own.drop("tail").join(copies, "row").join(cold, "row", "left").join(tails, "row", "left")
+        own.drop("before", "token", "kind").join(copies, "row").join(whole, "row", "left").join(tails, "row", "left")
         .select(
-            "doc_id", (fold("doc_id", folds) == scored).alias("held_out"), "n_tokens",
-            (F.col("n_known") + F.round(each["tail_known"]).cast("long")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + each["tail_base"] - F.col("n_tokens") * lows).alias("base_score"),
-            (F.col("hot") + each["cold"] + each["tail_base"] - F.col("n_tail") * told).alias("score"),
+            "doc_id", (F.col("part") == scored).alias("held_out"), "n_tokens",
+            (F.col("n_known") + F.round(each["rare_known"]).cast("long")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+            (F.col("base") + each["rare_base"] - F.col("n_tokens") * lows).alias("base_score"),
+            (each["whole"] + each["rare"]).alias("score"),
         )
     )

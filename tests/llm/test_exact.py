@@ -112,6 +112,24 @@ def test_language_model(odd_docs, empty_docs, monkeypatch):
     assert lmscore.score_texts(empty_docs).collect() == []
 
 
+def test_language_model_knows_every_word(odd_docs, monkeypatch):
+    weights, learn = [], lmscore.learn_weights
+    monkeypatch.setattr(lmscore, "learn_weights", lambda *a: weights.append(learn(*a)) or weights[-1])
+    few, all_words = ({r["doc_id"]: r["score"] for r in lmscore.score_texts(odd_docs, vocabulary=v).collect()} for v in (50, 1 << 18))
+    rows = {i: [None, *t.encode().lower().split(), None] for i, t in _texts(odd_docs)}
+    learned = [ws for i, ws in rows.items() if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    c = Counter(w for ws in learned for w in ws[1:])
+    pairs = Counter(p for ws in learned for p in zip(ws, ws[1:], strict=False))
+    n, size = sum(c.values()), len(c) + 1
+    assert np.allclose(*weights, rtol=1e-9) and weights[0][0, 0] == 0
+    for i, ws in rows.items():
+        want = 0.0
+        for u, w in zip(ws, ws[1:], strict=False):
+            a = weights[0][(c[u].bit_length() + 1) // 2]
+            want += math.log10(a[0] * pairs[u, w] / max(c[u], 1) + a[1] * c[w] / n + a[2] / size)
+        assert few[i] == pytest.approx(want, rel=1e-9) and all_words[i] == pytest.approx(want, rel=1e-9)
+
+
 def test_interpolation_weights():
     w = lmscore.learn_weights([(1, 100.0, 50.0, 1.0), (3, 100.0, 0.0, 30.0)], 1e-4)
     assert np.allclose(w.sum(1), 1) and w[1, 0] > 0.9 and w[3, 1] > 0.9 and (w[2] == w[1]).all()
