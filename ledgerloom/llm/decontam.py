@@ -3,7 +3,9 @@
 Words become canonical tokens: numbers, units behind a number, and capitalised words inside a sentence (names) become the
 placeholders of their type; any other word is itself, in lower case and without surrounding punctuation. Windows of
 WINDOW tokens with at least LITERALS literal ones are hashed, and equal hashes joined, so that a question with other
-numbers or names still meets its template. Along one alignment (document place minus item place) the slot values must
+numbers or names still meets its template. A capitalised word that begins a sentence or a text may be a name or not: an item has
+windows for each reading (names leave half of the window literal), a document for none and for all of them as names.
+Every window of an item, however few literals it has, also takes part word by word, so that a verbatim copy always meets. Along one alignment (document place minus item place) the slot values must
 be consistent: one value of the item always stands for one value of the document, and the other way round.
 What consistent alignments cover of the item decides.
 
@@ -11,13 +13,14 @@ The benchmark's windows are the stated query set: they are counted, and run over
 BLOCK_WINDOWS distinct hashes (32 MB), each broadcast; a text is hashed where it lies and only its meeting windows travel.
 
 Defined edge cases: null, empty and blank texts or items have no windows; items shorter than WINDOW tokens are one
-shorter window, matched in full; repeated items are reported under their own ids; repeated document rows add their windows to one
+shorter window, matched in full by the same rules; repeated items are reported under their own ids; repeated document rows add their windows to one
 id's; null ids are ignored; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +65,8 @@ def _classes(words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return cores, hashes, bits
 
 
-def template_windows(texts: list[bytes], window: int = WINDOW, literals: int = LITERALS):
-    """(cores, places of tokens in cores, kind of each token, offsets, hash of each window, whether it may be used)."""
+def _readings(texts: list[bytes]):
+    """(cores, places of tokens in cores, offsets, literal hash and kind of each token, whether it may also be a name)."""
     number = Numbering()
     at, offsets = flat([t.split() for t in texts], number, np.int64)
     cores, hashes, bits = _classes(list(number))
@@ -76,59 +79,77 @@ def template_windows(texts: list[bytes], window: int = WINDOW, literals: int = L
     first = first[:-1]
     before = np.concatenate(([8], b[:-1]))
     kind = np.where(b & 1, 1, np.where((b & 2 > 0) & (before & 1 > 0) & ~first, 2, np.where((b & 4 > 0) & (before & 8 == 0) & ~first, 3, 0)))
-    token = np.choose(kind, [hashes[at] if len(at) else np.zeros(0, np.uint64), _NUM, _UNIT, _NAME]).astype(np.uint64)
-    rolled = rolling(token, window)
-    literal = np.concatenate(([0], np.cumsum(kind == 0)))
-    doc = np.searchsorted(offsets, np.arange(len(rolled)), "right") - 1
-    usable = (literal[window:][: len(rolled)] - literal[: len(rolled)] >= literals) & (np.arange(len(rolled)) + window <= offsets[doc + 1])
-    return cores, at, kind, token, offsets, rolled, usable
+    return cores, at, offsets, hashes[at] if len(at) else np.zeros(0, np.uint64), kind, (b & 4 > 0) & (kind == 0)
 
 
-def _short(token: np.ndarray) -> int:
-    """Hash of a whole item that is shorter than a window."""
-    return int(mix(rolling(token, len(token)) + np.uint64(len(token)))[0])
+def _template(literal: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return np.choose(kind, [literal, _NUM, _UNIT, _NAME]).astype(np.uint64)
+
+
+def _hashed(token: np.ndarray, width: int, window: int) -> np.ndarray:
+    """Hashes of all windows; a whole item that is shorter than a window has hashes of its own."""
+    return rolling(token, width) if width == window else mix(rolling(token, width) + np.uint64(width))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, n_tokens, at, width, hash, slots of all windows of all items."""
+    """item_id, n_tokens, at, width, hash, spots, slots (place and value of each slot) of all readings of all windows of all items."""
 
     def cut(kept, texts):
         rows = []
-        cores, at, kind, token, offsets, rolled, usable = template_windows(texts, window, literals)
-        for item, a, b in zip(kept[0].to_pylist(), offsets[:-1], offsets[1:], strict=True):
-            spans = [(a, b - a, _short(token[a:b]))] if 0 < b - a < window else [(p, window, int(rolled[p])) for p in range(a, b - window + 1) if usable[p]]
-            for p, width, h in spans:
-                rows.append((item, int(b - a), int(p - a), int(width), h, [cores[at[q]] for q in range(p, p + width) if kind[q]]))
+        cores, at, offsets, literal, kind, either = _readings(texts)
+        token = _template(literal, kind)
+        for item, a, b in zip(kept[0].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            width = min(window, b - a)
+            if not width:
+                continue
+            plain, strict = _hashed(literal[a:b], width, window).tolist(), _hashed(token[a:b], width, window).tolist()
+            for p in range(a, b - width + 1):
+                slots = [q for q in range(p, p + width) if kind[q]]
+                names = [q for q in range(p, p + width) if either[q]]
+                found = {plain[p - a]: []}
+                if width - len(slots) >= literals:
+                    found[strict[p - a]] = slots
+                    for k in range(1, min(len(names), width - len(slots) - window // 2) + 1):
+                        for some in combinations(names, k):
+                            read = token[p : p + width].copy()
+                            read[[q - p for q in some]] = _NAME
+                            found[int(_hashed(read, width, window)[0])] = sorted([*slots, *some])
+                rows += [(item, b - a, p - a, width, h, [q - a for q in x], [cores[at[q]] for q in x]) for h, x in found.items()]
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.int32()) for x in c[1:4]), pa.array(np.array(c[4], np.uint64).view(np.int64)), pa.array(c[5], pa.list_(pa.string()))], ["item_id", "n_tokens", "at", "width", "hash", "slots"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.int32()) for x in c[1:4]), pa.array(np.array(c[4], np.uint64).view(np.int64)), pa.array(c[5], pa.list_(pa.int32())), pa.array(c[6], pa.list_(pa.string()))], ["item_id", "n_tokens", "at", "width", "hash", "spots", "slots"])
 
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return map_texts(items, cut, "item_id long, n_tokens int, at int, width int, hash long, slots array<string>", ("item_id",))
+    return map_texts(items, cut, "item_id long, n_tokens int, at int, width int, hash long, spots array<int>, slots array<string>", ("item_id",))
 
 
-def _meetings(docs: DataFrame, hashes: np.ndarray, widths: list[int], window: int, literals: int) -> DataFrame:
+def _meetings(docs: DataFrame, hashes: np.ndarray, widths: list[int], window: int) -> DataFrame:
     """doc_id, at, hash, slots of the document windows whose hash is in the sorted ``hashes``."""
     shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def meet(kept, texts):
         known = shared.value
-        cores, at, kind, token, offsets, rolled, usable = template_windows(texts, window, literals)
+        cores, at, offsets, literal, kind, either = _readings(texts)
         ids = kept[0].to_numpy(zero_copy_only=False)
+        named = np.where(either, 3, kind)
+        none = np.zeros_like(kind)
         rows = []
         for width in widths:
-            if width == window:
-                some, values = np.flatnonzero(usable), rolled
-            else:
-                values = mix(rolling(token, width) + np.uint64(width))
-                some = np.arange(len(values))
-                some = some[some + width <= offsets[np.searchsorted(offsets, some, "right")]]
-            place = np.minimum(np.searchsorted(known, values[some]), len(known) - 1)
-            some = some[known[place] == values[some]]
-            doc = np.searchsorted(offsets, some, "right") - 1
-            for p, d in zip(some.tolist(), doc.tolist(), strict=True):
-                rows.append((ids[d], p - int(offsets[d]), int(values[p]), [cores[at[q]] for q in range(p, p + width) if kind[q]]))
+            # strict reading; word by word where that has slots; first words as names where there are any
+            for slots, differs in ((kind, None), (none, kind > 0), (named, either)):
+                values = _hashed(_template(literal, slots), width, window)
+                if differs is None:
+                    some = np.arange(len(values))
+                else:
+                    ahead = np.concatenate(([0], np.cumsum(differs)))
+                    some = np.flatnonzero(ahead[width:][: len(values)] > ahead[: len(values)])
+                place = np.minimum(np.searchsorted(known, values[some]), len(known) - 1)
+                some = some[known[place] == values[some]]
+                doc = np.searchsorted(offsets, some, "right") - 1
+                inside = some + width <= offsets[doc + 1]
+                for p, d in zip(some[inside].tolist(), doc[inside].tolist(), strict=True):
+                    rows.append((ids[d], p - int(offsets[d]), int(values[p]), [cores[at[q]] for q in range(p, p + width) if slots[q]]))
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
@@ -151,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     for b in range(blocks):
         mine = items.where(block == b).select("hash", "width").distinct().toPandas()
         if len(mine):
-            part = _meetings(docs, np.sort(mine["hash"].to_numpy(np.int64).view(np.uint64)), sorted(set(mine["width"].tolist())), window, literals)
+            part = _meetings(docs, np.sort(mine["hash"].to_numpy(np.int64).view(np.uint64)), sorted(set(mine["width"].tolist())), window)
             found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, covered int, n_tokens int, kind string")

@@ -238,3 +238,16 @@ def test_decontamination(spark, odd_docs, empty_docs):
     assert got[(1, 10)] == "verbatim" and got[(2, 10)] == "reparameterised" and got[(6, 13)] == "verbatim"
     assert not any(d in (3, 5, 900, 901) for d, _ in got)
     assert contaminated(empty_docs, items).collect() == [] and contaminated(frame, items.limit(0)).collect() == []
+
+
+def test_every_window_of_an_item_can_meet(spark):
+    values = "Values 3 5 8 13 21 34 55 89 144 233 377 610 987"
+    story = "Tom has 3 apples. Mary buys 5 pears. Then they share all fruit."
+    title = "Berlin has more bridges over water than every other city"
+    items = spark.createDataFrame([(1, values), (2, story), (3, title), (4, "3 + 4 ="), (5, "Ann sold 3 of her 9 hats")], "item_id long, text string")
+    docs = [
+        (1, f"so {values} and on"), (2, story.replace("Tom", "Jim").replace("Mary", "Anna").replace("5", "6")), (3, "a title line\n" + title), (4, "so 7 + 9 = is asked"), (5, "so 3 + 4 = is asked"),
+        (6, "words then Eve sold 4 of her 7 hats today"), (7, "Values 1 2 3 4 5 6 7 8 9 10 11 12 14"),
+    ]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1, "verbatim"), (2, 2, "reparameterised"), (3, 3, "verbatim"), (5, 4, "verbatim"), (6, 5, "reparameterised")}
