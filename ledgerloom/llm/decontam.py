@@ -5,9 +5,10 @@ placeholders of their type; any other word is itself, in lower case and without
 WINDOW tokens with at least LITERALS literal ones are hashed, and equal hashes joined, so that a question with other
 numbers or names still meets its template. A capitalised word that begins a sentence or a text may be a name or not: an item has
 windows for each reading (names leave half of the window literal), a document for none and for all of them as names.
-Every window of an item, however few literals it has, also takes part word by word, so that a verbatim copy always meets. Along one alignment (document place minus item place) the slot values must
-be consistent: one value of the item always stands for one value of the document, and the other way round.
-What consistent alignments cover of the item decides.
+Every window of an item, however few literals it has, also takes part word by word, so that a verbatim copy always meets. Along one alignment (document place minus item place) slots are
+judged one by one: a value of the item stands for the document's value that it most often meets (its own, if that ties), and
+different values may stand for the same. A window counts if it has the item's own values, or if half of
+its slots or more have the value that the item's stands for. What such windows cover of the item decides.
 
 The benchmark's windows are the stated query set: they are counted, and run over all documents in blocks of at most
 BLOCK_WINDOWS distinct hashes (32 MB), each broadcast; a text is hashed where it lies and only its meeting windows travel.
@@ -20,6 +21,7 @@ id's; null ids are ignored; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -158,11 +160,31 @@ def _meetings(docs: DataFrame, hashes: np.ndarray, widths: list[int], window: in
     return map_texts(docs, meet, "doc_id long, at int, hash long, slots array<string>")
 
 
+def _judge(batches):
+    """Of each alignment: the item's tokens that its consistent windows cover, and whether all of these have the item's own values."""
+    for b in batches:
+        covered, same = [], []
+        for windows in b.column(3).to_pylist():
+            met = Counter((i, d) for _, i, d in {(p["q"], p["i"], p["d"]) for w in windows for p in w["pairs"]})
+            usual = {}
+            for (i, d), _ in sorted(met.items(), key=lambda x: (x[1], x[0][0] == x[0][1], x[0])):
+                usual[i] = d
+            tokens, own = set(), True
+            for w in windows:
+                equal = all(p["i"] == p["d"] for p in w["pairs"])
+                if equal or 2 * sum(usual[p["i"]] == p["d"] for p in w["pairs"]) >= len(w["pairs"]):
+                    tokens.update(range(w["at"], w["at"] + w["width"]))
+                    own &= equal
+            covered.append(sorted(tokens))
+            same.append(own)
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(covered, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "item_id", "n_tokens", "tokens", "same"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, item_id, covered, n_tokens, kind of every contaminated (document, item).
 
     An item is leaked if consistent alignments cover at least ``min_share`` of its tokens, or ``min_tokens`` of them.
-    kind is 'verbatim' if all slots have the item's own values, else 'reparameterised'.
+    kind is 'verbatim' if all slots of these have the item's own values, else 'reparameterised'.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = materialise(benchmark_windows(benchmark, window, literals))
@@ -177,15 +199,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, covered int, n_tokens int, kind string")
     met = found.select("doc_id", F.col("at").alias("place"), "hash", F.col("slots").alias("values")).join(items, "hash")
-    pairs = F.arrays_zip(F.transform("slots", F.lower).alias("i"), F.transform("values", F.lower).alias("d"))
+    pairs = F.arrays_zip(F.col("spots").alias("q"), F.transform("slots", F.lower).alias("i"), F.transform("values", F.lower).alias("d"))
     aligned = (
-        met.select("doc_id", "item_id", "n_tokens", (F.col("place") - F.col("at")).alias("shift"), F.sequence("at", F.col("at") + F.col("width") - 1).alias("tokens"), pairs.alias("pairs"))
-        .groupBy("doc_id", "item_id", "n_tokens", "shift").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"))
+        met.select("doc_id", "item_id", "n_tokens", (F.col("place") - F.col("at")).alias("shift"), F.struct("at", "width", pairs.alias("pairs")).alias("window"))
+        .groupBy("doc_id", "item_id", "n_tokens", "shift").agg(F.collect_set("window").alias("windows")).drop("shift")
     )
-    one_to_one = F.expr("size(array_distinct(transform(pairs, p -> p.i))) = size(pairs) and size(array_distinct(transform(pairs, p -> p.d))) = size(pairs)")
+    judged = aligned.mapInArrow(_judge, "doc_id long, item_id long, n_tokens int, tokens array<int>, same boolean")
     return (
-        aligned.where(one_to_one).groupBy("doc_id", "item_id", "n_tokens")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("covered"), F.bool_and(F.expr("forall(pairs, p -> p.i = p.d)")).alias("same"))
+        judged.groupBy("doc_id", "item_id", "n_tokens")
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("covered"), F.bool_and("same").alias("same"))
         .where((F.col("covered") >= min_share * F.col("n_tokens")) | (F.col("covered") >= min_tokens))
         .select("doc_id", "item_id", "covered", "n_tokens", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
     )

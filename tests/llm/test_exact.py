@@ -251,3 +251,16 @@ def test_every_window_of_an_item_can_meet(spark):
     ]
     got = {(r["doc_id"], r["item_id"], r["kind"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {(1, 1, "verbatim"), (2, 2, "reparameterised"), (3, 3, "verbatim"), (5, 4, "verbatim"), (6, 5, "reparameterised")}
+
+
+def test_one_contradicting_slot_drops_no_alignment(spark):
+    question = "a shop sold 3 red boxes and 5 blue boxes on monday, then 2 clerks packed the rest in 2 long rows before noon came"
+    merged = question.replace("3 red", "4 red").replace("5 blue", "4 blue")  # two values become one
+    split = question.replace("2 clerks", "4 clerks").replace("2 long", "7 long")  # one value stands for two things
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(57)]
+    long = " ".join([*words[:20], "8", *words[20:40], "8", *words[40:]])
+    mixed = "he put 6 in a very big box, 6 in a small and old bag, 6 in a long thin glass jar and 6 in a tin of iron"
+    docs = [(1, merged), (2, split), (3, long.replace("8", "9", 1)), (4, question), (5, mixed.replace("6", "1", 1).replace("6", "2", 1).replace("6", "3", 1).replace("6", "4", 1))]
+    items = spark.createDataFrame([(10, question), (11, long), (12, mixed)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["covered"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got[1, 10][0] == got[2, 10][0] == "reparameterised" and got[3, 11][1] >= 50 and got[4, 10] == ("verbatim", 25) and (5, 12) not in got
