@@ -6,6 +6,8 @@ the response's id and the kind), so that a task that runs twice writes the same
 
 ``record`` is the whole record up to the two line ends that close it; write_warc() writes such records as files.
 
+A head without an end tag ends at body, or at the first element or text that can't be in it.
+
 Defined edge cases: a null payload is an empty one and gives an empty conversion block; a null target leaves out
 the target line; repeated responses give repeated records with equal ids; other columns are ignored.
 """
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _SKIPPED = frozenset(("script", "style", "noscript", "template", "head"))
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split())
 SCHEMA = (
     "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
@@ -30,29 +33,53 @@ SCHEMA = (
 
 
 class _Text(HTMLParser):
+    """Text is kept as it comes, and dropped where the element that hides it ends."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip: list[str] = []
+        self.skip: list[tuple[str, int]] = []  # open hidden elements, and where their text begins
+        self.title = False
+
+    def _end(self, tag):
+        while self.skip:
+            name, at = self.skip.pop()
+            if name == tag:
+                del self.out[at:]
+                return
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            if any(name == "head" for name, _ in self.skip):
+                self._end("head")
+        elif self.skip and self.skip[-1][0] == "head" and tag not in _IN_HEAD:
+            self._end("head")
+        self.title = tag == "title"
         if tag in _SKIPPED:
-            self.skip.append(tag)
+            self.skip.append((tag, len(self.out)))
         elif tag in _BLOCKS:
             self.out.append("\n")
-            if tag == "body":
-                self.skip.clear()
 
     def handle_endtag(self, tag):
-        if tag in self.skip:
-            while self.skip and self.skip.pop() != tag:
-                pass
+        self.title = False
+        if any(name == tag for name, _ in self.skip):
+            self._end(tag)
         elif tag in _BLOCKS:
             self.out.append("\n")
 
     def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data)
+        if self.skip and self.skip[-1][0] == "head" and not self.title and data.strip():
+            self._end("head")
+        self.out.append(data)
+
+    def close(self):
+        super().close()
+        # a noscript or template that never ends hides nothing
+        end = len(self.out)
+        for name, at in reversed(self.skip):
+            if name not in ("noscript", "template"):
+                del self.out[at:end]
+            end = at
 
 
 def page_text(html: str) -> str:

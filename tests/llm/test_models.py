@@ -87,3 +87,16 @@ def test_warc(spark, tmp_path):
         found += 1
     assert found == 4
     assert derivatives(responses(pages.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>T</title><meta charset=x><body><h1>A</h1><p>b", "A\nb"),
+    ("<head><title>T</title><p>a<p>b", "a\nb"),
+    ("<head><title>T</title><style>p{}</style> plain <b>text</b>", "plain text"),
+    ("<head><title>T</title><noscript><link rel=x><body><p>a</p>", "a"),
+    ("<head></head><body><p>a</p><noscript><p>b</p><p>c</p>", "a\nb\nc"),
+    ("<body><p>a</p><template><p>b</p>", "a\nb"),
+    ("<head><noscript><p>x</p></noscript></head><body><p>a</p><template><p>b</p></template><noscript>c</noscript><p>d<script>var e", "a\nd"),
+])
+def test_page_text_with_omitted_end_tags(html, text):
+    assert page_text(html) == text
