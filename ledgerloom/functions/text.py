@@ -62,9 +62,15 @@ def to_float(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date at the head of the first ten characters, as d/m/Y, Y-m-d or d-m-Y; null otherwise."""
-    x = F.split_part(F.substring(F.trim(c.cast("string")), 1, 10), F.lit(" "), F.lit(1))
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(x, F.lit(p))) for p in ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy")))
+    """Date at the head of the first ten characters, as d/m/Y, Y-m-d or d-m-Y, or else of a text in another usual form, day first; null otherwise."""
+    whole = F.trim(c.cast("string"))
+    head = F.split_part(F.substring(whole, 1, 10), F.lit(" "), F.lit(1))
+    at = lambda x, p: F.to_date(F.try_to_timestamp(x, F.lit(p)))
+    # a time of day behind the date says nothing; month names are read in title case, separators are one kind
+    date = F.regexp_replace(whole, r"[T ]+[0-9]{1,2}:[0-9]{2}.*$", "")
+    plain = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(date, r"[/.,\-\s]+", " "), r"(?i)\b([0-9]{1,2})(st|nd|rd|th)\b", "$1")))
+    forms = ("d M yyyy", "yyyy M d", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy MMM d", "yyyyMMdd", "M d yyyy", "d M yy", "d MMM yy", "M d yy", "MMM yyyy", "MMMM yyyy", "M yyyy", "yyyy M")
+    return F.coalesce(*(at(head, p) for p in ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy")), *(at(plain, p) for p in forms))
 
 
 def compound_document(*parts: Column) -> Column:
@@ -158,6 +164,22 @@ def token_set_ratio(left: str, right: str) -> float:
     return best
 
 
+def may_reach(text: str, c: Column, least: float) -> Column:
+    """Whether a normalised column can have a similarity of ``least`` with a normalised text: it has a word of it, or enough of its letters.
+
+    Without a common word the similarity is twice the longest common subsequence by the length of both, and that subsequence has no letter more often than
+    either text. Built-in functions only: what fails needs no comparing in Python.
+    """
+    words = text.split()
+    if not words:
+        return F.lit(False)
+    shared = F.arrays_overlap(F.split(c, " "), F.array(*(F.lit(w) for w in words)))
+    joined = " ".join(sorted(set(words)))
+    letters = sum((F.least(F.lit(joined.count(x)), F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))) for x in sorted(set(joined))), F.lit(0))
+    own = F.length(F.array_join(F.array_distinct(F.split(c, " ")), " "))
+    return F.coalesce(shared | (2.0 * letters >= least * (len(joined) + own) - 1e-9), F.lit(False))
+
+
 @F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """token_set_ratio() of two normalised texts, in Arrow batches; equal pairs are scored once."""

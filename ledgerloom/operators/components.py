@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from ..plans.tables import materialise
+from ..plans.tables import discard, materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and hash, taken while they are written."""
+    seen = Observation()
+    table = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+    return table, (seen.get["n"], seen.get["x"])
 
 
 def connected_components(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
@@ -17,19 +19,20 @@ def connected_components(edges: DataFrame, src: str = "source", dst: str = "targ
 
     Each round hooks all larger neighbours of a node to its smallest neighbour, then all smaller ones; the edge
     set becomes a star around each minimum after O(log^2 n) rounds. Only grouped minima and joins are used, and
-    no round has more edges than the input, so a hub costs one partially aggregated row for each task.
+    no round has more edges than the input, so a hub costs one partially aggregated row for each task. Tables of earlier rounds are deleted.
     Self loops and edges with a null end are ignored.
     """
     a, b = F.col(src), F.col(dst)
-    now = materialise(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now, state = _written(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    while (state := _state(now)) != before:
-        before = state
+    while state[0] and state != before:
+        before, last = state, now
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.distinct())
+        now, state = _written(small.distinct())
+        discard(last, large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

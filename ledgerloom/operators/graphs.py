@@ -8,6 +8,8 @@ from ..functions.geo import haversine_km
 from ..functions.text import attr_node_id, format_g, split_values
 
 MIN_ATTRIBUTE_CONFIDENCE = 0.75
+#: Suppliers of one product whose pairs one task forms.
+PROJECTED = 1000
 #: layer -> (node type, column, confidence key)
 LAYERS = {
     "product_type": ("TYPE", "product_type"), "subtype": ("SUBTYPE", "subtype"), "accessory": ("ACCESSORY", "accessory"), "shape": ("SHAPE", "shape"), "feature": ("FEATURE", "feature"),
@@ -73,12 +75,16 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 def supplier_projection(purchases: DataFrame, min_similarity: float = 0.05, min_shared: int = 2) -> DataFrame:
     """Pairs of suppliers by Jaccard similarity of the sets of products that they sold to us.
 
-    Only pairs that share a product are formed; a pair count is partially summed before it is shuffled.
+    Only pairs that share a product are formed; a pair count is partially summed before it is shuffled. The suppliers of a product with more than
+    PROJECTED are dealt out to several tasks on one side and repeated on the other, so no task forms all its pairs.
     """
     sold = purchases.select(F.col("entity_norm").alias("s"), "product_id").where("s is not null and product_id is not null").distinct()
     sizes = sold.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    left, right = sold.select(F.col("s").alias("source"), "product_id"), sold.select(F.col("s").alias("target"), "product_id")
-    shared = left.join(right, "product_id").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared_products")).where(F.col("shared_products") >= min_shared)
+    parts = sold.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("product_id", F.ceil(F.col("n") / PROJECTED).cast("int").alias("parts"))
+    dealt = sold.join(parts, "product_id")
+    left = dealt.select(F.col("s").alias("source"), "product_id", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"))
+    right = dealt.select(F.col("s").alias("target"), "product_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shared = left.join(right, ["product_id", "part"]).where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared_products")).where(F.col("shared_products") >= min_shared)
     out = shared.join(sizes.select(F.col("s").alias("source"), F.col("n").alias("source_product_count")), "source").join(sizes.select(F.col("s").alias("target"), F.col("n").alias("target_product_count")), "target")
     similarity = F.col("shared_products") / (F.col("source_product_count") + F.col("target_product_count") - F.col("shared_products"))
     out = out.withColumn("source_coverage", F.col("shared_products") / F.col("source_product_count")).withColumn("target_coverage", F.col("shared_products") / F.col("target_product_count"))

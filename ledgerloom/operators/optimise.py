@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import package_label, readable_supplier_name, stable_int
+from ..plans.tables import materialise, numbered
+from .components import connected_components
 
 #: Names for suppliers without one, names that say nothing, campaign names, margins and budget shares by profile.
 SUPPLIER_POOL = [
@@ -19,6 +21,8 @@ CAMPAIGNS = ["Cyberday", "Aniversario proveedor", "Cierre de mes"]
 MARGINS = [0.50, 0.43, 0.35, 0.27, 0.23, 0.18]
 BUDGET_SHARES = [0.22, 0.31, 0.42, 0.55, 0.68, 0.82]
 SCALED_BUDGET, MAX_LOTS, MAX_OFFERS = 1500, 12, 180
+#: Options of one part of a flow problem, and rows of one budget request, that a task may solve; and steps that are summed up together.
+MAX_PART, MAX_REQUEST, RUN = 50_000, 10_000, 4096
 
 
 def _pick(values: list, i: Column) -> Column:
@@ -95,6 +99,22 @@ def campaign_edges(candidates: DataFrame) -> DataFrame:
     return pairs.select("source", "target", weight.alias("weight")).distinct()
 
 
+def campaign_trace(best: DataFrame, candidates: DataFrame) -> DataFrame:
+    """step, source, target, weight, edge_type along the path of the best row of all: most savings, then share, then its node."""
+    first = best.orderBy(F.desc("savings"), F.desc("savings_pct"), "final_node").limit(1)
+    edges = campaign_edges(candidates.join(F.broadcast(first.select("final_node")), "final_node", "left_semi"))  # one row
+    order = first.select(F.posexplode(F.split("path", r"\|")).alias("step", "target"))
+    kind = F.lower(F.split("target", ":")[0])
+    return edges.join(F.broadcast(order), "target").select("step", "source", "target", F.round("weight", 4).alias("weight"), kind.alias("edge_type"))
+
+
+def offers_size(candidates: DataFrame) -> DataFrame:
+    """nodes, edges of the campaign graph."""
+    edges = campaign_edges(candidates)
+    nodes = edges.select("source").union(edges.select("target")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
+    return nodes.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each
+
+
 def allocate(options: DataFrame, demand: DataFrame) -> DataFrame:
     """product_id, supplier_id, unit_cost, units: demand served from the cheapest options, as far as they go.
 
@@ -164,24 +184,83 @@ def _min_cost_flow(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["product_id", "supplier_id", "unit_cost", "units"])
 
 
-def min_cost_flow(options: DataFrame, demand: DataFrame) -> DataFrame:
-    """Cheapest allocation when suppliers' whole capacities bind across products.
+def min_cost_flow(options: DataFrame, demand: DataFrame, most: int = MAX_PART) -> DataFrame:
+    """Cheapest allocation when suppliers' whole capacities may bind across products.
 
-    Options are pruned to the demanded products first. The problem falls apart into the components of products and suppliers
-    that share options, and each is solved by one task.
+    Options are pruned to the demanded products, and allocate() serves all of them. Products and suppliers that share options make a part; a part in
+    which no supplier is asked for more than its whole capacity is right as it is. Only the others go to a flow solver, one task for each part, whose
+    options are counted first: more than ``most`` in one part are an error, as such a part can't be divided.
     """
-    from .components import connected_components
-
-    asked = demand.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.sum("quantity").alias("wanted"))
-    own = (
-        options.where("unit_cost > 0 and capacity_units > 0").groupBy(F.col("product_id").cast("string").alias("product_id"), F.col("supplier_id").cast("string").alias("supplier_id"), "unit_cost")
-        .agg(F.sum("capacity_units").alias("capacity"), F.max("supplier_capacity").alias("supplier_capacity")).join(asked, "product_id")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    asked = demand.groupBy(text("product_id")).agg(F.sum("quantity").alias("quantity"))
+    own = materialise(
+        options.where("unit_cost > 0 and capacity_units > 0").groupBy(text("product_id"), text("supplier_id"), "unit_cost").agg(F.sum("capacity_units").alias("capacity_units"), F.max("supplier_capacity").alias("supplier_capacity"))
+        .join(asked, "product_id")
     )
+    greedy = materialise(allocate(own.drop("quantity"), asked))
+    binding = materialise(binding_suppliers(greedy, own).select("supplier_id"))
+    if not binding.head(1):
+        return greedy
     names = own.select(F.concat(F.lit("p"), "product_id").alias("source"), F.concat(F.lit("s"), "supplier_id").alias("target"))
-    parts = connected_components(names).select(F.col("node").alias("_p"), "component")
-    rows = own.join(parts, F.concat(F.lit("p"), "product_id") == F.col("_p"))
-    kinds = "product_id string, supplier_id string, unit_cost double, units double"
-    return rows.drop("_p").groupBy("component").applyInPandas(lambda part: _min_cost_flow(part), kinds)
+    parts = materialise(connected_components(names))
+    hit = parts.join(binding, F.col("node") == F.concat(F.lit("s"), "supplier_id"), "left_semi").select("component").distinct()
+    touched = parts.join(hit, "component").where("node like 'p%'").select(F.substring("node", 2, 1 << 20).alias("product_id"), "component")
+    rows = materialise(own.withColumnRenamed("quantity", "wanted").withColumnRenamed("capacity_units", "capacity").join(touched, "product_id"))
+    largest = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if largest > most:
+        raise ValueError(f"a part of {largest} options binds suppliers across products; at most {most} can be solved as one")
+    solved = rows.groupBy("component").applyInPandas(lambda part: _min_cost_flow(part), "product_id string, supplier_id string, unit_cost double, units double")
+    return greedy.join(touched, "product_id", "left_anti").unionByName(solved)
+
+
+def flow_lines(allocation: DataFrame, options: DataFrame) -> DataFrame:
+    """product_id, product_name, supplier_id, supplier, units, unit_cost, line_cost of an allocation."""
+    names = options.groupBy(F.col("product_id").cast("string").alias("product_id"), F.col("supplier_id").cast("string").alias("supplier_id")).agg(F.min("product_name").alias("product_name"), F.min("supplier").alias("supplier"))
+    keyed = allocation.withColumn("product_id", F.col("product_id").cast("string")).withColumn("supplier_id", F.col("supplier_id").cast("string"))
+    return keyed.join(names, ["product_id", "supplier_id"], "left").select("product_id", "product_name", "supplier_id", "supplier", "units", "unit_cost", (F.col("units") * F.col("unit_cost")).alias("line_cost"))
+
+
+def flow_unmet(allocation: DataFrame, demand: DataFrame) -> DataFrame:
+    """product_id, requested, served, shortfall of the products that are not served whole."""
+    asked = demand.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.sum("quantity").alias("requested"))
+    got = allocation.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.sum("units").alias("served"))
+    rows = asked.join(got, "product_id", "left").na.fill(0.0, ["served"])
+    return rows.where("served < requested - 1e-9").select("product_id", "requested", "served", (F.col("requested") - F.col("served")).alias("shortfall"))
+
+
+def flow_totals(allocation: DataFrame, demand: DataFrame) -> DataFrame:
+    """One row: demand_units, served_units, total_cost, suppliers_used, unmet_products."""
+    served = allocation.agg(F.coalesce(F.sum("units"), F.lit(0.0)).alias("served_units"), F.coalesce(F.round(F.sum(F.col("units") * F.col("unit_cost")), 2), F.lit(0.0)).alias("total_cost"), F.countDistinct("supplier_id").alias("suppliers_used"))
+    asked = demand.agg(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("demand_units"))
+    missing = flow_unmet(allocation, demand).agg(F.count(F.lit(1)).alias("unmet_products"))
+    return served.crossJoin(asked).crossJoin(missing).select("demand_units", "served_units", "total_cost", "suppliers_used", "unmet_products")  # one row each
+
+
+def flow_network(allocation: DataFrame, options: DataFrame, demand: DataFrame) -> DataFrame:
+    """source, target, capacity, unit_cost, flow of every edge from SOURCE over products and suppliers to SINK, used or not."""
+    product, supplier = F.concat(F.lit("P:"), F.col("product_id").cast("string")), F.concat(F.lit("S:"), F.col("supplier_id").cast("string"))
+    asked = demand.groupBy(product.alias("p")).agg(F.sum("quantity").cast("double").alias("capacity"))
+    flow = allocation.groupBy(product.alias("p"), supplier.alias("s"), "unit_cost").agg(F.sum("units").alias("flow"))
+    own = options.where("unit_cost > 0 and capacity_units > 0").select(product.alias("p"), supplier.alias("s"), "unit_cost", "capacity_units", "supplier_capacity").join(asked.select("p"), "p", "left_semi")
+    offers = own.groupBy("p", "s", "unit_cost").agg(F.sum("capacity_units").alias("capacity")).join(flow, ["p", "s", "unit_cost"], "left")
+    into = asked.join(flow.groupBy("p").agg(F.sum("flow").alias("flow")), "p", "left").select(F.lit("SOURCE").alias("source"), F.col("p").alias("target"), "capacity", F.lit(0.0).alias("unit_cost"), "flow")
+    out = own.groupBy("s").agg(F.max("supplier_capacity").alias("capacity")).join(flow.groupBy("s").agg(F.sum("flow").alias("flow")), "s", "left").select("s", F.lit("SINK"), "capacity", F.lit(0.0), "flow")
+    return into.union(offers.select("p", "s", "capacity", "unit_cost", "flow")).union(out).na.fill(0.0, ["flow"])
+
+
+def flow_steps(allocation: DataFrame, demand: DataFrame) -> DataFrame:
+    """step, product_id, supplier_id, delta_units, unit_cost, step_cost, cumulative_cost, demand_remaining: the order in which cheapest paths serve a demand
+    where no supplier binds, which is by unit cost."""
+    asked = demand.groupBy("product_id").agg(F.sum("quantity").alias("wanted"))
+    own = Window.partitionBy("product_id").orderBy("unit_cost", "supplier_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = allocation.join(asked, "product_id").select("product_id", "supplier_id", F.col("units").alias("delta_units"), "unit_cost", (F.col("units") * F.col("unit_cost")).alias("cost"), (F.col("wanted") - F.sum("units").over(own)).alias("demand_remaining"))
+    placed = materialise(numbered(rows, "step", "unit_cost", "product_id", "supplier_id"))
+    # running sums within runs of steps, behind the sums of the runs before
+    run = F.floor(F.col("step") / RUN)
+    before = placed.groupBy(run.alias("run")).agg(F.sum("cost").alias("c")).select("run", (F.sum("c").over(Window.orderBy("run")) - F.col("c")).alias("before"))
+    inside = F.sum("cost").over(Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.withColumn("run", run).withColumn("inside", inside).join(before, "run")
+    return summed.select("step", "product_id", "supplier_id", "delta_units", "unit_cost", F.col("cost").alias("step_cost"), (F.col("before") + F.col("inside")).alias("cumulative_cost"), "demand_remaining")
 
 
 def budget_lots(options: DataFrame, items: DataFrame, budget: float, sale_prices: DataFrame) -> DataFrame:
@@ -269,8 +348,13 @@ def _bounded_knapsack(rows: pd.DataFrame, budget: float) -> pd.DataFrame:
 def catalog_budget(products: DataFrame, items: DataFrame, budget: float) -> DataFrame:
     """product_id, units, cost, value within a budget, from catalogue prices alone (1.0 where there is none).
 
-    The request's rows are one problem and are solved by one task, after the join with the catalogue.
+    The request's rows are one problem that can't be divided: they are counted, more than MAX_REQUEST products are an error, and one task solves them after
+    the join with the catalogue.
     """
+    items = materialise(items)
+    asked = items.select("product_id").distinct().count()
+    if asked > MAX_REQUEST:
+        raise ValueError(f"a request for {asked} products; at most {MAX_REQUEST} can be solved as one")
     text = F.col("product_id").cast("string")
     known = products.select(text.alias("product_id"), "stock", "unit_cost_purchase")
     quantity = F.floor(F.greatest("quantity", F.lit(1.0)))

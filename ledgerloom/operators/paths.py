@@ -8,119 +8,138 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.tables import materialise
+from ..plans.tables import discard, materialise, numbered
 from .components import connected_components
 from .graphs import undirected
 
-MAX_ROUNDS = 200
+#: Rounds after which what has been found is written as one table.
+COMPACT = 16
 
 
 def families(projection: DataFrame, min_similarity: float = 0.75) -> DataFrame:
     """family_id, supplier_id, family_size: components of the pairs that are similar enough, largest first."""
     found = connected_components(projection.where(F.col("similarity") >= min_similarity))
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("family_size"))
-    ranked = sizes.withColumn("r", F.row_number().over(Window.orderBy(F.desc("family_size"), "component")))
+    ranked = numbered(sizes, "r", F.desc("family_size"), "component")
     return found.join(ranked, "component").select(F.format_string("F%03d", "r").alias("family_id"), F.col("node").alias("supplier_id"), "family_size")
 
 
 def component_summary(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """component, size, composition (TYPE:n) and the four smallest nodes of the largest components."""
-    found = connected_components(edges).join(nodes.select(F.col("node_id").alias("node"), "node_type"), "node", "left")
-    typed = found.groupBy("component", "node_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("node") <= F.col("component"), F.col("node")))).alias("first"))
+    """component (C001 is the largest), size, composition (TYPE:n) and sample (labels of the four smallest nodes) of the largest components."""
+    found = connected_components(edges).join(nodes.select(F.col("node_id").alias("node"), "node_type", "label"), "node", "left")
+    typed = found.groupBy("component", F.coalesce("node_type", F.lit("OTHER")).alias("node_type")).agg(F.count(F.lit(1)).alias("n"))
     top = typed.groupBy("component").agg(F.sum("n").alias("size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "node_type", "n"))), ", ").alias("composition")).orderBy(F.desc("size"), "component").limit(limit)
-    w = Window.partitionBy("component").orderBy("node")
-    sample = found.join(F.broadcast(top.select("component")), "component", "left_semi").withColumn("r", F.row_number().over(w)).where("r <= 4").groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("sample"))
-    return top.join(sample, "component")
+    top = materialise(top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("size"), "component"))))  # ``limit`` rows
+    # the four smallest of every task first, then of the component: no task sorts a component
+    four = lambda c: F.slice(F.array_sort(c), 1, 4)
+    member = F.struct("node", F.coalesce("label", "node").alias("label"))
+    some = found.join(F.broadcast(top.select("component")), "component", "left_semi").select("component", F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"), member.alias("x"))
+    least = some.groupBy("component", "part").agg(four(F.collect_list("x")).alias("x")).groupBy("component").agg(four(F.flatten(F.collect_list("x"))).alias("x"))
+    sample = F.concat(F.array_join(F.transform("x", lambda x: x["label"]), ", "), F.when(F.col("size") > 4, "…").otherwise(""))
+    return top.join(least, "component").select(F.format_string("C%03d", "r").alias("component"), "size", "composition", sample.alias("sample"))
 
 
-def hop_distances(edges: DataFrame, start, max_hops: int = MAX_ROUNDS, goal=None) -> DataFrame:
-    """node, hops, parent of every node reached from ``start``, breadth first; stops at ``goal`` if there is one.
+def _single(both: DataFrame, node, **columns) -> DataFrame:
+    kind = both.schema["source"].dataType
+    return both.sparkSession.createDataFrame([(node,)], "node string").select(F.col("node").cast(kind).alias("node"), *(F.lit(v).cast(t or kind).alias(k) for k, (v, t) in columns.items()))
+
 
-    Only the frontier is joined in a round, and visited nodes are taken out by an anti join.
+def hop_distances(edges: DataFrame, start, max_hops: int | None = None, goal=None) -> DataFrame:
+    """node, hops, parent of every node reached from ``start``, breadth first, until nothing new is reached (or ``max_hops``, or ``goal``).
+
+    Only the frontier is joined in a round; since edges go both ways, a new node's neighbours are in the last two frontiers or new, so only those are
+    taken out by an anti join.
     """
     both = materialise(undirected(edges))
-    kind = both.schema["source"].dataType
-    seen = both.sparkSession.createDataFrame([(start,)], "node string").select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent"))
-    frontier = seen
-    for hop in range(1, max_hops + 1):
-        reached = both.join(frontier.select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
-        frontier = materialise(reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent"))
-        if not frontier.head(1):
+    frontiers = [_single(both, start, hops=(0, "int"), parent=(None, None))]
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        reached = both.join(frontiers[-1].select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
+        for old in frontiers[-2:]:
+            reached = reached.join(old.select("node"), "node", "left_anti")
+        new = materialise(reached.select("node", F.lit(hop).alias("hops"), "parent"))
+        if not new.head(1):
             break
-        seen = materialise(seen.union(frontier))
-        if goal is not None and frontier.where(F.col("node") == goal).head(1):
+        frontiers.append(new)
+        if goal is not None and new.where(F.col("node") == goal).head(1):
             break
-    return seen
+        if len(frontiers) > COMPACT:
+            frontiers = [materialise(_union(frontiers[:-2])), *frontiers[-2:]]
+    return _union(frontiers)
 
 
-def _walk(parents: dict, goal) -> list:
-    path = [goal]
-    while parents[path[-1]] is not None:
-        path.append(parents[path[-1]])
-    return path[::-1]
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
 
 
 def shortest_path(edges: DataFrame, start, goal) -> list:
-    """Nodes of a path with fewest edges, grown from both ends, the smaller frontier first; empty if there is none."""
+    """Nodes of the path with fewest edges, the first in order of nodes of equal ones; empty if there is none.
+
+    Grown from both ends, the smaller frontier first, until the two meet or one has no more; then read off level by level, so the driver
+    sees a node of the path at a time.
+    """
     if start == goal:
         return [start]
     both = materialise(undirected(edges))
-    spark, kind = both.sparkSession, both.schema["source"].dataType
-    known = both.where(F.col("source").isin(start, goal)).select("source").distinct().count()
-    if known < 2:
+    if both.where(F.col("source").isin(start, goal)).select("source").distinct().count() < 2:
         return []
-    sides = []
-    for node in (start, goal):
-        one = spark.createDataFrame([(node,)], "node string").select(F.col("node").cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"))
-        sides.append({"seen": one, "frontier": one, "size": 1})
-    for _ in range(MAX_ROUNDS):
-        side, other = sorted(sides, key=lambda s: s["size"])
-        grown = both.join(side["frontier"].select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
-        side["frontier"] = materialise(grown.join(side["seen"].select("node"), "node", "left_anti"))
-        side["size"] = side["frontier"].count()
-        if not side["size"]:
+    levels = {end: [_single(both, end)] for end in (start, goal)}
+    sizes = {start: 1, goal: 1}
+    near = lambda rows: both.join(rows.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
+    while True:
+        end, other = (start, goal) if sizes[start] <= sizes[goal] else (goal, start)
+        grown = near(levels[end][-1])
+        for old in levels[end][-2:]:
+            grown = grown.join(old, "node", "left_anti")
+        levels[end].append(materialise(grown))
+        sizes[end] = levels[end][-1].count()
+        if not sizes[end]:
             return []
-        side["seen"] = materialise(side["seen"].union(side["frontier"]))
-        met = side["frontier"].join(other["seen"].select("node"), "node", "left_semi").orderBy("node").head(1)
-        if met:
-            halves = []
-            for s in sides:  # a parent at a time: as many lookups as the path has nodes
-                path, node = [], met[0]["node"]
-                while node is not None:
-                    path.append(node)
-                    node = s["seen"].where(F.col("node") == node).head()["parent"]
-                halves.append(path)
-            return halves[0][::-1] + halves[1][1:]
-    return []
+        met = materialise(levels[end][-1].join(levels[other][-1], "node", "left_semi"))
+        if met.head(1):
+            break
+    # on the start's side only nodes that lead to the meeting level; on the goal's side every way down leads to the goal
+    alive = [met] if len(levels[start]) > 1 else []
+    for level in reversed(levels[start][1:-1]):
+        alive.append(materialise(level.join(near(alive[-1]), "node", "left_semi")))
+    path = [start]
+    for level in [*reversed(alive), *reversed(levels[goal][:-1])]:
+        path.append(level.join(near(_single(both, path[-1])), "node", "left_semi").agg(F.min("node")).first()[0])
+    return path
 
 
 def cheapest_paths(edges: DataFrame, start, weight: str = "weight") -> DataFrame:
-    """node, cost, parent of the paths that prefer heavy edges: an edge costs 1 / (weight + 1).
+    """node, cost, parent, total_weight of the paths that prefer heavy edges: an edge costs 1 / (weight + 1).
 
     Parallel edges count as their heaviest. Costs are lowered by joins with the nodes that changed in the last round, until
-    none does.
+    none does. What changed is kept beside the table of costs and folded into it now and then.
     """
     w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
     one = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))
     both = materialise(one.select(F.col("a").alias("source"), F.col("b").alias("target"), (1 / (F.col("w") + 1)).alias("cost"), "w").union(one.select("b", "a", 1 / (F.col("w") + 1), "w")))
-    kind = both.schema["source"].dataType
-    best = both.sparkSession.createDataFrame([(start,)], "node string").select(F.col("node").cast(kind).alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("parent"), F.lit(0.0).alias("total_weight"))
-    changed = best
-    for _ in range(MAX_ROUNDS):
-        offers = both.join(changed.select(F.col("node").alias("source"), F.col("cost").alias("before"), "total_weight"), "source").groupBy(F.col("target").alias("node")).agg(F.min(F.struct((F.col("before") + F.col("cost")).alias("cost"), F.col("source").alias("parent"), (F.col("total_weight") + F.col("w")).alias("total_weight"))).alias("o"))
-        joined = offers.join(best.select("node", F.col("cost").alias("known")), "node", "left").where(F.col("known").isNull() | (F.col("o.cost") < F.col("known") - 1e-12))
+    changes = [_single(both, start, cost=(0.0, "double"), parent=(None, None), total_weight=(0.0, "double"))]
+    best = lambda: _union(changes).groupBy("node").agg(F.min(F.struct("cost", "parent", "total_weight")).alias("o")).select("node", "o.*")
+    while True:
+        offers = both.join(changes[-1].select(F.col("node").alias("source"), F.col("cost").alias("before"), "total_weight"), "source").groupBy(F.col("target").alias("node")).agg(F.min(F.struct((F.col("before") + F.col("cost")).alias("cost"), F.col("source").alias("parent"), (F.col("total_weight") + F.col("w")).alias("total_weight"))).alias("o"))
+        joined = offers.join(best().select("node", F.col("cost").alias("known")), "node", "left").where(F.col("known").isNull() | (F.col("o.cost") < F.col("known") - 1e-12))
         changed = materialise(joined.select("node", "o.cost", "o.parent", "o.total_weight"))
         if not changed.head(1):
-            break
-        best = materialise(best.join(changed.select("node"), "node", "left_anti").union(changed))
-    return best
+            return best()
+        changes.append(changed)
+        if len(changes) > COMPACT:
+            old, changes = changes[:-1], [materialise(_union(changes[:-1]).groupBy("node").agg(F.min(F.struct("cost", "parent", "total_weight")).alias("o")).select("node", "o.*")), changes[-1]]
+            discard(*old)
 
 
 def heaviest_connection(edges: DataFrame, start, goal, weight: str = "amount") -> tuple[list, float]:
     """(path, its weight, rounded to two places) between two nodes; ([], 0.0) if there is none."""
-    best = cheapest_paths(edges, start, weight)
+    best = materialise(cheapest_paths(edges, start, weight))
     path, node, total = [], goal, 0.0
-    while node is not None:
+    while node is not None:  # a parent at a time: as many lookups as the path has nodes
         row = best.where(F.col("node") == node).head()
         if row is None:
             return [], 0.0
@@ -130,6 +149,12 @@ def heaviest_connection(edges: DataFrame, start, goal, weight: str = "amount") -
     return path[::-1], round(total, 2)
 
 
+def path_rows(nodes: DataFrame, path: list) -> DataFrame:
+    """step (from 1), node, label of a path."""
+    steps = nodes.sparkSession.createDataFrame([(i, n) for i, n in enumerate(path, 1)], "step int, node string")
+    return F.broadcast(steps).join(nodes.select(F.col("node_id").alias("node"), "label"), "node", "left").select("step", "node", F.coalesce("label", F.lit("")).alias("label"))
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The edges (source, target, weight) of the minimum spanning forest.
 
@@ -153,12 +178,36 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return forest
 
 
-def kruskal_view(edges: DataFrame, limit: int = 60) -> tuple[DataFrame, dict]:
-    """(edges in the order Kruskal considers them with ``accepted``, metrics)."""
+def kruskal_view(edges: DataFrame, limit: int | None = 60) -> tuple[DataFrame, dict]:
+    """(edges in the order Kruskal considers them with ``step`` and ``accepted``, metrics); all of them without ``limit``."""
     forest = materialise(spanning_forest(edges))
     pairs = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "weight").where("source <> target").groupBy("source", "target").agg(F.min("weight").alias("weight"))
     seen = pairs.join(forest.select("source", "target", F.lit(True).alias("accepted")), ["source", "target"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     m = seen.agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("tree"), F.sum(F.when(F.col("accepted"), F.col("weight"))).alias("w")).first()
     nodes = undirected(edges).select("source").distinct().count()
     metrics = {"nodes": nodes, "tree_edges": m["tree"], "rejected": m["n"] - m["tree"], "total_weight": m["w"] or 0.0, "components": nodes - m["tree"]}
-    return seen.orderBy("weight", "source", "target").limit(limit), metrics
+    order = ("weight", "source", "target")
+    if limit is None:
+        return numbered(seen, "step", *order), metrics
+    first = seen.orderBy(*order).limit(limit)
+    return first.withColumn("step", F.row_number().over(Window.orderBy(*order)).cast("long")), metrics  # ``limit`` rows
+
+
+def spanning_display(considered: DataFrame, limit: int = 60) -> DataFrame:
+    """At most ``limit`` edges to show of a forest: accepted ones, and a few that would close a cycle.
+
+    ``considered`` has step, source, target, weight and accepted of all edges in Kruskal's order. Cycles are taken from the steps up to
+    the last accepted edge, first those inside the accepted edges that are shown. step becomes the place in what is shown, considered_step the one before.
+    """
+    accepted, rejected = considered.where("accepted"), considered.where("not accepted")
+    end = accepted.agg(F.max("step")).first()[0]
+    cycles = rejected if end is None else rejected.where(F.col("step") <= end)
+    budget = min(cycles.limit(limit).count(), max(4, min(12, limit // 3)))
+    shown = materialise(accepted.orderBy("step").limit(max(0, limit - budget)))
+    groups = connected_components(shown).select("node", "component")
+    a, b = (groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in")) for x in ("source", "target"))
+    inside = cycles.join(F.broadcast(a), "source", "left").join(F.broadcast(b), "target", "left")  # twice ``limit`` rows at most
+    picked = inside.orderBy(F.desc(F.coalesce(F.col("source_in") == F.col("target_in"), F.lit(False))), "step").limit(budget)
+    columns = [c for c in considered.columns if c != "step"]
+    both = shown.select("step", *columns).union(picked.select("step", *columns)).orderBy("step").limit(limit)
+    return both.select(F.row_number().over(Window.orderBy("step")).alias("step"), F.col("step").alias("considered_step"), *columns)  # ``limit`` rows

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import normalize_text, normalize_value, similarity
+from ..functions.text import may_reach, normalize_text, normalize_value, similarity
+from ..plans.tables import materialise
 
 RESOLVE_THRESHOLD, CONTAINED = 0.5, 0.92
 
@@ -13,11 +14,12 @@ def cross_sell(sales: DataFrame, product_id, limit: int = 10) -> DataFrame:
     """Products that the buyers of one product also buy: shared_clients, and their share of the buyers."""
     bought = sales.select("entity_norm", "product_id").distinct()
     buyers = bought.where(F.col("product_id") == product_id).select("entity_norm")
-    n = buyers.count()
-    return (
+    n = buyers.agg(F.count(F.lit(1)).cast("double").alias("buyers"))
+    top = (
         bought.where(F.col("product_id") != product_id).join(buyers, "entity_norm", "left_semi").groupBy("product_id").agg(F.count(F.lit(1)).alias("shared_clients"))
-        .orderBy(F.desc("shared_clients"), "product_id").limit(limit).withColumn("affinity_pct", F.round(F.col("shared_clients") * 100.0 / F.lit(float(max(n, 1))), 1))
+        .orderBy(F.desc("shared_clients"), "product_id").limit(limit)
     )
+    return top.join(F.broadcast(n)).select("product_id", "shared_clients", F.round(F.col("shared_clients") * 100.0 / F.col("buyers"), 1).alias("affinity_pct"))  # one row
 
 
 def co_occurrence(lines: DataFrame, product_id, limit: int = 15) -> DataFrame:
@@ -32,14 +34,51 @@ def co_occurrence(lines: DataFrame, product_id, limit: int = 15) -> DataFrame:
 
 def resolve_supplier(suppliers: DataFrame, text: str) -> DataFrame:
     """supplier_id, supplier, score: exact 1.0, contained 0.92, else the better of the similarities of id and name."""
-    key = F.lit(normalize_value(text))
-    sid, name = normalize_text(F.col("supplier_id").cast("string")), normalize_text(F.col("supplier"))
-    score = F.when((sid == key) | (name == key), 1.0).when(sid.contains(key) | name.contains(key), CONTAINED).otherwise(F.greatest(similarity(key, sid), similarity(key, name)))
-    return suppliers.select("supplier_id", "supplier").distinct().withColumn("score", score).where(F.col("score") >= RESOLVE_THRESHOLD).orderBy(F.desc("score"), "supplier_id").limit(5)
+    value = normalize_value(text)
+    key, sid, name = F.lit(value), F.col("sid"), F.col("name")
+    rows = suppliers.select("supplier_id", "supplier").distinct().withColumn("sid", normalize_text(F.col("supplier_id").cast("string"))).withColumn("name", normalize_text(F.col("supplier")))
+    contained = sid.contains(key) | name.contains(key)
+    exact = F.when((sid == key) | (name == key), 1.0).when(contained, CONTAINED)
+    sure = rows.where(contained & F.lit(bool(value))).withColumn("score", exact)
+    able = rows.where(~contained & (may_reach(value, sid, RESOLVE_THRESHOLD) | may_reach(value, name, RESOLVE_THRESHOLD)))
+    rest = able.withColumn("score", F.greatest(similarity(key, sid), similarity(key, name)))
+    both = sure.union(rest).where(F.col("score") >= RESOLVE_THRESHOLD)
+    return both.orderBy(F.desc("score"), "supplier_id").limit(5).select("supplier_id", "supplier", F.round("score", 4).alias("score"))
 
 
 def supplier_substitutes(projection: DataFrame, supplier, limit: int = 20) -> DataFrame:
-    """Suppliers of the same products; coverage is seen from the given supplier."""
-    one = projection.where(F.col("source") == supplier).select(F.col("target").alias("supplier_id"), "similarity", "shared_products", F.col("source_coverage").alias("coverage"))
-    two = projection.where(F.col("target") == supplier).select(F.col("source").alias("supplier_id"), "similarity", "shared_products", F.col("target_coverage").alias("coverage"))
-    return one.union(two).orderBy(F.desc("similarity"), F.desc("shared_products"), "supplier_id").limit(limit)
+    """Suppliers of the same products; ``coverage`` is seen from the given supplier, ``coverage_of_candidate`` from the other one."""
+    def side(own: str, other: str) -> DataFrame:
+        return projection.where(F.col(own) == supplier).select(
+            F.col(other).alias("supplier_id"), "similarity", "shared_products", F.col(f"{own}_coverage").alias("coverage"), F.col(f"{other}_coverage").alias("coverage_of_candidate")
+        )
+
+    return side("source", "target").union(side("target", "source")).orderBy(F.desc("similarity"), F.desc("shared_products"), "supplier_id").limit(limit)
+
+
+def substitutes_for(suppliers: DataFrame, projection: DataFrame, families: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """Substitutes of the supplier that a text names best, each with its name, and with the matched supplier, its score and its family.
+
+    ``suppliers`` has supplier_id and supplier; only suppliers of a family or of the projection are candidates. Nothing is
+    returned where no supplier is near enough (suggestions() names some) or the one found is in no family.
+    """
+    families, projection = materialise(families), materialise(projection)
+    known = families.select("supplier_id").union(projection.select("source")).union(projection.select("target")).distinct()
+    best = resolve_supplier(suppliers.join(known, "supplier_id", "left_semi"), text).limit(1)
+    matched = best.join(families, "supplier_id").select(F.col("supplier_id").alias("matched_id"), F.col("supplier").alias("matched_name"), F.col("score").alias("match_score"), "family_id", "family_size")
+    one = matched.head(1)
+    found = supplier_substitutes(projection, one[0]["matched_id"] if one else None, limit)
+    names = suppliers.groupBy("supplier_id").agg(F.min("supplier").alias("supplier_name"))
+    return found.join(names, "supplier_id", "left").join(F.broadcast(matched))  # one row
+
+
+def suggestions(suppliers: DataFrame, text: str, limit: int = 5) -> DataFrame:
+    """supplier, score of the suppliers whose id or name is most similar to a text, however little."""
+    value = normalize_value(text)
+    score = F.greatest(similarity(F.lit(value), normalize_text(F.col("supplier_id").cast("string"))), similarity(F.lit(value), normalize_text(F.col("supplier"))))
+    return suppliers.select("supplier_id", "supplier").distinct().withColumn("score", score).orderBy(F.desc("score"), "supplier_id").limit(limit).select("supplier", "score")
+
+
+def with_names(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """``rows`` with the product_name of their product_id."""
+    return rows.join(products.groupBy("product_id").agg(F.min("product_name").alias("product_name")), "product_id", "left")

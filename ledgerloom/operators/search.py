@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import normalize_text, normalize_value, similarity, tokens
+from ..functions.text import may_reach, normalize_text, normalize_value, similarity, tokens
 
 #: Weight by distance from the query's concepts; a finalist's other attributes are two steps away.
 NEAR, FAR, COVERED = 5, 3, 21
@@ -84,6 +84,7 @@ def text_search(products: DataFrame, query: str, limit: int = 10) -> DataFrame:
     rows = products.select("product_id", "product_name", name.alias("n"))
     if len(words) > 1:
         rows = rows.where(F.forall(F.array(*(F.lit(w) for w in words)), lambda w: F.array_contains(tokens(F.col("n")), w)))
+    rows = rows.where(F.col("n").contains(text) | may_reach(text, F.col("n"), TEXT_THRESHOLD))
     score = F.when(F.col("n").contains(text), F.greatest(similarity(F.lit(text), F.col("n")), F.lit(0.98))).otherwise(similarity(F.lit(text), F.col("n")))
     return rows.withColumn("score", score).where(F.col("score") >= TEXT_THRESHOLD).orderBy(F.desc("score"), "product_id").limit(limit).select("product_id", "product_name", "score")
 

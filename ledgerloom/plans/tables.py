@@ -5,16 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder is made and set only where none is."""
+    """spark.checkpoint.dir of the session; in local mode a folder is made and set where none is."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -27,7 +29,32 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote; for tables that nothing reads any more, as those of earlier rounds of a loop."""
+    for df in tables:
+        path = getattr(df, "_table", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with column ``name``: 1, 2, ... in the given order.
+
+    The rows are sorted by ranges and counted by partition, so no task sees more than a partition; the counts (a row for each partition) are summed
+    and broadcast.
+    """
+    placed = materialise(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, (F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_before")
 
 
 #: Rows of one 8-byte key that may be broadcast: 4 MB.

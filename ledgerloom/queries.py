@@ -6,12 +6,13 @@ what was bought (from the line's supplier).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import text as T
 from .functions.geo import haversine_km, parse_lat_lon
 from .operators import activity, attributes as attr, graphs, normalization as norm, optimise, paths, recommend, search
 from .operators.components import connected_components
+from .plans import build
 from .plans.tables import materialise
 
 PRODUCT, THETA = 1, 0.175
@@ -96,17 +97,17 @@ def _query(name: str, sql: str | None = None):
 
 
 @_query("cross_sell", f"""with {_SALES}, b as (select distinct entity_norm, product_id from sales), buyers as (select entity_norm from b where product_id = {PRODUCT})
-  select product_id, count(*) shared_clients, round(count(*) * 100.0 / (select count(*) from buyers), 1) affinity_pct from b where product_id <> {PRODUCT} and entity_norm in (from buyers)
+  select product_id, 'Part ' || product_id product_name, count(*) shared_clients, round(count(*) * 100.0 / (select count(*) from buyers), 1) affinity_pct from b where product_id <> {PRODUCT} and entity_norm in (from buyers)
   group by product_id order by shared_clients desc, product_id limit 10""")
 def _cross_sell(spark, d):
-    return recommend.cross_sell(sales(spark, d), PRODUCT)
+    return recommend.with_names(recommend.cross_sell(sales(spark, d), PRODUCT), sales(spark, d))
 
 
 @_query("co_occurrence", f"""with {_SALES}, docs as (select distinct document from sales where product_id = {PRODUCT})
-  select product_id, count(*) frequency, sum(quantity) total_quantity, round(sum(total), 2) total_amount, avg(quantity) avg_quantity from sales where product_id <> {PRODUCT} and document in (from docs)
+  select product_id, 'Part ' || product_id product_name, count(*) frequency, sum(quantity) total_quantity, round(sum(total), 2) total_amount, avg(quantity) avg_quantity from sales where product_id <> {PRODUCT} and document in (from docs)
   group by product_id order by frequency desc, sum(total) desc, product_id limit 15""")
 def _co_occurrence(spark, d):
-    return recommend.co_occurrence(sales(spark, d), PRODUCT).withColumn("total_amount", F.round("total_amount", 2))
+    return recommend.with_names(recommend.co_occurrence(sales(spark, d), PRODUCT).withColumn("total_amount", F.round("total_amount", 2)), sales(spark, d))
 
 
 @_query("product_activity", f"""with {_SALES}, {_PURCHASES}, s as (select product_id, sum(quantity) q, sum(total) t from sales group by 1), p as (select product_id, sum(quantity) q, sum(total) t from purchases group by 1)
@@ -162,8 +163,8 @@ def _projection(spark, d):
     return projection(spark, d).select(*_PROJECTION_COLUMNS.split(", "))
 
 
-@_query("supplier_substitutes", f"""with {_PROJECTION} select * from (select target supplier_id, similarity, shared_products, source_coverage coverage from projection where source = '1' and similarity >= 0.05
-  union all select source, similarity, shared_products, target_coverage from projection where target = '1' and similarity >= 0.05) order by similarity desc, shared_products desc, supplier_id limit 20""")
+@_query("supplier_substitutes", f"""with {_PROJECTION} select * from (select target supplier_id, similarity, shared_products, source_coverage coverage, target_coverage coverage_of_candidate from projection where source = '1' and similarity >= 0.05
+  union all select source, similarity, shared_products, target_coverage, source_coverage from projection where target = '1' and similarity >= 0.05) order by similarity desc, shared_products desc, supplier_id limit 20""")
 def _substitutes(spark, d):
     return recommend.supplier_substitutes(projection(spark, d), "1")
 
@@ -206,13 +207,6 @@ def _flow(spark, d):
     return graphs.flow_view(options(spark, d)).select("product_id", "supplier_id", "capacity_units")
 
 
-@_query("graph_summary", f"""with {_OPTIONS} select 'flow' graph, 'nodes' metric, count(distinct product_id) + count(distinct supplier_id) + 2 n from options
-  union all select 'flow', 'edges', count(*) + count(distinct product_id) + count(distinct supplier_id) from options""")
-def _flow_size(spark, d):
-    o = options(spark, d).agg(F.countDistinct("product_id").alias("p"), F.countDistinct("supplier_id").alias("s"), F.count(F.lit(1)).alias("o"))
-    return o.selectExpr("stack(2, 'flow', 'nodes', p + s + 2, 'flow', 'edges', o + p + s) as (graph, metric, n)")
-
-
 _STOP = ", ".join(f"'{w}'" for w in attr.STOPWORDS)
 
 
@@ -302,12 +296,14 @@ def _search(spark, d):
     return search.search(nodes, edges, "red bolts unknownword", 10)
 
 
-@_query("text_similarity")
+# every row has all words of the query, which makes it as similar as can be
+@_query("text_similarity", f"""select p_partkey product_id, p_name product_name, 1.0::double score from part where list_has_all(string_split({_NORM.format('p_name')}, ' '), ['LARGE', 'BOLT']) order by product_id limit 50""")
 def _text(spark, d):
     return search.text_search(products(spark, d), "large bolt", 50)
 
 
-@_query("resolve_supplier")
+# "SUPPLIER 7": supplier 7 has no word but one of the query as its id (1.0); every other shares the word SUPPLIER with it, for which 1 - 2 / 18 is the best match
+@_query("resolve_supplier", """select s_suppkey supplier_id, s_name supplier, case when s_suppkey = 7 then 1.0 else round(1 - 2 / 18, 4) end::double score from supplier order by score desc, supplier_id limit 5""")
 def _resolve(spark, d):
     s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier"))
     return recommend.resolve_supplier(s, "supplier 7")
@@ -326,13 +322,25 @@ _ENTITIES = """ent as (select 'CLIENT:' || c_custkey node_id, 'CLIENT' node_type
   union all select 'SUPPLIER:' || s_suppkey, 'SUPPLIER', -7.0 - s_nationkey * 0.25, -74.0 - s_suppkey % 40 * 0.1 from supplier)"""
 
 
-@_query("haversine_nearest", f"""with {_HUBS}, {_ENTITIES}, x as (select *, {_DISTANCE} km0 from (select node_id, node_type, lat::double lat, lon::double lon from ent) join (select hub, hlat::double hlat, hlon::double hlon from hubs) on (lat > -10) = (hub = 'HUB:PUCALLPA')),
-  b as (select node_id, node_type, arg_min(hub, km0) hub, min(km0) km0 from x group by all) select node_id, node_type, hub, round(greatest(km0 * 1.25, case when hub = 'HUB:PUCALLPA' then 5 when node_type = 'CLIENT' then 100 else 60 end), 4) km from b""")
+_ROADS = "roads(source, target, factor, road_name, edge_type) as (select * from (values " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in graphs.ROADS) + f""") t union all
+  select 'HUB:PUCALLPA', 'RUTA:SELVA_RAMAL_' || lpad(i::varchar, 2, '0'), 1.2, 'Ramal sin salida', 'detour' from range(1, {graphs.BRANCHES + 1}) r(i)
+  union all select 'RUTA:SELVA_RAMAL_' || lpad((i - 3)::varchar, 2, '0'), 'RUTA:SELVA_RAMAL_' || lpad(i::varchar, 2, '0'), 1.15, 'Trocha secundaria', 'detour' from range(6, {graphs.BRANCHES + 1}, 3) r(i))"""
+_PLACES = "places(node_id, label, lat, lon) as (select * from (values " + ", ".join(f"('{p[0]}', '{p[1]}', {p[2]}::double, {p[3]}::double)" for p in graphs.PLACES) + f""") t union all
+  select 'RUTA:SELVA_RAMAL_' || lpad(i::varchar, 2, '0'), 'Ramal logistico selva ' || lpad(i::varchar, 2, '0'), round(-7.95 + 0.055 * (1 + i % 6) + 0.018 * ((i % 12) % 4), 6)::double,
+  round(-73.75 + 0.085 * (1 + i % 6) + 0.022 * ((i % 12) // 4), 6)::double from range(1, {graphs.BRANCHES + 1}) r(i))"""
+_NEAREST = f"""{_HUBS}, {_ENTITIES}, x as (select *, {_DISTANCE} km0 from (select node_id, node_type, lat::double lat, lon::double lon from ent) join (select hub, hlat::double hlat, hlon::double hlon from hubs) on (lat > -10) = (hub = 'HUB:PUCALLPA')),
+  near as (select node_id, node_type, arg_min(hub, km0) hub, min(km0) km0 from x group by all), access as (select node_id, node_type, hub, greatest(km0 * 1.25, case when hub = 'HUB:PUCALLPA' then 5 when node_type = 'CLIENT' then 100 else 60 end) km from near)"""
+
+
+@_query("haversine_nearest", f"with {_NEAREST} select node_id, node_type, hub, round(km, 4) km from access")
 def _nearest(spark, d):
     return graphs.nearest_hub(entities(spark, d), graphs.places(spark).where("node_type = 'HUB'")).withColumn("km", F.round("km", 4))
 
 
-@_query("logistics_overlay")
+@_query("logistics_overlay", f"""with {_NEAREST}, {_ROADS}, {_PLACES}, far as (select r.*, a.label source_name, b.label target_name, {_DISTANCE.replace("hlat", "b.lat").replace("hlon", "b.lon").replace("radians(lat)", "radians(a.lat)").replace("- lon)", "- a.lon)")} straight
+  from roads r join places a on a.node_id = source join places b on b.node_id = target), label as (select 'CLIENT:' || c_custkey node_id, c_name n from customer union all select 'SUPPLIER:' || s_suppkey, s_name from supplier)
+  select source, target, source_name, target_name, round(greatest(straight * factor, straight), 4) km, edge_type, road_name from far
+  union all select node_id, hub, n, places.label, round(km, 4), 'access', case when hub = 'HUB:PUCALLPA' then 'Acceso Ucayali' else 'Acceso urbano' end from access join label using (node_id) join places on places.node_id = hub""")
 def _logistics(spark, d):
     return graphs.logistics(entities(spark, d))[1]
 
@@ -361,9 +369,29 @@ def _components(spark, d):
     return connected_components(projection(spark, d, THETA))
 
 
-@_query("component_summary")
+def transaction_graphs(spark, d):
+    """(nodes, edges) of business, sales and purchases."""
+    sale, purchase = graphs.transaction_graph(sales(spark, d), "CLIENT", "sale"), graphs.transaction_graph(purchases(spark, d), "SUPPLIER", "purchase")
+    return {"business": graphs.business_graph(sale, purchase), "sales": sale, "purchases": purchase}
+
+
+_MORE = """more as (select 'SUPPLIER:' || entity_norm source, 'PRODUCT:' || product_id target, total amount from purchases union all select 'SUPPLIER:' || entity_norm, 'DOC:' || document, total from purchases
+  union all select 'DOC:' || document, 'PRODUCT:' || product_id, total from purchases), every as (select 'sales' g, source, target, amount from edges union all select 'purchases', * from more
+  union all select 'business', source, target, amount from edges union all select 'business', * from more)"""
+_LABEL = "case split_part({0}, ':', 1) when 'CLIENT' then 'Customer ' when 'PRODUCT' then 'Part ' when 'SUPPLIER' then 'Supplier ' else '' end || split_part({0}, ':', 2)"
+
+
+@_query("component_summary", f"""with recursive {_SALES}, {_PURCHASES}, {_EDGES}, {_MORE}, link as (select distinct g, source a, target b from every union select g, target, source from every),
+  low(g, n, c) using key (g, n) as (select distinct g, a, a from link union select x.g, x.a, x.c from (select link.g, link.a, min(low.c) c from low join link on link.g = low.g and link.b = low.n group by all) x join recurring.low r on r.g = x.g and r.n = x.a where x.c < r.c),
+  kinds as (select g, c, case split_part(n, ':', 1) when 'DOC' then 'DOCUMENT' else split_part(n, ':', 1) end k, count(*) m from low group by all), top as (select g, c, sum(m)::bigint size, string_agg(k || ':' || m, ', ' order by k || ':' || m) composition from kinds group by all),
+  ranked as (select *, row_number() over (partition by g order by size desc, c) r from top qualify r <= 20), first as (select g, c, string_agg({_LABEL.format('n')}, ', ' order by n) s from (select *, row_number() over (partition by g, c order by n) i from low) where i <= 4 group by all)
+  select g graph, printf('C%03d', r) component, size, composition, s || case when size > 4 then '…' else '' end sample from ranked join first using (g, c)""")
 def _component_summary(spark, d):
-    return paths.component_summary(*graphs.transaction_graph(sales(spark, d), "CLIENT", "sale"))
+    out = None
+    for name, (nodes, edges) in transaction_graphs(spark, d).items():
+        part = paths.component_summary(nodes, edges).withColumn("graph", F.lit(name))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _start(edges: DataFrame):
@@ -384,12 +412,39 @@ def _weighted(spark, d):
     return paths.cheapest_paths(edges, _start(edges), "similarity").where("node is not null").select("node", F.round("cost", 6).alias("cost"))
 
 
-@_query("client_supplier_path")
+_BUSINESS = f"{_SALES}, {_PURCHASES}, {_EDGES}, {_MORE}, names as (select distinct unnest([source, target]) node from every where g = 'business'), labels as (select node, {_LABEL.format('node')} as label from names)"
+
+
+@_query("client_supplier_path", f"""with recursive {_BUSINESS}, link as (select source a, target b from every where g = 'business' union select target, source from every where g = 'business'),
+  s as (select min(node) n from labels where node like 'CLIENT:%' and upper(label) like '%CUSTOMER 7%'), g as (select min(node) n from labels where node like 'SUPPLIER:%' and upper(label) like '%SUPPLIER 5%'),
+  far(node, hops) using key (node) as (select n, 0 from g union select x.b, x.h from (select l.b, min(far.hops) + 1 h from far join link l on l.a = far.node group by l.b) x left join recurring.far r on r.node = x.b where r.node is null),
+  path(step, node) as (select 1, n from s union all select step + 1, min(b) from path join link on a = path.node join far x on x.node = b join far y on y.node = path.node where x.hops = y.hops - 1 group by step)
+  select step::int step, node, label from path join labels using (node)""")
 def _client_supplier(spark, d):
-    s, p = graphs.transaction_graph(sales(spark, d), "CLIENT", "sale"), graphs.transaction_graph(purchases(spark, d), "SUPPLIER", "purchase")
-    edges = materialise(graphs.business_graph(s, p)[1])
-    found = paths.shortest_path(edges, edges.agg(F.min(F.when(F.col("source").startswith("CLIENT:"), F.col("source")))).first()[0], edges.agg(F.min(F.when(F.col("source").startswith("SUPPLIER:"), F.col("source")))).first()[0])
-    return spark.createDataFrame([(i, n) for i, n in enumerate(found)], "step int, node string")
+    nodes, edges = (materialise(x) for x in transaction_graphs(spark, d)["business"])
+    return paths.path_rows(nodes, paths.shortest_path(edges, search.find_node(nodes, "customer 7", "CLIENT"), search.find_node(nodes, "supplier 5", "SUPPLIER")))
+
+
+@_query("weighted_connection", f"""with recursive {_BUSINESS}, one as (select least(source, target) a, greatest(source, target) b, max(amount) w from every where g = 'business' group by 1, 2), link as (select a, b, w, 1 / (w + 1) c from one union all select b, a, w, 1 / (w + 1) from one),
+  s as (select min(node) n from labels where node like 'CLIENT:%' and upper(label) like '%CUSTOMER 7%'), g as (select min(node) n from labels where node like 'SUPPLIER:%' and upper(label) like '%SUPPLIER 5%'),
+  best(node, cost) using key (node) as (select n, 0.0::double from s union select x.b, x.c from (select l.b, min(best.cost + l.c) c from best join link l on l.a = best.node group by l.b) x left join recurring.best r on r.node = x.b where r.node is null or x.c < r.cost - 1e-12),
+  back(i, node, total) as (select 0, n, 0.0::double from g union all select i + 1, min(l.b), total + arg_min(l.w, l.b) from back join link l on l.a = back.node join best x on x.node = l.b join best y on y.node = back.node where abs(x.cost + l.c - y.cost) < 1e-13 and x.cost < y.cost group by i, total)
+  select (max(i) over () - i + 1)::int step, node, label, round(max(total) over (), 2) total_weight from back join labels using (node)""")
+def _connection(spark, d):
+    nodes, edges = (materialise(x) for x in transaction_graphs(spark, d)["business"])
+    path, total = paths.heaviest_connection(edges, search.find_node(nodes, "customer 7", "CLIENT"), search.find_node(nodes, "supplier 5", "SUPPLIER"), "amount")
+    return paths.path_rows(nodes, path).withColumn("total_weight", F.lit(total))
+
+
+@_query("substitutes_by_name", f"""with recursive {_PROJECTION}{_CLOSE.format(t=0.15)}, size as (select component, count(*) n from comp group by 1), ranked as (select *, row_number() over (order by n desc, component) r from size),
+  one as (select node, printf('F%03d', r) family_id, n family_size from comp join ranked using (component) where node = '1'),
+  found as (select target supplier_id, similarity, shared_products, source_coverage coverage, target_coverage coverage_of_candidate from projection where source = '1' and similarity >= 0.05
+  union all select source, similarity, shared_products, target_coverage, source_coverage from projection where target = '1' and similarity >= 0.05)
+  select found.*, 'Supplier ' || supplier_id supplier_name, node matched_id, 'Supplier ' || node matched_name, 1.0::double match_score, family_id, family_size from found, one order by similarity desc, shared_products desc, supplier_id limit 20""")
+def _substitutes_by_name(spark, d):
+    p = materialise(projection(spark, d))
+    names = purchases(spark, d).select(F.col("entity_norm").alias("supplier_id"), F.col("entity_name").alias("supplier")).distinct()
+    return recommend.substitutes_for(names, p, paths.families(p, 0.15), "supplier 1")
 
 
 @_query("mst_edges", f"""with recursive {_PROJECTION}, ranked as (select source, target, 1 - similarity weight, row_number() over (order by 1 - similarity, source, target) r from projection where similarity >= {THETA}),
@@ -414,6 +469,41 @@ def _greedy(spark, d):
     return optimise.allocate(options(spark, d), _demand(spark, d))
 
 
+_GREEDY = f"""{_OPTIONS}, {_DEMAND}, o as (select product_id, supplier_id, unit_cost, capacity_units, wanted, wanted - coalesce(sum(capacity_units) over (partition by product_id order by unit_cost, supplier_id rows between unbounded preceding and 1 preceding), 0) lacking
+  from options join demand using (product_id)), a as (select product_id::varchar product_id, supplier_id, unit_cost, least(capacity_units, lacking)::double units, wanted from o where lacking > 0)"""
+
+
+@_query("supply_assignment", f"with {_GREEDY} select product_id, 'Part ' || product_id product_name, supplier_id, 'Supplier ' || supplier_id supplier, units, unit_cost, units * unit_cost line_cost from a")
+def _assignment(spark, d):
+    return optimise.flow_lines(optimise.min_cost_flow(options(spark, d), _demand(spark, d)), options(spark, d))
+
+
+@_query("supply_unmet", f"""with {_GREEDY}, s as (select product_id, sum(units) served from a group by 1) select p_partkey::varchar product_id, p_size * 8.0::double requested, coalesce(served, 0)::double served, p_size * 8.0::double - coalesce(served, 0) shortfall
+  from part left join s on product_id = p_partkey::varchar where coalesce(served, 0) < p_size * 8.0""")
+def _unmet(spark, d):
+    return optimise.flow_unmet(optimise.allocate(options(spark, d), _demand(spark, d)), _demand(spark, d))
+
+
+@_query("supply_totals", f"""with {_GREEDY}, s as (select product_id, sum(units) served from a group by 1) select (select sum(p_size * 8.0)::double from part) demand_units, (select sum(units) from a) served_units, (select round(sum(units * unit_cost), 2) from a) total_cost,
+  (select count(distinct supplier_id) from a) suppliers_used, (select count(*) from part left join s on product_id = p_partkey::varchar where coalesce(served, 0) < p_size * 8.0) unmet_products""")
+def _totals(spark, d):
+    return optimise.flow_totals(materialise(optimise.allocate(options(spark, d), _demand(spark, d))), _demand(spark, d))
+
+
+@_query("supply_network", f"""with {_GREEDY}, f as (select product_id p, supplier_id s, sum(units) units from a group by 1, 2) select 'SOURCE' source, 'P:' || p_partkey target, p_size * 8.0::double capacity, 0.0::double unit_cost, coalesce((select sum(units) from f where p = p_partkey::varchar), 0)::double flow from part
+  union all select 'P:' || product_id, 'S:' || supplier_id, capacity_units, unit_cost, coalesce(units, 0) from options left join f on p = product_id::varchar and s = supplier_id where unit_cost > 0 and capacity_units > 0
+  union all select 'S:' || supplier_id, 'SINK', max(supplier_capacity), 0.0, (select coalesce(sum(units), 0) from f where s = supplier_id) from options where product_id in (select p_partkey from part) group by supplier_id""")
+def _network(spark, d):
+    return optimise.flow_network(materialise(optimise.allocate(options(spark, d), _demand(spark, d))), options(spark, d), _demand(spark, d))
+
+
+@_query("supply_steps", f"""with {_GREEDY} select row_number() over w step, product_id::bigint product_id, supplier_id, units delta_units, unit_cost, round(units * unit_cost + 1e-5, 2) step_cost, round(sum(units * unit_cost) over w + 1e-5, 2) cumulative_cost,
+  wanted::double - sum(units) over (partition by product_id order by unit_cost, supplier_id) demand_remaining from a window w as (order by unit_cost, product_id::bigint, supplier_id rows unbounded preceding)""")
+def _steps(spark, d):
+    out = optimise.flow_steps(optimise.allocate(options(spark, d), _demand(spark, d)), _demand(spark, d))
+    return out.withColumn("step_cost", F.round(F.col("step_cost") + 1e-5, 2)).withColumn("cumulative_cost", F.round(F.col("cumulative_cost") + 1e-5, 2))
+
+
 def _request(spark, d):
     """What the client with most lines has bought: product_id, quantity."""
     lines = sales(spark, d)
@@ -431,9 +521,18 @@ def _general(spark, d):
     return flow.agg(F.countDistinct("product_id").alias("n_products"), F.sum("units").alias("units"), F.round(F.sum(F.col("unit_cost") * F.col("units")), 4).alias("cost"))
 
 
-@_query("knapsack_lots")
+_STABLE = "(select sum(i * unicode(substr(k, cast(i as int), 1))) from (select {0} k), range(1, length(k) + 1) t(i))::bigint"
+
+
+@_query("knapsack_lots", f"""with {_OPTIONS}, {_SALES}, {_REQUEST}, two as (select product_id::varchar p, supplier, unit_cost, row_number() over (partition by product_id order by unit_cost, supplier) r from options where product_id in (select product_id from demand) qualify r <= 2),
+  seeded as (select *, ({_STABLE.format("p || '|' || supplier || '|knapsack_lot'")} % 6 + 1)::int profile, {_STABLE.format("p || '|' || supplier || '|margin'")} % 7 extra from two),
+  sized as (select *, {optimise.MARGINS}[profile]::double + extra / 100 margin, greatest(1, round_even(greatest(450.0, 5000.0 * {optimise.BUDGET_SHARES}[profile]) / greatest(unit_cost, 0.01), 0)::bigint) units from seeded),
+  lots as (select row_number() over (order by unit_cost * units, unit_cost * units * margin desc, supplier, p) lot, p product_id, supplier, units, unit_cost * units as cost, unit_cost * units * margin as value from sized qualify lot <= 12),
+  masks as (select m, sum(round_even(cost * 100, 0)) cents, sum(value) v from range(4096) t(m) join lots on (m >> (lot - 1)) & 1 = 1 group by m having cents <= 500000), best as (select m from masks order by round(v, 6) desc, m limit 1)
+  select lot::int lot, product_id, supplier, units, round(cost, 2) as cost, round(value, 2) as value, coalesce((select (m >> (lot - 1)) & 1 = 1 from best), false) selected from lots""")
 def _lots(spark, d):
-    return optimise.best_subset(optimise.budget_lots(options(spark, d), _request(spark, d).withColumn("quantity", F.lit(0.0)), 5000.0, products(spark, d)), 5000.0)
+    out = optimise.best_subset(optimise.budget_lots(options(spark, d), _request(spark, d).withColumn("quantity", F.lit(0.0)), 5000.0, products(spark, d)), 5000.0)
+    return out.select("lot", "product_id", "supplier", "units", F.round("cost", 2).alias("cost"), F.round("value", 2).alias("value"), "selected")
 
 
 @_query("knapsack_catalog")
@@ -441,26 +540,71 @@ def _catalog(spark, d):
     return optimise.catalog_budget(products(spark, d), _request(spark, d).withColumn("value", F.col("quantity") * 2), 3000.0)
 
 
+# every unit is worth 2, so the best plan has as many units as can be had: the cheapest first
+@_query("knapsack_catalog_value", f"""with {_SALES}, {_REQUEST}, u as (select round_even(p_retailprice * 0.6 * 100, 0) cents, least(floor(greatest(wanted, 1)), floor(greatest(case when p_size = 0 then floor(wanted) else p_size end, 1))) n from demand join part on p_partkey = product_id),
+  each as (select cents, unnest(range(n::bigint)) i from u), summed as (select sum(cents) over (order by cents, i rows unbounded preceding) s from each) select count(*)::bigint units, count(*) * 2.0::double as value from summed where s <= 300000""")
+def _catalog_value(spark, d):
+    return _catalog(spark, d).agg(F.coalesce(F.sum("units"), F.lit(0)).cast("long").alias("units"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+
+
 def _campaigns(spark, d):
     return optimise.campaign_offers(options(spark, d), products(spark, d).select("product_id", "unit_price_sale"), "2025-01-01")
 
 
-_STABLE = "(select sum(i * unicode(substr(k, cast(i as int), 1))) from (select {0} k), range(1, length(k) + 1) t(i))::bigint"
+_CAMPAIGNS = f"""{_OPTIONS}, cr as (select *, row_number() over (partition by product_id order by unit_cost, capacity_units desc, supplier_id) r from options), top3 as (select *, row_number() over (order by product_id::varchar, r) offer from cr where r <= 3 order by product_id::varchar, r limit 180),
+  cs as (select *, {_STABLE.format("product_id || '|' || supplier")} seed, {_STABLE.format("product_id || '|' || supplier || '|lot'")} lot from top3), cu as (select *, greatest(floor(capacity_units), round_even((1500 + lot % 3001) / greatest(unit_cost, 0.01), 0))::bigint units from cs),
+  cb as (select *, unit_cost * units base_cost from cu), cv as (select *, unnest([0, 1, 2]) k from cb), cw as (select *, case when k = 0 then 0 else 2 + (seed + (k - 1) * 5) % 8 end wait_days,
+    case when k = 0 then 0.0 else 0.03 + ((seed // (k + 2)) % 10) / 100.0 end pct, case when k > 0 and base_cost >= 1500 and (seed + k - 1) % 3 <> 0 then 60.0 + ((seed // (k + 4)) % 5) * 40.0 else 0.0 end coupon from cv),
+  offers as (select *, wait_days * greatest(70.0, base_cost * 0.022) wait_cost, base_cost * pct discount, base_cost + wait_days * greatest(70.0, base_cost * 0.022) - base_cost * pct - coupon final_cost, lpad(offer::varchar, 3, '0') || ':' || k number from cw)"""
 
 
-@_query("campaign_offers", f"""with {_OPTIONS}, r as (select *, row_number() over (partition by product_id order by unit_cost, capacity_units desc, supplier_id) r from options), top3 as (select *, row_number() over (order by product_id::varchar, r) offer from r where r <= 3 order by product_id::varchar, r limit 180),
-  s as (select *, {_STABLE.format("product_id || '|' || supplier")} seed, {_STABLE.format("product_id || '|' || supplier || '|lot'")} lot from top3), u as (select *, greatest(floor(capacity_units), round_even((1500 + lot % 3001) / greatest(unit_cost, 0.01), 0))::bigint units from s),
-  b as (select *, unit_cost * units base_cost from u), v as (select *, unnest([0, 1, 2]) k from b), w as (select *, case when k = 0 then 0 else 2 + (seed + (k - 1) * 5) % 8 end wait_days,
-    case when k = 0 then 0.0 else 0.03 + ((seed // (k + 2)) % 10) / 100.0 end pct, case when k > 0 and base_cost >= 1500 and (seed + k - 1) % 3 <> 0 then 60.0 + ((seed // (k + 4)) % 5) * 40.0 else 0.0 end coupon from v)
-  select product_id::varchar product_id, supplier, units, k::int alternative, wait_days::bigint wait_days, coupon::double coupon_discount, round(base_cost + 1e-5, 2) base_cost, round(base_cost + wait_days * greatest(70.0, base_cost * 0.022) - base_cost * pct - coupon + 1e-5, 2) final_cost from w""")
+@_query("campaign_offers", f"""with {_CAMPAIGNS} select product_id::varchar product_id, supplier, units, k::int alternative, wait_days::bigint wait_days, coupon::double coupon_discount, round(base_cost + 1e-5, 2) base_cost, round(final_cost + 1e-5, 2) final_cost from offers""")
 def _offers(spark, d):
     out = _campaigns(spark, d)
     return out.select("product_id", "supplier", "units", F.element_at(F.split("final_node", ":"), -1).cast("int").alias("alternative"), "wait_days", "coupon_discount", F.round(F.col("base_cost") + 1e-5, 2).alias("base_cost"), F.round(F.col("final_cost") + 1e-5, 2).alias("final_cost"))
 
 
-@_query("best_savings")
+_BEST = _CAMPAIGNS + """, one as (select *, row_number() over (partition by product_id, supplier order by final_cost, wait_days, number) i from offers), ranked as (select *, row_number() over (order by base_cost - final_cost desc, (base_cost - final_cost) / base_cost desc, number) place from one where i = 1)"""
+
+
+@_query("best_savings", f"""with {_BEST} select place::int place, product_id::varchar product_id, 'Part ' || product_id product_name, supplier, units, case when wait_days > 0 then 'esperar' else 'comprar_hoy' end decision, strftime(date '2025-01-01' + wait_days::int, '%Y-%m-%d') buy_date, wait_days::bigint wait_days,
+  round(base_cost + 1e-5, 2) base_cost, round(final_cost + 1e-5, 2) final_cost, round(base_cost - final_cost + 1e-5, 2) savings, 'FINAL:' || number final_node from ranked where place <= 20""")
 def _best(spark, d):
-    return optimise.best_campaigns(_campaigns(spark, d)).orderBy(F.desc("savings"), F.desc("savings_pct"), "final_node").limit(20)
+    order = (F.desc("savings"), F.desc("savings_pct"), "final_node")
+    top = optimise.best_campaigns(_campaigns(spark, d)).orderBy(*order).limit(20)
+    cents = lambda c: F.round(F.col(c) + 1e-5, 2).alias(c)
+    place = F.row_number().over(Window.orderBy(*order)).alias("place")  # 20 rows
+    return top.select(place, "product_id", "product_name", "supplier", "units", "decision", "buy_date", "wait_days", cents("base_cost"), cents("final_cost"), cents("savings"), "final_node")
+
+
+@_query("best_savings_trace", f"""with {_BEST}, first as (select *, lpad(offer::varchar, 3, '0') o from ranked where place = 1), steps as (select * from (select unnest([
+    {{'k': 'offer', 'n': 'OFFER:' || o, 'w': base_cost}}, {{'k': 'decision', 'n': 'DECISION:' || number, 'w': wait_cost}}, {{'k': 'campaign', 'n': case when discount > 0 then 'CAMPAIGN:' || number end, 'w': -discount}},
+    {{'k': 'coupon', 'n': case when coupon > 0 then 'COUPON:' || number end, 'w': -coupon}}, {{'k': 'final', 'n': 'FINAL:' || number, 'w': 0.0}}], recursive := true), unnest(range(1, 6)) i from first) where n is not null)
+  select row_number() over (order by i)::int step, lag(n, 1, 'SOURCE') over (order by i) source, n target, round(w, 4)::double weight, k edge_type from steps""")
+def _trace(spark, d):
+    offers = materialise(_campaigns(spark, d))
+    return optimise.campaign_trace(optimise.best_campaigns(offers), offers)
+
+
+_TYPED = "case split_part({0}, ':', 1) when 'DOC' then 'DOCUMENT' else split_part({0}, ':', 1) end"
+
+
+@_query("graph_summary", f"""with {_SALES}, {_PROJECTION}, {_CAMPAIGNS.removeprefix(_PURCHASES + ", ")}, {_SEM},
+  {_EDGES}, {_MORE}, {_ENTITIES}, pairs as (select 'G_' || g g, least(source, target) x, greatest(source, target) y from every group by all union all select 'G_attr', least(source, target), greatest(source, target) from e group by all),
+  members as (select distinct g, unnest([x, y]) n from pairs union select 'G_attr', 'PRODUCT:' || p_partkey from part), typed as (select g, 'nodes_' || {_TYPED.format('n')} metric, count(*) n from members group by all),
+  path as (select unnest([{{'s': 'SOURCE', 't': 'OFFER:' || lpad(offer::varchar, 3, '0')}}, {{'s': 'OFFER:' || lpad(offer::varchar, 3, '0'), 't': 'DECISION:' || number}}, {{'s': 'DECISION:' || number, 't': case when discount > 0 then 'CAMPAIGN:' || number end}},
+    {{'s': case when discount > 0 then 'CAMPAIGN:' || number end, 't': case when coupon > 0 then 'COUPON:' || number end}},
+    {{'s': case when coupon > 0 then 'COUPON:' || number when discount > 0 then 'CAMPAIGN:' || number else 'DECISION:' || number end, 't': 'FINAL:' || number}}], recursive := true) from offers),
+  steps as (select distinct s, t from path where s is not null and t is not null)
+  select g graph, metric, n from typed union all select g, 'nodes', sum(n)::bigint from typed group by g union all select g, 'edges', count(*) from pairs group by g
+  union all select 'supplier_projection', 'nodes', count(distinct entity_norm) from purchases union all select 'supplier_projection', 'edges', count(*) from projection where similarity >= 0.05
+  union all select 'offers', 'nodes', count(distinct x) from (select unnest([s, t]) x from steps) union all select 'offers', 'edges', count(*) from steps
+  union all select 'flow', 'nodes', count(distinct product_id) + count(distinct supplier_id) + 2 from options union all select 'flow', 'edges', count(*) + count(distinct product_id) + count(distinct supplier_id) from options
+  union all select 'logistics', 'nodes', {len(graphs.PLACES) + graphs.BRANCHES} + count(*) from ent union all select 'logistics', 'edges', {len(graphs.ROADS) + graphs.BRANCHES + len(range(6, graphs.BRANCHES + 1, 3))} + count(*) from ent
+  union all select 'all', metric, max(n) from typed group by metric union all select 'all', 'nodes', sum(n)::bigint from (select max(n) n from typed group by metric)""")
+def _sizes(spark, d):
+    known = {f"G_{k}": v for k, v in transaction_graphs(spark, d).items()}
+    return build.graph_sizes({"G_attr": part_graph(spark, d), **known}, projection(spark, d), purchases(spark, d), _campaigns(spark, d), options(spark, d), graphs.logistics(entities(spark, d)))
 
 
 @_query("haversine_pairs", """select a.n_nationkey a, b.n_nationkey b, round(2 * 6371.0088 * asin(sqrt(pow(sin((radians(b.n_nationkey * 2.0) - radians(a.n_nationkey * 2.0)) / 2), 2) + cos(radians(a.n_nationkey * 2.0)) * cos(radians(b.n_nationkey * 2.0))

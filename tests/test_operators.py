@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import attributes as attr, normalization as norm, optimise, paths, search
+from ledgerloom.operators import attributes, attributes as attr, graphs, normalization as norm, optimise, paths, recommend, search
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.build import PipelineError, build_dataset, dataset_summary, graph_summary
+from ledgerloom.plans.tables import numbered
 from ledgerloom.sources.catalog import Catalog
 from ledgerloom.sources.files import read_table
 
@@ -167,6 +168,149 @@ def test_campaign_paths_cost_what_they_say(spark):
         assert abs(sum(weights[p] for p in zip(steps, steps[1:], strict=False)) - r["final_cost"]) < 1e-6
 
 
+def test_flow_outputs(spark):
+    options = spark.createDataFrame([("P", "Frasco", "A", "Ana", 2.0, 5.0, 5.0), ("P", "Frasco", "B", "Beto", 3.0, 2.0, 10.0), ("Q", "Tapa", "A", "Ana", 1.0, 1.0, 5.0)], "product_id string, product_name string, supplier_id string, supplier string, unit_cost double, capacity_units double, supplier_capacity double")
+    demand = spark.createDataFrame([("P", 8.0), ("R", 1.0)], "product_id string, quantity double")
+    flow = optimise.min_cost_flow(options, demand)
+    assert sorted((r["product_name"], r["supplier"], r["units"], r["line_cost"]) for r in optimise.flow_lines(flow, options).collect()) == [("Frasco", "Ana", 5.0, 10.0), ("Frasco", "Beto", 2.0, 6.0)]
+    assert sorted((r["product_id"], r["shortfall"]) for r in optimise.flow_unmet(flow, demand).collect()) == [("P", 1.0), ("R", 1.0)]
+    assert tuple(optimise.flow_totals(flow, demand).first()) == (9.0, 7.0, 16.0, 2, 2)
+    network = {(r["source"], r["target"]): (r["capacity"], r["flow"]) for r in optimise.flow_network(flow, options, demand).collect()}
+    assert network == {("SOURCE", "P:P"): (8.0, 7.0), ("SOURCE", "P:R"): (1.0, 0.0), ("P:P", "S:A"): (5.0, 5.0), ("P:P", "S:B"): (2.0, 2.0), ("S:A", "SINK"): (5.0, 5.0), ("S:B", "SINK"): (10.0, 2.0)}
+    assert [tuple(r)[:4] + tuple(r)[6:] for r in optimise.flow_steps(flow, demand).orderBy("step").collect()] == [(1, "P", "A", 5.0, 10.0, 3.0), (2, "P", "B", 2.0, 16.0, 1.0)]
+
+
+def test_parts_too_large_to_solve_are_an_error(spark):
+    options = spark.createDataFrame([("P", "A", 1.0, 5.0, 5.0), ("Q", "A", 1.0, 5.0, 5.0), ("P", "B", 2.0, 9.0, 9.0)], "product_id string, supplier_id string, unit_cost double, capacity_units double, supplier_capacity double")
+    demand = spark.createDataFrame([("P", 5.0), ("Q", 5.0)], "product_id string, quantity double")
+    with pytest.raises(ValueError, match="at most 2"):
+        optimise.min_cost_flow(options, demand, most=2)
+
+
+def test_long_chains(spark):
+    n = 40
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", 1.0) for i in range(n)] + [("n000", "z", 1.0)], "source string, target string, weight double")
+    assert paths.shortest_path(chain, "n000", f"n{n:03d}") == [f"n{i:03d}" for i in range(n + 1)]
+    assert paths.hop_distances(chain, "n000").agg(F.max("hops")).first()[0] == n
+    assert paths.heaviest_connection(chain, "z", f"n{n:03d}", "weight") == (["z", *(f"n{i:03d}" for i in range(n + 1))], n + 1.0)
+
+
+def test_numbered(spark):
+    rows = [(i % 7, i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(6), "n", F.desc("a"), "b").collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r["n"] for r in got) == list(range(1, 501))
+
+
+def test_spanning_display(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", round(rng.random(), 6)) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.5], "source string, target string, weight double")
+    considered, metrics = paths.kruskal_view(edges, None)
+    shown = paths.spanning_display(considered, 20).orderBy("step").collect()
+    assert metrics["tree_edges"] == 29 and len(shown) == 20 and [r["step"] for r in shown] == list(range(1, 21))
+    assert sum(not r["accepted"] for r in shown) == 6 and all(x["considered_step"] < y["considered_step"] for x, y in zip(shown, shown[1:], strict=False))
+    assert paths.spanning_display(considered, 100).where("accepted").count() == 29
+
+
+def test_hot_products_of_the_projection(spark, monkeypatch):
+    sold = spark.createDataFrame([(f"s{i}", p) for i in range(40) for p in range(12) if (i * p) % 5 != 1], "entity_norm string, product_id int")
+    want = sorted(map(tuple, graphs.supplier_projection(sold).collect()))
+    monkeypatch.setattr(graphs, "PROJECTED", 3)
+    assert sorted(map(tuple, graphs.supplier_projection(sold).collect())) == want and want
+
+
+def test_names_that_may_be_alike(spark):
+    rng = random.Random(2)
+    words = ["TAPA", "FRASCO", "PET", "ANDINA", "SAC", "A", "LIMA"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(80)] + ["".join(rng.choice("ABCDE") for _ in range(rng.randint(1, 9))) for _ in range(80)] + ["", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for text in ("TAPA PET", "ABCA", "FRASCOS"):
+        able = {r["n"] for r in df.where(T.may_reach(text, F.col("n"), 0.5)).collect()}
+        assert {n for n in names if n and T.token_set_ratio(text, n) >= 0.5} <= able and len(able) < len(set(names)) - 5
+
+
+def test_suppliers_by_name(spark):
+    suppliers = spark.createDataFrame([("10", "Andina Tapas SRL"), ("11", "Lima Envases"), ("12", "Nexo")], "supplier_id string, supplier string")
+    projection = spark.createDataFrame([("10", "11", 4, 0.5, 0.4, 0.3), ("10", "12", 2, 0.2, 0.9, 0.1)], "source string, target string, shared_products int, source_coverage double, target_coverage double, similarity double")
+    families = spark.createDataFrame([("F001", "10", 3), ("F001", "11", 3), ("F001", "12", 3)], "family_id string, supplier_id string, family_size int")
+    got = recommend.substitutes_for(suppliers, projection, families, "lima envase").collect()
+    assert [(r["supplier_id"], r["supplier_name"], r["coverage"], r["matched_id"], r["match_score"], r["family_id"]) for r in got] == [("10", "Andina Tapas SRL", 0.4, "11", 0.92, "F001")]
+    assert recommend.substitutes_for(suppliers, projection, families, "zzzzzz").collect() == [] and recommend.suggestions(suppliers, "nexos").first()["supplier"] == "Nexo"
+
+
+def test_find_node(spark):
+    nodes = spark.createDataFrame([("CLIENT:9", "CLIENT", "Señor Núñez"), ("SUPPLIER:1", "SUPPLIER", "Nunez SA"), ("CLIENT:2", "CLIENT", "Otro")], "node_id string, node_type string, label string")
+    assert search.find_node(nodes, "nuñez") == "CLIENT:9" and search.find_node(nodes, "NUNEZ", "SUPPLIER") == "SUPPLIER:1" and search.find_node(nodes, "x y") is None and search.find_node(nodes, "client:2") is None
+
+
+def test_dates(spark):
+    cases = {
+        "15/03/2024": "2024-03-15", "2024-3-5": "2024-03-05", "05-03-2024 10:20": "2024-03-05", "2024/03/15": "2024-03-15", "15.03.2024": "2024-03-15", "15 Mar 2024": "2024-03-15", "15 march 2024": "2024-03-15", "March 15, 2024": "2024-03-15",
+        "20240315": "2024-03-15", "03/25/2024": "2024-03-25", "2024-03-15T08:00:00Z": "2024-03-15", "5/3/24": "2024-03-05", "1st Jan 2024": "2024-01-01", "hello": None, "": None, None: None, "32/13/2024": None,
+    }
+    got = {r["t"]: str(r["d"]) if r["d"] else None for r in spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.parse_date(F.col("t")).alias("d")).collect()}
+    assert got == cases
+
+
+def test_rule_additions():
+    raw = {"attribute_rules": {"shape": {"rules": [{"keywords": ["redondo"], "value": "Muy Redondo", "confidence": 7}, {"keywords": [], "value": "x"}, "bad"]}, "product_type": {"rules": [{"keywords": ["a"], "value": "b"}]}, "feature": {"method": "eval", "rules": []}}, "material_rules": [{"keyword": "vidrio", "material": "glass"}, {"keyword": "", "material": "x"}], "color_keywords": ["rojo", "x1"]}
+    got = attributes.sanitize_additions(raw)
+    assert got["attribute_rules"] == {"shape": {"method": "keyword_first_match", "rules": [{"keywords": ["REDONDO"], "value": "muy_redondo", "confidence": 1.0}]}}
+    assert got["material_rules"] == [{"keyword": "VIDRIO", "material": "GLASS", "family": "GLASS", "confidence": 0.94}] and got["color_keywords"] == ["ROJO"]
+    with pytest.raises(ValueError):
+        attributes.sanitize_additions([])
+    assert attributes.extract_json_object('```json\n{"a": 1}\n```') == attributes.extract_json_object('sure: {"a": 1} ok') == {"a": 1}
+    with pytest.raises(ValueError):
+        attributes.extract_json_object("none")
+
+
+def test_sample_descriptions(spark):
+    products = spark.createDataFrame([(i, "FRASCO " + "X" * (i % 9) + f" {i % 20}") for i in range(60)], "product_id int, product_name string")
+    found = attributes.extract_attributes(products)
+    names = [r[0] for r in attributes.sample_descriptions(products, found, 12).collect()]
+    assert len(names) == len(set(names)) == 12 and attributes.sample_descriptions(products, found, 500).count() == len({r[1] for r in products.collect()})
+
+
+def test_rule_methods_and_sizes(spark):
+    rules = {"attribute_rules": {"shape": {"method": "contains_any", "rules": [{"keywords": ["CUADRADO", "LISO"], "value": "v1"}, {"keywords": ["LISO"], "value": "v2"}]}, "accessory": {"method": "not_contains_any", "rules": [{"keywords": ["TAPA"], "value": "sin_tapa"}]}}}
+    df = spark.createDataFrame([(1, "Caja liso 10 x 20 cm"), (2, "Frasco con tapa")], "product_id int, product_name string")
+    got = {r["product_id"]: r for r in attributes.extract_attributes(df, rules).collect()}
+    assert (got[1]["shape"], got[1]["accessory"], got[1]["size_text"]) == ("v1|v2", "sin_tapa", "10 X 20 CM") and (got[2]["shape"], got[2]["accessory"], got[2]["size_text"]) == (None, None, None)
+
+
+def test_small_functions(spark):
+    row = spark.createDataFrame([('{"a": 0.5}', 1500, 250, 7, "ANDINA tapas s.a.")], "j string, a long, b long, c long, n string").select(
+        T.parse_confidence(F.col("j")).alias("j"), *(T.package_label(F.col(c)).alias(c) for c in "abc"), T.readable_supplier_name(F.col("n")).alias("n")).first()
+    assert (row["j"], row["a"], row["b"], row["c"], row["n"]) == ({"a": 0.5}, "1.5 millares", "2 cientos", "7 unidades", "Andina Tapas SA")
+
+
+def test_budget_takes_lots_or_catalogue(spark):
+    options = spark.createDataFrame([("P", "A", 2.0, 5.0)], "product_id string, supplier string, unit_cost double, capacity_units double")
+    products = spark.createDataFrame([("P", "Frasco", 5.0, 9.0, 2.0)], "product_id string, product_name string, unit_price_sale double, stock double, unit_cost_purchase double")
+    items = spark.createDataFrame([("P", 3.0, 6.0)], "product_id string, quantity double, value double")
+    assert {"lot", "selected"} <= set(optimise.optimise_budget(options, products, items, 100.0).columns) and optimise.optimise_budget(None, products, items, 100.0).first()["units"] == 3
+
+
+def test_quoted_line_ends_and_order_of_files(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a;b\n1;"one\ntwo"\n2;"say ""x"""\n', "utf-8")
+    assert [(r["a"], r["b"]) for r in read_table(spark, f"{tmp_path}/q.csv").orderBy("_ord").collect()] == [("1", "one\ntwo"), ("2", 'say "x"')]
+    (tmp_path / "many").mkdir()
+    for k, n in ((0, 5), (1, 4000), (2, 3)):
+        (tmp_path / "many" / f"f{k}.csv").write_text("x,y\n" + "".join(f"{k * 10000 + i},t\n" for i in range(n)), "utf-8")
+    got = [int(r["x"]) for r in read_table(spark, f"{tmp_path}/many").orderBy("_ord").collect()]
+    assert got == sorted(got) and len(got) == 4008
+    (tmp_path / "bar.csv").write_text("a|b\n1|2\n", "utf-8")
+    (tmp_path / "one.csv").write_text("a\n1\n", "utf-8")
+    assert read_table(spark, f"{tmp_path}/bar.csv").columns[:2] == ["a", "b"] and read_table(spark, f"{tmp_path}/one.csv").columns[0] == "a"
+
+
+def test_export(spark, tmp_path):
+    catalog = Catalog(spark, f"{tmp_path}/store")
+    catalog.write_table("d1", "t", spark.createDataFrame([(1, "x, y"), (2, None)], "a int, b string"))
+    catalog.export_csv("d1", "t", f"{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.csv(f"{tmp_path}/out", header=True).collect())) == [("1", "x, y"), ("2", None)]
+    assert {"loaded_at", "updated_at", "bytes"} <= set(catalog.datasets().columns)
+
+
 def _fixture(folder, n=12, coordinates=True):
     (folder / "p.csv").write_text("CODIGO INTERNO;DESCRIPCIÓN;STOCK ACTUAL DISPONIBLE;PRECIO COMPRA UNITARIO (CON IGV);VALOR VENTA UNITARIO (SIN IGV)\n" + "".join(f"P{i};FRASCO VIDRIO {10 + i}ML;{i};{1 + i},5;{2 + i},5\n" for i in range(n)), "utf-8-sig")
     place = ";LATITUD;LONGITUD" if coordinates else ""
@@ -182,7 +326,10 @@ def test_build(spark, tmp_path):
     catalog = Catalog(spark, f"{tmp_path}/store")
     out = build_dataset(spark, catalog, *files, today="2025-01-01")
     assert out.status == "ready" and {"business_edges", "attribute_edges", "logistics_edges", "supplier_families", "campaign_best"} <= set(out.generated) and out.row_counts == {"products": 12, "sales": 11, "purchases": 24}
-    assert dataset_summary(catalog, out.dataset_id)["row_counts"]["sales"] == 11 and graph_summary(catalog, out.dataset_id).count() > 0
+    assert dataset_summary(catalog, out.dataset_id)["row_counts"]["sales"] == 11
+    sizes = {(r["graph"], r["metric"]): r["n"] for r in graph_summary(catalog, out.dataset_id).collect()}
+    assert {"G_attr", "G_business", "G_sales", "G_purchases", "supplier_projection", "offers", "flow", "logistics", "all"} == {g for g, _ in sizes} and sizes["all", "nodes_PRODUCT"] == 12
+    assert catalog.read_json(out.dataset_id, "normalization_report")["thresholds"]["rows"] == 10
     assert [r["dataset_id"] for r in catalog.datasets().collect()] == [out.dataset_id] and "supply_options" in catalog.artifacts(out.dataset_id)
     assert catalog.delete(out.dataset_id)
     with pytest.raises(FileNotFoundError):
