@@ -9,160 +9,75 @@ sum to one (a2 is 0 after an unseen word). The weights a2, a1, a0 depend on the
 in BUCKETS powers of four, and are learned by expectation-maximisation on held-out counts: training documents of
 one more fold are scored with the counts of the others.
 
-Counts cover every word and pair of every training document. The VOCABULARY most frequent words are broadcast with
-their counts; this only decides how a pair travels. Pairs of two such words are dealt by key range in packed
-form, each chunk's pairs summed first. Any other pair is a row dealt by a word behind the vocabulary, which meets its count
-there and its equals beside it. The held-out tokens enter EM as a histogram of their two ratios, which has
-a fixed size. Pairs with more than one count in 2**20 of all are at most 2**20; those are broadcast with their counts,
-so that no frequent pair travels. The other pairs of a text travel packed to their range and come
-back, packed, as one sum per document to the chunk that they left.
+Counts cover every word and every pair of every training document. A chunk of documents sends the hashes of its different words and pairs
+with how often its training documents have them, and gets the counts of the whole corpus back (see exchange), whatever
+the size of the vocabulary. With its counts a chunk is written once, its texts as numbers of its words; the held-out tokens enter EM as a histogram of
+their two ratios, which has a fixed size, and with the weights each chunk's texts are scored where they lie.
+
+Words and pairs are told apart by hashes; one in 2^25 or fewer falls together with another one (up to corpora of 2^38 bytes, and with 64 bits beyond them).
 
 Defined edge cases: a null or empty text is its end token; null ids are scored and form the fold of the empty string;
-repeated rows count as often as they occur; with no training tokens the model is uniform; other columns are ignored.
+repeated rows count as often as they occur and get one score each; with no training tokens the model is uniform; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.tables import materialise
-from .packed import FIELDS, batch, by_range, pack, ranges_for, unpack
-from .textbatch import Numbering, flat, fold, map_texts, mix
+from .exchange import corpus_bytes, distinct, exchange, key_mask, planes, unplanes
+from .textbatch import fold, mix, word_hashes
 
-VOCABULARY, HOT_PAIRS, BUCKETS, CELLS = 1 << 18, 1 << 20, 10, 48
+BUCKETS, CELLS = 10, 48
 FOLDS, SCORED_FOLD, HELD_FOLD = 7, 2, 3
 END_HASH = 0x454E44
+_STEP, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+CHUNK = (
+    "doc_id array<long>, part array<long>, ends array<int>, tokens binary, counts binary, pairs binary, "
+    "cell array<int>, n array<double>, p2 array<double>, c1 array<double>, totals array<double>"
+)
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens, END_HASH first; every token's place among them, with the end behind each
-    document; and the offsets of the documents."""
-    number = Numbering()
-    at, offsets = flat([t.lower().split() for t in texts], number, np.int64)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
-    return np.insert(hashes, 0, np.uint64(END_HASH)), np.insert(at + 1, offsets[1:], 0), offsets + np.arange(len(offsets))
-
+    """Hashes of the different tokens; every token's place among them, with the end (place 0) behind each document; and the
+    offsets of the documents."""
+    hashes, at, offsets = word_hashes(texts, lower=True)
+    return mix(np.insert(hashes, 0, np.uint64(END_HASH))), np.insert(at + 1, offsets[1:], 0), offsets + np.arange(len(offsets))
 
-def word_counts(docs: DataFrame, folds: int, scored: int, held: int) -> DataFrame:
-    """(word, c, h): training count of each token hash, and the part of it in the fold held out for EM."""
 
-    def count(kept, texts):
-        words, at, offsets = _tokens(texts)
-        part = np.repeat(kept[0].to_numpy(zero_copy_only=False), np.diff(offsets))
-        n, h = np.bincount(at[part != scored], minlength=len(words)), np.bincount(at[part == held], minlength=len(words))
-        some = n > 0
-        return pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(n[some], pa.int64()), pa.array(h[some], pa.int64())], ["word", "n", "h"])
-
-    parts = docs.select(fold("doc_id", folds).alias("part"), "text")
-    return map_texts(parts, count, "word long, n long, h long", ("part",)).groupBy("word").agg(F.sum("n").alias("c"), F.sum("h").alias("h"))
-
-
-@dataclass
-class Symbols:
-    """The frequent words' hashes, sorted, and counts by symbol: ranks, then all other words together, then the end."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    held: np.ndarray
-    size: int  # S of the model: all different words, the end and an unseen word
-
-    @property
-    def tail(self) -> int:
-        return len(self.words)
-
-    @property
-    def end(self) -> int:
-        return len(self.words) + 1
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
-        return np.where(hashes == np.uint64(END_HASH), self.end, np.where(known, at, self.tail))
-
-
-def _symbols(words: DataFrame, vocabulary: int) -> Symbols:
-    real = words.where(F.col("word") != END_HASH)
-    top = real.orderBy(F.desc("c"), "word").limit(vocabulary).toArrow()  # bounded by the vocabulary
-    whole = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
-    end = words.where(F.col("word") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
-    hashes = top["word"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    c, h = top["c"].to_numpy()[order], top["h"].to_numpy()[order]
-    counts = np.concatenate((c, [whole["n"] - c.sum() - end["c"], end["c"]])).astype(np.int64)
-    held = np.concatenate((h, [whole["h"] - h.sum() - end["h"], end["h"]])).astype(np.int64)
-    return Symbols(hashes[order], counts, held, int(whole["v"]) - (end["c"] > 0) + 2)
-
-
-def _contexts(symbols: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
-    """The symbol (or hash) before each token; a document begins after an end."""
-    before = np.empty_like(symbols)
-    before[1:] = symbols[:-1]
-    before[offsets[:-1]] = end
+def _before(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The token before each one; a document begins after an end."""
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    before[offsets[:-1]] = 0
     return before
 
 
-def _bucket(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64) // 2 + (counts > 0), BUCKETS - 1)
-
-
-def _pairs(token: np.ndarray, offsets: np.ndarray, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """The pair that each token ends, and whether both words are frequent."""
-    before = _contexts(token, offsets, s.end)
-    return (before.astype(np.int64) << 20) | token, (before != s.tail) & (token != s.tail)
-
+def _keys(words: np.ndarray, at: np.ndarray, before: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The keys of a chunk, words first, then one pair for each token; and how they sort and differ. The lowest bit that is kept
+    tells words from pairs."""
+    flag = mask & (~mask + _ONE)
+    keys = np.concatenate((words & mask | flag, mix(words[before] * _STEP + words[at]) & mask & ~flag))
+    return keys, distinct(keys)
 
-def _dealt(pairs: np.ndarray, ranges: int) -> np.ndarray:
-    return ((mix(pairs.astype(np.uint64)) >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
-
-def _pair_counts(docs: DataFrame, symbols: Symbols, ranges: int, folds: int, scored: int, held: int) -> DataFrame:
-    """Packed rows of (pair, count) of two frequent words; the id field carries 1 for counts of the held-out fold."""
-    shared = docs.sparkSession.sparkContext.broadcast(symbols)
-
-    def count(kept, texts):
-        s = shared.value
-        words, at, offsets = _tokens(texts)
-        part = np.repeat(kept[0].to_numpy(zero_copy_only=False), np.diff(offsets))
-        token = s.of(words)[at]
-        pairs, whole = _pairs(token, offsets, s)
-        pairs, part = pairs[whole], part[whole]
-        rows = []
-        for flag, mine in ((0, (part != scored) & (part != held)), (1, part == held)):
-            keys, times = np.unique(pairs[mine], return_counts=True)
-            # a count is a key written once, and the exponents of its binary digits above it
-            for digit in range(int(times.max(initial=0)).bit_length()):
-                some = keys[times >> digit & 1 == 1]
-                rows += pack(some.astype(np.uint64), np.zeros(len(some), np.int64), _dealt(some, ranges), ranges, np.array([flag << 32 | digit], np.int64), np.zeros(1, np.int64), 5)
-        return batch(rows)
-
-    return map_texts(docs.select(fold("doc_id", folds).alias("part"), "text"), count, f"range int, {FIELDS}", ("part",))
-
-
-def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a range with their retained and held-out counts."""
-    keys, flags, _ = unpack(table, 5)
-    pairs, at = np.unique(keys, return_inverse=True)
-    times, own = (1 << (flags & 63)).astype(np.float64), flags >> 32 == 1
-    kept = np.bincount(at, times * ~own, len(pairs)).astype(np.int64)
-    return pairs.astype(np.int64), kept, np.bincount(at, times * own, len(pairs)).astype(np.int64)
+def _bucket(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64) // 2 + (counts > 0), BUCKETS - 1)
 
 
 def _cell(ratio: np.ndarray) -> np.ndarray:
-    """Half-octave cells of a ratio; 0 for none."""
+    """Half-octave cells of a ratio up to 1; 0 for none."""
     return np.where(ratio > 0, np.clip(2 * np.log2(np.maximum(ratio, 1e-300)) + CELLS, 1, CELLS).astype(np.int64), 0)
 
 
-def _cells(kept: np.ndarray, own: np.ndarray, before: np.ndarray, token: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Histogram of held-out tokens: how often each pair is held out, and retained counts of pair, context and token."""
-    pair_ratio, word_ratio, weight = kept / np.maximum(before, 1), token / n, own.astype(np.float64)
-    cells, at = np.unique((_bucket(before) * 64 + _cell(pair_ratio)) * 64 + _cell(word_ratio), return_inverse=True)
-    return {"cell": cells, "n": np.bincount(at, weight, len(cells)), "p2": np.bincount(at, weight * pair_ratio, len(cells)), "p1": np.bincount(at, weight * word_ratio, len(cells))}
+def _histogram(pair: np.ndarray, before: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
+    """Held-out tokens by retained counts of pair, context and token: cell, how many, sum of pair ratios, sum of token counts."""
+    ratio = pair / np.maximum(before, 1)
+    octave = np.where(token > 0, np.minimum(2 * np.log2(np.maximum(token, 1)).astype(np.int64) + 1, 127), 0)
+    cells, at = np.unique((_bucket(before) * 64 + _cell(ratio)) * 128 + octave, return_inverse=True)
+    return [cells, np.bincount(at, minlength=len(cells)), np.bincount(at, ratio, len(cells)), np.bincount(at, token, len(cells))]
 
 
 def learn_weights(cells: list, uniform: float, rounds: int = 100) -> np.ndarray:
@@ -190,170 +105,91 @@ def learn_weights(cells: list, uniform: float, rounds: int = 100) -> np.ndarray:
     return out
 
 
-def _rare_pairs(own: DataFrame, words: DataFrame, vocabulary: int, scored: int, held: int) -> DataFrame:
-    """(row, part, rare, kept, own, cu, hu, cw, hw) of each token that is in a pair with a word behind the vocabulary.
+def _counted(docs: DataFrame, scored: int, held: int) -> DataFrame:
+    """Chunks with their documents' tokens and all counts, held-out histograms, and totals."""
+    size = corpus_bytes(docs)
+    mask = key_mask(size, 26)
+    flag = mask & (~mask + _ONE)
+    end = mix(np.array([END_HASH], np.uint64))[0] & mask | flag
 
-    rare: whether the token itself is such a word; kept, own: retained and held-out count of the pair; cu, hu, cw, hw:
-    training and held-out counts of its words.
-    """
-    real = words.where(F.col("word") != END_HASH)
-    last = real.orderBy(F.desc("c"), "word").limit(vocabulary).orderBy("c", F.desc("word")).first()
-    behind = real.where((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > last["word"]))) if last else real
-    frequent = words.where((F.col("word") == END_HASH) | (F.col("c") > last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") <= last["word"]))) if last else words.where(F.col("word") == END_HASH)
-
-    def counts(table: DataFrame, word: str, c: str, h: str) -> DataFrame:
-        return table.select(F.col("word").alias(word), F.col("c").alias(c), F.col("h").alias(h))
-
-    u, w = ("before", "cu", "hu"), ("token", "cw", "hw")
-    pairs = own.select("row", "part", F.explode(F.arrays_zip("before", "token", "kind")).alias("x")).select("row", "part", "x.*")
-    # frequent words' counts are broadcast (at most the vocabulary and the end), so only rare words deal out rows
-    one = pairs.where("kind = 1").join(counts(behind, *u), "before", "left").join(F.broadcast(counts(frequent, *w)), "token", "left")
-    two = pairs.where("kind = 2").join(counts(behind, *w), "token", "left").join(F.broadcast(counts(frequent, *u)), "before", "left")
-    both = pairs.where("kind = 3").join(counts(behind, *w), "token", "left").join(counts(behind, *u), "before", "left")
-    same = Window.partitionBy("before", "token")
-    out = None
-    for part in (one, two, both):
-        part = part.select(
-            "row", "part", (F.col("kind") > 1).alias("rare"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cu", "hu", "cw", "hw")),
-            F.sum(((F.col("part") != scored) & (F.col("part") != held)).cast("long")).over(same).alias("kept"), F.sum((F.col("part") == held).cast("long")).over(same).alias("own"),
-        )
-        out = part if out is None else out.union(part)
-    return materialise(out)
-
-
-def score_texts(docs: DataFrame, folds: int = FOLDS, scored: int = SCORED_FOLD, held: int = HELD_FOLD, vocabulary: int = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
-
-    ``base_score`` is the unigram score with add-one counts over all words; both scores are log10. Documents of
-    the fold ``scored`` are scored but never learned from. Ids are expected to be unique; rows sharing one would
-    add up their pair scores, so they are told apart by an ordinal of their text's hash.
+    def send(kept, texts):
+        words, at, offsets = _tokens(texts)
+        part = np.repeat(kept[1].to_numpy(zero_copy_only=False), np.diff(offsets))
+        keys, (order, begins, which) = _keys(words, at, _before(at, offsets), mask)
+        times = np.zeros((2, len(begins)), np.int64)
+        for k, mine in enumerate(((part != scored) & (part != held), part == held)):
+            times[k] = np.bincount(which[at[mine]], minlength=len(begins)) + np.bincount(which[len(words):][mine], minlength=len(begins))
+        return keys[order[begins]], list(times), None
+
+    def tell(kept, texts):
+        words, at, offsets = _tokens(texts)
+        info = [kept[0].cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), kept[0].is_null().to_numpy(zero_copy_only=False).tobytes(), kept[1].to_numpy(zero_copy_only=False).astype("<i8").tobytes()]
+        return [*info, offsets.astype("<i4").tobytes(), words.tobytes(), planes(at)]
+
+    def answer(keys, kept, own):
+        order, begins, which = distinct(keys)
+        kept, own = (np.add.reduceat(x[order], begins) for x in (kept, own))
+        words = keys[order[begins]] & flag != 0
+        return [kept[which], own[which]], np.array([words @ kept, words @ own, (words & (kept + own > 0)).sum(), ((keys[order[begins]] == end) & (kept + own > 0)).sum()], np.float64)
+
+    def receive(info, answers):
+        names = [x.split(" ")[0] for x in CHUNK.split(", ")]
+        lists = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * 4]
+        if info is None:
+            row = [[], [], [], None, None, None, [], [], [], [], answers[0].tolist()]
+            return pa.table({k: pa.array([x], t) for k, x, t in zip(names, row, lists, strict=True)})
+        ids, null, part = np.frombuffer(info[0], "<i8"), np.frombuffer(info[1], bool), np.frombuffer(info[2], "<i8")
+        offsets, words = np.frombuffer(info[3], "<i4").astype(np.int64), np.frombuffer(info[4], "<u8")
+        at = unplanes(info[5], int(offsets[-1])).astype(np.int64)
+        before = _before(at, offsets)
+        _, (_, _, which) = _keys(words, at, before, mask)
+        kept, own = answers
+        w, p = which[: len(words)], which[len(words):]
+        mine = np.repeat(part == held, np.diff(offsets))
+        histogram = _histogram(kept[p[mine]], kept[w[before[mine]]], kept[w[at[mine]]])
+        total = kept + own
+        row = [[None if z else i for i, z in zip(ids.tolist(), null.tolist(), strict=True)], part, offsets, planes(at), planes(total[w]), planes(total[p]), *histogram, []]
+        return pa.table({k: pa.array([x], t) for k, x, t in zip(names, row, lists, strict=True)})
+
+    return materialise(exchange(docs, send, answer, receive, CHUNK, ("doc_id", "part"), size=size, tell=tell))
+
+
+def score_texts(docs: DataFrame, folds: int = FOLDS, scored: int = SCORED_FOLD, held: int = HELD_FOLD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token of every row.
+
+    ``base_score`` is the unigram score with add-one counts over all words; scores are log10. Documents of
+    the fold ``scored`` are scored but never learned from.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = materialise(word_counts(docs, folds, scored, held))
-    symbols = _symbols(words, vocabulary)
-    ranges = ranges_for(docs)
-    n, size = int(symbols.counts.sum()), symbols.size
-    retained = symbols.counts - symbols.held
-    n_retained = max(int(retained.sum()), 1)
-    kept_counts = spark.sparkContext.broadcast(retained)
-    shared = spark.sparkContext.broadcast(symbols)
-    limit = n / HOT_PAIRS
-    # a key of 63 bits for each row: rows that share an id but not the text stay apart
-    row = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2)
-    keyed = docs.select("doc_id", row.alias("row"), fold("doc_id", folds).alias("part"), "text")
-
-    def local(kept, texts):
-        s = shared.value
-        words, place, offsets = _tokens(texts)
-        token, hashes = s.of(words)[place], words[place]
-        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        known = token != s.tail
-        base = np.bincount(doc[known], np.log10(s.counts[token[known]] + 1), len(texts))
-        n_known = np.bincount(doc[known], s.counts[token[known]] > 0, len(texts)).astype(np.int64)
-        kind = ((_contexts(token, offsets, s.end) == s.tail) + 2 * ~known).astype(np.int8)
-        some = np.flatnonzero(kind)
-        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[some], minlength=len(texts))))).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (_contexts(hashes, offsets, np.uint64(END_HASH))[some].view(np.int64), hashes[some].view(np.int64), kind[some])]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets), pa.int64()), pa.array(n_known), pa.array(base), *lists], ["doc_id", "row", "part", "n_tokens", "n_known", "base", "before", "token", "kind"])
-
-    own = materialise(map_texts(keyed, local, "doc_id long, row long, part long, n_tokens long, n_known long, base double, before array<long>, token array<long>, kind array<byte>", ("doc_id", "row", "part")))
-    rare = _rare_pairs(own, words, vocabulary, scored, held)
-
-    def sums(table: pa.Table) -> pa.Table:
-        pairs, kept, own = _summed(table)
-        before, token = pairs >> 20, pairs & 0xFFFFF
-        hot = kept + own > limit
-        some = own > 0
-        c = kept_counts.value
-        cells = _cells(kept[some], own[some], c[before[some]], c[token[some]], n_retained)
-        of = {"cell": np.full(hot.sum(), -1), "n": (kept + own)[hot].astype(np.float64), "p2": np.zeros(hot.sum()), "p1": np.zeros(hot.sum())}
-        return pa.table({k: pa.array(np.concatenate((cells[k], of[k]))) for k in of} | {"pair": pa.array(np.concatenate((np.zeros(len(cells["cell"]), np.int64), pairs[hot])), pa.int64())})
-
-    def rare_cells(batches):
-        for b in batches:
-            c = {k: b.column(k).to_numpy() for k in ("kept", "cu", "hu", "cw", "hw")}
-            cells = _cells(c["kept"], np.ones(b.num_rows), c["cu"] - c["hu"], c["cw"] - c["hw"], n_retained)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells.values()], list(cells))
-
-    found = materialise(by_range(_pair_counts(docs, symbols, ranges, folds, scored, held), sums, "cell long, n double, p2 double, p1 double, pair long"))
-    cells = found.where("cell >= 0").drop("pair").union(rare.where(F.col("part") == held).mapInArrow(rare_cells, "cell long, n double, p2 double, p1 double"))
-    histogram = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()  # BUCKETS * 64 * 64 at most
-    weights = learn_weights([(r["cell"] >> 12, r["n"], r["p2"], r["p1"]) for r in histogram], 1 / size)
-    frequent = found.where("cell < 0").select("pair", F.col("n").cast("long").alias("n")).toArrow()  # HOT_PAIRS at most
-    hot = np.stack((frequent["pair"].to_numpy(), frequent["n"].to_numpy()), 1)
-    hot = hot[np.argsort(hot[:, 0])]
-    model = spark.sparkContext.broadcast((weights, hot))
-
-    def log_p(before: np.ndarray, token: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Of training counts of context, token and pair."""
-        mixed = model.value[0][_bucket(before)]
-        return np.log10(mixed[:, 0] * times / np.maximum(before, 1) + mixed[:, 1] * token / max(n, 1) + mixed[:, 2] / size)
-
-    def log_pairs(pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
-        c = shared.value.counts
-        return log_p(c[pairs >> 20], c[pairs & 0xFFFFF], times)
-
-    def travel(kept, texts):
-        s, hot_pairs = shared.value, model.value[1]
-        ids = kept[0].to_numpy(zero_copy_only=False).astype(np.int64)
-        words, place, offsets = _tokens(texts)
-        pairs, whole = _pairs(s.of(words)[place], offsets, s)
-        at = np.minimum(np.searchsorted(hot_pairs[:, 0], pairs), max(len(hot_pairs) - 1, 0))
-        is_hot = whole & (hot_pairs[at, 0] == pairs) if len(hot_pairs) else np.zeros(len(pairs), bool)
-        cold = np.flatnonzero(whole & ~is_hot)
-        train = (kept[1].to_numpy(zero_copy_only=False) != scored).astype(np.int64)
-        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        sums = np.bincount(doc[is_hot], log_pairs(pairs[is_hot], hot_pairs[at[is_hot], 1]), len(texts)) if is_hot.any() else np.zeros(len(texts))
-        # the id field carries the row's own key and whether it was learned from; a row without keys, the frequent pairs' sums
-        rows = list(pack(pairs[cold].astype(np.uint64), cold, _dealt(pairs[cold], ranges), ranges, ids << 1 | train, offsets[:-1], 5))
-        return batch([*rows, (int(ids[0] % ranges), b"", b"", ids.tobytes(), sums.tobytes())], int(ids[0]))
-
-    def meet(table: pa.Table) -> pa.Table:
-        keyless = pc.equal(pc.binary_length(table.column("keys")), 0)
-        done, table = table.filter(keyless), table.filter(pc.invert(keyless))
-        chunks = done.column("chunk").to_pylist() + table.column("chunk").to_pylist()
-        docs_of = [np.frombuffer(x, np.int64) for x in done.column("ids").to_pylist()]
-        sums = [np.frombuffer(x, np.float64) for x in done.column("starts").to_pylist()]
-        if table.num_rows:
-            keys, ids, _ = unpack(table, 5)
-            pairs, at = np.unique(keys, return_inverse=True)
-            learned = np.bincount(at, ids & 1, len(pairs))
-            value = log_pairs(pairs.astype(np.int64), learned)[at]
-            # one answer for each packed row, in its documents' order
-            begin = 0
-            for width in [len(k) // 5 for k in table.column("keys").to_pylist()]:
-                rows, of = np.unique(ids[begin : begin + width] >> 1, return_inverse=True)
-                docs_of.append(rows)
-                sums.append(np.bincount(of, value[begin : begin + width], len(rows)))
-                begin += width
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "rows": pa.array(docs_of, pa.list_(pa.int64())), "sums": pa.array(sums, pa.list_(pa.float64()))})
-
-    def gather(table: pa.Table) -> pa.Table:
-        rows, of = np.unique(table.column("rows").combine_chunks().flatten().to_numpy(), return_inverse=True)
-        return pa.table({"row": pa.array(rows), "whole": pa.array(np.bincount(of, table.column("sums").combine_chunks().flatten().to_numpy(), len(rows)))})
-
-    answers = by_range(map_texts(keyed, travel, f"range int, {FIELDS}, chunk long", ("row", "part")), meet, "chunk long, rows array<long>, sums array<double>")
-    whole = answers.groupBy("chunk").applyInArrow(gather, "row long, whole double").groupBy("row").agg(F.sum("whole").alias("whole"))
-
-    def rare_sums(batches):
+    chunks = _counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id", folds).alias("part"), "text"), scored, held)
+    totals = np.zeros(4)
+    for r in chunks.where(F.size("totals") > 0).select("totals").collect():  # 64 rows at most
+        totals += r["totals"]
+    n_kept, n_own, different, ends = (int(x) for x in totals)
+    n, size = n_kept + n_own, different - (ends > 0) + 2
+    cells = chunks.select(F.explode(F.arrays_zip("cell", "n", "p2", "c1")).alias("x")).select("x.*").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "c1"))).orderBy("cell").collect()  # BUCKETS * 64 * 128 at most
+    weights = learn_weights([(r["cell"] >> 13, r["n"], r["p2"], r["c1"] / max(n_kept, 1)) for r in cells], 1 / size)
+    floor = float(np.log10(n + different + 1))
+
+    def score(batches):
         for b in batches:
-            c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("row", "rare", "kept", "own", "cu", "cw")}
-            rows, of = np.unique(c["row"], return_inverse=True)
-            values = (log_p(c["cu"], c["cw"], c["kept"] + c["own"]), c["rare"] * (c["cw"] > 0), c["rare"] * np.log10(c["cw"] + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.bincount(of, v, len(rows))) for v in values)], ["row", "rare", "rare_known", "rare_base"])
-
-    tails = rare.mapInArrow(rare_sums, "row long, rare double, rare_known double, rare_base double").groupBy("row").agg(*(F.sum(c).alias(c) for c in ("rare", "rare_known", "rare_base")))
-    lows = float(np.log10(n + words.count() + 1))
-    copies = own.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    # what was summed over rows of equal id and text is shared among them
-    each = {c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies") for c in ("whole", "rare", "rare_known", "rare_base")}
-    return (
-        own.drop("before", "token", "kind").join(copies, "row").join(whole, "row", "left").join(tails, "row", "left")
-        .select(
-            "doc_id", (F.col("part") == scored).alias("held_out"), "n_tokens",
-            (F.col("n_known") + F.round(each["rare_known"]).cast("long")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + each["rare_base"] - F.col("n_tokens") * lows).alias("base_score"),
-            (each["whole"] + each["rare"]).alias("score"),
-        )
-    )
+            for row in b.to_pylist():
+                offsets = np.array(row["ends"], np.int64)
+                lengths = np.diff(offsets)
+                at = unplanes(row["tokens"], int(offsets[-1])).astype(np.int64)
+                counts = unplanes(row["counts"], int(at.max()) + 1).astype(np.int64)
+                pair = unplanes(row["pairs"], len(at)).astype(np.float64)
+                token, context = counts[at], counts[_before(at, offsets)]
+                mixed = weights[_bucket(counts)][_before(at, offsets)]
+                p = mixed[:, 0] * pair / np.maximum(context, 1) + mixed[:, 1] * token / max(n, 1) + mixed[:, 2] / size
+                total = np.add.reduceat(np.log10(p), offsets[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["doc_id"], pa.int64()), pa.array(np.array(row["part"]) == scored), pa.array(lengths), pa.array(np.add.reduceat((token > 0).astype(np.int64), offsets[:-1])),
+                        pa.array(np.full(len(lengths), n)), pa.array(np.add.reduceat(np.log10(counts + 1)[at], offsets[:-1]) - lengths * floor), pa.array(total), pa.array(total / lengths),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_per_token"],
+                )
+
+    rows = chunks.where(F.size("totals") == 0).select("doc_id", "part", "ends", "tokens", "counts", "pairs")
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double")

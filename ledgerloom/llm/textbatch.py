@@ -85,6 +85,22 @@ def flat(per_doc: list[list], table: dict, dtype) -> tuple[np.ndarray, np.ndarra
     return values, offsets
 
 
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the different words, the most frequent first, which of them each word of all documents is, and the documents' offsets."""
+    number = Numbering()
+    get = number.__getitem__
+    parts = []
+    for t in texts:  # one text's words at a time
+        words = (t.lower() if lower else t).split()
+        parts.append(np.fromiter(map(get, words), np.int32, len(words)))
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+    at = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    order = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))[order], place[at], offsets
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1
