@@ -12,6 +12,7 @@ each; extra columns are ignored; without labels of both classes every score is t
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,20 +83,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(bags) / self.temperature, -40, 40)))
 
 
-def _choose(found: np.ndarray, positive: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """The TERMS terms whose document counts differ most between the classes, in standard errors.
-
-    One entry per document and term: its hash and label.
-    """
-    known, inverse, total = np.unique(found, return_inverse=True, return_counts=True)
-    pos = np.bincount(inverse[positive], minlength=len(known))
-    neg = total - pos
+def _choose(counts: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
+    """The TERMS terms of (term, pos, neg) whose document counts differ most between the classes, in standard errors."""
     p, n = max(1, n_pos), max(1, n_neg)
-    rate = (total + 1) / (p + n + 2)
-    z = np.abs(pos / p - neg / n) / np.sqrt(rate * (1 - np.minimum(rate, 0.999)) * (1 / p + 1 / n))
-    z[total < MIN_DOCS] = -1
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    return np.sort(known[best[z[best] > 0]])
+    pos, neg = F.col("pos"), F.col("neg")
+    rate = (pos + neg + 1) / F.lit(float(p + n + 2))
+    z = F.abs(pos / p - neg / n) / F.sqrt(rate * (1 - F.least(rate, F.lit(0.999))) * (1 / p + 1 / n))
+    best = counts.where(pos + neg >= MIN_DOCS).select("term", z.alias("z")).where("z > 0").orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
 
 def _train(bags: list, y: np.ndarray, w: np.ndarray, n_terms: int, epochs: int = 12, batch: int = 64, rate: float = 0.05, seed: int = 3):
@@ -131,28 +126,39 @@ def _train(bags: list, y: np.ndarray, w: np.ndarray, n_terms: int, epochs: int =
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
-    """Fit on about ``per_class`` labelled rows of each class; the driver holds their term hashes only."""
-    sample = labelled_sample(docs, labels, label, per_class)
+    """Fit on about ``per_class`` labelled rows of each class; terms are counted and chosen by Spark, and the driver holds how often a document has each chosen one."""
+    sample = labelled_sample(docs, labels, label, per_class).withColumn("part", fold("doc_id", 5))
 
-    def gather(kept, texts):
+    def count(kept, texts):
         bags = _bags(texts, word_terms)
-        return pa.RecordBatch.from_arrays([*kept, pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([n.astype(np.uint16).tobytes() for _, n in bags], pa.binary())], ["doc_id", "label", "weight", "t", "x"])
+        if not any(len(t) for t, _ in bags):
+            return None
+        positive = np.repeat(kept[0].to_numpy() == 1, [len(t) for t, _ in bags])
+        terms, at = np.unique(np.concatenate([t for t, _ in bags]), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), *(pa.array(np.bincount(at[mine], minlength=len(terms)).astype(np.int64)) for mine in (positive, ~positive))], ["term", "pos", "neg"])
+
+    sizes = Counter()
+    for r in sample.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["label"], r["part"] == 1] += r["n"]
+    total = {k: sizes[k, False] + sizes[k, True] for k in (0, 1)}
+    if not total[0] or not total[1]:
+        share = min(max(total[1] / sum(total.values()), 0.01), 0.99) if sum(total.values()) else 0.5
+        return ToxicityModel(np.zeros(0, np.uint64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)), 1.0)
+    counts = map_texts(sample.where("part <> 1"), count, "term long, pos long, neg long", ("label",)).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    known = _choose(counts, sizes[1, False], sizes[0, False])
+    model = ToxicityModel(known, 0.0, np.zeros(len(known)), np.zeros((len(known), FACTORS)), 1.0)
 
-    rows = map_texts(sample, gather, "doc_id long, label int, weight double, t binary, x binary", ("doc_id", "label", "weight")).withColumn("part", fold("doc_id", 5)).orderBy("doc_id").collect()
+    def gather(kept, texts):
+        bags = _bags(texts, lambda words: model.index(word_terms(words)))
+        return pa.RecordBatch.from_arrays([*kept, pa.array([t.astype(np.uint16).tobytes() for t, _ in bags], pa.binary()), pa.array([n.astype(np.uint16).tobytes() for _, n in bags], pa.binary())], ["doc_id", "label", "weight", "part", "t", "x"])
+
+    rows = map_texts(sample, gather, "doc_id long, label int, weight double, part long, t binary, x binary", ("doc_id", "label", "weight", "part")).orderBy("doc_id").collect()
     y = np.array([r["label"] for r in rows], np.float64)
     w = np.array([r["weight"] for r in rows], np.float64)
-    if not len(y) or y.min() == y.max():
-        share = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.5
-        return ToxicityModel(np.zeros(0, np.uint64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)), 1.0)
     w = w / w.mean()
-    sets = [(np.frombuffer(r["t"], np.uint64), 1 + np.log(np.frombuffer(r["x"], np.uint16))) for r in rows]
+    bags = [(np.frombuffer(r["t"], np.uint16).astype(np.int64), 1 + np.log(np.frombuffer(r["x"], np.uint16))) for r in rows]
     fit = np.array([r["part"] for r in rows]) != 1
     mine = np.flatnonzero(fit)
-    found = np.concatenate([sets[i][0] for i in mine])
-    positive = np.repeat(y[mine] == 1, [len(sets[i][0]) for i in mine])
-    known = _choose(found, positive, int(y[mine].sum()), int((1 - y[mine]).sum()))
-    model = ToxicityModel(known, 0.0, np.zeros(len(known)), np.zeros((len(known), FACTORS)), 1.0)
-    bags = [((k := model.index(t))[k > 0], x[k > 0]) for t, x in sets]
     model.bias, model.linear, model.factors = _train([bags[i] for i in mine], y[mine], w[mine], len(known))
     held = np.flatnonzero(~fit)
     model.temperature = temperature(model.logits([bags[i] for i in held]), y[held], w[held])
