@@ -1,8 +1,8 @@
 """Quality rules: fixed text statistics, then a logistic regression on hashed word and character n-grams.
 
-Features of a text are the relative frequencies of hashed words, of hashed word pairs and of hashed byte
-trigrams, WORD_ROWS + PAIR_ROWS + CHAR_ROWS rows in all, so a text's logit is the bias plus three means of learned
-weights; training minimises the weighted logistic loss with L2 on a bounded sample of labelled quality rows,
+Features of a text are the relative frequencies of hashed words, of hashed word pairs, of hashed byte
+trigrams and of word n-grams without their words (which of the BACK words before a word it equals), WORD_ROWS + PAIR_ROWS + CHAR_ROWS + 2 ** BACK
+rows in all, so a text's logit is the bias plus four means of learned weights; training minimises the weighted logistic loss with L2 on a bounded sample of labelled quality rows,
 and Platt scaling on rows kept out of it calibrates the probability. Texts are scored whole, in Arrow batches.
 
 Defined edge cases: null and empty texts have no words and fail the base rules (fewer than ten words); repeated rows
@@ -23,7 +23,8 @@ from .labelled import PER_CLASS, labelled_sample
 from .textbatch import Numbering, flat, fold, map_texts, mix, rolling
 
 WORD_ROWS, PAIR_ROWS, CHAR_ROWS = 1 << 14, 1 << 14, 1 << 14
-ROWS = WORD_ROWS + PAIR_ROWS + CHAR_ROWS
+BACK = 8
+ROWS = WORD_ROWS + PAIR_ROWS + CHAR_ROWS + (1 << BACK)
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
 
@@ -56,20 +57,24 @@ def rule_counts(texts: list[bytes]) -> dict[str, list[int]]:
     return out
 
 
-def _features(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Rows of the words, of the word pairs and of the byte trigrams of each text, with repeats."""
+def _features(texts: list[bytes]) -> tuple[list[np.ndarray], ...]:
+    """Rows of the words, of the word pairs, of the byte trigrams and of the equalities of each text, with repeats."""
     number = Numbering()
     at, offsets = flat([t.split() for t in texts], number, np.int64)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in number), np.uint64, len(number))[at] if len(at) else np.zeros(0, np.uint64)
     words = (hashes % np.uint64(WORD_ROWS)).astype(np.int32)
     pairs = (rolling(hashes, 2) % np.uint64(PAIR_ROWS)).astype(np.int32) + WORD_ROWS
     cuts = list(zip(offsets[:-1], offsets[1:], strict=True))
+    begin = np.repeat(offsets[:-1], np.diff(offsets))
+    equal = np.full(len(at), WORD_ROWS + PAIR_ROWS + CHAR_ROWS, np.int32)
+    for k in range(1, BACK + 1):
+        equal[k:] += ((hashes[k:] == hashes[:-k]) & (np.arange(k, len(at)) - k >= begin[k:])).astype(np.int32) << (k - 1)
     chars = []
     for t in texts:
         raw = np.frombuffer(t, np.uint8).astype(np.uint32)
         gram = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:] if len(raw) > 2 else raw[:0]
         chars.append(((gram * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32) + WORD_ROWS + PAIR_ROWS)
-    return [words[a:b] for a, b in cuts], [pairs[a : max(a, b - 1)] for a, b in cuts], chars
+    return [words[a:b] for a, b in cuts], [pairs[a : max(a, b - 1)] for a, b in cuts], chars, [equal[a:b] for a, b in cuts]
 
 
 @dataclass
@@ -91,9 +96,9 @@ class RuleModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -40, 40)))
 
 
-def _train(doc: np.ndarray, row: np.ndarray, value: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 150, rate: float = 0.5, l2: float = 1e-5):
-    """Full-batch Adagrad; a feature's value is scaled by its root mean square."""
-    scale = np.sqrt(np.bincount(row, value**2, ROWS) / max(len(y), 1)) + 1e-4
+def _train(doc: np.ndarray, row: np.ndarray, value: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 150, rate: float = 0.5, l2: float = 3e-3, floor: float = 0.1):
+    """Full-batch Adagrad; a feature's value is scaled by its root mean square, but a rare feature's hardly."""
+    scale = np.sqrt(np.bincount(row, value**2, ROWS) / max(len(y), 1)) + floor
     x = value / scale[row]
     theta, bias = np.zeros(ROWS), float(np.log((w @ y + 1) / (w @ (1 - y) + 1)))
     past, past_bias = np.full(ROWS, 1e-8), 1e-8
