@@ -1,10 +1,11 @@
 """Benchmark decontamination on template windows.
 
-Words become canonical tokens: numbers, units behind a number, and capitalised words inside a sentence (names) become the
+Words become canonical tokens: numbers, units behind a number, and runs of capitalised words inside a sentence (names, of one word or several) become the
 placeholders of their type; any other word is itself, in lower case and without surrounding punctuation. Windows of
 WINDOW tokens with at least LITERALS literal ones are hashed, and equal hashes joined, so that a question with other
 numbers or names still meets its template. A capitalised word that begins a sentence or a text may be a name or not: an item has
 windows for each reading (names leave half of the window literal), a document for none and for all of them as names.
+(A capitalised word that begins a sentence and stands before a name belongs to it.)
 Every window of an item, however few literals it has, also takes part word by word, so that a verbatim copy always meets. Along one alignment (document place minus item place) slots are
 judged one by one: a value of the item stands for the document's value that it most often meets (its own, if that ties), and
 different values may stand for the same. A window counts if it has the item's own values, or if half of
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -36,18 +38,34 @@ WINDOW, LITERALS, MIN_SHARE, MIN_TOKENS = 8, 5, 0.5, 20
 BLOCK_WINDOWS = 4_000_000
 _STRIP = ".,;:!?*#$%&|<>\"'()[]{}«»„“”‘’…-"
 _NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*[^\W\d_]{0,4}")
-#: Words for units of measure, and small numbers in words.
-UNITS = frozenset(
-    "mm cm m km kilometer kilometers kilometre kilometres meter meters metre metres mile miles inch inches foot feet ft yard yards "
-    "g kg mg gram grams kilogram kilograms pound pounds lb lbs ounce ounces oz ton tons tonne tonnes "
-    "ml cl l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hour hours day days week weeks "
-    "month months year years percent degrees degree celsius fahrenheit dollar dollars usd euro euros eur cent cents "
-    "kmh kph mph watt watts volt volts joule joules newton newtons kb mb gb tb".split()
-)
-NUMBER_WORDS = frozenset(
-    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
-)
+#: Words for units of measure, and small numbers in words, in English, German, French and Spanish (without those that are articles too).
+UNITS = frozenset([
+    "mm", "cm", "m", "km", "g", "kg", "mg", "ml", "cl", "l", "s", "h", "kmh", "kph", "mph", "kb", "mb", "gb", "tb", "kilometer", "kilometers",
+    "kilometre", "kilometres", "meter", "meters", "metre", "metres", "mile", "miles", "inch", "inches", "foot", "feet", "ft", "yard", "yards",
+    "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "lb", "lbs", "ounce", "ounces", "oz", "ton", "tons", "tonne", "tonnes", "liter",
+    "liters", "litre", "litres", "gallon", "gallons", "cup", "cups", "sec", "second", "seconds", "min", "minute", "minutes", "hour", "hours", "day",
+    "days", "week", "weeks", "month", "months", "year", "years", "percent", "degrees", "degree", "celsius", "fahrenheit", "dollar", "dollars", "usd",
+    "euro", "euros", "eur", "cent", "cents", "watt", "watts", "volt", "volts", "joule", "joules", "newton", "newtons",
+    "gramm", "kilogramm", "pfund", "tonnen", "sekunde", "sekunden", "minuten", "stunde", "stunden", "tag", "tage", "tagen", "woche", "wochen",
+    "monat", "monate", "monaten", "jahr", "jahre", "jahren", "prozent", "grad",
+    "mètre", "mètres", "kilomètre", "kilomètres", "gramme", "grammes", "kilogramme", "kilogrammes", "livre", "livres", "seconde", "secondes",
+    "heure", "heures", "jour", "jours", "semaine", "semaines", "mois", "an", "ans", "année", "années", "pourcent", "degré", "degrés", "centime",
+    "centimes",
+    "metro", "metros", "kilómetro", "kilómetros", "gramo", "gramos", "kilogramo", "kilogramos", "libra", "libras", "tonelada", "toneladas", "litro",
+    "litros", "segundo", "segundos", "minuto", "minutos", "hora", "horas", "día", "días", "semana", "semanas", "mes", "meses", "año", "años",
+    "grado", "grados", "dólar", "dólares", "céntimo", "céntimos",
+])
+NUMBER_WORDS = frozenset([
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand",
+    "million",
+    "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig",
+    "siebzig", "achtzig", "neunzig", "hundert", "tausend",
+    "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "vingt", "trente",
+    "quarante", "cinquante", "soixante", "cent", "mille",
+    "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce", "quince", "veinte", "treinta",
+    "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien", "mil",
+])
 _NUM, _UNIT, _NAME = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"<num>", b"<unit>", b"<name>"))
 
 
@@ -67,8 +85,34 @@ def _classes(words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return cores, hashes, bits
 
 
-def _readings(texts: list[bytes]):
-    """(cores, places of tokens in cores, offsets, literal hash and kind of each token, whether it may also be a name)."""
+@dataclass
+class _Reading:
+    """Tokens of a chunk of texts, one by one."""
+
+    offsets: np.ndarray  # where each text begins
+    literal: np.ndarray  # hash of each token
+    kind: np.ndarray  # 0 literal, 1 number, 2 unit, 3 name
+    either: np.ndarray  # whether a literal may be a name too
+    begin: np.ndarray  # the words of each token, among all words of the chunk
+    end: np.ndarray
+    words: list[str]
+
+    def value(self, q: int) -> str:
+        return " ".join(self.words[k] for k in range(self.begin[q], self.end[q]))
+
+
+class _Words(list):
+    """The words of a chunk: numbers of the different ones."""
+
+    def __init__(self, cores: list[str], at: np.ndarray):
+        self.cores, self.at = cores, at
+
+    def __getitem__(self, k: int) -> str:
+        return self.cores[self.at[k]]
+
+
+def _readings(texts: list[bytes]) -> tuple[_Reading, _Reading]:
+    """Word by word, and with placeholders, where a name of several words is one token."""
     number = Numbering()
     at, offsets = flat([t.split() for t in texts], number, np.int64)
     cores, hashes, bits = _classes(list(number))
@@ -78,10 +122,18 @@ def _readings(texts: list[bytes]):
     at, b, offsets = at[keep], b[keep], ahead[offsets]
     first = np.zeros(len(at) + 1, bool)
     first[offsets] = True
-    first = first[:-1]
+    ends, first = first[1:], first[:-1]
     before = np.concatenate(([8], b[:-1]))
     kind = np.where(b & 1, 1, np.where((b & 2 > 0) & (before & 1 > 0) & ~first, 2, np.where((b & 4 > 0) & (before & 8 == 0) & ~first, 3, 0)))
-    return cores, at, offsets, hashes[at] if len(at) else np.zeros(0, np.uint64), kind, (b & 4 > 0) & (kind == 0)
+    either = (b & 4 > 0) & (kind == 0)
+    literal = hashes[at] if len(at) else np.zeros(0, np.uint64)
+    words, place = _Words(cores, at), np.arange(len(at))
+    plain = _Reading(offsets, literal, np.zeros_like(kind), np.zeros_like(either), place, place + 1, words)
+    leads = either & (np.append(kind[1:], 0)[: len(kind)] == 3) & ~ends
+    kind = np.where(leads, 3, kind)
+    goes_on = (kind == 3) & (np.append(0, kind[:-1])[: len(kind)] == 3) & ~first
+    some = np.flatnonzero(~goes_on)
+    return plain, _Reading(np.concatenate(([0], np.cumsum(~goes_on)))[offsets], literal[some], kind[some], (either & ~leads)[some], some, np.append(some[1:], len(at))[: len(some)], words)
 
 
 def _template(literal: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -94,36 +146,40 @@ def _hashed(token: np.ndarray, width: int, window: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, n_tokens, at, width, hash, spots, slots (place and value of each slot) of all readings of all windows of all items."""
+    """item_id, n_tokens, at, first, last (the words that it covers), width, hash, spots, slots (place and value of each slot) of all readings of all windows of all items."""
 
     def cut(kept, texts):
         rows = []
-        cores, at, offsets, literal, kind, either = _readings(texts)
-        token = _template(literal, kind)
-        for item, a, b in zip(kept[0].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        plain, named = _readings(texts)
+        token = _template(named.literal, named.kind)
+        for k, item in enumerate(kept[0].to_pylist()):
+            a, b = plain.offsets[k : k + 2].tolist()
             width = min(window, b - a)
             if not width:
                 continue
-            plain, strict = _hashed(literal[a:b], width, window).tolist(), _hashed(token[a:b], width, window).tolist()
+            rows += [(item, b - a, p, p, p + width, width, h, [], []) for p, h in enumerate(_hashed(plain.literal[a:b], width, window).tolist())]
+            n, (a, b) = b - a, named.offsets[k : k + 2].tolist()
+            first, width = plain.offsets[k], min(window, b - a)
+            strict = _hashed(token[a:b], width, window).tolist()
             for p in range(a, b - width + 1):
-                slots = [q for q in range(p, p + width) if kind[q]]
-                names = [q for q in range(p, p + width) if either[q]]
-                found = {plain[p - a]: []}
-                if width - len(slots) >= literals:
-                    found[strict[p - a]] = slots
-                    for k in range(1, min(len(names), width - len(slots) - window // 2) + 1):
-                        for some in combinations(names, k):
-                            read = token[p : p + width].copy()
-                            read[[q - p for q in some]] = _NAME
-                            found[int(_hashed(read, width, window)[0])] = sorted([*slots, *some])
-                rows += [(item, b - a, p - a, width, h, [q - a for q in x], [cores[at[q]] for q in x]) for h, x in found.items()]
+                slots = [q for q in range(p, p + width) if named.kind[q]]
+                names = [q for q in range(p, p + width) if named.either[q]]
+                if width - len(slots) < literals:
+                    continue
+                found = {strict[p - a]: slots} if slots else {}
+                for m in range(1, min(len(names), width - len(slots) - window // 2) + 1):
+                    for some in combinations(names, m):
+                        read = token[p : p + width].copy()
+                        read[[q - p for q in some]] = _NAME
+                        found[int(_hashed(read, width, window)[0])] = sorted([*slots, *some])
+                rows += [(item, n, p - a, int(named.begin[p] - first), int(named.end[p + width - 1] - first), width, h, [q - a for q in x], [named.value(q) for q in x]) for h, x in found.items()]
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.int32()) for x in c[1:4]), pa.array(np.array(c[4], np.uint64).view(np.int64)), pa.array(c[5], pa.list_(pa.int32())), pa.array(c[6], pa.list_(pa.string()))], ["item_id", "n_tokens", "at", "width", "hash", "spots", "slots"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.int32()) for x in c[1:6]), pa.array(np.array(c[6], np.uint64).view(np.int64)), pa.array(c[7], pa.list_(pa.int32())), pa.array(c[8], pa.list_(pa.string()))], ["item_id", "n_tokens", "at", "first", "last", "width", "hash", "spots", "slots"])
 
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return map_texts(items, cut, "item_id long, n_tokens int, at int, width int, hash long, spots array<int>, slots array<string>", ("item_id",))
+    return map_texts(items, cut, "item_id long, n_tokens int, at int, first int, last int, width int, hash long, spots array<int>, slots array<string>", ("item_id",))
 
 
 def _meetings(docs: DataFrame, hashes: np.ndarray, widths: list[int], window: int) -> DataFrame:
@@ -132,26 +188,24 @@ def _meetings(docs: DataFrame, hashes: np.ndarray, widths: list[int], window: in
 
     def meet(kept, texts):
         known = shared.value
-        cores, at, offsets, literal, kind, either = _readings(texts)
+        plain, named = _readings(texts)
         ids = kept[0].to_numpy(zero_copy_only=False)
-        named = np.where(either, 3, kind)
-        none = np.zeros_like(kind)
         rows = []
         for width in widths:
-            # strict reading; word by word where that has slots; first words as names where there are any
-            for slots, differs in ((kind, None), (none, kind > 0), (named, either)):
-                values = _hashed(_template(literal, slots), width, window)
-                if differs is None:
+            # word by word; with placeholders where there are any; first words as names where there are any
+            for read, kinds, has in ((plain, plain.kind, None), (named, named.kind, named.kind > 0), (named, np.where(named.either, 3, named.kind), named.either)):
+                values = _hashed(_template(read.literal, kinds), width, window)
+                if has is None:
                     some = np.arange(len(values))
                 else:
-                    ahead = np.concatenate(([0], np.cumsum(differs)))
+                    ahead = np.concatenate(([0], np.cumsum(has)))
                     some = np.flatnonzero(ahead[width:][: len(values)] > ahead[: len(values)])
                 place = np.minimum(np.searchsorted(known, values[some]), len(known) - 1)
                 some = some[known[place] == values[some]]
-                doc = np.searchsorted(offsets, some, "right") - 1
-                inside = some + width <= offsets[doc + 1]
+                doc = np.searchsorted(read.offsets, some, "right") - 1
+                inside = some + width <= read.offsets[doc + 1]
                 for p, d in zip(some[inside].tolist(), doc[inside].tolist(), strict=True):
-                    rows.append((ids[d], p - int(offsets[d]), int(values[p]), [cores[at[q]] for q in range(p, p + width) if slots[q]]))
+                    rows.append((ids[d], p - int(read.offsets[d]), int(values[p]), [read.value(q) for q in range(p, p + width) if kinds[q]]))
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
@@ -173,7 +227,7 @@ def _judge(batches):
             for w in windows:
                 equal = all(p["i"] == p["d"] for p in w["pairs"])
                 if equal or 2 * sum(usual[p["i"]] == p["d"] for p in w["pairs"]) >= len(w["pairs"]):
-                    tokens.update(range(w["at"], w["at"] + w["width"]))
+                    tokens.update(range(w["first"], w["last"]))
                     own &= equal
             covered.append(sorted(tokens))
             same.append(own)
@@ -201,7 +255,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     met = found.select("doc_id", F.col("at").alias("place"), "hash", F.col("slots").alias("values")).join(items, "hash")
     pairs = F.arrays_zip(F.col("spots").alias("q"), F.transform("slots", F.lower).alias("i"), F.transform("values", F.lower).alias("d"))
     aligned = (
-        met.select("doc_id", "item_id", "n_tokens", (F.col("place") - F.col("at")).alias("shift"), F.struct("at", "width", pairs.alias("pairs")).alias("window"))
+        met.select("doc_id", "item_id", "n_tokens", (F.col("place") - F.col("at")).alias("shift"), F.struct("first", "last", pairs.alias("pairs")).alias("window"))
         .groupBy("doc_id", "item_id", "n_tokens", "shift").agg(F.collect_set("window").alias("windows")).drop("shift")
     )
     judged = aligned.mapInArrow(_judge, "doc_id long, item_id long, n_tokens int, tokens array<int>, same boolean")
