@@ -1,10 +1,12 @@
 """WARC derivatives: a metadata and a plain-text conversion record for each response.
 
-Both records name the response in WARC-Refers-To and repeat its target, date and payload digest; the metadata block
+Both records name the response in WARC-Refers-To and repeat its target, date and payload digest (as the response states it; it is worked out only where the
+response has none); the metadata block
 keeps the response's HTTP headers, and the conversion block is the page's text. Record ids are name-based (a digest of
 the response's id and the kind), so that a task that runs twice writes the same record.
 
-``record`` is the whole record up to the two line ends that close it; write_warc() writes such records as files.
+``record`` is the whole record up to the two line ends that close it; write_warc() writes such records as files, and read_responses() reads
+the responses of such files, plain or compressed.
 
 A head without an end tag ends at body, or at the first element or text that can't be in it.
 
@@ -15,13 +17,14 @@ the target line; repeated responses give repeated records with equal ids; other
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SKIPPED = frozenset(("script", "style", "noscript", "template", "head"))
 _IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
@@ -110,7 +113,7 @@ def _record(kind: str, source: dict, content_type: str, block: str) -> tuple:
     body = block.encode()
     target = re.sub(r"\s+", "%20", source["target_uri"].strip()) if source["target_uri"] else None
     rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, kind + ' ' + source['record_id'])}>"
-    payload_digest, block_digest = digest(source["payload"].encode()), digest(body)
+    payload_digest, block_digest = source.get("payload_digest") or digest(source["payload"].encode()), digest(body)
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Refers-To: {source['record_id']}", f"WARC-Date: {source['warc_date']}"]
     lines += [f"WARC-Target-URI: {target}"] * bool(target)
     lines += [f"WARC-Refers-To-Payload-Digest: {payload_digest}", f"WARC-Block-Digest: {block_digest}", f"Content-Type: {content_type}", f"Content-Length: {len(body)}"]
@@ -118,8 +121,8 @@ def _record(kind: str, source: dict, content_type: str, block: str) -> tuple:
 
 
 def derivatives(source: DataFrame) -> DataFrame:
-    """Two rows for each response of ``source`` (the columns that responses() gives)."""
-    columns = ("page_id", "record_id", "target_uri", "warc_date", "headers", "payload")
+    """Two rows for each response of ``source`` (the columns that responses() gives, and payload_digest if it is there)."""
+    columns = ["page_id", "record_id", "target_uri", "warc_date", "headers", "payload", *(["payload_digest"] if "payload_digest" in source.columns else [])]
 
     def derive(batches):
         for b in batches:
@@ -139,3 +142,41 @@ def derivatives(source: DataFrame) -> DataFrame:
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write ``record`` as WARC files, one for each partition: two line ends close a record, as the format wants."""
     records.select("record").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+
+def _records(data: bytes):
+    """(fields, block) of each record of a file, by their lengths; a broken end is left out."""
+    at = 0
+    while True:
+        while data.startswith(b"\r\n", at):
+            at += 2
+        if (end := data.find(b"\r\n\r\n", at)) < 0:
+            return
+        lines = data[at:end].split(b"\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.decode("utf-8", "replace").partition(":") for line in lines[1:])}
+        size = int(fields.get("content-length", "0"))
+        if not lines[0].startswith(b"WARC/") or end + 4 + size > len(data):
+            return
+        yield fields, data[end + 4 : end + 4 + size]
+        at = end + 4 + size
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files (a task reads a file at a time): page_id (null), record_id, target_uri, warc_date, headers, payload, payload_digest."""
+    names = ["page_id", "record_id", "target_uri", "warc_date", "headers", "payload", "payload_digest"]
+
+    def read(batches):
+        for b in batches:
+            for content in b.column(0):
+                data = content.as_py()
+                whole = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                rows = []
+                for fields, block in _records(whole):
+                    if fields.get("warc-type") == "response":
+                        head, _, payload = block.partition(b"\r\n\r\n")
+                        rows.append((None, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("utf-8", "replace") + "\r\n", payload.decode("utf-8", "replace"), fields.get("warc-payload-digest")))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(read, "page_id long, record_id string, target_uri string, warc_date string, headers string, payload string, payload_digest string")
