@@ -13,8 +13,8 @@ Sizes are whole tokens up to the capacity, so all planning works on the histogra
    rounding wasted becomes room again.
 5. Best fit. All other pieces, longest first, go to the fullest open sequence that has room. Sequences that are then still
    1/64 empty give up their pieces, which are fitted once more.
-6. Documents. Pieces of one length are ranked (in salted parts, so that a length with a third of all rows is
-   ranked by many tasks) and rank r of a length takes the r-th place that the plan has for it.
+6. Documents. The task that cuts a piece numbers it among its own pieces of that length; behind those of the tasks before it, that is
+   the piece's rank, and rank r of a length takes the r-th place that the plan has for it. Nothing is sorted, however many pieces have one length.
 
 Defined edge cases: a null or empty text is the end id alone; repeated rows are packed each; other columns
 are ignored; no documents give no rows.
@@ -28,12 +28,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.tables import materialise
+from ..plans.tables import BROADCAST_ROWS, materialise
 from .textbatch import map_texts
 
-CAPACITY, END_ID, GROUPS, SMALL, SALTS = 4096, 1, 20, 8, 32
+CAPACITY, END_ID, GROUPS, SMALL = 4096, 1, 20, 8
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 700_000
 _TOKENIZERS: dict = {}
@@ -103,9 +104,12 @@ class _WordIds(dict):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, row (tells repeated rows apart), piece, start, length, ids_crc32 of every piece."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, with the task that cut it and its number among the task's pieces of that length."""
+    seen: dict[int, int] = defaultdict(int)  # a task has a copy of its own
 
     def cut(kept, texts):
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = _WordIds(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
@@ -114,12 +118,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), task, seen[len(part) // 4]))
+                seen[len(part) // 4] += 1
         columns = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
 def _fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,24 +283,23 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row."""
-    pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    sizes = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "salt").collect()  # capacity * SALTS at most
-    histogram: dict[int, int] = defaultdict(int)
-    before = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in sizes:
-        before[r["length"], r["salt"]] = histogram[r["length"]]
-        histogram[r["length"]] += r["n"]
-    table = places(plan(dict(histogram), capacity))
-    shared = docs.sparkSession.sparkContext.broadcast((table, before))  # as many rows as the plan has slots, below a few times capacity
+    pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id))
+    each = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = materialise(each.select("length", "task", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before")))
+    histogram = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity at most
+    table = places(plan(histogram, capacity))
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # as many rows as the plan has slots, below a few times capacity
 
     def place(batches):
-        slots, earlier = shared.value
+        slots = shared.value
         key = slots[:, 0] << 44 | slots[:, 1]
         for b in batches:
-            length, salt, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
-            rank = rank + earlier[length, salt]
+            length, rank, earlier = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank", "before"))
+            rank = rank + earlier
             s = slots[np.searchsorted(key, length << 44 | rank, "right") - 1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(s[:, 3] + rank - s[:, 1]), pa.array(s[:, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    offsets = before.select("length", "task", "before")
+    if before.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)  # counted; beyond that both sides are shuffled
+    return pieces.join(offsets, ["length", "task"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
