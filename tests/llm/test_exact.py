@@ -10,9 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import lmscore, packing
+from ledgerloom.llm import decontam, exchange, jaccard, lmscore, packing, secrets
 from ledgerloom.llm.decontam import contaminated
 from ledgerloom.llm.jaccard import LOW, odd_sketch, shingle_sets, signatures, similar_documents, surely_shared
 from ledgerloom.llm.packing import pack_documents, plan
@@ -26,29 +27,51 @@ def _texts(df):
     return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
 
 
-def test_jaccard_join(odd_docs, empty_docs):
-    rows = [(i, t) for i, t in _texts(odd_docs) if i is not None]
-    sets = {}
-    for i, t in rows:
+def _linked(rows):
+    """(n_shingles, component) of each row, in the order of the rows, by comparing all of them."""
+    sets = []
+    for _, t in rows:
         w = t.encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    parent = {i: i for i in sets}
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    links = 0
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                links += 1
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(odd_docs).collect()}
-    assert links > 20 and {k: v for k, v in got.items() if k is not None} == {i: (len(s), find(i)) for i, s in sets.items()}
-    assert similar_documents(empty_docs).collect() == []
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(find(k), []).append(i)
+    return [(i, len(sets[k]), min((x for x in least[find(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("part", [2048, 64])
+def test_jaccard_join(odd_docs, empty_docs, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART", part)
+    want = sorted(_linked(_texts(odd_docs)), key=str)
+    assert sorted((tuple(r) for r in similar_documents(odd_docs).collect()), key=str) == want
+    assert sum(i != c for i, _, c in want) > 5 and similar_documents(empty_docs).collect() == []
+
+
+def test_jaccard_join_of_rows_that_share_an_id_or_have_none(spark):
+    a = [f"w{k}" for k in range(200)]
+    chain = [" ".join([*a[: 200 - 8 * k], *(f"x{k}" for k in range(8 * k))]) for k in range(6)]  # each near the next only
+    rows = [(5, chain[0]), (None, chain[1]), (4, chain[2]), (None, chain[3]), (None, chain[3]), (3, chain[4]), (3, "some other text of a few words"), (3, chain[4]), (None, None), (7, "b c"), (7, "B  c")]
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(_linked([(i, t or "") for i, t in rows]), key=str)
+
+
+def test_overlaps_are_summed_over_fragments(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text").withColumn("row", jaccard.row_key())
+    reps = jaccard._described(docs, 80).where("n >= 40").groupBy("class").agg(F.min("row").alias("rep"))
+    sets = jaccard.cut_sets(docs, reps)
+    parts = sets.groupBy("class", "level").agg(F.count("part").alias("parts"), F.sum(F.size("shingles")).alias("n"), F.max("n").alias("size")).collect()
+    assert all(r["parts"] == 4 and r["n"] == r["size"] for r in parts if r["level"] == 2) and any(r["parts"] == 4 for r in parts)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 40, 200, 900])
@@ -76,58 +99,101 @@ def test_short_texts_are_one_shingle():
     assert len(one) == 1 and one == two and one != three
 
 
-def test_substring_removal(odd_docs, empty_docs):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(odd_docs).collect()}
-    seen, removed = set(), 0
-    for i, t in sorted(_texts(odd_docs), key=lambda r: (r[0] is None, r[0])):
+def _without_repeats(rows):
+    """(n_words, n_removed, digest) of each row, in the order of the rows, by looking at every pair of windows' first places."""
+    order = lambda i: (i is None, i or 0)
+    first = {}
+    for i, t in rows:
         w = t.encode().split()
-        gone = [False] * len(w)
         for k in range(len(w) - 19):
             key = tuple(w[k : k + 20])
-            if key in seen:
+            first[key] = min(first.get(key, (order(i), k)), (order(i), k))
+    out = []
+    for i, t in rows:
+        w = t.encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if first[tuple(w[k : k + 20])] < (order(i), k):
                 gone[k : k + 20] = [True] * 20
-            seen.add(key)
-        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        removed += sum(gone)
-        assert got[i] == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
-    assert removed > 500 and remove_repeats(empty_docs).collect() == []
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def _removed(docs):
+    return sorted((tuple(r) for r in remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+
+
+def test_substring_removal(odd_docs, empty_docs):
+    want = _without_repeats(_texts(odd_docs))
+    assert _removed(odd_docs) == want and sum(n for _, _, n, _ in want) > 500 and remove_repeats(empty_docs).collect() == []
     with pytest.raises(ValueError):
         remove_repeats(odd_docs, 15, 10)
 
 
+def test_substring_removal_of_rows_that_share_an_id(spark):
+    make = lambda seed, n: " ".join(f"w{random.Random(f'{seed}-{k}').randrange(10**6)}" for k in range(n))
+    t, u = make(1, 60), make(2, 60)
+    for rows in ([(1, t), (1, t)], [(1, t), (1, u), (1, t + " x")], [(None, t), (None, t), (None, u), (None, "y " + t), (5, t)], [(2, t), (2, "y z " + t), (3, t), (3, t), (1, u), (1, u)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert _removed(docs) == _without_repeats(rows)
+
+
+@pytest.mark.parametrize("fanout", [1 << 12, 3])
+def test_exchange_over_many_ranges(odd_docs, monkeypatch, fanout):
+    """Small ranges and chunks, and a second level of ranges, change nothing."""
+    want, scores = _without_repeats(_texts(odd_docs)), {r["doc_id"]: r["score"] for r in lmscore.score_texts(odd_docs).collect()}
+    monkeypatch.setattr(exchange, "RANGE_BYTES", 6000)
+    monkeypatch.setattr(exchange, "FANOUT", fanout)
+    assert _removed(odd_docs) == want
+    assert {r["doc_id"]: r["score"] for r in lmscore.score_texts(odd_docs).collect()} == pytest.approx(scores, rel=1e-12)
+
+
 def test_language_model(odd_docs, empty_docs, monkeypatch):
-    got = {r["doc_id"]: r for r in lmscore.score_texts(odd_docs, vocabulary=50).collect()}
-    rows = {i: [*t.encode().lower().split(), None] for i, t in _texts(odd_docs)}
+    weights, learn = [], lmscore.learn_weights
+    monkeypatch.setattr(lmscore, "learn_weights", lambda *a: weights.append((a, learn(*a))) or weights[-1][1])
+    got = {r["doc_id"]: r for r in lmscore.score_texts(odd_docs).collect()}
+    rows = {i: [None, *t.encode().lower().split(), None] for i, t in _texts(odd_docs)}
     part = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 for i in rows}
-    c = Counter(w for i, ws in rows.items() if part[i] != 2 for w in ws)
+    kept, learned = ([ws for i, ws in rows.items() if part[i] not in folds] for folds in ((2, 3), (2,)))
+
+    def counts(texts):
+        return Counter(w for ws in texts for w in ws[1:]), Counter(p for ws in texts for p in zip(ws, ws[1:], strict=False))
+
+    # held-out counts: how many tokens are in each bucket, and what the ratios add up to
+    (ck, pk), (c, pairs) = counts(kept), counts(learned)
+    want = {}
+    for i, ws in rows.items():
+        if part[i] == 3:
+            for u, w in zip(ws, ws[1:], strict=False):
+                x = want.setdefault((ck[u].bit_length() + 1) // 2, [0, 0.0, 0.0])
+                x[0], x[1], x[2] = x[0] + 1, x[1] + pk[u, w] / max(ck[u], 1), x[2] + ck[w] / sum(ck.values())
+    (cells, uniform), a = weights[0]
+    seen = {}
+    for b, n, p2, p1 in cells:
+        x = seen.setdefault(b, [0, 0.0, 0.0])
+        x[0], x[1], x[2] = x[0] + n, x[1] + p2, x[2] + p1
+    assert {b: pytest.approx(x) for b, x in want.items()} == seen
     n, v = sum(c.values()), len(c)
+    assert uniform == pytest.approx(1 / (v + 1)) and a[0, 0] == 0
     for i, ws in rows.items():
+        score = 0.0
+        for u, w in zip(ws, ws[1:], strict=False):
+            x = a[(c[u].bit_length() + 1) // 2]
+            score += math.log10(x[0] * pairs[u, w] / max(c[u], 1) + x[1] * c[w] / n + x[2] / (v + 1))
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(c[w] > 0 for w in ws), n, part[i] == 2)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
-        assert r["score"] < 0
-    monkeypatch.setattr(lmscore, "HOT_PAIRS", 20)  # most pairs travel now: the same scores
-    again = {r["doc_id"]: r["score"] for r in lmscore.score_texts(odd_docs, vocabulary=50).collect()}
-    assert again == pytest.approx({i: r["score"] for i, r in got.items()}, rel=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws) - 1, sum(c[w] > 0 for w in ws[1:]), n, part[i] == 2)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws[1:]), rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
+    # probabilities over all words, the end and one unseen word sum to one after any context
+    for u in [None, *list(c)[:5], "never seen"]:
+        x = a[(c[u].bit_length() + 1) // 2]
+        assert sum(x[0] * pairs[u, w] / max(c[u], 1) + x[1] * c[w] / n + x[2] / (v + 1) for w in [*c, "unseen"]) == pytest.approx(1)
     assert lmscore.score_texts(empty_docs).collect() == []
 
 
-def test_language_model_knows_every_word(odd_docs, monkeypatch):
-    weights, learn = [], lmscore.learn_weights
-    monkeypatch.setattr(lmscore, "learn_weights", lambda *a: weights.append(learn(*a)) or weights[-1])
-    few, all_words = ({r["doc_id"]: r["score"] for r in lmscore.score_texts(odd_docs, vocabulary=v).collect()} for v in (50, 1 << 18))
-    rows = {i: [None, *t.encode().lower().split(), None] for i, t in _texts(odd_docs)}
-    learned = [ws for i, ws in rows.items() if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
-    c = Counter(w for ws in learned for w in ws[1:])
-    pairs = Counter(p for ws in learned for p in zip(ws, ws[1:], strict=False))
-    n, size = sum(c.values()), len(c) + 1
-    assert np.allclose(*weights, rtol=1e-9) and weights[0][0, 0] == 0
-    for i, ws in rows.items():
-        want = 0.0
-        for u, w in zip(ws, ws[1:], strict=False):
-            a = weights[0][(c[u].bit_length() + 1) // 2]
-            want += math.log10(a[0] * pairs[u, w] / max(c[u], 1) + a[1] * c[w] / n + a[2] / size)
-        assert few[i] == pytest.approx(want, rel=1e-9) and all_words[i] == pytest.approx(want, rel=1e-9)
+def test_language_model_counts_repeated_rows(spark):
+    rows = [(1, "a b c")] * 3 + [(9, "a b d"), (9, "a e"), (None, "a b c")]
+    got = lmscore.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 6 and len({r["score"] for r in got if r["n_tokens"] == 4 and r["doc_id"] != 9}) == 1
 
 
 def test_interpolation_weights():
@@ -211,10 +277,63 @@ def test_secrets(spark, odd_docs, empty_docs):
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["base_spans"] == text
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in spans) for j in range(3)]
         assert [x for x in r["spans"].split(",") if x and not x.startswith("random")] == [x for x in text.split(",") if x]
-    assert got[2000]["spans"] in ("", "random:4:40") and got[1002]["n_random"] == 0 and sum(got[i]["n_random"] for i in made) > 50 and not any(got[3000 + i]["n_random"] for i in range(60))
+    assert all(p["p_values"].count(":") == 2 * p["p_values"].count(",") + 2 for p in got.values() if p["p_values"])
+    assert got[1000]["p_values"].count("assign") == 2 and got[2000]["spans"] in ("", "random:4:40") and got[1002]["n_random"] == 0 and sum(got[i]["n_random"] for i in made) > 50 and not any(got[3000 + i]["n_random"] for i in range(60))
     assert find_secrets(empty_docs).collect() == []
 
 
+def _tests(token):
+    """The three p-values' smallest, times three, of a token, from the tests' definitions."""
+    v = token.replace("-", "+").replace("_", "/").rstrip("=")
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "base32" if re.fullmatch("[A-Z2-7]+", v) else "alnum" if re.fullmatch("[A-Za-z0-9]+", v) else "base64"
+    alphabet = secrets.ALPHABETS[kind]
+    x = np.array([alphabet.index(c) for c in (v.lower() if kind == "hex" else v)], float)
+    n, a = len(x), len(alphabet)
+    chi = sum((times - n / a) ** 2 / (n / a) for times in np.bincount(x.astype(int), minlength=a))
+    high = x >= a / 2
+    up, mean = high.sum(), 2 * high.sum() * (n - high.sum()) / n + 1
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    if not 0 < up < n or len(set(x)) < 2:
+        return 0.0
+    runs = abs(1 + (high[1:] != high[:-1]).sum() - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+    serial = ((n * (x @ np.roll(x, -1)) - x.sum() ** 2) / (n * (x @ x) - x.sum() ** 2) + 1 / (n - 1)) / math.sqrt(n * (n - 3) / ((n + 1) * (n - 1) ** 2))
+    wilson = ((chi / (a - 1)) ** (1 / 3) - (1 - 2 / (9 * (a - 1)))) / math.sqrt(2 / (9 * (a - 1)))
+    return min(1.0, 3 * min(upper(wilson), 2 * upper(runs), 2 * upper(abs(serial))))
+
+
+def test_randomness_battery(spark):
+    rng = random.Random(8)
+    tokens = ["".join(rng.choice(secrets.ALPHABETS[k]) for _ in range(n)) for k in ("hex", "alnum", "base64") for n in (24, 40, 90)] + ["a1" * 20, "AbcdEfghIjklMnop123456789", "zzzzzzzzzzzzzzzzzzzzzzzz9", "/usr/local/lib/python3/site-packages/module1"]
+    docs = spark.createDataFrame([(i, f"see {t} x") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r["doc_id"]: {x["s"]: x["p"] for x in r["__tested"]} for r in secrets.with_tested(docs).collect()}
+    for i, t in enumerate(tokens):
+        if not re.fullmatch("[0-9a-f]+", t):
+            assert got[i] == {4: pytest.approx(_tests(t), abs=2e-3)}
+
+
+def test_few_tokens_are_no_evidence(spark):
+    tested = "array(named_struct('k', 3, 's', 0, 'e', 9, 'encoding', e, 'size', n, 'p', p)) as __tested"
+    rows = [("alnum", 9, 0.9)] * 3 + [("base64", 9, 0.9)] * 3 + [("base64", 10, 0.05 + i / 60) for i in range(57)] + [("hex", 11, 0.01)] * 90 + [("hex", 11, 0.7)] * 12
+    cuts = secrets.discovery_cuts(spark.createDataFrame(rows, "e string, n int, p double").selectExpr(tested))
+    assert ("alnum", 9) not in cuts and {("base64", 9), ("base64", 10)} <= set(cuts) and 0.01 < cuts["hex", 11] <= 0.1
+
+
+def test_texts_full_of_secrets(spark):
+    """Spans are found and cut out in about linear time, and as by hand."""
+    many = " ".join(f"token={i:06d}abcdefgh{i:04x} é AKIA{i:016d} {'ab12' * 5}{i % 7}" for i in range(3000))
+    docs = spark.createDataFrame([(1, many, "x", "y"), (None, "password=" + "0123456789abcdef" * 3 + "zz AKIA00", "x", "y"), (1, None, "x", "y"), (1, "plain", "x", "y")], "doc_id long, text string, spans string, __x string")
+    got = find_secrets(docs).collect()
+    spans = sorted([(m.start(), 0, m.end()) for m in BASE.finditer(many)] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", many)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", many)])
+    assert got[0]["base_spans"] == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+    out, at = [], 0
+    for a, _, b in spans:
+        if b > at:
+            out += [many[at:a], "<SECRET>"] if a >= at else []
+            at = b
+    texts = [r["text"] for r in secrets.redacted(docs).collect()]
+    assert texts == ["".join(out) + many[at:], "<SECRET> AKIA00", None, "plain"] and secrets.redacted(docs).columns == docs.columns
+
+
 def test_rule_counts(odd_docs):
     rows = _texts(odd_docs) + [(1, "a b c d e x a b c d e\n\n a # b\na # b\r\n | \n | ")]
     got = rule_counts([t.encode() for _, t in rows])
@@ -253,6 +372,46 @@ def test_every_window_of_an_item_can_meet(spark):
     assert got == {(1, 1, "verbatim"), (2, 2, "reparameterised"), (3, 3, "verbatim"), (5, 4, "verbatim"), (6, 5, "reparameterised")}
 
 
+def _brute_force_leaks(docs, items, window=8, literals=5):
+    """Verbatim leaks by comparing every window of every item with every window of every document, word by word."""
+    core = lambda t: [w.strip(decontam._STRIP).lower() for w in t.split() if w.strip(decontam._STRIP)]
+    out = set()
+    for d, t in docs:
+        own = core(t or "")
+        for i, text in items:
+            w = core(text)
+            n = min(window, len(w))
+            have = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+            covered = {q for k in range(len(w) - n + 1) if n and tuple(w[k : k + n]) in have for q in range(k, k + n)}
+            if n and (2 * len(covered) >= len(w) or len(covered) >= 20):
+                out.add((d, i))
+    return out
+
+
+def test_copies_are_found_as_by_comparing_all_windows(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    want = _brute_force_leaks([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["covered"], r["n_tokens"]) for r in contaminated(docs, items).collect()}
+    assert want and want <= set(got) and {k for k, (kind, *_) in got.items() if kind == "verbatim"} <= want
+
+
+def test_names_of_several_words_and_four_languages(spark):
+    pairs = [
+        ("yesterday the train from Berlin took 5 hours to reach the old town near the border with 30 passengers on board", {"Berlin": "New York", "5 hours": "7 hours", "30": "42"}),
+        ("gestern hat der kleine zug aus Köln genau drei stunden bis zur alten stadt am fluss und zurück gebraucht", {"Köln": "Bad Homburg", "drei": "neun"}),
+        ("hier le petit train de Lyon a mis deux heures pour aller dans la vieille ville près de la rivière", {"Lyon": "Le Havre", "deux": "quatre"}),
+        ("ayer el tren lento de Madrid tardó cinco horas en llegar a la vieja ciudad cerca del río y volver", {"Madrid": "San Juan Bautista", "cinco": "ocho"}),
+    ]
+    items = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(pairs)], "item_id long, text string")
+    docs = []
+    for k, (t, swaps) in enumerate(pairs):
+        for a, b in swaps.items():
+            t = t.replace(a, b)
+        docs.append((k, "a few words before: " + t + " and after"))
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(k, k, "reparameterised") for k in range(4)}
+
+
 def test_one_contradicting_slot_drops_no_alignment(spark):
     question = "a shop sold 3 red boxes and 5 blue boxes on monday, then 2 clerks packed the rest in 2 long rows before noon came"
     merged = question.replace("3 red", "4 red").replace("5 blue", "4 blue")  # two values become one

@@ -1,13 +1,20 @@
 """Trained operators: held-out accuracy, and rows that must not break them."""
 
+import gzip
+import zlib
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import quality, rules
+from ledgerloom.llm.labelled import labelled_sample
 from ledgerloom.llm.quality import fit_quality, score_quality
-from ledgerloom.llm.rules import apply_rules, fit_rules
-from ledgerloom.llm.toxicity import fit_toxicity, score_toxicity
-from ledgerloom.llm.warc import derivatives, digest, page_text, responses, write_warc
+from ledgerloom.llm.rules import RuleModel, apply_rules, fit_rules
+from ledgerloom.llm.textbatch import rolling
+from ledgerloom.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
+from ledgerloom.llm.warc import derivatives, digest, page_text, read_responses, responses, write_warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,10 +43,71 @@ def test_toxicity(tables):
     assert (p == y).mean() > 0.9 and p[y == 0].mean() < 0.03
 
 
+def _auc(y, score):
+    rank = score.rank()
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
 def test_quality_rules(tables):
     docs, labels = tables
     out = apply_rules(docs, fit_rules(docs, labels)).join(labels, "doc_id").toPandas()
-    assert out[out["quality"] == 1]["kept"].mean() > 0.93 and out[out["quality"] == 0]["kept"].mean() < 0.3
+    assert out[out["quality"] == 1]["kept"].mean() > 0.93 and out[out["quality"] == 0]["kept"].mean() < 0.1
+    held = out[[zlib.crc32(str(i).encode()) % 5 == 0 for i in out["doc_id"]]]
+    assert _auc(held["quality"], held["score"]) > 0.95
+    assert (out["kept"] == (~out["base_failed"] & (out["score"] >= 0.3))).all()
+
+
+def test_rule_scores_by_hand():
+    """The score of a text is a logistic function of means of its n-grams' weights."""
+    rng = np.random.default_rng(1)
+    model = RuleModel(rng.normal(0, 1, rules.ROWS), -0.3, 0.7, 0.1)
+    for text in (b"a b a b. A Ab", b"", b"x", "é è\n\tz".encode()):
+        words = [xxhash.xxh3_64_intdigest(w.lower()) for w in text.split()]
+        grams = [
+            [h % rules.WORD_ROWS for h in words],
+            [rules.WORD_ROWS + int(rolling(np.array(words[i : i + 2], np.uint64), 2)[0]) % rules.PAIR_ROWS for i in range(len(words) - 1)],
+            [rules.WORD_ROWS + rules.PAIR_ROWS + ((int.from_bytes(text[i : i + 3], "big") * 2654435761 % 2**32) >> 18) for i in range(len(text) - 2)],
+            [rules.ROWS - 256 + sum(2**k for k in range(8) if i > k and words[i - k - 1] == h) for i, h in enumerate(words)],
+        ]
+        z = -0.3 + sum(np.mean([model.weights[r] for r in g]) for g in grams if g)
+        assert model.probabilities([text])[0] == pytest.approx(1 / (1 + np.exp(-(0.7 * z + 0.1))))
+
+
+def test_toxicity_scores_by_hand():
+    """Bias, linear part and every pair of terms, one by one."""
+    rng = np.random.default_rng(2)
+    terms = [xxhash.xxh3_64_intdigest(w) for w in (b"you", b"awful", b"people")] + [xxhash.xxh3_64_intdigest(b"peop", seed=4)]
+    model = ToxicityModel(np.sort(np.array(terms, np.uint64)), 0.2, rng.normal(0, 1, 4), rng.normal(0, 1, (4, 3)), 1.5)
+    x = {terms[0]: 1 + np.log(2), terms[1]: 1.0, terms[2]: 1.0, terms[3]: 1.0}
+    at = {t: int(np.searchsorted(model.known, np.uint64(t))) for t in terms}
+    z = 0.2 + sum(model.linear[at[t]] * v for t, v in x.items())
+    z += sum(model.factors[at[s]] @ model.factors[at[t]] * x[s] * x[t] for i, s in enumerate(terms) for t in terms[:i])
+    assert model.probabilities([b"You, awful people! YOU know"])[0] == pytest.approx(1 / (1 + np.exp(-z / 1.5)))
+    assert model.probabilities([b""])[0] == pytest.approx(1 / (1 + np.exp(-0.2 / 1.5)))
+
+
+def test_quality_scores_by_hand():
+    """Pooled vectors, norms and length under two layers, word by word."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 1, (quality.ROWS, quality.DIM)).astype(np.float32)
+    text = b"The cat, the CAT 12 times!"
+    entries = [(quality._Entries()[w] >> 16, quality._Entries()[w] & 0xFFFF) for w in text.split()]
+    a, b = (np.mean([vectors[e[k]] for e in entries], axis=0) for k in (0, 1))
+    x = np.concatenate([a, b, [np.linalg.norm(a), np.linalg.norm(b), np.log(7)]])
+    assert quality.pool([b"other words", text], vectors)[1] == pytest.approx(x, rel=1e-4)
+    w1, w2 = rng.normal(0, 1, (len(x), 5)), rng.normal(0, 1, 5)
+    model = quality.QualityModel(vectors, x * 0 + 0.1, x * 0 + 2, w1, w2, w2, 0.3, 1.7)
+    z = np.maximum(((x - 0.1) / 2) @ w1 + w2, 0) @ w2 + 0.3
+    assert model.probabilities([text])[0] == pytest.approx(1 / (1 + np.exp(-z / 1.7)), rel=1e-4)
+
+
+def test_long_texts_are_fitted_and_weights_follow_the_documents(spark):
+    docs = spark.createDataFrame([(i, ("good text " if i % 2 else "bad stuff ") * (9000 if i < 12 else 3)) for i in range(1, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 200)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    sample = labelled_sample(docs, labels, "quality", per_class=10).toPandas()
+    known = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    assert set(sample["doc_id"]) <= set(known) and (sample["text"].str.len() > 60_000).any()
+    assert all(w == pytest.approx(max(1, sum(k % 2 == y for k in known) / 10)) for y, w in zip(sample["label"], sample["weight"], strict=True))
 
 
 @pytest.mark.parametrize("none", ["empty", "one class", "null"])
@@ -89,6 +157,24 @@ def test_warc(spark, tmp_path):
     assert derivatives(responses(pages.limit(0))).collect() == []
 
 
+def test_responses_are_read_from_files(spark, tmp_path):
+    def record(kind, rid, block, *more):
+        head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{rid}>", "WARC-Date: 2020-02-02T00:00:00Z", *more, f"Content-Length: {len(block)}"])
+        return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    html = "<p>é one</p>".encode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    response = record("response", "r1", http + html, "WARC-Target-URI: http://x/1", "WARC-Payload-Digest: sha1:KEPT")
+    other = record("response", "r2", http + b"<p>two\r\n\r\nWARC/1.0 in the text</p>", "WARC-Target-URI: http://x/2")
+    (tmp_path / "a.warc").write_bytes(record("warcinfo", "i", b"software: x") + response)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record("request", "q", b"GET /")) + gzip.compress(other) + gzip.compress(other[:60]))
+    got = {r["record_id"]: r for r in read_responses(spark, f"{tmp_path}/*.warc*").collect()}
+    assert {k: (r["target_uri"], r["payload"]) for k, r in got.items()} == {"<urn:uuid:r1>": ("http://x/1", "<p>é one</p>"), "<urn:uuid:r2>": ("http://x/2", "<p>two\r\n\r\nWARC/1.0 in the text</p>")}
+    made = {(r["refers_to"], r["record_type"]): r for r in derivatives(read_responses(spark, f"{tmp_path}/*.warc*")).collect()}
+    assert made["<urn:uuid:r1>", "conversion"]["payload_digest"] == "sha1:KEPT" and made["<urn:uuid:r1>", "conversion"]["block"] == "é one" and "sourceHeader: Content-Type: text/html" in made["<urn:uuid:r1>", "metadata"]["block"]
+    assert made["<urn:uuid:r2>", "metadata"]["payload_digest"] == digest(b"<p>two\r\n\r\nWARC/1.0 in the text</p>")
+
+
 @pytest.mark.parametrize("html, text", [
     ("<html><head><title>T</title><meta charset=x><body><h1>A</h1><p>b", "A\nb"),
     ("<head><title>T</title><p>a<p>b", "a\nb"),
