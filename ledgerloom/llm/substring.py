@@ -4,20 +4,21 @@ A word is removed when a window of WINDOW words that covers it also starts earli
 id, or earlier in the same one.
 
 1. Anchors. Every document's non-overlapping blocks of BLOCK words (places 0, 10, 20, ...) are the index; the
-   rolling windows of BLOCK words at every place are the probes. Both go, packed, to the range of
-   their hash. A place is a hit if a block other than itself has its hash. A window of 20 words holds a
-   whole block wherever it begins, so a repeated window has a hit within it on both sides.
-2. Extension. Around its hits a document is hashed in windows of WINDOW words, and the windows that have an
-   equal one at an earlier place are kept; neighbours among them make up the maximal exact repeats. A chunk
-   of documents compares its own windows first and sends the earliest of each kind, so that a passage in
-   a third of all texts sends a row for each chunk, not for each text.
+   rolling windows of BLOCK words at every place are the probes. A chunk of documents sends the hash of each different probe once,
+   with the number of blocks that have it (none, one, more), and learns how many blocks of the corpus have it (see
+   exchange). A place is a hit if a block other than itself has its hash. A window of 20 words holds a whole block wherever
+   it begins, so a repeated window has a hit within it on both sides.
+2. Extension. Windows of WINDOW words that hold a hit are hashed, and those that have an equal one at an earlier place are
+   kept; neighbours among them make up the maximal exact repeats. (Hits are extended by hashing around them rather
+   than pair by pair: a passage that a third of all texts share has as many pairs as the square of that.) A chunk compares its own windows
+   first and sends the earliest of each kind, so such a passage sends a row for each chunk, not for each text.
 3. Covered words are dropped, and the rest is joined and digested.
 
-Hashes of windows have 64 bits. Rows sharing an id are ranked by the words before them in
-no order; ids are expected to be unique, and only one of equal (id, place) windows is the earliest.
+Hashes of probes only choose where to look, so that one in 256 may be a hit by chance at any size of the corpus; hashes of windows have 64 bits.
 
-Defined edge cases: null, empty and blank texts have no words and an empty rest; texts under 20 words lose nothing;
-a null id counts as the largest; other columns are ignored.
+Rows are told apart by their id and a hash of their text. Defined edge cases: null, empty and blank texts have no words and an empty
+rest; texts under 20 words lose nothing; rows that share an id are one document in the order of places: the same place of two such rows is earlier in
+neither, so repeated rows keep what none of them has earlier; a null id counts as the largest id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,120 +30,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.tables import BROADCAST_ROWS, materialise
-from .packed import FIELDS, batch, by_range, pack, ranges_for, unpack
-from .textbatch import WordHash, flat, map_texts, rolling
+from .exchange import corpus_bytes, distinct, exchange, key_mask, planes, unplanes
+from .textbatch import map_texts, rolling, word_hashes
 
 WINDOW, BLOCK = 20, 10
 NO_ID = (1 << 63) - 1
+REPEATS = "key long, doc_id long, row long, at int, runs array<int>"
 
 
-def _hits(docs: DataFrame, window: int, block: int) -> DataFrame:
-    """(doc_id, at): first and last places, in pairs, of windows that hold a probe that meets a reference block elsewhere."""
-    ranges = ranges_for(docs)
-    reach = window - block
+def _probes(values: np.ndarray, offsets: np.ndarray, block: int, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat places of all probes, whether each is a block of its document, and their hashes."""
+    hashes = rolling(values, block)
+    place = np.arange(len(hashes))
+    begin = np.repeat(offsets[:-1], np.diff(offsets))[: len(hashes)]
+    end = np.repeat(offsets[1:], np.diff(offsets))[: len(hashes)]
+    inside = place + block <= end
+    return place[inside], ((place - begin) % block == 0)[inside], hashes[inside] & mask
 
-    def probe(kept, texts):
-        ids = kept[0].to_numpy(zero_copy_only=False).astype(np.int64)
-        values, offsets = flat([t.split() for t in texts], WordHash(), np.uint64)
-        hashes = rolling(values, block)
-        at = np.arange(len(hashes))
+
+def _runs(places: np.ndarray) -> list[int]:
+    """[first, last, first, last, ...] of runs of consecutive places (sorted)."""
+    if not len(places):
+        return []
+    cut = np.flatnonzero(np.diff(places) > 1)
+    return np.stack((places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]), 1).ravel().tolist()
+
+
+def _earliest(docs: DataFrame, window: int, block: int) -> DataFrame:
+    """The earliest windows of each chunk, and (key null) for each document the windows that are later than another one of the chunk."""
+    size = corpus_bytes(docs)
+    mask = key_mask(size, 8)
+
+    def send(_, texts):
+        words, at, offsets = word_hashes(texts)
+        _, aligned, keys = _probes(words[at], offsets, block, mask)
+        order, begins, _ = distinct(keys)
+        blocks = np.minimum(np.add.reduceat(aligned[order].astype(np.int64), begins), 2) if len(begins) else np.zeros(0, np.int64)
+        return keys[order[begins]], [blocks], None
+
+    def tell(kept, texts):
+        words, at, offsets = word_hashes(texts)
+        return [*(k.to_numpy(zero_copy_only=False).astype("<i8").tobytes() for k in kept), offsets.astype("<i4").tobytes(), words.tobytes(), planes(at)]
+
+    def answer(keys, blocks):
+        order, begins, which = distinct(keys)
+        return [np.minimum(np.add.reduceat(blocks[order], begins), 2)[which]], None
+
+    def receive(info, answers):
+        doc_id, row, offsets, words = (np.frombuffer(x, t) for x, t in zip(info, ("<i8", "<i8", "<i4", "<u8"), strict=False))
+        offsets = offsets.astype(np.int64)
+        values = words[unplanes(info[4], int(offsets[-1])).astype(np.int64)]
+        place, aligned, keys = _probes(values, offsets, block, mask)
+        if len(keys):
+            _, _, which = distinct(keys)
+            place = place[answers[0].astype(np.int64)[which] > aligned]
+        doc = np.searchsorted(offsets, place, "right") - 1
+        low, high = np.maximum(place - (window - block), offsets[doc]), np.minimum(place, offsets[doc + 1] - window)
+        wanted = np.zeros(len(values) + 1, np.int64)
+        np.add.at(wanted, low[high >= low], 1)
+        np.add.at(wanted, high[high >= low] + 1, -1)
+        at = np.flatnonzero(np.cumsum(wanted) > 0)
+        key = rolling(values, window)[at].view(np.int64)
         doc = np.searchsorted(offsets, at, "right") - 1
-        inside = at + block <= offsets[doc + 1]
-        hashes, at = hashes[inside], at[inside]
-        dealt = ((hashes >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
-        some = np.flatnonzero(np.diff(offsets))
-        return batch(list(pack(hashes, at, dealt, ranges, ids[some], offsets[:-1][some], 5)))
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys, ids, places = unpack(table, 5)
-        order = np.argsort(keys, kind="stable")
-        keys, ids, places = keys[order], ids[order], places[order]
-        starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
-        aligned = places % block == 0
-        blocks = np.repeat(np.add.reduceat(aligned.astype(np.int64), starts), np.diff(np.append(starts, len(keys))))
-        hit = blocks - aligned > 0
-        ids, places = ids[hit], places[hit]
-        order = np.lexsort((places, ids))
-        ids, places = ids[order], places[order]
-        # runs of windows that touch
-        cut = np.flatnonzero((np.diff(ids, prepend=ids[:1] - 1) != 0) | (np.diff(places, prepend=places[:1]) > reach + 1)) if len(ids) else np.zeros(0, np.int64)
-        runs = np.stack((np.maximum(places[cut] - reach, 0), places[np.append(cut[1:], len(ids)) - 1] if len(cut) else cut), 1).ravel()
-        owners = ids[cut]
-        first = np.flatnonzero(np.diff(owners, prepend=owners[:1] - 1)) if len(cut) else cut
-        ends = pa.array(2 * np.append(first, len(cut)), pa.int32())
-        return pa.table({"doc_id": pa.array(owners[first], pa.int64()), "at": pa.ListArray.from_arrays(ends, pa.array(runs, pa.int32()))})
-
-    return by_range(map_texts(docs, probe, f"range int, {FIELDS}"), meet, "doc_id long, at array<int>")
-
-
-def _merged(runs: DataFrame) -> DataFrame:
-    """One row per document, its runs sorted and merged where they touch."""
+        at = at - offsets[doc]
+        order = np.lexsort((row[doc], at, doc_id[doc], key))
+        key, doc, at = key[order], doc[order], at[order]
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        first = np.repeat(begins, np.diff(np.append(begins, len(key))))
+        later = (doc_id[doc] != doc_id[doc[first]]) | (at != at[first])
+        # rows with equal id and text say the same: one of them does
+        twin = np.append(False, (key[1:] == key[:-1]) & (at[1:] == at[:-1]) & (doc_id[doc[1:]] == doc_id[doc[:-1]]) & (row[doc[1:]] == row[doc[:-1]]))[: len(key)]
+        some = ~later & ~twin
+        columns = [key[some], doc_id[doc[some]], row[doc[some]], at[some]]
+        order = np.lexsort((at[later], doc[later]))
+        with_later, cuts = np.unique(doc[later][order], return_index=True)
+        runs = [_runs(x) for x in np.split(at[later][order], cuts[1:])] if len(with_later) else []
+        names = [x.split(" ")[0] for x in REPEATS.split(", ")]
+        own = pa.table([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.nulls(len(columns[0]), pa.list_(pa.int32()))], names)
+        known = pa.table([pa.nulls(len(runs), pa.int64()), pa.array(doc_id[with_later], pa.int64()), pa.array(row[with_later], pa.int64()), pa.nulls(len(runs), pa.int32()), pa.array(runs, pa.list_(pa.int32()))], names)
+        return pa.concat_tables([own, known])
+
+    return exchange(docs, send, answer, receive, REPEATS, ("doc_id", "row"), size=size, tell=tell)
+
+
+def _repeats(docs: DataFrame, window: int, block: int) -> DataFrame:
+    """(doc_id, row, at): places, as runs, of windows that also start earlier."""
+    # of the windows that are the earliest of their chunk, all but those at the earliest place of the corpus (which rows sharing an id may share)
+    order = Window.partitionBy(F.coalesce("key", "row"), F.col("key").isNull()).orderBy("doc_id", "at")
+    ranked = _earliest(docs, window, block).withColumn("rank", F.rank().over(order))
+    runs = ranked.where("key is null or rank > 1").select("doc_id", "row", F.coalesce("runs", F.array("at", "at")).alias("at"))
 
     def merge(batches):
         for b in batches:
             out = []
-            for flat_runs in b.column(1).to_pylist():
+            for flat_runs in b.column(2).to_pylist():
                 pairs = np.asarray(flat_runs, np.int64).reshape(-1, 2)
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 last = np.maximum.accumulate(pairs[:, 1])
                 cut = np.append(True, pairs[1:, 0] > last[:-1] + 1)
                 out.append(np.stack((pairs[cut, 0], last[np.append(cut[1:], True)]), 1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "at"])
-
-    return runs.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(merge, "doc_id long, at array<int>")
-
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "row", "at"])
 
-def _with(docs: DataFrame, extra: DataFrame, how: str) -> DataFrame:
-    """Join one row per document to the texts; broadcast only when counted small, else both sides are shuffled."""
-    size = extra.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("at")).alias("m")).first()
-    small = size["n"] <= BROADCAST_ROWS and (size["m"] or 0) <= 16 * BROADCAST_ROWS
-    return docs.join(F.broadcast(extra) if small else extra, "doc_id", how)
-
-
-def _runs(places: np.ndarray) -> list[int]:
-    """[first, last, first, last, ...] of runs of consecutive places (sorted)."""
-    if not len(places):
-        return []
-    cut = np.flatnonzero(np.diff(places) > 1)
-    return np.stack((places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]), 1).ravel().tolist()
-
-
-def _repeats(docs: DataFrame, hits: DataFrame, window: int, block: int) -> DataFrame:
-    """(doc_id, at): places, as runs, of windows that also start earlier."""
-
-    def windows(kept, texts):
-        ids = kept[0].to_numpy(zero_copy_only=False).astype(np.int64)
-        near = kept[1].to_pylist()
-        values, offsets = flat([t.split() for t in texts], WordHash(), np.uint64)
-        hashes = rolling(values, window)
-        wanted = np.zeros(len(hashes) + window + 1, np.int64)
-        for i, found in enumerate(near):
-            pairs = np.asarray(found, np.int64).reshape(-1, 2)
-            last = offsets[i + 1] - offsets[i] - window
-            if last < 0:
-                continue
-            np.add.at(wanted, offsets[i] + np.minimum(pairs[:, 0], last + 1), 1)
-            np.add.at(wanted, offsets[i] + np.minimum(pairs[:, 1], last) + 1, -1)
-        at = np.flatnonzero(np.cumsum(wanted)[: len(hashes)] > 0)
-        doc = np.searchsorted(offsets, at, "right") - 1
-        place, key, owner = at - offsets[doc], hashes[at], ids[doc]
-        order = np.lexsort((place, owner, key))
-        first = np.zeros(len(order), bool)
-        first[order] = np.diff(key[order], prepend=key[order][:1] + np.uint64(1)) != 0
-        out_key, out_id, out_at, out_runs = [key[first].view(np.int64)], [owner[first]], [place[first]], [None] * int(first.sum())
-        with_later, begins = np.unique(doc[~first], return_index=True)  # doc and place rise
-        out_runs += [_runs(x) for x in np.split(place[~first], begins[1:])] if len(begins) else []
-        own = ids[with_later]
-        out_key.append(own)  # any key will do: these rows are known repeats
-        out_id.append(own)
-        out_at.append(np.full(len(own), -1))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key), pa.int64()), pa.array(np.concatenate(out_id), pa.int64()), pa.array(np.concatenate(out_at), pa.int32()), pa.array(out_runs, pa.list_(pa.int32()))], ["key", "doc_id", "at", "runs"])
-
-    near = _with(docs, hits, "inner")
-    rows = map_texts(near, windows, "key long, doc_id long, at int, runs array<int>", ("doc_id", "at"))
-    w = Window.partitionBy("key", F.col("runs").isNull()).orderBy("doc_id", "at")
-    later = rows.withColumn("rank", F.row_number().over(w)).where("runs is not null or rank > 1")
-    return _merged(later.select("doc_id", F.coalesce("runs", F.array("at", "at")).alias("at")))
+    gathered = runs.groupBy("doc_id", "row").agg(F.flatten(F.collect_set("at")).alias("at"))
+    return materialise(gathered.mapInArrow(merge, "doc_id long, row long, at array<int>"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -152,9 +142,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it begins")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    hits = materialise(_merged(_hits(docs, window, block)))
-    repeats = materialise(_repeats(docs, hits, window, block))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "text")
+    repeats = _repeats(docs, window, block)
+    size = repeats.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("at")).alias("m")).first()
+    if size["n"] <= BROADCAST_ROWS and (size["m"] or 0) <= 16 * BROADCAST_ROWS:
+        repeats = F.broadcast(repeats)  # counted; beyond that both sides are shuffled
 
     def rest(kept, texts):
         n, removed, digests, left = [], [], [], []
@@ -175,5 +167,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
             digests.append(hashlib.sha256(left[-1]).hexdigest())
         return pa.RecordBatch.from_arrays([kept[0], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array([x.decode("utf-8", "replace") for x in left])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = map_texts(_with(docs, repeats, "left"), rest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", ("doc_id", "at"))
+    joined = docs.join(repeats, ["doc_id", "row"], "left")
+    out = map_texts(joined, rest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", ("doc_id", "at"))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
