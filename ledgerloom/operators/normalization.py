@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import parse_lat_lon
 from ..functions.text import clean_description, compound_document, normalize_column, normalize_text, normalize_value, parse_date, to_float, token_set_ratio
@@ -81,8 +81,9 @@ def normalize_products(raw: DataFrame, mapping: dict) -> DataFrame:
         to_float(_field(mapping, "stock")).alias("stock"), _text(_field(mapping, "category")).alias("category"), _text(_field(mapping, "unit")).alias("unit"),
         to_float(_field(mapping, "unit_cost_purchase")).alias("unit_cost_purchase"), to_float(_field(mapping, "unit_price_sale")).alias("unit_price_sale"),
     ).where("product_id <> '' or product_name <> ''")
-    first = F.row_number().over(Window.partitionBy("product_id").orderBy("_ord"))
-    return rows.withColumn("_first", first).where("_first = 1").drop("_first", "_ord")
+    kept = [c for c in rows.columns if c not in ("_ord", "product_id")]
+    # partially aggregated: an id that a large share of the rows has (a blank one, say) is a row for each task
+    return rows.groupBy("product_id").agg(F.min_by(F.struct(*kept), "_ord").alias("x")).select("product_id", "x.*")
 
 
 def normalize_transactions(raw: DataFrame, mapping: dict, kind: str) -> DataFrame:

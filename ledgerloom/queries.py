@@ -67,7 +67,7 @@ def part_attributes(spark, d):
 
 def part_graph(spark, d):
     sold = sales(spark, d).groupBy("product_id").agg(F.sum("quantity").alias("sold_units"))
-    return graphs.semantic_graph(part_attributes(spark, d), sold)
+    return graphs.semantic_graph(materialise(part_attributes(spark, d)), sold)  # read for nodes and for edges
 
 
 _SALES = """sales as (select cast(o_custkey as varchar) entity_norm, l_orderkey as document, l_partkey product_id, l_quantity quantity, l_extendedprice total
