@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SKIPPED = frozenset(("script", "style", "noscript", "template", "head"))
-_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
-_BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split())
+_IN_HEAD = frozenset(["html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"])
+_BLOCKS = frozenset(["address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul", "title"])
 SCHEMA = (
     "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "source_headers string, payload_digest string, block_digest string, content_length long, block string, record string"
