@@ -1,7 +1,7 @@
 """Exact set-similarity join of documents on word shingles, by vertical partitioning.
 
-The global order of shingles is the order of their 64-bit hashes. It is cut into fragments, and a pair is
-counted fragment by fragment and summed.
+The global order of shingles is the order of their 64-bit hashes. It is cut into fragments; candidates come from fragments
+that agree, and a pair's overlap is counted fragment by fragment and summed.
 
 1. A document's set is reduced to a class: documents with equal sets share one, so copies are one set from
    here on (and are written once per task).
@@ -9,22 +9,23 @@ counted fragment by fragment and summed.
    space and the next. In a space with largest size u the order is cut into k = 0.27 u + 1 fragments. Two sets
    with Jaccard >= 0.8 differ in at most (|x| + |y|) / 9 shingles, and a shingle spoils one fragment, so at
    least L = (fragments that x fills) - (|x| + max |y|) / 9 filled fragments agree as a whole. A fragment's
-   content is one row (signature, class). Sets with L <= 0 (short ones) also write prefix signatures.
+   content is one key, its signature. Sets with L <= 0 (short ones) also have prefix signatures. A chunk of documents sends each signature once and
+   learns which ones others have too (see exchange); only those become rows (signature, class).
    Signatures of one class alone are dropped; a class with fewer than L others links with nothing. This leaves the
    members of near-duplicate groups, and few texts that only share a passage.
 3. Each of them is compared with the smallest and largest classes of its signatures that it shares most with, then with
    those that have most links, and what that links is contracted. Links inside a component can't change the result: a large group costs a few
-   comparisons for each member.
+   comparisons for each member. Classes that share L signatures or more with other components remain.
 4. Pairs in different components. Over the remaining sets shingles are ordered from rare to frequent; sets that are
    similar share one of their first ones (prefix and position filters, by size class), and differ in no more bits of
    their odd sketches than they may in shingles. Where the sets that have a shingle
    first are mostly of one component, only the others are paired with them.
-5. Comparing. Sets are cut into parts of the order (one for each 2048 shingles, doubled), overlaps are counted for
-   each part apart and summed for each pair.
+5. Counting. Every set is cut into FRAGMENTS fragments of the order (twice as many for each doubling of its size over PART shingles), two sets'
+   common shingles are counted in each fragment apart, and the counts are summed for each pair.
 
 Class and shingle hashes have 64 bits; two of n different sets fall together with a chance of n^2 / 2^65.
 
-Defined edge cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words are
+Rows are told apart by their id and a hash of their text. Defined edge cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words are
 one shingle; a null id takes part, but never names a component while another member has an id; repeated rows are
 copies; other columns are ignored.
 """
@@ -34,13 +35,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
-from ..plans.tables import BROADCAST_ROWS, keyed_join, materialise
+from ..plans.tables import BROADCAST_ROWS, discard, keyed_join, materialise
+from .exchange import corpus_bytes, distinct, exchange, key_mask, planes, unplanes
 from .textbatch import WordHash, flat, map_texts, mix, rolling
 
-WIDTH, PART = 5, 2048
+WIDTH, PART, FRAGMENTS = 5, 2048, 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -56,7 +58,7 @@ LOW = _bounds()
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    values, offsets = flat([t.lower().split() for t in texts], WordHash(), np.uint64)
+    values, offsets = flat((t.lower().split() for t in texts), WordHash(), np.uint64)
     rolled = rolling(values, width)
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
@@ -107,55 +109,70 @@ def signatures(shingles: np.ndarray, percent: int = 80) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class and sure of every row."""
-
-    def describe(kept, texts):
-        sets = shingle_sets(texts)
-        return pa.RecordBatch.from_arrays(
-            [kept[0], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_class, sets), pa.int64()), pa.array(map(surely_shared, sets), pa.int32())],
-            ["doc_id", "n", "class", "sure"],
-        )
-
-    return map_texts(docs, describe, "doc_id long, n long, class long, sure int")
-
-
-def _signature_rows(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, row, class, n and sure of every row, and (class, n, sure, signature) for each signature that may be shared by two classes."""
+    size = corpus_bytes(docs)
+    mask = key_mask(size, 26)
+    names = ["doc_id", "row", "class", "n", "sure", "signature"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     seen: set[int] = set()  # a task has a copy of its own
 
-    def sign(_, texts):
-        classes, lists = [], []
-        for s in shingle_sets(texts):
-            c = set_class(s)
+    def send(kept, texts):
+        sets = shingle_sets(texts)
+        classes = [set_class(s) for s in sets]
+        sure = [surely_shared(s, percent) for s in sets]
+        lists, own = [], []
+        for k, (s, c) in enumerate(zip(sets, classes, strict=True)):
             if c is not None and c not in seen:
                 seen.add(c)
-                classes.append(c)
-                lists.append(_signed(signatures(s)))
-        if not lists:
-            return None
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["class", "signatures"])
-
-    return map_texts(docs, sign, "class long, signatures array<long>", ()).select(F.explode("signatures").alias("signature"), "class")
+                lists.append(signatures(s, percent))
+                own.append(k)
+        keys = np.concatenate(lists) & mask if lists else np.zeros(0, np.uint64)
+        order, begins, _ = distinct(keys)
+        owner = np.repeat(np.array(own, np.int64), [len(x) for x in lists])[order]
+        times = np.diff(np.append(begins, len(keys)))
+        none = [c is None for c in classes]
+        ids = kept[0].fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), kept[0].is_null().to_numpy(zero_copy_only=False), kept[1].to_numpy(zero_copy_only=False).astype("<i8")
+        described = np.array([0 if c is None else c for c in classes], "<i8"), np.array(none, bool), np.array([len(s) for s in sets], "<i8"), np.array(sure, "<i4")
+        return keys[order[begins]], [np.minimum(times, 2)], [x.tobytes() for x in (*ids, *described)] + [planes(times), planes(owner), len(begins).to_bytes(8, "little"), len(owner).to_bytes(8, "little")]
+
+    def answer(keys, times):
+        order, begins, which = distinct(keys)
+        shared = np.add.reduceat(times[order], begins) > 1
+        return [np.where(shared[which], keys, np.uint64(0))], None
+
+    def receive(info, answers):
+        ids, no_id, row, classes, none, n, sure = (np.frombuffer(x, t) for x, t in zip(info, ("<i8", bool, "<i8", "<i8", bool, "<i8", "<i4"), strict=False))
+        every = pa.table([pa.array(ids, mask=no_id), pa.array(row), pa.array(classes, mask=none), pa.array(n), pa.array(sure), pa.nulls(len(ids), pa.int64())], names)
+        if not answers:
+            return every
+        times, owner = unplanes(info[7], int.from_bytes(info[9], "little")).astype(np.int64), unplanes(info[8], int.from_bytes(info[10], "little")).astype(np.int64)
+        signature = np.repeat(answers[0], times)
+        some = signature != 0
+        signature, owner = signature[some].view(np.int64), owner[some]
+        shared = pa.table([pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.int64()), pa.array(classes[owner]), pa.array(n[owner]), pa.array(sure[owner]), pa.array(signature)], names)
+        return pa.concat_tables([every, shared]).cast(pa.schema(list(zip(names, kinds, strict=True))))
+
+    return materialise(exchange(docs, send, answer, receive, "doc_id long, row long, class long, n long, sure int, signature long", ("doc_id", "row"), size=size))
 
 
 def _memberships(rows: DataFrame) -> DataFrame:
-    """(bucket, class, low, high, size, times): buckets of two classes or more; times is in how many signatures."""
-    w = Window.partitionBy("signature")
-    whole = rows.select("class", F.count(F.lit(1)).over(w).alias("size"), F.min("class").over(w).alias("low"), F.max("class").over(w).alias("high"), F.bit_xor("class").over(w).alias("x"))
+    """(bucket, class, n, sure, low, high, times): buckets of two classes or more; times is in how many signatures."""
+    rows = rows.distinct()
+    whole = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("low"), F.max("class").alias("high"), F.bit_xor("class").alias("x")).where("low < high")
     return (
-        whole.where("low < high").groupBy("low", "high", "size", "x", "class").agg(F.count(F.lit(1)).alias("times"))
-        .select(F.xxhash64("low", "high", "size", "x").alias("bucket"), "class", "low", "high", "size", "times")
+        rows.join(whole, "signature").groupBy("low", "high", "size", "x", "class", "n", "sure").agg(F.count(F.lit(1)).alias("times"))
+        .select(F.xxhash64("low", "high", "size", "x").alias("bucket"), "class", "n", "sure", "times")
     )
 
 
-def _level(n):
-    """0 up to PART shingles, one more for each doubling: 2 ** level parts."""
-    return 0 if n <= PART else int(n - 1).bit_length() - int(PART - 1).bit_length()
+def _level(n: int, part: int) -> int:
+    """log2 of the number of fragments: FRAGMENTS up to ``part`` shingles, twice as many for each doubling."""
+    return FRAGMENTS.bit_length() - 1 + (0 if n <= part else (n - 1).bit_length() - (part - 1).bit_length())
 
 
-def _level_column(n):
-    return F.ceil(F.greatest(F.log2(n / F.lit(float(PART))), F.lit(0.0))).cast("int")
+def _level_column(n: Column) -> Column:
+    return FRAGMENTS.bit_length() - 1 + F.ceil(F.greatest(F.log2(n / F.lit(float(PART))), F.lit(0.0))).cast("int")
 
 
 def odd_sketch(shingles: np.ndarray) -> list[int]:
@@ -164,9 +181,10 @@ def odd_sketch(shingles: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def cut_sets(docs: DataFrame, classes: DataFrame, chosen: DataFrame, percent: int = 80) -> DataFrame:
-    """(class, n, level, part, shingles, sketch) of the chosen classes, in the parts that their partners may need."""
-    ids = materialise(classes.join(chosen, "class", "left_semi").select(F.col("rep").alias("doc_id")))
+def cut_sets(docs: DataFrame, chosen: DataFrame, percent: int = 80) -> DataFrame:
+    """(class, n, level, part, shingles, sketch) of the chosen (class, rep), in the fragments that their partners may need."""
+    part = PART
+    chosen_rows = materialise(chosen.select(F.col("rep").alias("row")).distinct())
 
     def cut(_, texts):
         rows, lists = [], []
@@ -175,7 +193,7 @@ def cut_sets(docs: DataFrame, classes: DataFrame, chosen: DataFrame, percent: in
             if c is None:
                 continue
             sketch = odd_sketch(s)
-            for level in sorted({_level(len(s)), _level(len(s) * 100 // percent)}):
+            for level in sorted({_level(len(s), part), _level(len(s) * 100 // percent, part)}):
                 cuts = [0, *(np.searchsorted(s, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)) if level else ()), len(s)]
                 for k in range(1 << level):
                     if cuts[k + 1] > cuts[k]:
@@ -187,8 +205,11 @@ def cut_sets(docs: DataFrame, classes: DataFrame, chosen: DataFrame, percent: in
         c = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], ["class", "n", "level", "part", "sketch", "shingles"])
 
-    rows = map_texts(keyed_join(docs.select("doc_id", "text"), ids, "doc_id"), cut, "class long, n long, level int, part int, sketch array<long>, shingles array<long>", ())
-    return materialise(rows.join(chosen, "class", "left_semi").dropDuplicates(["class", "level", "part"]))
+    rows = map_texts(keyed_join(docs, chosen_rows, "row"), cut, "class long, n long, level int, part int, sketch array<long>, shingles array<long>", ())
+    cut_rows = materialise(rows)
+    # only rows that are the same in id and text come twice, and only these need the sets to be shuffled
+    twice = cut_rows.groupBy("class", "level", "part").agg(F.count(F.lit(1)).alias("times")).where("times > 1").limit(1).count()
+    return materialise(cut_rows.dropDuplicates(["class", "level", "part"])) if twice else cut_rows
 
 
 def overlaps(sets: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
@@ -204,22 +225,30 @@ def overlaps(sets: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def _pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb) of rows (class, other) whose sizes allow the similarity."""
-    n = classes.select("class", "n")
-    named = rows.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    sized = named.join(n.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    return materialise(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb"))
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb) of rows (class, n, other, m) whose sizes allow the similarity."""
+    turned = F.col("class") < F.col("other")
+    pick = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
+    able = rows.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    return materialise(able.select(pick("class", "other").alias("a"), pick("other", "class").alias("b"), pick("n", "m").alias("na"), pick("m", "n").alias("nb")).distinct())
+
+
+def _by_bucket(rows: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows with one row for each bucket; a bucket may have a large share of the rows, so buckets are broadcast if they are counted few enough (4 MB)."""
+    buckets = materialise(buckets)
+    if buckets.limit(BROADCAST_ROWS // 5 + 1).count() <= BROADCAST_ROWS // 5:
+        buckets = F.broadcast(buckets)
+    return rows.join(buckets, "bucket", how)
 
 
 def _hubs(spokes: DataFrame, most: int = 8) -> DataFrame:
-    """(class, other): the ``most`` hubs that a class shares most signatures with; the second round looks at all the rest."""
-    shared = spokes.where("class <> other").groupBy("class", "sure", "other").agg(F.sum("times").alias("shared")).where("2 * shared >= sure")
-    return shared.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("shared"), "other"))).where(F.col("r") <= most).select("class", "other")
+    """(class, n, other, m): the ``most`` hubs that a class shares most signatures with; the second round looks at all the rest."""
+    shared = spokes.where("class <> other").groupBy("class", "n", "sure", "other", "m").agg(F.sum("times").alias("shared")).where("2 * shared >= sure")
+    return shared.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("shared"), "other"))).where(F.col("r") <= most).select("class", "n", "other", "m")
 
 
 def _rare_first(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(class, other) of sets in different components that share a shingle among their first ones, rare shingles first."""
+    """(class, n, other, m) of sets in different components that share a shingle among their first ones, rare shingles first."""
     own = sets.where(F.col("level") == _level_column(F.col("n"))).select("class", "n", F.explode("shingles").alias("shingle"))
     counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("class").orderBy("df", "shingle")
@@ -248,39 +277,65 @@ def _rare_first(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     able = close & (F.col("m") <= n) & (F.col("component") != F.col("other_component")) & (F.least(n - place, F.col("m") - F.col("other_place")) >= need(n, F.col("m")))
     unusual = probe.drop("usual").join(index.where("other_component <> usual").drop("usual"), ["shingle", "size"]).where(able)
     usual = probe.where("component <> usual").drop("usual").join(index.where("other_component = usual").drop("usual"), ["shingle", "size"]).where(able)
-    return unusual.select("class", "other").union(usual.select("class", "other"))
+    return unusual.select("class", "n", "other", "m").union(usual.select("class", "n", "other", "m"))
 
 
-def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text are read)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialise(_documents(docs))
-    # a class without an id can't be fetched again; it is compared through its copies only
-    classes = described.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sure").alias("sure"), F.min("n").alias("n"))
-    members = materialise(_memberships(_signature_rows(docs)))
-    able = members.groupBy("class").agg(F.sum("times").alias("total")).join(classes, "class").where("total >= sure").select("class", "sure")
-    able = materialise(able)
-    sets = cut_sets(docs, classes, able.select("class"), percent)
+def linked_rows(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, row, n and component of every row of ``docs`` (columns doc_id, row and text are read).
 
-    near = materialise(members.join(able, "class").select("bucket", "class", "times", "sure"))
-    ends = near.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    pairs = _pairs(_hubs(near.join(ends, "bucket").withColumn("other", F.explode(F.array("low", "high")))), classes, percent)
+    ``row`` is row_key() of the row; component is the same number for all rows that are linked, null for rows without shingles.
+    """
+    described = _described(docs, percent)
+    rows = materialise(described.where("signature is null").select("doc_id", "row", "class", "n"))
+    members = materialise(_memberships(described.where("signature is not null").select("signature", "class", "n", "sure")))
+    discard(described)
+    able = members.groupBy("class").agg(F.sum("times").alias("total"), F.first("sure").alias("sure")).where("total >= sure").select("class")
+    able = materialise(able)
+    reps = rows.groupBy("class").agg(F.min("row").alias("rep")).join(able, "class", "left_semi")
+    sets = cut_sets(docs, reps, percent)
+
+    near = materialise(members.join(able, "class", "left_semi"))
+    discard(members)
+    size = F.struct("class", "n")
+    ends = near.groupBy("bucket").agg(F.min(size).alias("low"), F.max(size).alias("high")).where("low.class < high.class")
+    spokes = _by_bucket(near, ends).withColumn("x", F.explode(F.array("low", "high"))).select("class", "n", "sure", "times", F.col("x.class").alias("other"), F.col("x.n").alias("m"))
+    pairs = _pairs(_hubs(spokes), percent)
     links = materialise(overlaps(sets, pairs, percent))
     # once more, with the member of each bucket that has most links so far
     found = connected_components(links, "a", "b").select(F.col("node").alias("class"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
     placed = materialise(near.join(found, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class")))
-    best = placed.where("degree > 0").groupBy("bucket").agg(F.max(F.struct("degree", F.col("class").alias("other"), F.col("component").alias("theirs"))).alias("x")).select("bucket", "x.other", "x.theirs")
-    more = materialise(_pairs(_hubs(placed.join(best, "bucket").where("component <> theirs")), classes, percent).join(pairs, ["a", "b"], "left_anti"))
+    best = placed.where("degree > 0").groupBy("bucket").agg(F.max(F.struct("degree", "class", "n", "component")).alias("x")).select("bucket", F.col("x.class").alias("other"), F.col("x.n").alias("m"), F.col("x.component").alias("theirs"))
+    more = materialise(_pairs(_hubs(_by_bucket(placed, best).where("component <> theirs")), percent).join(pairs, ["a", "b"], "left_anti"))
     links, pairs = materialise(links.union(overlaps(sets, more, percent))), pairs.union(more)
+    discard(placed)
 
+    # a class that links with another component shares its sure signatures with classes outside its own
     found = materialise(connected_components(links, "a", "b"))
-    rest = _pairs(_rare_first(sets, found, percent), classes, percent)
+    placed = near.join(found, F.col("class") == F.col("node"), "left").select("bucket", "class", "sure", "times", F.coalesce("component", "class").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("last")).where("one < last")
+    apart = _by_bucket(placed, mixed.select("bucket"), "left_semi").groupBy("class", "sure").agg(F.sum("times").alias("total")).where("total >= sure").select("class")
+    rest = _pairs(_rare_first(sets.join(materialise(apart), "class", "left_semi"), found, percent), percent)
     rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"))
-    links = materialise(links.union(overlaps(sets, rest, percent)))
+    links = overlaps(sets, rest, percent)
 
-    found = connected_components(links, "a", "b")
-    whole = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
-    names = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = whole.join(names, "component").select("class", "component_id")
-    return described.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # the last links join components
+    name = lambda end: F.coalesce(F.col(f"{end}.component"), F.col(f"l.{end}"))
+    a, b = (found.select("node", "component").alias(x) for x in ("a", "b"))
+    joined = links.alias("l").join(a, F.col("l.a") == F.col("a.node"), "left").join(b, F.col("l.b") == F.col("b.node"), "left").select(name("a").alias("a"), name("b").alias("b"))
+    merged = connected_components(joined, "a", "b").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    out = rows.join(found, F.col("class") == F.col("node"), "left").select("doc_id", "row", "n", F.coalesce("component", "class").alias("old"))
+    return out.join(merged, "old", "left").select("doc_id", "row", "n", F.coalesce("new", "old").alias("component"))
+
+
+def row_key() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text are read)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_key())
+    rows = materialise(linked_rows(docs, percent))
+    names = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
