@@ -101,7 +101,8 @@ def _earliest(docs: DataFrame, window: int, block: int) -> DataFrame:
         # rows with equal id and text say the same: one of them does
         twin = np.append(False, (key[1:] == key[:-1]) & (at[1:] == at[:-1]) & (doc_id[doc[1:]] == doc_id[doc[:-1]]) & (row[doc[1:]] == row[doc[:-1]]))[: len(key)]
         some = ~later & ~twin
-        columns = [key[some], doc_id[doc[some]], row[doc[some]], at[some]]
+        by_doc = np.flatnonzero(some)[np.lexsort((at[some], doc[some]))]  # neighbours are alike then, and travel compressed
+        columns = [key[by_doc], doc_id[doc[by_doc]], row[doc[by_doc]], at[by_doc]]
         order = np.lexsort((at[later], doc[later]))
         with_later, cuts = np.unique(doc[later][order], return_index=True)
         runs = [_runs(x) for x in np.split(at[later][order], cuts[1:])] if len(with_later) else []
