@@ -114,7 +114,7 @@ class _Words(list):
 def _readings(texts: list[bytes]) -> tuple[_Reading, _Reading]:
     """Word by word, and with placeholders, where a name of several words is one token."""
     number = Numbering()
-    at, offsets = flat([t.split() for t in texts], number, np.int64)
+    at, offsets = flat((t.split() for t in texts), number, np.int64)
     cores, hashes, bits = _classes(list(number))
     b = bits[at]
     keep = b & 16 == 0

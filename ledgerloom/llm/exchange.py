@@ -23,7 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .textbatch import map_texts
+from .textbatch import give_back, map_texts
 
 RANGE_BYTES, FANOUT = 8_000_000, 4096
 #: Bytes that a task holds while it puts rows of a coarse range together.
@@ -208,6 +208,7 @@ def exchange(
                 begin += n
             if totals is not None:
                 out.append((-1 - owners[0][1] % 64, -1, 0, [np.asarray(totals, "<f8").tobytes()], None))
+        give_back()
         return pa.Table.from_batches([_batch(out, ANSWERED)])
 
     def gather(table: pa.Table, told: pa.Table | None = None) -> pa.Table:
@@ -226,7 +227,9 @@ def exchange(
             if info is None or check != info[0]:
                 raise ValueError("the documents came in another order when they were read again; write them to a table first")
             info = own
-        return receive(info, [np.concatenate(x) for x in zip(*(got[k] for k in sorted(got)), strict=True)])
+        out = receive(info, [np.concatenate(x) for x in zip(*(got[k] for k in sorted(got)), strict=True)])
+        give_back()
+        return out
 
     answered = rows.groupBy("range").applyInArrow(meet, ANSWERED).groupBy("chunk")
     if tell is None:

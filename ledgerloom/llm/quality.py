@@ -58,7 +58,7 @@ def index_vectors(seed: int = 11) -> np.ndarray:
 
 
 def _ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    packed, offsets = flat([t.split() for t in texts], _Entries(), np.int64)
+    packed, offsets = flat((t.split() for t in texts), _Entries(), np.int64)
     return packed >> 16, packed & 0xFFFF, offsets
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import PER_CLASS, labelled_sample
-from .textbatch import Numbering, flat, fold, map_texts, mix, rolling
+from .textbatch import Numbering, flat, fold, map_texts, rolling
 
 WORD_ROWS, PAIR_ROWS, CHAR_ROWS = 1 << 14, 1 << 14, 1 << 14
 BACK = 8
@@ -60,7 +60,7 @@ def rule_counts(texts: list[bytes]) -> dict[str, list[int]]:
 def _features(texts: list[bytes]) -> tuple[list[np.ndarray], ...]:
     """Rows of the words, of the word pairs, of the byte trigrams and of the equalities of each text, with repeats."""
     number = Numbering()
-    at, offsets = flat([t.split() for t in texts], number, np.int64)
+    at, offsets = flat((t.split() for t in texts), number, np.int64)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in number), np.uint64, len(number))[at] if len(at) else np.zeros(0, np.uint64)
     words = (hashes % np.uint64(WORD_ROWS)).astype(np.int32)
     pairs = (rolling(hashes, 2) % np.uint64(PAIR_ROWS)).astype(np.int32) + WORD_ROWS

@@ -7,7 +7,8 @@ definition every operator here uses. A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -24,6 +25,16 @@ _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside its executor's heap, and would keep what its largest chunk took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """Remainder of crc32(id as text); a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -53,6 +64,7 @@ def map_texts(
                     out = per_chunk([part.column(k) for k in range(len(keep))], part.column(len(keep)).to_pylist())
                     if out is not None and out.num_rows:
                         yield out
+                    give_back()
                     start, held = i, 0
                 held += size
 
@@ -76,25 +88,18 @@ class WordHash(dict):
         return value
 
 
-def flat(per_doc: list[list], table: dict, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Values of all words of all documents, and the offsets at which each document begins."""
-    counts = np.fromiter(map(len, per_doc), np.int64, len(per_doc))
-    offsets = np.concatenate(([0], np.cumsum(counts)))
+def flat(per_doc: Iterable[list], table: dict, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all words of all documents, and the offsets at which each document begins; one document's words are there at a time."""
     get = table.__getitem__
-    values = np.fromiter((get(w) for words in per_doc for w in words), dtype, int(offsets[-1]))
-    return values, offsets
+    parts = [np.fromiter(map(get, words), dtype, len(words)) for words in per_doc]
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+    return np.concatenate(parts) if parts else np.zeros(0, dtype), offsets
 
 
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the different words, the most frequent first, which of them each word of all documents is, and the documents' offsets."""
     number = Numbering()
-    get = number.__getitem__
-    parts = []
-    for t in texts:  # one text's words at a time
-        words = (t.lower() if lower else t).split()
-        parts.append(np.fromiter(map(get, words), np.int32, len(words)))
-    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
-    at = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    at, offsets = flat(((t.lower() if lower else t).split() for t in texts), number, np.int32)
     order = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)

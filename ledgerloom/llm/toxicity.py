@@ -45,7 +45,7 @@ def word_terms(words: list[bytes]) -> np.ndarray:
 def _bags(texts: list[bytes], of_words) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text, the distinct nonzero terms and how often it has each; of_words gives a row of terms for each word."""
     vocabulary = Numbering()
-    at, offsets = flat([t.split() for t in texts], vocabulary, np.int64)
+    at, offsets = flat((t.split() for t in texts), vocabulary, np.int64)
     table = of_words(list(vocabulary))
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
