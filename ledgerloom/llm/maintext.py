@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the page's block elements.
 
 Every block element is a node that is content or not. Its own look (element, class and id words, words, links, sentence ends of its own text
-and of everything below it) gives a unary potential; a node and its parent share a pairwise potential, by what the node's name
-says (nothing, furniture of a page, or a text body). Messages go up from the leaves and down from the root once (sum-product in
+and of everything below it) gives a unary potential; a node and its parent share a pairwise potential, by what both names
+say (nothing, furniture of a page, or a text body). Messages go up from the leaves and down from the root once (sum-product in
 the log domain, all pages of a chunk level by level), which gives each node's exact marginal. Text is kept where its node's marginal is 0.5 or more.
 
 The weights maximise the conditional likelihood of labelled pages; the gradient is observed minus expected counts, from the same
@@ -95,6 +95,7 @@ class _Builder(HTMLParser):
         self.open: Counter = Counter()
         self.held: list[str] = []
         self.linked = 0
+        self.shown: set[int] = set()
         self.at = self._node("html", -1, frozenset(), False)
 
     def _node(self, tag, parent, groups, hidden):
@@ -119,6 +120,10 @@ class _Builder(HTMLParser):
             self.at = self.page.parent[node]
         return tag
 
+    def _unclosed(self, k):
+        """An open noscript or template from place k of the stack on ends without an end tag."""
+        self.shown |= {node for tag, node in self.stack[k:] if tag in ("noscript", "template")}
+
     def _close(self, tags, limits=frozenset()):
         """End the innermost open element of ``tags`` unless a limit is open inside it."""
         if not any(self.open[t] for t in tags):
@@ -126,6 +131,7 @@ class _Builder(HTMLParser):
         for k in range(len(self.stack) - 1, -1, -1):
             name = self.stack[k][0]
             if name in tags:
+                self._unclosed(k + 1)
                 while len(self.stack) > k:
                     self._pop()
                 return
@@ -191,13 +197,16 @@ class _Builder(HTMLParser):
 
     def done(self) -> Page:
         self.close()
-        for tag, node in self.stack:
-            if tag in ("noscript", "template"):
-                self.hidden[node] = False
+        self._unclosed(0)
         while self.stack:
             self._pop()
         self._flush()
         parent = self.page.parent
+        for node in sorted(self.shown):
+            # as if it weren't there: what it holds belongs to its parent
+            self.hidden[node] = False
+            parent[node + 1 :] = [parent[node] if up == node else up for up in parent[node + 1 :]]
+            self.page.blocks = [(parent[node] if at == node else at, text, linked) for at, text, linked in self.page.blocks]
         for i in range(1, len(parent)):
             self.hidden[i] = self.hidden[i] or self.hidden[parent[i]]
         self.page.blocks = [b for b in self.page.blocks if not self.hidden[b[0]]]
@@ -214,7 +223,7 @@ _STEPS = np.array([0.5, 2.5, 7.5, 20.5])  # words: none, 1-2, 3-7, 8-20, more
 _SHARES = np.array([0.05, 0.35, 0.7])  # words in links
 _TAG = {t: k for k, t in enumerate([*BLOCK_TAGS, "other"])}
 N_FEATURES = 1 + len(_TAG) + 2 * len(GROUPS) + 5 + 4 + 2 + 5 + 4 + 2
-N_KINDS = 3
+N_KINDS = 9
 
 
 @dataclass
@@ -223,7 +232,7 @@ class Trees:
 
     parent: np.ndarray  # -1: a page's root
     features: np.ndarray  # nodes x N_FEATURES, 0 or 1
-    kind: np.ndarray  # of the edge to the parent
+    kind: np.ndarray  # of the edge to the parent: what both names say
     levels: list[np.ndarray]
     first: np.ndarray  # a page's first node
 
@@ -277,7 +286,8 @@ def trees(pages: list[Page]) -> Trees:
         else:
             x[:, at], x[:, at + 1] = below >= 100, below >= 400
             at += 2
-    return Trees(parent, x, named, levels, first)
+    kind = np.where(parent >= 0, 3 * named[parent] + named, 0)
+    return Trees(parent, x, kind, levels, first)
 
 
 @dataclass
@@ -404,11 +414,12 @@ def _composed(rng: random.Random, body: list[str], other: list[str]) -> tuple[Pa
                 node(one, "p", 0, rng.choice(other))
 
     at = node(-1, "html", 0)
+    most = 0 if rng.random() < 0.08 else 3  # some pages have no furniture
     for _ in range(rng.randint(0, 2)):
         at = node(at, rng.choice(_WRAPPERS), 0)
-        while rng.random() < 0.3:
+        while most and rng.random() < 0.3:
             furniture(at)
-    for _ in range(rng.randint(1, 3)):
+    for _ in range(rng.randint(min(1, most), most)):
         furniture(at)
     if rng.random() < 0.15:
         text, labels[at] = at, 1  # no container of its own
@@ -419,7 +430,11 @@ def _composed(rng: random.Random, body: list[str], other: list[str]) -> tuple[Pa
     inner = node(text, rng.choice(["div", "section", 'div class="text"']), 1) if rng.random() < 0.3 else text
     for part in body:
         kind = rng.random()
-        if kind < 0.72:
+        if rng.random() < 0.15:
+            part = " ".join(part.split()[: rng.randint(1, 7)])
+        if kind < 0.15:
+            page.blocks.append((inner, part, 0))  # text of the container itself
+        elif kind < 0.72:
             node(inner, "p", 1, part)
         elif kind < 0.8:
             node(node(inner, "blockquote", 1), "p", 1, part)
@@ -432,11 +447,11 @@ def _composed(rng: random.Random, body: list[str], other: list[str]) -> tuple[Pa
             node(inner, "p", 1, part)
         else:
             node(node(node(inner, "table", 1), "tr", 1), "td", 1, part)
-        if rng.random() < 0.08:
+        if most and rng.random() < 0.08:
             furniture(inner)
-    while rng.random() < 0.4:
+    while most and rng.random() < 0.4:
         furniture(text)
-    for _ in range(rng.randint(1, 3)):
+    for _ in range(rng.randint(min(1, most), most)):
         furniture(at)
     return page, np.array(labels, np.int8)
 
