@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import package_label, readable_supplier_name, stable_int
-from ..plans.tables import materialise, numbered
-from .components import connected_components
+from ..plans.tables import discard, materialise, numbered, running
 
 #: Names for suppliers without one, names that say nothing, campaign names, margins and budget shares by profile.
 SUPPLIER_POOL = [
@@ -21,8 +18,8 @@ CAMPAIGNS = ["Cyberday", "Aniversario proveedor", "Cierre de mes"]
 MARGINS = [0.50, 0.43, 0.35, 0.27, 0.23, 0.18]
 BUDGET_SHARES = [0.22, 0.31, 0.42, 0.55, 0.68, 0.82]
 SCALED_BUDGET, MAX_LOTS, MAX_OFFERS = 1500, 12, 180
-#: Options of one part of a flow problem, and rows of one budget request, that a task may solve; and steps that are summed up together.
-MAX_PART, MAX_REQUEST, RUN = 50_000, 10_000, 4096
+#: Steps that are summed up together.
+RUN = 4096
 
 
 def _pick(values: list, i: Column) -> Column:
@@ -134,83 +131,118 @@ def binding_suppliers(allocation: DataFrame, options: DataFrame) -> DataFrame:
     return allocation.groupBy("supplier_id").agg(F.sum("units").alias("units")).join(capacity, "supplier_id").where("units > supplier_capacity + 1e-9")
 
 
-def _min_cost_flow(rows: pd.DataFrame) -> pd.DataFrame:
-    """Successive cheapest paths with potentials over source, products, suppliers, sink."""
-    products, suppliers = sorted(rows["product_id"].unique()), sorted(rows["supplier_id"].unique())
-    node = {("p", p): 1 + i for i, p in enumerate(products)} | {("s", s): 1 + len(products) + i for i, s in enumerate(suppliers)}
-    sink = 1 + len(node)
-    graph: dict[int, list[int]] = defaultdict(list)
-    arcs: list[list] = []  # to, room, cost
-
-    def arc(a, b, room, cost):
-        graph[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        graph[b].append(len(arcs))
-        arcs.append([a, 0.0, -cost])
-
-    for p, q in rows.groupby("product_id")["wanted"].first().items():
-        arc(0, node["p", p], float(q), 0.0)
-    made = []
-    for r in rows.sort_values(["product_id", "supplier_id", "unit_cost"]).itertuples():
-        made.append((r.product_id, r.supplier_id, r.unit_cost, len(arcs)))
-        arc(node["p", r.product_id], node["s", r.supplier_id], float(r.capacity), float(r.unit_cost))
-    for s, c in rows.groupby("supplier_id")["supplier_capacity"].first().items():
-        arc(node["s", s], sink, float(c), 0.0)
-    height = [0.0] * (sink + 1)
-    while True:
-        cost, via, heap = [float("inf")] * (sink + 1), [-1] * (sink + 1), [(0.0, 0)]
-        cost[0] = 0.0
-        while heap:
-            c, a = heapq.heappop(heap)
-            if c > cost[a]:
-                continue
-            for e in graph[a]:
-                b, room, price = arcs[e]
-                if room > 1e-9 and c + price + height[a] - height[b] < cost[b] - 1e-12:
-                    cost[b], via[b] = c + price + height[a] - height[b], e
-                    heapq.heappush(heap, (cost[b], b))
-        if via[sink] < 0:
-            break
-        height = [h + c if c < float("inf") else h for h, c in zip(height, cost, strict=True)]
-        push, a = float("inf"), sink
-        while a:
-            push, a = min(push, arcs[via[a]][1]), arcs[via[a] ^ 1][0]
-        a = sink
-        while a:
-            arcs[via[a]][1] -= push
-            arcs[via[a] ^ 1][1] += push
-            a = arcs[via[a] ^ 1][0]
-    out = [(p, s, c, arcs[e ^ 1][1]) for p, s, c, e in made if arcs[e ^ 1][1] > 1e-9]
-    return pd.DataFrame(out, columns=["product_id", "supplier_id", "unit_cost", "units"])
-
-
-def min_cost_flow(options: DataFrame, demand: DataFrame, most: int = MAX_PART) -> DataFrame:
-    """Cheapest allocation when suppliers' whole capacities may bind across products.
-
-    Options are pruned to the demanded products, and allocate() serves all of them. Products and suppliers that share options make a part; a part in
-    which no supplier is asked for more than its whole capacity is right as it is. Only the others go to a flow solver, one task for each part, whose
-    options are counted first: more than ``most`` in one part are an error, as such a part can't be divided.
+#: What a unit may cost above the cheapest plan: refused bids raise a price by it.
+EPSILON = 1e-3
+_NONE = 1e-9
+_ARC = ["product_id", "supplier_id", "unit_cost"]
+
+
+def min_cost_flow(options: DataFrame, demand: DataFrame, epsilon: float = EPSILON, rounds: list | None = None) -> DataFrame:
+    """Cheapest allocation of as much demand as can be served when suppliers' whole capacities may bind across products.
+
+    An auction whose bids and prices are tables. A product with unserved demand takes its cheapest options, at their costs plus the suppliers' prices. Suppliers that
+    are asked for all they have or more get a price: what it costs, over any chain of exchanges, to free one of their units (exchange_prices()). A supplier that is asked for more than its whole
+    capacity keeps the holdings that would be dearest to serve elsewhere, and its price rises above the dearest one that it gives up; what it gives up is unserved again. The
+    first round is allocate(); later ones touch only the products that lost something. A demand may also stay unserved at a cost above any chain of
+    exchanges, so as much is served as can be.
+
+    Once nothing is given up, no product would save more than epsilon a unit by exchanging an option for one with room, at prices that are
+    zero where a supplier has room: the plan costs at most epsilon a unit more than the cheapest. There is no limit on options, and no part of the problem is
+    solved in one task: running sums over a product's options and a supplier's holdings are divided by ranges. ``rounds`` receives the number of holdings given up in each round.
+
+    Defined edge cases: options without cost, capacity or ids and demands that aren't positive are left out; repeated options and demands are added up;
+    a supplier without a whole capacity has that of its largest option; ties go to the smaller supplier, then product.
     """
     text = lambda c: F.col(c).cast("string").alias(c)
-    asked = demand.groupBy(text("product_id")).agg(F.sum("quantity").alias("quantity"))
-    own = materialise(
-        options.where("unit_cost > 0 and capacity_units > 0").groupBy(text("product_id"), text("supplier_id"), "unit_cost").agg(F.sum("capacity_units").alias("capacity_units"), F.max("supplier_capacity").alias("supplier_capacity"))
-        .join(asked, "product_id")
+    asked = materialise(demand.where("product_id is not null").groupBy(text("product_id")).agg(F.sum("quantity").cast("double").alias("unserved")).where(F.col("unserved") > 0))
+    known = options.where("unit_cost > 0 and capacity_units > 0 and product_id is not null and supplier_id is not null")
+    whole = F.coalesce(F.nullif(F.col("supplier_capacity").cast("double"), F.lit(0.0)), F.col("capacity_units").cast("double"))
+    room = materialise(known.groupBy(text("supplier_id")).agg(F.max(whole).alias("room")))
+    arcs = materialise(
+        known.groupBy(text("product_id"), text("supplier_id"), F.col("unit_cost").cast("double").alias("unit_cost")).agg(F.sum("capacity_units").cast("double").alias("capacity"))
+        .join(asked.select("product_id"), "product_id", "left_semi")
     )
-    greedy = materialise(allocate(own.drop("quantity"), asked))
-    binding = materialise(binding_suppliers(greedy, own).select("supplier_id"))
-    if not binding.head(1):
-        return greedy
-    names = own.select(F.concat(F.lit("p"), "product_id").alias("source"), F.concat(F.lit("s"), "supplier_id").alias("target"))
-    parts = materialise(connected_components(names))
-    hit = parts.join(binding, F.col("node") == F.concat(F.lit("s"), "supplier_id"), "left_semi").select("component").distinct()
-    touched = parts.join(hit, "component").where("node like 'p%'").select(F.substring("node", 2, 1 << 20).alias("product_id"), "component")
-    rows = materialise(own.withColumnRenamed("quantity", "wanted").withColumnRenamed("capacity_units", "capacity").join(touched, "product_id"))
-    largest = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if largest > most:
-        raise ValueError(f"a part of {largest} options binds suppliers across products; at most {most} can be solved as one")
-    solved = rows.groupBy("component").applyInPandas(lambda part: _min_cost_flow(part), "product_id string, supplier_id string, unit_cost double, units double")
-    return greedy.join(touched, "product_id", "left_anti").unionByName(solved)
+    most = arcs.agg(F.max("unit_cost")).first()[0] or 0.0
+    never = (most + epsilon) * (room.count() + 2)
+    spark = options.sparkSession
+    held = materialise(spark.createDataFrame([], "product_id string, supplier_id string, unit_cost double, units double"))
+    prices = materialise(spark.createDataFrame([], "supplier_id string, price double"))
+    while True:
+        taken = _taken(arcs, held, prices, asked, never)
+        held, old = materialise(held.unionByName(taken).groupBy(*_ARC).agg(F.sum("units").alias("units"))), held
+        discard(old, asked)
+        full = materialise(held.groupBy("supplier_id").agg(F.sum("units").alias("load")).join(room, "supplier_id").where(F.col("load") >= F.col("room") - _NONE))
+        over = full.where(F.col("load") > F.col("room") + _NONE)
+        if not over.head(1):
+            discard(full)
+            break
+        prices, old = exchange_prices(arcs, held, prices, full, never), prices
+        discard(old)
+        # a supplier's holdings, those first that would be dearest elsewhere, as far as its capacity goes
+        bids = _without(arcs, held, held.join(over.select("supplier_id"), "supplier_id", "left_semi"), prices, never).withColumn("bid", F.col("other") - F.col("unit_cost"))
+        judged = running(bids.join(over.select("supplier_id", "room"), "supplier_id"), ["supplier_id"], [F.desc("bid"), "product_id", "unit_cost"], {"before": "units"})
+        judged = materialise(judged.withColumn("kept", F.least(F.greatest(F.col("room") - F.col("before"), F.lit(0.0)), F.col("units"))))
+        given_up = judged.where(F.col("units") - F.col("kept") > _NONE)
+        raised = given_up.groupBy("supplier_id").agg((F.max("bid") + epsilon).alias("price"))
+        prices, old = materialise(prices.union(raised).groupBy("supplier_id").agg(F.max("price").alias("price"))), prices
+        asked = materialise(given_up.groupBy("product_id").agg(F.sum(F.col("units") - F.col("kept")).alias("unserved")))
+        if rounds is not None:
+            rounds.append(given_up.count())
+        held, before = materialise(held.join(over.select("supplier_id"), "supplier_id", "left_anti").unionByName(judged.where(F.col("kept") > _NONE).select(*_ARC, F.col("kept").alias("units")))), held
+        discard(old, before, judged, full)
+    return held.where(F.col("units") > _NONE).select("product_id", "supplier_id", "unit_cost", "units")
+
+
+def _open(arcs: DataFrame, held: DataFrame, prices: DataFrame) -> DataFrame:
+    """Options with what is free of them and their value: cost plus the supplier's price."""
+    rows = arcs.join(held, _ARC, "left").na.fill(0.0, ["units"]).join(prices, "supplier_id", "left")
+    return rows.select(*_ARC, (F.col("capacity") - F.col("units")).alias("free"), (F.col("unit_cost") + F.coalesce("price", F.lit(0.0))).alias("value")).where(F.col("free") > _NONE)
+
+
+def _taken(arcs: DataFrame, held: DataFrame, prices: DataFrame, asked: DataFrame, never: float) -> DataFrame:
+    """What products with unserved demand take of their cheapest open options."""
+    mine = arcs.join(asked.select("product_id"), "product_id", "left_semi")
+    rows = running(_open(mine, held, prices).where(F.col("value") <= never).join(asked, "product_id"), ["product_id"], ["value", "supplier_id", "unit_cost"], {"before": "free"})
+    return rows.withColumn("units", F.least(F.greatest(F.col("unserved") - F.col("before"), F.lit(0.0)), F.col("free"))).where(F.col("units") > 0).select(*_ARC, "units")
+
+
+def _without(arcs: DataFrame, held: DataFrame, some: DataFrame, prices: DataFrame, never: float) -> DataFrame:
+    """``some`` of the holdings with ``other``: the least value at which the product could have a unit from another supplier, or go without it."""
+    open_ = _open(arcs.join(some.select("product_id").distinct(), "product_id", "left_semi"), held, prices)
+    by_supplier = materialise(open_.groupBy("product_id", "supplier_id").agg(F.min("value").alias("value")))
+    first = by_supplier.groupBy("product_id").agg(F.min(F.struct("value", "supplier_id")).alias("first"))
+    second = by_supplier.join(first, "product_id").where(F.col("supplier_id") != F.col("first.supplier_id")).groupBy("product_id").agg(F.min("value").alias("second"))
+    rows = some.join(first, "product_id", "left").join(second, "product_id", "left")
+    other = F.when(F.col("first.supplier_id") == F.col("supplier_id"), F.col("second")).otherwise(F.col("first.value"))
+    return rows.select(*some.columns, F.least(F.coalesce(other, F.lit(never)), F.lit(never)).alias("other"))
+
+
+def exchange_prices(arcs: DataFrame, held: DataFrame, prices: DataFrame, full: DataFrame, never: float) -> DataFrame:
+    """The prices, raised where ``full`` suppliers' units are dearer to free: shortest chains of exchanges that end at a supplier with room.
+
+    An exchange moves a unit from a held option to an open one of the same product. Distances shrink from ``never``, and each round reads only the holdings whose product could move to a supplier
+    that came nearer in the round before; so there are as many rounds as the longest of the shortest chains has exchanges.
+    """
+    mine = materialise(held.join(full.select("supplier_id"), "supplier_id", "left_semi"))
+    near = materialise(full.select("supplier_id", F.lit(never).alias("price")))
+    moved: DataFrame | None = None
+    while True:
+        some = mine
+        if moved is not None:
+            some = mine.join(arcs.join(moved, "supplier_id", "left_semi").select("product_id").distinct(), "product_id", "left_semi")
+        reached = _without(arcs, held, some, near, never).groupBy("supplier_id").agg(F.greatest(F.min(F.col("other") - F.col("unit_cost")), F.lit(0.0)).alias("new"))
+        new = materialise(near.join(reached, "supplier_id", "left").select("supplier_id", F.least("price", F.coalesce("new", "price")).alias("price"), (F.coalesce("new", "price") < F.col("price") - _NONE).alias("moved")))
+        if moved is not None:
+            discard(moved)
+        moved = materialise(new.where("moved").select("supplier_id"))
+        discard(near)
+        near = new.drop("moved")
+        near._table = new._table
+        if not moved.head(1):
+            break
+    out = materialise(prices.union(near).groupBy("supplier_id").agg(F.max("price").alias("price")))
+    discard(near, moved, mine)
+    return out
 
 
 def flow_lines(allocation: DataFrame, options: DataFrame) -> DataFrame:
@@ -316,53 +348,151 @@ def best_subset(lots: DataFrame, budget: float) -> DataFrame:
     return lots.join(F.broadcast(best), F.lit(True), "left").withColumn("selected", F.coalesce(F.expr("getbit(mask, lot - 1) = 1"), F.lit(False))).drop("mask")  # one row
 
 
-def _bounded_knapsack(rows: pd.DataFrame, budget: float) -> pd.DataFrame:
-    """Units of each product: dynamic programming over cents, identical units bundled by powers of two."""
-    import numpy as np
+#: Kinds of units that are weighed first, those whose worth for their cost is nearest to the break.
+NEAR_KINDS = 128
 
-    scale = 100 if (rows["catalog_cost"] > 0).any() else 1
-    room = int(max(budget, 0) * scale)
-    best, picks = np.zeros(room + 1), []
-    for r in rows.sort_values("product_id").itertuples():
-        left, size = int(r.max_units), 1
+
+def _bundles(kinds: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, cents and value of bundles of 1, 2, 4, ... units, most worth for their cost first."""
+    ranked = kinds.reset_index(drop=True).assign(_d=lambda k: -k["value"] / k["cents"]).sort_values(["_d", "cents"])
+    out = []
+    for i, r in zip(ranked.index, ranked.itertuples(), strict=True):
+        left, size = int(r.n), 1
         while left > 0:
-            take = min(size, left)
-            cost, value = int(round(r.unit_cost * scale)) * take, r.unit_value * take
-            if cost <= room:
-                offer = best[: room + 1 - cost] + value
-                better = np.zeros(room + 1, bool)
-                better[cost:] = offer > best[cost:] + 1e-12
-                best[cost:] = np.where(better[cost:], offer, best[cost:])
-                picks.append((r.product_id, take, cost, better))
+            take = min(left, size)
+            out.append((i, int(r.cents) * take, r.value * take))
             left, size = left - take, size * 2
-    units: dict = defaultdict(int)
-    for pid, take, cost, better in reversed(picks):
-        if better[room]:
-            units[pid] += take
-            room -= cost
-    cost = dict(zip(rows["product_id"], rows["unit_cost"], strict=True))
-    value = dict(zip(rows["product_id"], rows["unit_value"], strict=True))
-    return pd.DataFrame([(p, n, n * cost[p], n * value[p]) for p, n in sorted(units.items())], columns=["product_id", "units", "cost", "value"])
+    kind, cents, value = zip(*out, strict=True) if out else ((), (), ())
+    return np.array(kind, np.int64), np.array(cents, np.int64), np.array(value, float)
+
+
+def best_bundles(cents: np.ndarray, value: np.ndarray, room: int, floor: float = 0.0) -> np.ndarray:
+    """Which bundles (most worth for their cost first) have most value within ``room``, at the least cost of equals; exact if that value is ``floor`` or more.
+
+    Sums that cost no less and are worth no more than others are dropped, as are those which can't reach ``floor`` even if the rest were divisible. Only
+    the sums of one step are held, at most ``room`` + 1; what was taken is found by halving: a sum remembers its cost and value at the middle bundle, and both halves
+    are done again for these.
+    """
+    picked = np.zeros(len(cents), bool)
+    open_parts = [(0, len(cents), int(room), float(floor))]
+    while open_parts:
+        a, b, room, floor = open_parts.pop()
+        slack = 1e-9 * max(1.0, abs(floor))
+        ahead_cost, ahead_value = np.concatenate(([0], np.cumsum(cents[a:b]))), np.concatenate(([0.0], np.cumsum(value[a:b])))
+        middle = (a + b) // 2
+        cost, worth = np.zeros(1, np.int64), np.zeros(1)
+        half = np.zeros((1, 2))
+        for k in range(a, b):
+            if k == middle:
+                half = np.stack((cost, worth), 1).astype(float)
+            more = cost + cents[k] <= room
+            if more.any():
+                cost, worth, half = np.concatenate((cost, cost[more] + cents[k])), np.concatenate((worth, worth[more] + value[k])), np.concatenate((half, half[more]))
+                order = np.lexsort((-worth, cost))
+                cost, worth, half = cost[order], worth[order], half[order]
+            # what the bundles behind this one are worth if the last one may be cut
+            left = room - cost + ahead_cost[k + 1 - a]
+            j = np.searchsorted(ahead_cost, left, "right") - 1
+            whole = np.minimum(j, b - a)
+            rest = np.where(whole < b - a, (left - ahead_cost[whole]) * value[np.minimum(a + whole, b - 1)] / cents[np.minimum(a + whole, b - 1)], 0.0)
+            keep = worth > np.concatenate(([-1.0], np.maximum.accumulate(worth)[:-1])) + slack
+            keep &= worth + ahead_value[whole] - ahead_value[k + 1 - a] + rest >= floor - slack
+            cost, worth, half = cost[keep], worth[keep], half[keep]
+        if not len(cost):
+            raise ValueError("no choice is worth the given floor")
+        if b - a == 1:
+            picked[a] = cost[-1] > 0
+        elif b > a:
+            at, had = int(half[-1][0]), float(half[-1][1])
+            open_parts += [(a, middle, at, had), (middle, b, int(cost[-1]) - at, float(worth[-1]) - had)]
+    return picked
+
+
+def _taken_of_core(kinds: DataFrame, room: int, floor: float) -> DataFrame:
+    """cents, value, take of the kinds of a core, which one task weighs."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kind, cents, value = _bundles(rows)
+        picked = best_bundles(cents, value, room, floor)
+        size = np.rint(cents / rows["cents"].to_numpy()[kind]).astype(np.int64) if len(kind) else kind
+        take = np.bincount(kind[picked], size[picked], len(rows)).astype(np.int64)
+        return pd.DataFrame({"cents": rows["cents"].to_numpy(), "value": rows["value"].to_numpy(), "take": take})
+
+    return kinds.select("cents", "value", "n", F.lit(0).alias("_core")).groupBy("_core").applyInPandas(run, "cents long, value double, take long")
+
+
+def best_kinds(kinds: DataFrame, room: int, near: int = NEAR_KINDS) -> DataFrame:
+    """cents, value, take: how many of the ``n`` units of each kind (cents, value, both positive) have most value within ``room`` cents.
+
+    Kinds are sorted by worth for their cost, by ranges; units are taken up to the break, where they no longer fit. With a divisible unit there, that is the upper bound. A kind whose
+    units' worth is off the break's rate by more than the bound exceeds a known choice, divided by the units changed, can't be changed by so many units (the bound test), so nearly all kinds are
+    fixed where they are. The known choice is the best one that changes only the ``near`` kinds nearest to the break; mostly it meets the bound or proves that no other kind matters. Else what the
+    bound test leaves, the core, is weighed exactly, with memory for the core's sums.
+    """
+    worth = F.col("value") / F.col("cents")
+    rows = materialise(running(kinds.withColumn("_all", F.lit(0)), ["_all"], [worth.desc(), "cents", "value"], {"cost": F.col("n") * F.col("cents"), "worth": F.col("n") * F.col("value")}).drop("_all"))
+    first = rows.where(F.col("cost") + F.col("n") * F.col("cents") > room).orderBy("cost").limit(1).collect()
+    if not first:
+        return rows.select("cents", "value", F.col("n").alias("take"))
+    at = first[0]
+    rate = at["value"] / at["cents"]
+    bound = at["worth"] + (room - at["cost"]) * rate
+    slack = 1e-9 * max(1.0, bound)
+    before = F.col("cost") < at["cost"]
+    off = F.abs(F.col("value") - F.col("cents") * rate)
+    rows = rows.withColumns({"inside": before, "off": off})
+
+    def solved(core: DataFrame, floor: float) -> tuple[DataFrame, float]:
+        """All kinds with what is taken if only ``core`` (kinds with n and ``free`` units that may change) is weighed, and its value."""
+        core = materialise(core)
+        base = core.agg(F.sum(F.when(F.col("inside"), F.col("free") * F.col("cents"))).alias("c"), F.sum(F.when(F.col("inside"), F.col("free") * F.col("value"))).alias("v")).first()
+        left, fixed = room - at["cost"] + (base["c"] or 0), at["worth"] - (base["v"] or 0.0)
+        took = materialise(_taken_of_core(core.select("cents", "value", F.col("free").alias("n")), left, floor - fixed - slack))
+        out = rows.join(core.select("cents", "value", "free"), ["cents", "value"], "left").join(took, ["cents", "value"], "left").na.fill(0, ["free", "take"])
+        out = materialise(out.select("cents", "value", (F.when(F.col("inside"), F.col("n") - F.col("free")).otherwise(0) + F.col("take")).alias("take")))
+        got = took.agg(F.sum(F.col("take") * F.col("value"))).first()[0] or 0.0
+        discard(core, took)
+        return out, fixed + got
+
+    nearest = materialise(rows.orderBy("off", "cents", "value").limit(near).withColumn("free", F.col("n")))
+    # greedy: whole units of the break's kind behind all before it
+    known = at["worth"] + ((room - at["cost"]) // at["cents"]) * at["value"]
+    chosen, value = solved(nearest, known)
+    gap = max(bound - value, 0.0) + slack
+    if gap > 2 * slack:
+        free = F.when(F.col("off") * F.col("n") <= gap, F.col("n")).otherwise(F.floor(gap / F.col("off")))
+        core = materialise(rows.withColumn("free", free.cast("long")).where("free > 0"))
+        if core.join(nearest.select("cents", "value"), ["cents", "value"], "left_anti").head(1):
+            chosen, value = solved(core, value)
+    return chosen.where("take > 0")
 
 
 def catalog_budget(products: DataFrame, items: DataFrame, budget: float) -> DataFrame:
     """product_id, units, cost, value within a budget, from catalogue prices alone (1.0 where there is none).
 
-    The request's rows are one problem that can't be divided: they are counted, more than MAX_REQUEST products are an error, and one task solves them after
-    the join with the catalogue.
+    The most value that the budget buys, at the least cost of equals; of units with equal cents and value the smaller product ids are taken. Requests may be of any size, and
+    so may the budget: see best_kinds().
+
+    Defined edge cases: a quantity below one is one; a product without a value is worth its quantity; rows worth nothing or less are never taken; repeated rows
+    of a product are rows of their own, each within the stock; what costs no cents is taken whole; a budget below zero is zero.
     """
-    items = materialise(items)
-    asked = items.select("product_id").distinct().count()
-    if asked > MAX_REQUEST:
-        raise ValueError(f"a request for {asked} products; at most {MAX_REQUEST} can be solved as one")
     text = F.col("product_id").cast("string")
-    known = products.select(text.alias("product_id"), "stock", "unit_cost_purchase")
-    quantity = F.floor(F.greatest("quantity", F.lit(1.0)))
+    known = products.select(text.alias("product_id"), "stock", "unit_cost_purchase").dropDuplicates(["product_id"])
+    quantity = F.floor(F.greatest(F.coalesce("quantity", F.lit(1.0)), F.lit(1.0)))
     rows = items.select(text.alias("product_id"), quantity.alias("quantity"), F.coalesce(F.nullif("value", F.lit(0.0)), quantity.cast("double")).alias("value")).join(known, "product_id", "left")
     catalog = F.coalesce("unit_cost_purchase", F.lit(0.0))
     stock = F.floor(F.greatest(F.coalesce(F.nullif("stock", F.lit(0.0)), F.col("quantity").cast("double")), F.lit(1.0)))
-    rows = rows.select("product_id", F.least("quantity", stock).alias("max_units"), (F.col("value") / F.col("quantity")).alias("unit_value"), catalog.alias("catalog_cost"), F.when(catalog > 0, catalog).otherwise(1.0).alias("unit_cost"))
-    return rows.withColumn("request", F.lit("all")).groupBy("request").applyInPandas(lambda part: _bounded_knapsack(part, budget), "product_id string, units long, cost double, value double")
+    rows = materialise(rows.select("product_id", F.least("quantity", stock).alias("n"), (F.col("value") / F.col("quantity")).alias("value"), catalog.alias("catalog_cost"), F.when(catalog > 0, catalog).otherwise(1.0).alias("unit_cost")))
+    scale = 100 if rows.where("catalog_cost > 0").head(1) else 1
+    room = int(max(budget, 0) * scale)
+    units = rows.withColumn("cents", F.bround(F.col("unit_cost") * scale, 0).cast("long")).where((F.col("value") > 0) & (F.col("cents") <= room)).select("product_id", "unit_cost", "cents", "value", "n")
+    units = materialise(units)
+    kinds = units.where("cents > 0").groupBy("cents", "value").agg(F.sum("n").alias("n"))
+    chosen = best_kinds(kinds, room)
+    placed = running(units.join(chosen, ["cents", "value"]), ["cents", "value"], ["product_id", "unit_cost"], {"before": "n"})
+    taken = placed.withColumn("n", F.least(F.greatest(F.col("take") - F.col("before"), F.lit(0)), F.col("n"))).select("product_id", "unit_cost", "value", "n")
+    taken = taken.union(units.where("cents = 0").select("product_id", "unit_cost", "value", "n")).where("n > 0")
+    return taken.groupBy("product_id").agg(F.sum("n").alias("units"), F.sum(F.col("n") * F.col("unit_cost")).alias("cost"), F.sum(F.col("n") * F.col("value")).alias("value"))
 
 
 def optimise_budget(options: DataFrame | None, products: DataFrame, items: DataFrame, budget: float) -> DataFrame:

@@ -521,6 +521,32 @@ def _general(spark, d):
     return flow.agg(F.countDistinct("product_id").alias("n_products"), F.sum("units").alias("units"), F.round(F.sum(F.col("unit_cost") * F.col("units")), 4).alias("cost"))
 
 
+def _two_houses(spark, d):
+    """Each part's options of its region (by id), with the region's suppliers as two houses, even and odd: the even one has half of what would be asked of it."""
+    where = _t(spark, d, "supplier").join(F.broadcast(_t(spark, d, "nation").select("n_nationkey", "n_regionkey")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    house = where.select(F.col("s_suppkey").cast("string").alias("supplier_id"), F.col("n_regionkey").alias("region"), (F.col("s_suppkey") % 2).alias("house"))
+    rows = options(spark, d).join(house, "supplier_id").where(F.col("product_id") % 5 == F.col("region")).groupBy("product_id", "region").agg(F.min(F.when(F.col("house") == 0, F.col("unit_cost"))).alias("even"), F.min(F.when(F.col("house") == 1, F.col("unit_cost"))).alias("odd"))
+    asked = _demand(spark, d)
+    both = materialise(rows.where("even is not null and odd is not null").join(asked, "product_id"))
+    half = both.groupBy("region").agg(F.floor(F.sum(F.when(F.col("even") <= F.col("odd"), F.col("quantity"))) / 2).cast("double").alias("half"))
+    each = both.join(half, "region").select("product_id", F.explode(F.array(
+        F.struct(F.concat("region", F.lit("-0")).alias("supplier_id"), F.col("even").alias("unit_cost"), F.col("half").alias("supplier_capacity")), F.struct(F.concat("region", F.lit("-1")).alias("supplier_id"), F.col("odd").alias("unit_cost"), F.lit(1e12).alias("supplier_capacity")),
+    )).alias("x")).select("product_id", "x.*", F.lit(1e12).alias("capacity_units"))
+    return each, both.select("product_id", "quantity")
+
+
+# with one house that binds, its units go to the products for which the other one is dearest in comparison
+@_query("min_cost_flow_binding", f"""with {_OPTIONS}, {_DEMAND}, h as (select product_id, n_regionkey region, min(unit_cost) filter (s_suppkey % 2 = 0) even, min(unit_cost) filter (s_suppkey % 2 = 1) odd from options join supplier on supplier_id = s_suppkey::varchar join nation on s_nationkey = n_nationkey
+    where product_id % 5 = n_regionkey group by all having even is not null and odd is not null), b as (select * from h join demand using (product_id)), half as (select region, floor(sum(wanted) filter (even <= odd) / 2) room from b group by 1),
+  placed as (select *, coalesce(sum(wanted) over (partition by region order by odd - even desc, product_id::varchar rows between unbounded preceding and 1 preceding), 0) earlier from b join half using (region) where even <= odd),
+  taken as (select product_id, region, even, odd, wanted, greatest(0, least(wanted, room - earlier)) x from placed union all select product_id, region, even, odd, wanted, 0 from b where even > odd)
+  select region || '-' || k supplier_id, sum(case when k = 0 then x else wanted - x end)::double units, round(sum(case when k = 0 then x * even else (wanted - x) * odd end), 2) as cost from taken, range(2) r(k) group by all""")
+def _binding(spark, d):
+    each, asked = _two_houses(spark, d)
+    flow = optimise.min_cost_flow(each, asked, epsilon=1e-6)
+    return flow.groupBy("supplier_id").agg(F.sum("units").alias("units"), F.round(F.sum(F.col("unit_cost") * F.col("units")), 2).alias("cost"))
+
+
 _STABLE = "(select sum(i * unicode(substr(k, cast(i as int), 1))) from (select {0} k), range(1, length(k) + 1) t(i))::bigint"
 
 
@@ -535,12 +561,16 @@ def _lots(spark, d):
     return out.select("lot", "product_id", "supplier", "units", F.round("cost", 2).alias("cost"), F.round("value", 2).alias("value"), "selected")
 
 
-@_query("knapsack_catalog")
+# every unit is worth 2, so the best plan has as many units as can be had: the cheapest first, of equal ones those of the smaller id
+@_query("knapsack_catalog", f"""with {_SALES}, {_REQUEST}, u as (select p_partkey::varchar product_id, p_retailprice * 0.6 unit_cost, round_even(p_retailprice * 0.6 * 100, 0)::bigint cents,
+    least(floor(greatest(wanted, 1)), floor(greatest(case when p_size = 0 then floor(wanted) else p_size end, 1)))::bigint n from demand join part on p_partkey = product_id),
+  placed as (select *, coalesce(sum(cents * n) over (order by cents, product_id rows between unbounded preceding and 1 preceding), 0)::bigint earlier from u),
+  taken as (select *, least(n, (300000 - earlier) // cents) m from placed where earlier < 300000)
+  select product_id, m::bigint units, m * unit_cost as cost, m * 2.0::double as value from taken where m > 0""")
 def _catalog(spark, d):
     return optimise.catalog_budget(products(spark, d), _request(spark, d).withColumn("value", F.col("quantity") * 2), 3000.0)
 
 
-# every unit is worth 2, so the best plan has as many units as can be had: the cheapest first
 @_query("knapsack_catalog_value", f"""with {_SALES}, {_REQUEST}, u as (select round_even(p_retailprice * 0.6 * 100, 0) cents, least(floor(greatest(wanted, 1)), floor(greatest(case when p_size = 0 then floor(wanted) else p_size end, 1))) n from demand join part on p_partkey = product_id),
   each as (select cents, unnest(range(n::bigint)) i from u), summed as (select sum(cents) over (order by cents, i rows unbounded preceding) s from each) select count(*)::bigint units, count(*) * 2.0::double as value from summed where s <= 300000""")
 def _catalog_value(spark, d):

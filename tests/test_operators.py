@@ -1,7 +1,9 @@
 import datetime
 import itertools
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import attributes, attributes as attr, graphs, normalization as norm, optimise, paths, recommend, search
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.build import PipelineError, build_dataset, dataset_summary, graph_summary
-from ledgerloom.plans.tables import numbered
+from ledgerloom.plans.tables import numbered, running
 from ledgerloom.sources.catalog import Catalog
 from ledgerloom.sources.files import read_table
 
@@ -180,11 +182,125 @@ def test_flow_outputs(spark):
     assert [tuple(r)[:4] + tuple(r)[6:] for r in optimise.flow_steps(flow, demand).orderBy("step").collect()] == [(1, "P", "A", 5.0, 10.0, 3.0), (2, "P", "B", 2.0, 16.0, 1.0)]
 
 
-def test_parts_too_large_to_solve_are_an_error(spark):
-    options = spark.createDataFrame([("P", "A", 1.0, 5.0, 5.0), ("Q", "A", 1.0, 5.0, 5.0), ("P", "B", 2.0, 9.0, 9.0)], "product_id string, supplier_id string, unit_cost double, capacity_units double, supplier_capacity double")
-    demand = spark.createDataFrame([("P", 5.0), ("Q", 5.0)], "product_id string, quantity double")
-    with pytest.raises(ValueError, match="at most 2"):
-        optimise.min_cost_flow(options, demand, most=2)
+def _cheapest(options, capacity, demand):
+    """Units served and cost by successive cheapest paths over source, products, suppliers and sink."""
+    names = {k: i for i, k in enumerate(["source", *(("p", p) for p in demand), *(("s", s) for s in capacity), "sink"])}
+    out, arcs = [[] for _ in names], []
+
+    def arc(a, b, room, cost):
+        out[names[a]].append(len(arcs))
+        arcs.append([names[b], room, cost])
+        out[names[b]].append(len(arcs))
+        arcs.append([names[a], 0.0, -cost])
+
+    for p, q in demand.items():
+        arc("source", ("p", p), q, 0.0)
+    for p, s, cost, room in options:
+        arc(("p", p), ("s", s), room, cost)
+    for s, room in capacity.items():
+        arc(("s", s), "sink", room, 0.0)
+    served = total = 0.0
+    while True:
+        dist, via, changed = [math.inf] * len(names), [None] * len(names), True
+        dist[0] = 0.0
+        while changed:
+            changed = False
+            for a, edges in enumerate(out):
+                for e in edges:
+                    b, room, cost = arcs[e]
+                    if room > 1e-9 and dist[a] + cost < dist[b] - 1e-12:
+                        dist[b], via[b], changed = dist[a] + cost, e, True
+        if via[-1] is None:
+            return served, total
+        way, at = [], len(names) - 1
+        while at:
+            way.append(via[at])
+            at = arcs[via[at] ^ 1][0]
+        push = min(arcs[e][1] for e in way)
+        for e in way:
+            arcs[e][1] -= push
+            arcs[e ^ 1][1] += push
+        served, total = served + push, total + push * dist[-1]
+
+
+@pytest.mark.parametrize("seed", [3, 11])
+def test_flow_equals_cheapest_paths(spark, seed):
+    """Parts whose suppliers bind, one of them too small for its demand."""
+    rng = random.Random(seed)
+    rows, capacity, demand, want = [], {}, {}, [0.0, 0.0]
+    for part in range(3):
+        own = {f"s{part}{j}": float(rng.randint(10, 40) if part else 15) for j in range(3)}
+        asked = {f"p{part}{i}": float(rng.randint(1, 20)) for i in range(7)}
+        options = [(p, s, float(rng.randint(1, 40)), float(rng.randint(3, 30))) for p in asked for s in own if rng.random() < 0.7]
+        got = _cheapest(options, own, asked)
+        want = [want[0] + got[0], want[1] + got[1]]
+        rows += options
+        capacity |= own
+        demand |= asked
+    table = spark.createDataFrame([(*r, capacity[r[1]]) for r in rows], "product_id string, supplier_id string, unit_cost double, capacity_units double, supplier_capacity double")
+    rounds = []
+    flow = optimise.min_cost_flow(table, spark.createDataFrame(list(demand.items()), "product_id string, quantity double"), rounds=rounds).collect()
+    assert sum(r["units"] for r in flow) == pytest.approx(want[0]) and sum(r["units"] * r["unit_cost"] for r in flow) == pytest.approx(want[1], abs=optimise.EPSILON * want[0])
+    assert rounds and max(sum(r["units"] for r in flow if r["supplier_id"] == s) - c for s, c in capacity.items()) < 1e-6 and want[0] < sum(demand.values())
+
+
+def test_flow_over_a_chain_of_exchanges(spark):
+    """Only the last supplier of a chain has room: one unit must be passed on along all of it."""
+    n = 5
+    options = [(f"p{i}", f"s{i + k}", 1.0 + k, 10.0, 5.0 if i + k < n else 9.0) for i in range(n) for k in (0, 1)] + [("x", "s0", 1.0, 10.0, 5.0)]
+    table = spark.createDataFrame(options, "product_id string, supplier_id string, unit_cost double, capacity_units double, supplier_capacity double")
+    demand = spark.createDataFrame([(f"p{i}", 5.0) for i in range(n)] + [("x", 1.0), ("none", 3.0), ("p9", -1.0)], "product_id string, quantity double")
+    flow = {(r["product_id"], r["supplier_id"]): r["units"] for r in optimise.min_cost_flow(table, demand).collect()}
+    assert flow == {("x", "s0"): 1.0, **{(f"p{i}", f"s{i}"): 4.0 for i in range(n)}, **{(f"p{i}", f"s{i + 1}"): 1.0 for i in range(n)}}
+    assert optimise.min_cost_flow(table.limit(0), demand).collect() == []
+
+
+def _all_plans(kinds, room):
+    """Most value and its least cost, over all numbers of units."""
+    best = {0: 0.0}
+    for cents, value, n in kinds:
+        best = _merged(best, cents, value, n, room)
+    top = max(best.values())
+    return top, min(c for c, v in best.items() if v >= top - 1e-9)
+
+
+def _merged(best, cents, value, n, room):
+    out = {}
+    for c, v in best.items():
+        for k in range(n + 1):
+            if c + k * cents <= room:
+                out[c + k * cents] = max(out.get(c + k * cents, -1.0), v + k * value)
+    return out
+
+
+def test_best_bundles_equal_all_plans():
+    rng = random.Random(3)
+    for t in range(150):
+        kinds = [(rng.randint(1, 30), float(rng.randint(1, 20)) if t % 2 else rng.uniform(0.5, 20), rng.randint(1, 6)) for _ in range(rng.randint(0, 9))]
+        room = rng.randint(0, 200)
+        _, cents, value = optimise._bundles(pd.DataFrame(kinds, columns=["cents", "value", "n"]))
+        picked = optimise.best_bundles(cents, value, room)
+        want = _all_plans(kinds, room)
+        assert value[picked].sum() == pytest.approx(want[0]) and cents[picked].sum() == want[1]
+
+
+@pytest.mark.parametrize("near", [2, 128])
+def test_catalogue_budget_equals_all_plans(spark, near):
+    rng = random.Random(near)
+    kinds = [(rng.randint(50, 400), float(rng.randint(1, 90)), rng.randint(1, 5)) for _ in range(60)]
+    kinds = list({(c, v): (c, v, n) for c, v, n in kinds}.values())
+    took = optimise.best_kinds(spark.createDataFrame(kinds, "cents long, value double, n long"), 9_000, near).collect()
+    want = _all_plans(kinds, 9_000)
+    assert sum(r["take"] * r["value"] for r in took) == pytest.approx(want[0]) and sum(r["take"] * r["cents"] for r in took) == want[1]
+    most = {(c, v): n for c, v, n in kinds}
+    assert all(0 < r["take"] <= most[r["cents"], r["value"]] for r in took)
+
+
+def test_catalogue_budget_takes_smaller_ids_of_equal_units(spark):
+    products = spark.createDataFrame([(f"P{i}", 3.0, 2.0) for i in range(9)], "product_id string, stock double, unit_cost_purchase double")
+    items = spark.createDataFrame([(f"P{i}", 5.0, 10.0) for i in range(8, -1, -1)] + [("free", 2.0, None), ("P0", None, 0.0)], "product_id string, quantity double, value double")
+    got = {r["product_id"]: r["units"] for r in optimise.catalog_budget(products, items, 15.0).collect()}
+    assert got == {"P0": 3, "P1": 3, "P2": 1, "free": 1}
 
 
 def test_long_chains(spark):
@@ -201,6 +317,17 @@ def test_numbered(spark):
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r["n"] for r in got) == list(range(1, 501))
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_running(spark, few):
+    rng = random.Random(few)
+    rows = [("hot" if i % 3 else f"g{i % 7}", i, float(rng.randint(0, 9))) for i in range(700)]
+    got = running(spark.createDataFrame(rows, "g string, i int, v double").repartition(9), ["g"], [F.desc("i")], {"before": "v", "n": F.lit(1)}, few).collect()
+    assert len(got) == 700 and set(got[0].asDict()) == {"g", "i", "v", "before", "before_total", "n", "n_total"}
+    for r in got:
+        own = [(i, v) for g, i, v in rows if g == r["g"]]
+        assert (r["before"], r["n"], r["before_total"], r["n_total"]) == (sum(v for i, v in own if i > r["i"]), sum(i > r["i"] for i, _ in own), sum(v for _, v in own), len(own))
+
+
 def test_spanning_display(spark):
     rng = random.Random(4)
     edges = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", round(rng.random(), 6)) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.5], "source string, target string, weight double")
