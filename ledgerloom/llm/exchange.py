@@ -8,8 +8,9 @@ meets its answers there: it travels with the keys where it is small, and straigh
 * A key that a third of all texts have is one entry for each chunk, never one for each text.
 * Keys travel sorted, as compressed byte planes, in one row for each chunk and range: three to six bytes a key. The number of ranges follows the size of the
   corpus, so a range has about RANGE_BYTES / 6 entries at any size.
-* A chunk writes at most FANOUT rows. Where there are more ranges, keys go first to FANOUT coarse ranges, whose rows are put together
-  over many chunks before they are cut into ranges; so rows grow in proportion to the input, and an exchange is added for each
+* A chunk writes at most FANOUT rows and gets at most as many answers. Where there are more ranges, both ways have two levels: keys go first to FANOUT coarse ranges, whose rows are put together
+  over many chunks before they are cut into ranges; and a range answers at most FANOUT groups of chunks, whose rows are put together over many ranges
+  before they are cut into chunks. So rows grow with chunks plus ranges, not with their product, and an exchange each way is added for each
   factor of FANOUT (4096 * 8 MB = 32 GB, then 128 TB).
 """
 
@@ -23,13 +24,17 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .textbatch import give_back, map_texts
+from .textbatch import CHUNK_BYTES, give_back, map_texts, mix
 
 RANGE_BYTES, FANOUT = 8_000_000, 4096
 #: Bytes that a task holds while it puts rows of a coarse range together.
 HELD_BYTES = 64 << 20
 SENT = "range long, chunks binary, sizes binary, keys binary, numbers array<binary>, info array<binary>"
-ANSWERED = "chunk long, range long, n int, answers array<binary>, info array<binary>"
+#: Answers of several ranges to a chunk: the ranges, and how many entries each has. Before they are cut: ``chunks`` beside ``ranges``, for a group of chunks.
+ANSWERED = "chunk long, ranges binary, sizes binary, answers array<binary>, info array<binary>"
+GROUPED = "chunk long, chunks binary, ranges binary, sizes binary, answers array<binary>, info array<binary>"
+#: Chunks whose answers are put together, if their number allows.
+GROUP = 64
 
 
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -128,6 +133,39 @@ def _recut(ranges: int):
     return run
 
 
+def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to groups of chunks, put together over ranges as far as memory goes and cut into chunks."""
+
+    def flush(held: dict) -> Iterator[pa.RecordBatch]:
+        for parts in held.values():
+            chunk, part, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            answers = [np.concatenate(x) for x in zip(*(p[3] for p in parts), strict=True)]
+            begin = np.cumsum(size) - size
+            order = np.lexsort((part, chunk))
+            rows = []
+            for a, b in _runs(chunk[order]):
+                own = order[a:b]
+                at = np.concatenate([np.arange(begin[k], begin[k] + size[k]) for k in own])
+                rows.append((int(chunk[own[0]]), part[own].tobytes(), size[own].tobytes(), [planes(x[at]) for x in answers], None))
+            yield _batch(rows, ANSWERED)
+
+    held: dict[int, list] = {}
+    size = 0
+    for b in batches:
+        for k in range(b.num_rows):
+            row = b.slice(k, 1).to_pylist()[0]
+            if row["chunks"] is None:
+                yield _batch([(row["chunk"], b"", b"", row["answers"], row["info"])], ANSWERED)
+                continue
+            n = np.frombuffer(row["sizes"], "<i8")
+            held.setdefault(row["chunk"], []).append((np.frombuffer(row["chunks"], "<i8"), np.frombuffer(row["ranges"], "<i8"), n, [unplanes(x, int(n.sum())) for x in row["answers"]]))
+            size += 8 * int(n.sum()) * (2 + len(row["answers"]))
+            if size > HELD_BYTES:
+                yield from flush(held)
+                held, size = {}, 0
+    yield from flush(held)
+
+
 def corpus_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
@@ -142,6 +180,7 @@ def exchange(
     text: str = "text",
     size: int | None = None,
     tell: Callable[[list[pa.Array], list[bytes]], list[bytes]] | None = None,
+    watched: list[DataFrame] | None = None,
 ) -> DataFrame:
     """The rows that ``receive`` makes of every chunk of ``docs``.
 
@@ -150,6 +189,7 @@ def exchange(
     and totals of the range or None; receive(info, answers): rows of a chunk, the answers being in the order of its keys. Totals come
     added up as receive(None, totals), in a few rows. With ``tell``, the info is tell(kept columns, texts) of a second reading, in which
     ``docs`` must come in the same order (as files do); that is checked by a digest of each chunk, and another order is an error.
+    ``watched`` receives the rows of keys and of answers as they travel.
     """
     size = corpus_bytes(docs, text) if size is None else size
     ranges = max(1, -(-size // RANGE_BYTES))
@@ -181,7 +221,7 @@ def exchange(
 
     def teller(chunk_of):
         def run(kept, texts):
-            return _batch([(chunk_of(), -2, 0, None, [digest(texts), *tell(kept, texts)])], ANSWERED)
+            return _batch([(chunk_of(), b"", b"", None, [digest(texts), *tell(kept, texts)])], ANSWERED)
 
         return run
 
@@ -191,25 +231,32 @@ def exchange(
         salt = F.pmod(F.xxhash64("chunks"), F.lit(max(1, coarse // 16)))
         rows = rows.withColumn("salt", salt).repartition(F.col("range"), F.col("salt")).sortWithinPartitions("range").drop("salt").mapInArrow(_recut(ranges), SENT)
 
+    groups = max(1, min(FANOUT, -(-size // (CHUNK_BYTES * GROUP))))
+
     def meet(table: pa.Table) -> pa.Table:
         out, parts, owners = [], [], []
         for row in (r for b in table.to_batches() for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
             if row["info"] is not None:
-                out.append((int(np.frombuffer(row["chunks"], "<i8")[0]), -1, 0, None, row["info"]))
+                out.append((int(np.frombuffer(row["chunks"], "<i8")[0]), None, b"", b"", None, row["info"]))
             else:
                 keys, numbers, chunks, sizes = _entries(row)
                 parts.append((keys, numbers))
-                owners += [(c, row["range"], n) for c, n in zip(chunks.tolist(), sizes.tolist(), strict=True)]
+                owners.append((chunks, np.full(len(chunks), row["range"], np.int64), sizes))
         if parts:
             answers, totals = answer(np.concatenate([k for k, _ in parts]), *(np.concatenate(x) for x in zip(*(n for _, n in parts), strict=True)))
-            begin = 0
-            for chunk, part, n in owners:
-                out.append((chunk, part, n, [planes(x[begin : begin + n]) for x in answers], None))
-                begin += n
+            chunks, ranges_, sizes = (np.concatenate(x) for x in zip(*owners, strict=True))
+            begin = np.cumsum(sizes) - sizes
+            # a row for each chunk, or for each group of chunks where there are many ranges
+            receiver = chunks if coarse == 1 else (mix(chunks.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(receiver, kind="stable")
+            for a, b in _runs(receiver[order]):
+                own = order[a:b]
+                at = np.concatenate([np.arange(begin[k], begin[k] + sizes[k]) for k in own])
+                out.append((int(receiver[own[0]]), chunks[own].tobytes(), ranges_[own].tobytes(), sizes[own].tobytes(), [planes(x[at]) for x in answers], None))
             if totals is not None:
-                out.append((-1 - owners[0][1] % 64, -1, 0, [np.asarray(totals, "<f8").tobytes()], None))
+                out.append((-1 - int(ranges_[0]) % 64, None, b"", b"", [np.asarray(totals, "<f8").tobytes()], None))
         give_back()
-        return pa.Table.from_batches([_batch(out, ANSWERED)])
+        return pa.Table.from_batches([_batch(out, GROUPED)])
 
     def gather(table: pa.Table, told: pa.Table | None = None) -> pa.Table:
         info, got, totals = None, {}, []
@@ -219,7 +266,9 @@ def exchange(
             elif row["info"] is not None:
                 info = row["info"]
             else:
-                got[row["range"]] = [unplanes(x, row["n"]) for x in row["answers"]]
+                sizes = np.frombuffer(row["sizes"], "<i8")
+                ends = np.cumsum(sizes)[:-1]
+                got.update(zip(np.frombuffer(row["ranges"], "<i8").tolist(), zip(*(np.split(unplanes(x, int(sizes.sum())), ends) for x in row["answers"]), strict=True), strict=True))
         if totals:
             return receive(None, [np.sum(totals, 0)])
         if told is not None:
@@ -231,7 +280,16 @@ def exchange(
         give_back()
         return out
 
-    answered = rows.groupBy("range").applyInArrow(meet, ANSWERED).groupBy("chunk")
+    answered = rows.groupBy("range").applyInArrow(meet, GROUPED)
+    if watched is not None:
+        watched.append(answered)
+    if coarse > 1:
+        # a group's answers are put together by several tasks, each for a part of the ranges and about HELD_BYTES
+        salt = F.pmod(F.xxhash64("ranges"), F.lit(max(1, -(-size // groups // (16 * HELD_BYTES)))))
+        answered = answered.withColumn("salt", salt).repartition(F.col("chunk"), F.col("salt")).sortWithinPartitions("chunk").drop("salt").mapInArrow(_regroup, ANSWERED)
+    if watched is not None:
+        watched += [rows, answered]
+    answered = answered.drop("chunks").groupBy("chunk")
     if tell is None:
         return answered.applyInArrow(lambda table: gather(table), schema)
     told = map_texts(docs, teller(numbering()), ANSWERED, keep, text)

@@ -479,10 +479,12 @@ def labelled_pages(htmls: list[str], composed: int = COMPOSED, seed: int = 5) ->
 
 
 def fit_extractor(pages: DataFrame, html: str = "html", sample: int = PAGES) -> Model:
-    """A model of at most ``sample`` pages that mark their text, of at most PAGE_BYTES each, chosen by a hash of the page."""
+    """A model of about ``sample`` pages that mark their text, of at most PAGE_BYTES each, chosen by a hash of the page at a rate that follows their number."""
     marked = pages.where((F.octet_length(html) <= PAGE_BYTES) & F.col(html).rlike("(?i)<(article|main)[ >]"))
-    rows = marked.select(html).orderBy(F.xxhash64(html)).limit(sample).collect()
-    return fit(*labelled_pages([r[0] for r in rows]))
+    place = F.pmod(F.xxhash64(html, F.lit(12)), F.lit(1 << 40))
+    rate = min(1.0, sample / max(1, marked.count()))
+    rows = marked.where(place < int(rate * (1 << 40))).select(html).distinct().collect()
+    return fit(*labelled_pages(sorted(r[0] for r in rows)))
 
 
 def main_blocks(pages: list[Page], model: Model) -> list[list[str]]:

@@ -35,8 +35,8 @@ from ..plans.tables import BROADCAST_ROWS, materialise
 from .textbatch import map_texts
 
 CAPACITY, END_ID, GROUPS, SMALL = 4096, 1, 20, 8
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 700_000
+#: Words whose ids a worker keeps from chunk to chunk (some 200 bytes each), beside those of the chunk at hand.
+KEPT_WORDS = 200_000
 _TOKENIZERS: dict = {}
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
@@ -56,51 +56,56 @@ class _WordIds(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[bytes, bytes] = {b"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_pieces(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
+    def _encoded_pieces(self, new: list[bytes]) -> dict[bytes, bytes]:
+        pieces: dict[bytes, bytes] = {}
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
             ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             last = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(last) != len(some):
-                self.pieces.update((x, self.whole(x.decode())) for x in some)
+                pieces.update((x, self.whole(x.decode())) for x in some)
                 continue
             raw, begin = ids.tobytes(), 0
             for x, end in zip(some, last.tolist(), strict=True):
-                self.pieces[x] = raw[begin:end]
+                pieces[x] = raw[begin:end]
                 begin = end
+        return pieces
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > KEPT_WORDS:
+            used = {w: self[w] for w in words if w in self}
             self.clear()
-            self.pieces = {b"": b""}
-            new = list(words)
-        pieces, split, rest = self.pieces, [], []
+            self.update(used)
+        split, rest = [], []
         for word in new:
             core = word.rstrip(_PUNCTUATION)
             if core.isalpha() or not core or core.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in core:
                 split.append((word, core, word[len(core) :]))
             else:
                 rest.append(word)
-        self._encode_pieces(list({x for _, core, tail in split for x in (core, tail) if x not in pieces}))
+        pieces = self._encoded_pieces(list({x for _, core, tail in split for x in (core, tail) if x and x not in self}))
+        pieces[b""] = b""
         for word, core, tail in split:
-            self[word] = pieces[core] + pieces[tail] if tail else pieces[core]
-        for at in range(0, len(rest), 10_000):
-            some = rest[at : at + 10_000]
+            self[word] = b"".join(pieces[x] if x in pieces else self[x] for x in (core, tail))
+        for at in range(0, len(rest), 2000):
+            some = rest[at : at + 2000]
             for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 self[word] = np.asarray(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Text that may hold a special token's string goes to the tokenizer as a whole."""
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
-        self.learn({w for words in split if words for w in words})
+        own = [b"<|" not in t for t in texts]
+        words: set[bytes] = set()
+        for t in (t for t, o in zip(texts, own, strict=True) if o):
+            words.update(t.lower().split())
+        self.learn(words)
         get = self.__getitem__
-        return [self.whole(t.decode("utf-8", "replace")) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        return [b"".join(map(get, t.lower().split())) if o else self.whole(t.decode("utf-8", "replace")) for t, o in zip(texts, own, strict=True)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -25,6 +25,8 @@ _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+# Arrow's own allocator keeps freed memory for itself; the system's gives it back when it is trimmed
+pa.set_memory_pool(pa.system_memory_pool())
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,6 +22,7 @@ from ledgerloom.llm.queries import tokenizer_path
 from ledgerloom.llm.rules import rule_counts
 from ledgerloom.llm.secrets import find_secrets
 from ledgerloom.llm.substring import remove_repeats
+from ledgerloom.llm.textbatch import word_hashes
 
 
 def _texts(df):
@@ -148,6 +150,30 @@ def test_exchange_over_many_ranges(odd_docs, monkeypatch, fanout):
     assert {r["doc_id"]: r["score"] for r in lmscore.score_texts(odd_docs).collect()} == pytest.approx(scores, rel=1e-12)
 
 
+def test_exchanged_rows_grow_with_chunks_plus_ranges(odd_docs, monkeypatch):
+    """The number of ranges a hundred times as large: rows don't follow the product of chunks and ranges."""
+    monkeypatch.setattr(exchange, "FANOUT", 8)
+    size = exchange.corpus_bytes(odd_docs)
+    met = {}
+    for ranges in (20, 2000):
+        monkeypatch.setattr(exchange, "RANGE_BYTES", -(-size // ranges))
+
+        def send(kept, texts):
+            hashes = np.unique(word_hashes(texts)[0])
+            return hashes, [np.ones(len(hashes), np.uint64)], None
+
+        rows = []
+        schema = "n long, s long"
+        receive = lambda info, answers: pa.table({"n": pa.array([len(answers[0])], pa.int64()), "s": pa.array([int(answers[0].sum())], pa.int64())})
+        answer = lambda keys, ones: ([np.bincount(np.unique(keys, return_inverse=True)[1])[np.unique(keys, return_inverse=True)[1]].astype(np.uint64)], None)
+        out = exchange.exchange(odd_docs.repartition(12), send, answer, receive, schema, ("doc_id",), watched=rows)
+        met[ranges] = [x.count() for x in rows], sorted(tuple(r) for r in out.collect())
+    (few, result), (many, other) = met[20], met[2000]
+    assert result == other and len(result) == 12
+    # rows of keys, answers as they leave the ranges, answers of chunks
+    assert many[0] <= 2 * 2000 + 100 and many[1] <= 2 * 2000 + 100 and few[2] <= 40 and many[2] <= 40
+
+
 def test_language_model(odd_docs, empty_docs, monkeypatch):
     weights, learn = [], lmscore.learn_weights
     monkeypatch.setattr(lmscore, "learn_weights", lambda *a: weights.append((a, learn(*a))) or weights[-1][1])
