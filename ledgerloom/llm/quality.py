@@ -4,7 +4,8 @@ Each word has two entries: its stripped lower-case core (hashed to CORES rows) a
 lower, upper, digit and the remaining characters themselves, hashed to SHAPES rows). Every entry owns a
 fixed sparse ternary index vector; its word vector is the sum of the index vectors met within WINDOW
 places, over the fitting sample, normalised. A document is the mean of its word vectors, the norms of
-the two means (which rise when few words repeat) and its log length. A ReLU layer and a logistic unit
+the two means (which rise when few words repeat), the mean products of neighbouring words' unit vectors at distances of
+one and two (near 1 where a word is repeated in a row), and its log length. A ReLU layer and a logistic unit
 score that, and a temperature fitted on rows kept out of the training makes the scores probabilities.
 
 Defined edge cases: null and empty texts pool to zero vectors and get a score like any other text;
@@ -28,7 +29,8 @@ from .textbatch import flat, fold, map_texts
 
 CORES, SHAPES, DIM, WINDOW = 1 << 13, 1 << 9, 32, 2
 ROWS = CORES + SHAPES
-POOLED = 2 * DIM + 3
+NEIGHBOURS, LIMIT = (1, 2), 3.0
+POOLED = 2 * DIM + 3 + len(NEIGHBOURS)
 _RUNS = re.compile(rb"([a-z\x80-\xff]+)|([A-Z]+)|([0-9]+)")
 
 
@@ -101,12 +103,27 @@ def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
                 sums[begin + some] = np.add.reduceat(vectors[rows[lo:hi]], offsets[begin:end][some] - lo, axis=0)
             begin = end
         out[:, half : half + DIM] = sums / np.maximum(counts, 1)[:, None]
+    length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9).astype(np.float32)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    for k, gap in enumerate(NEIGHBOURS):
+        near = np.zeros(len(texts))
+        for lo in range(0, max(0, len(core) - gap), 100_000):
+            a, b = core[lo : min(len(core) - gap, lo + 100_000)], core[lo + gap : lo + gap + 100_000]
+            same = doc[lo : lo + len(a)] == doc[lo + gap : lo + gap + len(b)]
+            product = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b])
+            near += np.bincount(doc[lo : lo + len(a)], product * same, len(texts))
+        out[:, 2 * DIM + k] = near / np.maximum(counts - gap, 1)
     out[:, -3] = np.linalg.norm(out[:, :DIM], axis=1)
     out[:, -2] = np.linalg.norm(out[:, DIM : 2 * DIM], axis=1)
     out[:, -1] = np.log1p(counts)
     return out
 
 
+def standard(pooled: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Pooled values in standard deviations, LIMIT of them at most: texts of a word or two lie far outside of all others."""
+    return np.clip((pooled - mean) / scale, -LIMIT, LIMIT)
+
+
 @dataclass
 class QualityModel:
     vectors: np.ndarray
@@ -119,7 +136,7 @@ class QualityModel:
     temperature: float
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
-        hidden = np.maximum(((pooled - self.mean) / self.scale) @ self.w1 + self.b1, 0)
+        hidden = np.maximum(standard(pooled, self.mean, self.scale) @ self.w1 + self.b1, 0)
         return hidden @ self.w2 + self.b2
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
@@ -184,7 +201,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     held = np.array([r["part"] for r in rows]) == 1
-    p = _train((x[~held] - mean) / scale, y[~held], w[~held])
+    p = _train(standard(x[~held], mean, scale), y[~held], w[~held])
     model = QualityModel(vectors, mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
     model.temperature = temperature(model.logits(x[held]), y[held], w[held])
     return model
