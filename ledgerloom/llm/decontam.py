@@ -204,7 +204,14 @@ def _meetings(docs: DataFrame, hashes: np.ndarray, widths: list[int], window: in
                 some = some[known[place] == values[some]]
                 doc = np.searchsorted(read.offsets, some, "right") - 1
                 inside = some + width <= read.offsets[doc + 1]
-                for p, d in zip(some[inside].tolist(), doc[inside].tolist(), strict=True):
+                some, doc = some[inside], doc[inside]
+                if has is None and len(some):
+                    # such a window leaks its tokens wherever it stands: once for each document
+                    order = np.lexsort((some, values[some], doc))
+                    some, doc = some[order], doc[order]
+                    new = np.append(True, (values[some[1:]] != values[some[:-1]]) | (doc[1:] != doc[:-1]))
+                    some, doc = some[new], doc[new]
+                for p, d in zip(some.tolist(), doc.tolist(), strict=True):
                     rows.append((ids[d], p - int(read.offsets[d]), int(values[p]), [read.value(q) for q in range(p, p + width) if kinds[q]]))
         if not rows:
             return None
@@ -252,13 +259,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
             found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, covered int, n_tokens int, kind string")
-    met = found.select("doc_id", F.col("at").alias("place"), "hash", F.col("slots").alias("values")).join(items, "hash")
+    # windows without slots need no alignment: each different one of a document meets the item's tokens that its equals cover
+    bare = F.size("slots") == 0
+    spans = items.where(bare).groupBy("item_id", "n_tokens", "hash").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("last") - 1)))).alias("tokens"))
+    literal = found.where(bare).select("doc_id", "hash").distinct().join(spans, "hash").select("doc_id", "item_id", "n_tokens", "tokens", F.lit(True).alias("same"))
+    met = found.where(~bare).select("doc_id", F.col("at").alias("place"), "hash", F.col("slots").alias("values")).join(items.where(~bare), "hash")
     pairs = F.arrays_zip(F.col("spots").alias("q"), F.transform("slots", F.lower).alias("i"), F.transform("values", F.lower).alias("d"))
     aligned = (
         met.select("doc_id", "item_id", "n_tokens", (F.col("place") - F.col("at")).alias("shift"), F.struct("first", "last", pairs.alias("pairs")).alias("window"))
         .groupBy("doc_id", "item_id", "n_tokens", "shift").agg(F.collect_set("window").alias("windows")).drop("shift")
     )
-    judged = aligned.mapInArrow(_judge, "doc_id long, item_id long, n_tokens int, tokens array<int>, same boolean")
+    judged = aligned.mapInArrow(_judge, "doc_id long, item_id long, n_tokens int, tokens array<int>, same boolean").union(literal)
     return (
         judged.groupBy("doc_id", "item_id", "n_tokens")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("covered"), F.bool_and("same").alias("same"))

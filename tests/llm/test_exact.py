@@ -372,6 +372,16 @@ def test_rule_counts(odd_docs):
         assert tuple(v[k] for v in got.values()) == want
 
 
+def test_windows_that_repeat_meet_once(spark):
+    """One word many times in an item and in a document: meetings don't grow with the product of both."""
+    docs = spark.createDataFrame([(1, "the " * 20_000), (2, "the " * 9 + "cat"), (3, "no " * 500), (4, "of 3 of the of the of 4 " * 900)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the " * 300), (2, "of 3 of the of the of 4 " * 3)], "item_id long, text string")
+    found = decontam._meetings(docs, np.sort(decontam.benchmark_windows(items).select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64)), [8], 8)
+    assert found.where("doc_id = 1").count() == 1
+    got = {(r["doc_id"], r["item_id"]): (r["covered"], r["kind"]) for r in contaminated(docs, items).collect()}
+    assert got == {(1, 1): (300, "verbatim"), (2, 1): (300, "verbatim"), (4, 2): (24, "verbatim")}
+
+
 def test_decontamination(spark, odd_docs, empty_docs):
     plain = "the quick train leaves Berlin station at 9 hours and covers 300 km before lunch so how fast does it really go today"
     other = plain.replace("Berlin", "Madrid").replace("9 hours", "7 hours").replace("300", "450")
