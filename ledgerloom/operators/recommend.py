@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import may_reach, normalize_text, normalize_value, similarity
-from ..plans.tables import materialise
+from ..plans.tables import BROADCAST_ROWS, materialise
 
 RESOLVE_THRESHOLD, CONTAINED = 0.5, 0.92
 
@@ -80,5 +80,8 @@ def suggestions(suppliers: DataFrame, text: str, limit: int = 5) -> DataFrame:
 
 
 def with_names(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """``rows`` with the product_name of their product_id."""
-    return rows.join(products.groupBy("product_id").agg(F.min("product_name").alias("product_name")), "product_id", "left")
+    """``rows`` (a top list) with the product_name of their product_id; of ``products``, only the lines of these ids are grouped."""
+    rows = materialise(rows)
+    ids = rows.select("product_id").distinct()
+    some = products.select("product_id", "product_name").join(F.broadcast(ids) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids, "product_id", "left_semi")
+    return rows.join(some.groupBy("product_id").agg(F.min("product_name").alias("product_name")), "product_id", "left")

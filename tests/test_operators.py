@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import attributes, attributes as attr, graphs, normalization as norm, optimise, paths, recommend, search
+from ledgerloom.operators import activity, attributes, attributes as attr, graphs, normalization as norm, optimise, paths, recommend, search
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.build import PipelineError, build_dataset, dataset_summary, graph_summary
 from ledgerloom.plans.tables import numbered, running
@@ -317,6 +317,26 @@ def test_numbered(spark):
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r["n"] for r in got) == list(range(1, 501))
 
 
+@pytest.mark.parametrize("most", [0, 40, 10_000])
+def test_grouped_median(spark, most):
+    """Groups that one buffer may hold and groups that are divided, null keys and null values among them."""
+    rng = random.Random(most)
+    rows = [("hot" if i % 3 else [f"g{i % 7}", None][i % 2], rng.choice([None, 1.0, 2.5, rng.random()])) for i in range(900)] + [("none", None), ("one", 4.0)]
+    want = {}
+    for g, v in rows:
+        want.setdefault(g, []).append(v)
+    want = {g: float(pd.Series(v, dtype=float).median()) if any(x is not None for x in v) else None for g, v in want.items()}
+    got = {r["g"]: r["m"] for r in activity.grouped_median(spark.createDataFrame(rows, "g string, v double").repartition(8), ["g"], "v", "m", most).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_supply_options_of_a_hot_group(spark):
+    rng = random.Random(1)
+    rows = [("p", None, "s", "S", float(rng.randint(1, 9)), 0.0, float(rng.randint(1, 90)), datetime.date(2024, 1, 1 + i % 28)) for i in range(300)] + [(f"p{i % 9}", f"n{i % 9}", f"s{i % 4}", "X", 2.0, float(i), 8.0, None) for i in range(80)]
+    lines = spark.createDataFrame(rows, "product_id string, product_name string, entity_norm string, entity_name string, quantity double, unit_value double, total double, date date")
+    assert sorted(map(str, activity.supply_options(lines, most=50).collect())) == sorted(map(str, activity.supply_options(lines).collect()))
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_running(spark, few):
     rng = random.Random(few)
