@@ -6,9 +6,11 @@ executors can be replaced. Ties are broken by node id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.tables import discard, materialise, numbered
+from ..plans.tables import BROADCAST_ROWS, discard, materialise, numbered, shared_folder
 from .components import connected_components
 from .graphs import undirected
 
@@ -41,25 +43,62 @@ def component_summary(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> Da
 
 def _single(both: DataFrame, node, **columns) -> DataFrame:
     kind = both.schema["source"].dataType
-    return both.sparkSession.createDataFrame([(node,)], "node string").select(F.col("node").cast(kind).alias("node"), *(F.lit(v).cast(t or kind).alias(k) for k, (v, t) in columns.items()))
+    out = both.sparkSession.createDataFrame([(node,)], "node string").select(F.col("node").cast(kind).alias("node"), *(F.lit(v).cast(t or kind).alias(k) for k, (v, t) in columns.items()))
+    out._rows = 1
+    return out
+
+
+def adjacency(edges: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Distinct (source, target) both ways as a table in the shared folder, bucketed and sorted by source: to be written once for many searches.
+
+    A frontier is joined with it bucket by bucket, so the edges are never shuffled again. hop_distances() and shortest_path() take it in place of edges.
+    """
+    spark = edges.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"adjacency_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    undirected(edges).repartition(buckets, "source").write.bucketBy(buckets, "source").sortBy("source").option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._both = True
+    return out
+
+
+def _counted(front: DataFrame) -> int:
+    """Rows of a frontier, BROADCAST_ROWS + 1 if they are more; counted once."""
+    if not hasattr(front, "_rows"):
+        front._rows = front.limit(BROADCAST_ROWS + 1).count()
+    return front._rows
+
+
+def neighbours(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """(node, parent) of every edge between a node and one of ``front`` (column node, a table), either way.
+
+    Edges are read as they are, a frontier of few nodes being broadcast after it is counted; an adjacency() is joined by its buckets.
+    """
+    if getattr(edges, "_both", False):
+        return edges.join(front.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node"), F.col("source").alias("parent"))
+    ids = front.select("node")
+    if _counted(front) <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    ways = [edges.join(ids.withColumnRenamed("node", own), own).select(F.col(other).alias("node"), F.col(own).alias("parent")) for own, other in (("source", "target"), ("target", "source"))]
+    return ways[0].union(ways[1]).where("node <> parent")
 
 
 def hop_distances(edges: DataFrame, start, max_hops: int | None = None, goal=None) -> DataFrame:
     """node, hops, parent of every node reached from ``start``, breadth first, until nothing new is reached (or ``max_hops``, or ``goal``).
 
-    Only the frontier is joined in a round; since edges go both ways, a new node's neighbours are in the last two frontiers or new, so only those are
+    ``edges`` is read once for each hop: give a table, or an adjacency(). Only the frontier is joined; since edges go both ways, a new node's neighbours are in the last two frontiers or new, so only those are
     taken out by an anti join.
     """
-    both = materialise(undirected(edges))
-    frontiers = [_single(both, start, hops=(0, "int"), parent=(None, None))]
+    frontiers = [_single(edges, start, hops=(0, "int"), parent=(None, None))]
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        reached = both.join(frontiers[-1].select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
+        reached = neighbours(edges, frontiers[-1]).groupBy("node").agg(F.min("parent").alias("parent"))
         for old in frontiers[-2:]:
             reached = reached.join(old.select("node"), "node", "left_anti")
         new = materialise(reached.select("node", F.lit(hop).alias("hops"), "parent"))
-        if not new.head(1):
+        if not _counted(new):
             break
         frontiers.append(new)
         if goal is not None and new.where(F.col("node") == goal).head(1):
@@ -80,23 +119,20 @@ def shortest_path(edges: DataFrame, start, goal) -> list:
     """Nodes of the path with fewest edges, the first in order of nodes of equal ones; empty if there is none.
 
     Grown from both ends, the smaller frontier first, until the two meet or one has no more; then read off level by level, so the driver
-    sees a node of the path at a time.
+    sees a node of the path at a time. ``edges`` is read once for each level: give a table, or an adjacency().
     """
     if start == goal:
         return [start]
-    both = materialise(undirected(edges))
-    if both.where(F.col("source").isin(start, goal)).select("source").distinct().count() < 2:
-        return []
-    levels = {end: [_single(both, end)] for end in (start, goal)}
+    levels = {end: [_single(edges, end)] for end in (start, goal)}
     sizes = {start: 1, goal: 1}
-    near = lambda rows: both.join(rows.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
+    near = lambda rows: neighbours(edges, rows).select("node").distinct()
     while True:
         end, other = (start, goal) if sizes[start] <= sizes[goal] else (goal, start)
         grown = near(levels[end][-1])
         for old in levels[end][-2:]:
             grown = grown.join(old, "node", "left_anti")
         levels[end].append(materialise(grown))
-        sizes[end] = levels[end][-1].count()
+        sizes[end] = _counted(levels[end][-1])
         if not sizes[end]:
             return []
         met = materialise(levels[end][-1].join(levels[other][-1], "node", "left_semi"))
@@ -108,7 +144,7 @@ def shortest_path(edges: DataFrame, start, goal) -> list:
         alive.append(materialise(level.join(near(alive[-1]), "node", "left_semi")))
     path = [start]
     for level in [*reversed(alive), *reversed(levels[goal][:-1])]:
-        path.append(level.join(near(_single(both, path[-1])), "node", "left_semi").agg(F.min("node")).first()[0])
+        path.append(level.join(near(_single(edges, path[-1])), "node", "left_semi").agg(F.min("node")).first()[0])
     return path
 
 

@@ -421,7 +421,8 @@ _BUSINESS = f"{_SALES}, {_PURCHASES}, {_EDGES}, {_MORE}, names as (select distin
   path(step, node) as (select 1, n from s union all select step + 1, min(b) from path join link on a = path.node join far x on x.node = b join far y on y.node = path.node where x.hops = y.hops - 1 group by step)
   select step::int step, node, label from path join labels using (node)""")
 def _client_supplier(spark, d):
-    nodes, edges = (materialise(x) for x in transaction_graphs(spark, d)["business"])
+    nodes, edges = transaction_graphs(spark, d)["business"]
+    nodes, edges = materialise(nodes), materialise(edges.select("source", "target"))
     return paths.path_rows(nodes, paths.shortest_path(edges, search.find_node(nodes, "customer 7", "CLIENT"), search.find_node(nodes, "supplier 5", "SUPPLIER")))
 
 

@@ -311,6 +311,24 @@ def test_long_chains(spark):
     assert paths.heaviest_connection(chain, "z", f"n{n:03d}", "weight") == (["z", *(f"n{i:03d}" for i in range(n + 1))], n + 1.0)
 
 
+def test_searches_over_a_kept_adjacency(spark):
+    """Same answers as over the edges; a frontier's join with it shuffles no edges."""
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(80)], "source string, target string")
+    kept = paths.adjacency(edges, 4)
+    assert sorted(map(tuple, paths.hop_distances(kept, "n00").collect()), key=str) == sorted(map(tuple, paths.hop_distances(edges, "n00").collect()), key=str)
+    assert paths.shortest_path(kept, "n00", "n31") == paths.shortest_path(edges, "n00", "n31") and paths.shortest_path(kept, "n00", "none") == []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        front = spark.createDataFrame([("n00",), ("n01",)], "node string")
+        plan = paths.neighbours(kept, front)._jdf.queryExecution().sparkPlan().toString() + paths.neighbours(kept, front)._jdf.queryExecution().executedPlan().toString()
+        edge_side = plan[plan.rindex("SortMergeJoin") :]
+        assert "Bucketed: true" in edge_side and edge_side.count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_numbered(spark):
     rows = [(i % 7, i) for i in range(500)]
     got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(6), "n", F.desc("a"), "b").collect()
