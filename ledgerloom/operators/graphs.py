@@ -62,9 +62,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return one.union(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
 
 
+def linked_pairs(edges: DataFrame) -> DataFrame:
+    """Distinct (source, target), the smaller node first: what the size of a graph needs of its edges."""
+    return edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+
+
 def graph_metrics(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """metric, n: nodes, distinct undirected edges, and nodes by type."""
-    pairs = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    pairs = linked_pairs(edges)
     return (
         nodes.groupBy(F.concat(F.lit("nodes_"), "node_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
         .union(nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes"), "n")).union(pairs.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges"), "n"))

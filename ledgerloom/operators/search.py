@@ -76,10 +76,29 @@ def search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 10) -> D
     )
 
 
-def text_search(products: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """product_id, product_name, score of the most similar names; with several words all must be there."""
+def name_index(products: DataFrame) -> DataFrame:
+    """(word, product_id, product_name, n): a row for each different word of a name and its normalised form n, sorted by word.
+
+    Kept as a dataset's artifact: a search for a word is a filter that files' and row groups' ranges answer, so names without it are never read.
+    """
+    rows = products.select("product_id", "product_name", normalize_text(F.col("product_name")).alias("n"))
+    return rows.withColumn("word", F.explode(F.array_distinct(tokens(F.col("n"))))).repartitionByRange("word", "product_id").sortWithinPartitions("word", "product_id").select("word", "product_id", "product_name", "n")
+
+
+def text_search(products: DataFrame, query: str, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """product_id, product_name, score of the most similar names; with several words all must be there.
+
+    With a name_index() a query of several words reads the entries of one of its words alone: a name that has all of them is as similar as can be (1.0). So is a name that has the one word
+    of a query, and all that has not is less similar; so only where fewer than ``limit`` names have it, all names are compared.
+    """
     text = normalize_value(query)
     words = text.split()
+    if index is not None and words:
+        met = index.where(F.col("word") == max(words, key=len))
+        if len(words) > 1:
+            met = met.where(F.forall(F.array(*(F.lit(w) for w in words)), lambda w: F.array_contains(tokens(F.col("n")), w)))
+        if len(words) > 1 or met.limit(limit).count() == limit:
+            return met.select("product_id", "product_name", F.lit(1.0).alias("score")).orderBy("product_id").limit(limit)
     name = normalize_text(F.col("product_name"))
     rows = products.select("product_id", "product_name", name.alias("n"))
     if len(words) > 1:
@@ -89,11 +108,11 @@ def text_search(products: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return rows.withColumn("score", score).where(F.col("score") >= TEXT_THRESHOLD).orderBy(F.desc("score"), "product_id").limit(limit).select("product_id", "product_name", "score")
 
 
-def search_products(nodes: DataFrame, edges: DataFrame, products: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search_products(nodes: DataFrame, edges: DataFrame, products: DataFrame, query: str, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Concept search; where the graph knows no word of the query, text search."""
     if seed_groups(nodes, query)[1]:
         return search(nodes, edges, query, limit)
-    return text_search(products, query, limit)
+    return text_search(products, query, limit, index)
 
 
 def find_node(nodes: DataFrame, text: str, node_type: str | None = None) -> str | None:

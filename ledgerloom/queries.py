@@ -297,11 +297,19 @@ def _search(spark, d):
 
 
 # every row has all words of the query, which makes it as similar as can be
-@_query("text_similarity", f"""select p_partkey product_id, p_name product_name, 1.0::double score from part where list_has_all(string_split({_NORM.format('p_name')}, ' '), ['LARGE', 'BOLT']) order by product_id limit 50""")
+_WORDS_SQL = f"""select p_partkey product_id, p_name product_name, 1.0::double score from part where list_has_all(string_split({_NORM.format('p_name')}, ' '), ['LARGE', 'BOLT']) order by product_id limit 50"""
+
+
+@_query("text_similarity", _WORDS_SQL)
 def _text(spark, d):
     return search.text_search(products(spark, d), "large bolt", 50)
 
 
+@_query("name_index_search", _WORDS_SQL)
+def _indexed(spark, d):
+    return search.text_search(products(spark, d), "large bolt", 50, materialise(search.name_index(products(spark, d))))
+
+
 # "SUPPLIER 7": supplier 7 has no word but one of the query as its id (1.0); every other shares the word SUPPLIER with it, for which 1 - 2 / 18 is the best match
 @_query("resolve_supplier", """select s_suppkey supplier_id, s_name supplier, case when s_suppkey = 7 then 1.0 else round(1 - 2 / 18, 4) end::double score from supplier order by score desc, supplier_id limit 5""")
 def _resolve(spark, d):
@@ -578,8 +586,8 @@ def _catalog_value(spark, d):
     return _catalog(spark, d).agg(F.coalesce(F.sum("units"), F.lit(0)).cast("long").alias("units"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
 
 
-def _campaigns(spark, d):
-    return optimise.campaign_offers(options(spark, d), products(spark, d).select("product_id", "unit_price_sale"), "2025-01-01")
+def _campaigns(spark, d, offered=None):
+    return optimise.campaign_offers(options(spark, d) if offered is None else offered, products(spark, d).select("product_id", "unit_price_sale"), "2025-01-01")
 
 
 _CAMPAIGNS = f"""{_OPTIONS}, cr as (select *, row_number() over (partition by product_id order by unit_cost, capacity_units desc, supplier_id) r from options), top3 as (select *, row_number() over (order by product_id::varchar, r) offer from cr where r <= 3 order by product_id::varchar, r limit 180),
@@ -634,8 +642,12 @@ _TYPED = "case split_part({0}, ':', 1) when 'DOC' then 'DOCUMENT' else split_par
   union all select 'logistics', 'nodes', {len(graphs.PLACES) + graphs.BRANCHES} + count(*) from ent union all select 'logistics', 'edges', {len(graphs.ROADS) + graphs.BRANCHES + len(range(6, graphs.BRANCHES + 1, 3))} + count(*) from ent
   union all select 'all', metric, max(n) from typed group by metric union all select 'all', 'nodes', sum(n)::bigint from (select max(n) n from typed group by metric)""")
 def _sizes(spark, d):
-    known = {f"G_{k}": v for k, v in transaction_graphs(spark, d).items()}
-    return build.graph_sizes({"G_attr": part_graph(spark, d), **known}, projection(spark, d), purchases(spark, d), _campaigns(spark, d), options(spark, d), graphs.logistics(entities(spark, d)))
+    # nodes and linked pairs of both kinds of lines are written once; the business graph is made of these, and offers of one table of options
+    graphs_ = transaction_graphs(spark, d)
+    sale, purchase = ((materialise(n), materialise(graphs.linked_pairs(e))) for n, e in (graphs_["sales"], graphs_["purchases"]))
+    known = {"G_business": graphs.business_graph(sale, purchase), "G_sales": sale, "G_purchases": purchase}
+    offered = materialise(options(spark, d))
+    return build.graph_sizes({"G_attr": part_graph(spark, d), **known}, projection(spark, d), purchases(spark, d), _campaigns(spark, d, offered), offered, graphs.logistics(entities(spark, d)))
 
 
 @_query("haversine_pairs", """select a.n_nationkey a, b.n_nationkey b, round(2 * 6371.0088 * asin(sqrt(pow(sin((radians(b.n_nationkey * 2.0) - radians(a.n_nationkey * 2.0)) / 2), 2) + cos(radians(a.n_nationkey * 2.0)) * cos(radians(b.n_nationkey * 2.0))

@@ -335,6 +335,22 @@ def test_numbered(spark):
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r["n"] for r in got) == list(range(1, 501))
 
 
+def test_name_index_finds_what_comparing_all_names_finds(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["TAPA", "FRASCO", "VIDRIO", "GOTERO", "NEGRO", "ÑANDU", "30ML", "TAPAS"]
+    rows = [(i, " ".join(rng.choice(words).lower() for _ in range(rng.randint(1, 4)))) for i in range(300)] + [(900, None), (901, ""), (902, "Único")]
+    products = spark.createDataFrame(rows, "product_id int, product_name string").repartition(5)
+    search.name_index(products).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    for query in ("frasco", "frasco vidrio", "tapa negro 30ml", "unico", "nand", "gotero xyz", ""):
+        want = [tuple(r) for r in search.text_search(products, query, 12).collect()]
+        assert [tuple(r) for r in search.text_search(products, query, 12, index).collect()] == want, query
+    plan = search.text_search(products, "frasco vidrio", 12, index)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(word,FRASCO)" in plan and "Python" not in plan and "Arrow" not in plan
+    # the entries that are read: those of one word
+    assert index.where("word = 'FRASCO'").count() < 0.5 * len(rows)
+
+
 @pytest.mark.parametrize("most", [0, 40, 10_000])
 def test_grouped_median(spark, most):
     """Groups that one buffer may hold and groups that are divided, null keys and null values among them."""
