@@ -351,6 +351,13 @@ def test_name_index_finds_what_comparing_all_names_finds(spark, tmp_path):
     assert index.where("word = 'FRASCO'").count() < 0.5 * len(rows)
 
 
+def test_decimal_aware_sizes(spark):
+    products = spark.createDataFrame([(1, "Frasco 1.5L"), (2, "Tapa 24/410"), (3, "Bolsa 16*19 cm"), (4, "Gotero 0,5 ml ámbar"), (5, "Frasco 30ML B24"), (6, None)], "product_id int, product_name string")
+    plain, aware = ({r["product_id"]: (r["capacity_value"], r["capacity_unit"], r["mouth_size_mm"], r["size_text"]) for r in attr.extract_attributes(products, decimal_aware=x).collect()} for x in (False, True))
+    assert plain[1] == (5.0, "L", None, None) and plain[2] == plain[3] == (None, None, None, None)
+    assert aware == {1: (1.5, "L", None, None), 2: (None, None, 24.0, None), 3: (None, None, None, "16*19 CM"), 4: (0.5, "ML", None, None), 5: (30.0, "ML", 24.0, None), 6: (None, None, None, None)}
+
+
 @pytest.mark.parametrize("most", [0, 40, 10_000])
 def test_grouped_median(spark, most):
     """Groups that one buffer may hold and groups that are divided, null keys and null values among them."""
