@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.tables import materialise
+from ..plans.tables import discard, materialise
 from .textbatch import fold
 
 #: Documents of each class that a classifier is fitted on, at most about this many.
@@ -30,4 +30,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     limit = F.when(F.col("label") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0)))
     chosen = known.where(unit < limit).withColumn("weight", F.try_divide(F.lit(1.0), limit)).distinct()
     # about 2 * per_class rows of three small columns, whatever the size of the tables
-    return materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    out = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    discard(known)
+    return out

@@ -17,15 +17,18 @@ the target line; repeated responses give repeated records with equal ids; other
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .textbatch import CHUNK_BYTES
+
 _SKIPPED = frozenset(("script", "style", "noscript", "template", "head"))
 _IN_HEAD = frozenset(["html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"])
 _BLOCKS = frozenset(["address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul", "title"])
@@ -144,39 +147,75 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     records.select("record").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def _records(data: bytes):
-    """(fields, block) of each record of a file, by their lengths; a broken end is left out."""
-    at = 0
-    while True:
-        while data.startswith(b"\r\n", at):
-            at += 2
-        if (end := data.find(b"\r\n\r\n", at)) < 0:
+class _Unzipped(io.RawIOBase):
+    """What a file's gzip members hold, as far as they go."""
+
+    def __init__(self, raw: io.BytesIO):
+        self.raw, self.inflate, self.left = raw, zlib.decompressobj(31), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while data := self.inflate.unconsumed_tail or self.left or self.raw.read(1 << 16):
+            self.left = b""
+            try:
+                out = self.inflate.decompress(data, len(into))
+            except zlib.error:
+                break
+            if self.inflate.eof:
+                self.left, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+            if out:
+                into[: len(out)] = out
+                return len(out)
+        return 0
+
+
+def _records(stream: io.BufferedIOBase):
+    """(fields, block) of each record of a file as it is read, by their lengths; a broken end is left out."""
+    while line := stream.readline():
+        if line == b"\r\n":
+            continue
+        if not line.startswith(b"WARC/"):
             return
-        lines = data[at:end].split(b"\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.decode("utf-8", "replace").partition(":") for line in lines[1:])}
+        fields = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
         size = int(fields.get("content-length", "0"))
-        if not lines[0].startswith(b"WARC/") or end + 4 + size > len(data):
+        block = stream.read(size)
+        if not line or len(block) < size:
             return
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        yield fields, block
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files (a task reads a file at a time): page_id (null), record_id, target_uri, warc_date, headers, payload, payload_digest."""
+    """The response records of WARC files: page_id (null), record_id, target_uri, warc_date, headers, payload, payload_digest.
+
+    A task reads a file at a time, as Spark gives it (up to 2 GB, compressed or plain); of what it decompresses one record and CHUNK_BYTES of found ones are in memory.
+    """
     names = ["page_id", "record_id", "target_uri", "warc_date", "headers", "payload", "payload_digest"]
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
+
     def read(batches):
         for b in batches:
             for content in b.column(0):
-                data = content.as_py()
-                whole = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = []
-                for fields, block in _records(whole):
-                    if fields.get("warc-type") == "response":
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        rows.append((None, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("utf-8", "replace") + "\r\n", payload.decode("utf-8", "replace"), fields.get("warc-payload-digest")))
+                raw = io.BytesIO(content.as_buffer())
+                zipped = raw.getbuffer()[:2] == b"\x1f\x8b"
+                rows, held = [], 0
+                for fields, block in _records(io.BufferedReader(_Unzipped(raw)) if zipped else raw):
+                    if fields.get("warc-type") != "response":
+                        continue
+                    head, _, payload = block.partition(b"\r\n\r\n")
+                    rows.append((None, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("utf-8", "replace") + "\r\n", payload.decode("utf-8", "replace"), fields.get("warc-payload-digest")))
+                    held += len(block)
+                    if held >= CHUNK_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
+                    yield batch(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(read, "page_id long, record_id string, target_uri string, warc_date string, headers string, payload string, payload_digest string")

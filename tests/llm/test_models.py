@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy, and rows that must not break them."""
 
 import gzip
+import io
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import quality, rules
+from ledgerloom.llm import quality, rules, warc
 from ledgerloom.llm.labelled import labelled_sample
 from ledgerloom.llm.quality import fit_quality, score_quality
 from ledgerloom.llm.rules import RuleModel, apply_rules, fit_rules
@@ -37,6 +38,17 @@ def test_quality(tables):
     assert out.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_records_are_read_as_far_as_a_file_goes():
+    record = lambda kind, block: b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(block), block)
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n<p>x\r\n\r\n", b"", b"y" * 300_000, b"z"]
+    plain = [record(b"response", x) for x in blocks]
+    read = lambda data, zipped: [b for _, b in warc._records(io.BufferedReader(warc._Unzipped(io.BytesIO(data))) if zipped else io.BytesIO(data))]
+    assert read(b"".join(plain), False) == blocks and read(b"".join(plain)[:-6], False) == blocks[:-1]
+    for zipped in (gzip.compress(b"".join(plain)), b"".join(gzip.compress(x) for x in plain)):
+        assert read(zipped, True) == blocks and read(zipped + b"\0\0rest", True) == blocks
+    assert read(b"".join(gzip.compress(x) for x in plain)[:-12], True) == blocks[:-1] and read(b"", False) == []
+
+
 def test_words_in_a_row_are_not_quality(spark):
     """One word many times, words of a good text each a few times in a row, and the text itself; with as many labels as show such texts."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
