@@ -21,7 +21,7 @@ from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import fit_quality, with_quality
 from ledgerloom.llm.queries import tokenizer_path
 from ledgerloom.llm.secrets import redacted
-from ledgerloom.plans.tables import keyed_join, materialise
+from ledgerloom.plans.tables import discard, keyed_join, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +71,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs)
+            discard(before)  # what the stage read is no longer needed
     return docs
 
 
