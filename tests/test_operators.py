@@ -304,7 +304,7 @@ def test_catalogue_budget_takes_smaller_ids_of_equal_units(spark):
 
 
 def test_long_chains(spark):
-    n = 40
+    n = 24
     chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", 1.0) for i in range(n)] + [("n000", "z", 1.0)], "source string, target string, weight double")
     assert paths.shortest_path(chain, "n000", f"n{n:03d}") == [f"n{i:03d}" for i in range(n + 1)]
     assert paths.hop_distances(chain, "n000").agg(F.max("hops")).first()[0] == n
