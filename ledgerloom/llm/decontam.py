@@ -259,6 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
             found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, covered int, n_tokens int, kind string")
+    found = materialise(found)  # meeting windows only; read twice below
     # windows without slots need no alignment: each different one of a document meets the item's tokens that its equals cover
     bare = F.size("slots") == 0
     spans = items.where(bare).groupBy("item_id", "n_tokens", "hash").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("last") - 1)))).alias("tokens"))

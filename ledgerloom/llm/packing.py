@@ -23,6 +23,7 @@ are ignored; no documents give no rows.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import defaultdict
 
@@ -36,7 +37,7 @@ from .textbatch import map_texts
 
 CAPACITY, END_ID, GROUPS, SMALL = 4096, 1, 20, 8
 #: Words whose ids a worker keeps from chunk to chunk (some 200 bytes each), beside those of the chunk at hand.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 120_000
 _TOKENIZERS: dict = {}
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
@@ -51,6 +52,8 @@ class _WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # one thread: each further one would keep memory of its own beside the other worker's
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
