@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -36,6 +37,8 @@ from .textbatch import Numbering, flat, map_texts, mix, rolling
 
 WINDOW, LITERALS, MIN_SHARE, MIN_TOKENS = 8, 5, 0.5, 20
 BLOCK_WINDOWS = 4_000_000
+#: Words whose windows a task hashes at a time: some 200 bytes each.
+PART_WORDS = 100_000
 _STRIP = ".,;:!?*#$%&|<>\"'()[]{}«»„“”‘’…-"
 _NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*[^\W\d_]{0,4}")
 #: Words for units of measure, and small numbers in words, in English, German, French and Spanish (without those that are articles too).
@@ -111,11 +114,27 @@ class _Words(list):
         return self.cores[self.at[k]]
 
 
+def _parts(texts: list[bytes], words: int) -> Iterator[tuple[int, tuple[_Reading, _Reading]]]:
+    """The readings of runs of texts of about ``words`` words, and which text each run begins with. The different words are looked at once for all texts."""
+    number = Numbering()
+    at, offsets = flat((t.split() for t in texts), number, np.int32)
+    cores, hashes, bits = _classes(list(number))
+    del number
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + words, "right")) - 1)
+        yield begin, _read(at[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], cores, hashes, bits)
+        begin = end
+
+
 def _readings(texts: list[bytes]) -> tuple[_Reading, _Reading]:
     """Word by word, and with placeholders, where a name of several words is one token."""
     number = Numbering()
-    at, offsets = flat((t.split() for t in texts), number, np.int64)
-    cores, hashes, bits = _classes(list(number))
+    at, offsets = flat((t.split() for t in texts), number, np.int32)
+    return _read(at, offsets, *_classes(list(number)))
+
+
+def _read(at: np.ndarray, offsets: np.ndarray, cores: list[str], hashes: np.ndarray, bits: np.ndarray) -> tuple[_Reading, _Reading]:
     b = bits[at]
     keep = b & 16 == 0
     ahead = np.concatenate(([0], np.cumsum(keep)))
@@ -188,31 +207,31 @@ def _meetings(docs: DataFrame, hashes: np.ndarray, widths: list[int], window: in
 
     def meet(kept, texts):
         known = shared.value
-        plain, named = _readings(texts)
         ids = kept[0].to_numpy(zero_copy_only=False)
         rows = []
-        for width in widths:
-            # word by word; with placeholders where there are any; first words as names where there are any
-            for read, kinds, has in ((plain, plain.kind, None), (named, named.kind, named.kind > 0), (named, np.where(named.either, 3, named.kind), named.either)):
-                values = _hashed(_template(read.literal, kinds), width, window)
-                if has is None:
-                    some = np.arange(len(values))
-                else:
-                    ahead = np.concatenate(([0], np.cumsum(has)))
-                    some = np.flatnonzero(ahead[width:][: len(values)] > ahead[: len(values)])
-                place = np.minimum(np.searchsorted(known, values[some]), len(known) - 1)
-                some = some[known[place] == values[some]]
-                doc = np.searchsorted(read.offsets, some, "right") - 1
-                inside = some + width <= read.offsets[doc + 1]
-                some, doc = some[inside], doc[inside]
-                if has is None and len(some):
-                    # such a window leaks its tokens wherever it stands: once for each document
-                    order = np.lexsort((some, values[some], doc))
-                    some, doc = some[order], doc[order]
-                    new = np.append(True, (values[some[1:]] != values[some[:-1]]) | (doc[1:] != doc[:-1]))
-                    some, doc = some[new], doc[new]
-                for p, d in zip(some.tolist(), doc.tolist(), strict=True):
-                    rows.append((ids[d], p - int(read.offsets[d]), int(values[p]), [read.value(q) for q in range(p, p + width) if kinds[q]]))
+        for begin, (plain, named) in _parts(texts, PART_WORDS):
+            for width in widths:
+                # word by word; with placeholders where there are any; first words as names where there are any
+                for read, kinds, has in ((plain, plain.kind, None), (named, named.kind, named.kind > 0), (named, np.where(named.either, 3, named.kind), named.either)):
+                    values = _hashed(_template(read.literal, kinds), width, window)
+                    if has is None:
+                        some = np.arange(len(values))
+                    else:
+                        ahead = np.concatenate(([0], np.cumsum(has)))
+                        some = np.flatnonzero(ahead[width:][: len(values)] > ahead[: len(values)])
+                    place = np.minimum(np.searchsorted(known, values[some]), len(known) - 1)
+                    some = some[known[place] == values[some]]
+                    doc = np.searchsorted(read.offsets, some, "right") - 1
+                    inside = some + width <= read.offsets[doc + 1]
+                    some, doc = some[inside], doc[inside]
+                    if has is None and len(some):
+                        # such a window leaks its tokens wherever it stands: once for each document
+                        order = np.lexsort((some, values[some], doc))
+                        some, doc = some[order], doc[order]
+                        new = np.append(True, (values[some[1:]] != values[some[:-1]]) | (doc[1:] != doc[:-1]))
+                        some, doc = some[new], doc[new]
+                    for p, d in zip(some.tolist(), doc.tolist(), strict=True):
+                        rows.append((ids[begin + d], p - int(read.offsets[d]), int(values[p]), [read.value(q) for q in range(p, p + width) if kinds[q]]))
         if not rows:
             return None
         c = list(zip(*rows, strict=True))

@@ -5,6 +5,8 @@ import math
 import random
 import re
 import string
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 
@@ -281,6 +283,31 @@ def test_odd_words_get_the_tokenizers_ids():
         assert words.ids([t.encode()])[0] == words.whole(t)
 
 
+def test_windows_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(5)
+    names = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(names).capitalize() if rng.random() < 0.1 else rng.choice(names) for _ in range(rng.choice((0, 3, 9, 400)))).encode() for _ in range(4000)]
+    known = np.sort(np.concatenate([decontam._hashed(decontam._readings([t])[0].literal, 8, 8)[:1] for t in texts[:200]]))
+
+    class Docs:  # runs the function of the tasks here
+        sparkSession = types.SimpleNamespace(sparkContext=types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x)))
+
+    def found(words):
+        monkeypatch.setattr(decontam, "PART_WORDS", words, raising=False)
+        monkeypatch.setattr(decontam, "map_texts", lambda docs, per_chunk, schema: per_chunk)
+        meet = decontam._meetings(Docs(), known, [8], 8)
+        tracemalloc.start()
+        out = meet([pa.array(range(len(texts)), pa.int64())], texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out.to_pylist(), peak
+
+    whole, most = found(10**9)
+    some, less = found(20_000)
+    assert whole and some == whole and len({r["doc_id"] for r in whole}) > 50
+    assert 2 * less < most
+
+
 BASE = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
