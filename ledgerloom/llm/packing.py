@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.tables import BROADCAST_ROWS, materialise
-from .textbatch import map_texts
+from .textbatch import Numbering, flat, map_texts
 
 CAPACITY, END_ID, GROUPS, SMALL = 4096, 1, 20, 8
 #: Words whose ids a worker keeps from chunk to chunk (some 200 bytes each), beside those of the chunk at hand.
 KEPT_WORDS = 120_000
 _TOKENIZERS: dict = {}
+#: A mark behind a letter that ends a word: a piece of its own to the tokenizer.
+_MARK = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)(?!\S)", re.DOTALL)
+#: Words of the small letters of ASCII and Latin-1.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
@@ -46,16 +52,20 @@ class _WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes.
 
     Words of letters and runs of punctuation are single pieces to the tokenizer, so thousands of new ones are
-    encoded as one text and told apart where a piece ends; all other words are encoded one by one.
+    encoded as one text and told apart where a piece ends; all other words are encoded one by one. A mark that ends a word is a word of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         # one thread: each further one would keep memory of its own beside the other worker's
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for words of small letters, which no normalisation changes and which are one piece each
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -63,35 +73,37 @@ class _WordIds(dict):
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encoded_pieces(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def _encoded_pieces(self, new: list[bytes], tokenizer) -> dict[bytes, bytes]:
         pieces: dict[bytes, bytes] = {}
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             last = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(last) != len(some):
                 pieces.update((x, self.whole(x.decode())) for x in some)
                 continue
-            raw, begin = ids.tobytes(), 0
-            for x, end in zip(some, last.tolist(), strict=True):
-                pieces[x] = raw[begin:end]
-                begin = end
+            raw, ends = ids.tobytes(), last.tolist()
+            pieces.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         return pieces
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: Iterable[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > KEPT_WORDS:
             used = {w: self[w] for w in words if w in self}
             self.clear()
             self.update(used)
-        split, rest = [], []
+        letters, others = [], []
         for word in new:
+            (letters if _LETTERS(word) else others).append(word)
+        self.update(self._encoded_pieces(letters, self.plain))
+        split, rest = [], []
+        for word in others:
             core = word.rstrip(_PUNCTUATION)
-            if core.isalpha() or not core or core.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in core:
+            if core.isalpha() or not core or core.decode("utf-8", "replace").lower().isalpha() and b"\xef\xbf\xbd" not in core:
                 split.append((word, core, word[len(core) :]))
             else:
                 rest.append(word)
-        pieces = self._encoded_pieces(list({x for _, core, tail in split for x in (core, tail) if x and x not in self}))
+        pieces = self._encoded_pieces(list({x for _, core, tail in split for x in (core, tail) if x and x not in self}), self.tokenizer)
         pieces[b""] = b""
         for word, core, tail in split:
             self[word] = b"".join(pieces[x] if x in pieces else self[x] for x in (core, tail))
@@ -103,12 +115,11 @@ class _WordIds(dict):
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Text that may hold a special token's string goes to the tokenizer as a whole."""
         own = [b"<|" not in t for t in texts]
-        words: set[bytes] = set()
-        for t in (t for t, o in zip(texts, own, strict=True) if o):
-            words.update(t.lower().split())
-        self.learn(words)
-        get = self.__getitem__
-        return [b"".join(map(get, t.lower().split())) if o else self.whole(t.decode("utf-8", "replace")) for t, o in zip(texts, own, strict=True)]
+        number = Numbering()
+        at, offsets = flat((_MARK.sub(rb" \g<0>", t.lower()).split() if o else () for t, o in zip(texts, own, strict=True)), number, np.int32)
+        self.learn(number)
+        get = [self[w] for w in number].__getitem__
+        return [b"".join(map(get, at[a:b].tolist())) if o else self.whole(t.decode("utf-8", "replace")) for t, o, a, b in zip(texts, own, offsets[:-1], offsets[1:], strict=True)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

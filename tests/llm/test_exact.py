@@ -283,6 +283,16 @@ def test_odd_words_get_the_tokenizers_ids():
         assert words.ids([t.encode()])[0] == words.whole(t)
 
 
+def test_a_mark_behind_a_word_is_no_word_of_its_own():
+    words = packing._WordIds(tokenizer_path())
+    text = " ".join(a + b for a in ("en", "an", "grün") for b in ("", ".", ",", "!")).replace("grün.", "grün")
+    assert words.ids([text.encode()])[0] == words.whole(text)
+    # the marks once, not once for each word
+    assert sum(w in words for w in (b"en.", b"en,", b"an!")) == 0 and b"." in words and b"an" in words
+    for t in ("İ. İ- zİ,", "=\u0338. a=\u0338 a,\u0338", "dogs' s,' it's. 's.", "ß, ÿ. ÷. é\u0301!", "a.. b., c.\n\nd!\te", "Σ. σς, Ö."):
+        assert words.ids([t.encode()])[0] == words.whole(t)
+
+
 def test_windows_are_hashed_in_parts(monkeypatch):
     rng = random.Random(5)
     names = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(4000)]
