@@ -6,6 +6,7 @@ executors can be replaced. Ties are broken by node id.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -16,6 +17,8 @@ from .graphs import undirected
 
 #: Rounds after which what has been found is written as one table.
 COMPACT = 16
+#: What sums of equal costs in another order may differ by, and more.
+SLACK = 1e-9
 
 
 def families(projection: DataFrame, min_similarity: float = 0.75) -> DataFrame:
@@ -171,17 +174,97 @@ def cheapest_paths(edges: DataFrame, start, weight: str = "weight") -> DataFrame
             discard(*old)
 
 
-def heaviest_connection(edges: DataFrame, start, goal, weight: str = "amount") -> tuple[list, float]:
-    """(path, its weight, rounded to two places) between two nodes; ([], 0.0) if there is none."""
-    best = materialise(cheapest_paths(edges, start, weight))
-    path, node, total = [], goal, 0.0
-    while node is not None:  # a parent at a time: as many lookups as the path has nodes
-        row = best.where(F.col("node") == node).head()
-        if row is None:
-            return [], 0.0
-        total = row["total_weight"] if not path else total
-        path.append(node)
-        node = row["parent"]
+def _touching(edges: list[DataFrame], near: DataFrame, small: bool, both: bool = True) -> DataFrame:
+    """The rows of ``near`` (column parent) with each neighbour (node) and the weight w between, along edges (source, target, w), either way or only from the source."""
+    near = F.broadcast(near) if small else near
+    ways = (("source", "target"), ("target", "source"))[: 2 if both else 1]
+    return _union([e.select(F.col(own).alias("parent"), F.col(other).alias("node"), "w").join(near, "parent") for e in edges for own, other in ways])
+
+
+def _offers(edges: list[DataFrame], front: DataFrame, both: bool) -> DataFrame:
+    """node, cost, parent: the cheapest way to each neighbour of ``front`` (node, cost).
+
+    Edges are read as they are, a frontier of few nodes being broadcast after it is counted; of parallel edges the heaviest is the cheapest.
+    """
+    rows = _touching(edges, front.select(F.col("node").alias("parent"), F.col("cost").alias("before")), _counted(front) <= BROADCAST_ROWS, both)
+    return rows.groupBy("node").agg(F.min(F.struct((F.col("before") + 1 / (F.col("w") + 1)).alias("cost"), "parent")).alias("o")).select("node", "o.*")
+
+
+class _Side:
+    """Costs from one end, lowered round by round: what changed in each round, as tables."""
+
+    def __init__(self, edges: list[DataFrame], end, both: bool = True) -> None:
+        self.edges, self.both, self.rounds = edges, both, 0
+        self.changes = [_single(edges[0], end, cost=(0.0, "double"), parent=(None, None))]
+        self.front = self.changes[0]
+
+    def costs(self) -> DataFrame:
+        return _union(self.changes).groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o")).select("node", "o.*")
+
+    def grow(self, keep) -> DataFrame:
+        """One round from the frontier. ``keep`` takes the offers that may matter. The changed nodes are the new frontier."""
+        offers = keep(_offers(self.edges, self.front, self.both)).join(self.costs().select("node", F.col("cost").alias("known")), "node", "left")
+        self.front = materialise(offers.where(F.col("known").isNull() | (F.col("cost") < F.col("known") - 1e-12)).select("node", "cost", "parent"))
+        self.rounds += 1
+        if _counted(self.front):
+            self.changes.append(self.front)
+        if len(self.changes) > COMPACT:
+            old, self.changes = self.changes[:-1], [materialise(_union(self.changes[:-1]).groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o")).select("node", "o.*")), self.changes[-1]]
+            discard(*old)
+        return self.front
+
+
+def heaviest_connection(edges: DataFrame | list[DataFrame], start, goal, weight: str = "amount") -> tuple[list, float]:
+    """(path, its weight, rounded to two places) between two nodes; ([], 0.0) if there is none.
+
+    Costs are those of cheapest_paths(), but ``edges`` are neither written nor shuffled while frontiers are small; they are read once for each round, so give a table or columns of one. Of a list
+    of tables each is searched by itself.
+    Costs grow from both ends, the smaller frontier first. A node that both know bounds the cost; as no edge costs less than the heaviest one, paths of more edges than rounds were made cost more
+    than the bound at some time. Then the edges that can lie on a way within the bound are written, costs are lowered from the start along these, and the path is read off from the goal: of parents
+    that fit a node's cost the first in order of nodes.
+    """
+    if start is None or goal is None or start == goal:
+        return ([start] if start is not None and start == goal else []), 0.0
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = [e.select("source", "target", w.alias("w")) for e in (edges if isinstance(edges, list) else [edges])]
+    heaviest = _union([e.select("w") for e in rows]).agg(F.max("w")).first()[0]
+    if heaviest is None:
+        return [], 0.0
+    least, bound = 1 / (heaviest + 1), math.inf
+    ahead, back = _Side(rows, start), _Side(rows, goal)
+    within = lambda: bound + SLACK * max(1.0, bound)
+    while (ahead.rounds + back.rounds + 1) * least <= within():
+        side, other, end = (ahead, back, goal) if _counted(ahead.front) <= _counted(back.front) else (back, ahead, start)
+        front = side.grow(lambda offers: offers.where(F.col("cost") + F.when(F.col("node") == end, 0.0).otherwise(least) <= within()))
+        if not _counted(front):  # all that this end can reach within the bound is known
+            break
+        met = front.join(other.costs().select("node", F.col("cost").alias("rest")), "node").agg(F.min(F.col("cost") + F.col("rest"))).first()[0]
+        bound = bound if met is None else min(bound, met)
+    if bound == math.inf:
+        return [], 0.0
+    # costs known from both ends are least ones; a node that an end's rounds haven't reached is further than these
+    (far_ahead, to), (far_back, fro) = (((side.rounds + 1) * least, materialise(side.costs().select("node", F.col("cost").alias(name)))) for side, name in ((ahead, "g"), (back, "h")))
+    known = to.join(fro, "node", "full_outer").select("node", F.least(F.coalesce("g", F.lit(far_ahead)), F.lit(far_ahead)).alias("g"), F.least(F.coalesce("h", F.lit(far_back)), F.lit(far_back)).alias("h"))
+    known = materialise(known.where(F.col("g") + F.col("h") <= within()))
+    small = _counted(known) <= BROADCAST_ROWS
+    end = known.select("node", "h")
+    between = _touching(rows, known.select(F.col("node").alias("parent"), "g"), small).join(F.broadcast(end) if small else end, "node")
+    between = between.where((F.col("node") != F.col("parent")) & (F.col("g") + 1 / (F.col("w") + 1) + F.col("h") <= within()))
+    links = materialise(between.groupBy(F.col("parent").alias("source"), F.col("node").alias("target")).agg(F.max("w").alias("w")))  # the way towards the goal
+    forth = _Side([links], start, both=False)
+    while _counted(forth.front):
+        forth.grow(lambda offers: offers)
+    near = materialise(forth.costs())
+    costs = [near.select(F.col("node").alias(n), F.col("cost").alias(c)) for n, c in (("source", "x"), ("target", "y"))]
+    links = links.join(costs[0], "source").join(costs[1], "target").select(F.col("source").alias("before"), F.col("target").alias("node"), "w", "x", "y")
+    fits = (F.abs(F.col("x") + 1 / (F.col("w") + 1) - F.col("y")) < 1e-13) & (F.col("x") < F.col("y"))
+    parents = links.join(near.select("node", F.col("parent").alias("before"), F.lit(True).alias("kept")), ["node", "before"], "left").where(fits | F.col("kept"))
+    parents = materialise(parents.select("node", "before", "w", fits.alias("fits")))
+    path, total = [goal], 0.0
+    while path[-1] != start:  # a parent at a time: as many lookups as the path has nodes
+        row = parents.where(F.col("node") == path[-1]).orderBy(F.desc("fits"), "before").select("before", "w").head()
+        path.append(row["before"])
+        total += row["w"]
     return path[::-1], round(total, 2)
 
 

@@ -11,7 +11,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import activity, attributes, attributes as attr, graphs, normalization as norm, optimise, paths, recommend, search
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.build import PipelineError, build_dataset, dataset_summary, graph_summary
-from ledgerloom.plans.tables import numbered, running
+from ledgerloom.plans.tables import materialise, numbered, running
 from ledgerloom.sources.catalog import Catalog
 from ledgerloom.sources.files import read_table
 
@@ -311,6 +311,18 @@ def test_long_chains(spark):
     assert paths.heaviest_connection(chain, "z", f"n{n:03d}", "weight") == (["z", *(f"n{i:03d}" for i in range(n + 1))], n + 1.0)
 
 
+def test_heaviest_connection_writes_no_edges(spark, monkeypatch):
+    """What is written grows with the frontiers and not with the edges, which a second table may hold too; of equal paths the one of the first parents is taken, also if it has more edges."""
+    text = "source string, target string, amount double"
+    rng, written = random.Random(3), []
+    far = spark.createDataFrame([(f"f{rng.randrange(3000)}", f"f{rng.randrange(3000)}", float(rng.randrange(50))) for _ in range(9000)], text)
+    near = spark.createDataFrame([("s", "b", 3.0), ("b", "g", 3.0), ("s", "x", 7.0), ("a", "x", 7.0), ("x", "a", 2.0), ("a", "g", 3.0), ("s", "g", 0.5), ("s", "s", 9.0), ("g", "f1", None)], text)
+    monkeypatch.setattr(paths, "materialise", lambda df: written.append(materialise(df)) or written[-1])
+    assert paths.heaviest_connection([far, near], "s", "g") == (["s", "x", "a", "g"], 17.0)
+    assert sum(t.count() for t in written) < 200
+    assert paths.heaviest_connection(near, "s", "nowhere") == ([], 0.0) and paths.heaviest_connection(near, "s", "s") == (["s"], 0.0) and paths.heaviest_connection(near, "s", None) == ([], 0.0)
+
+
 def test_searches_over_a_kept_adjacency(spark):
     """Same answers as over the edges; a frontier's join with it shuffles no edges."""
     rng = random.Random(8)
