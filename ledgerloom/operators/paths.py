@@ -29,19 +29,25 @@ def families(projection: DataFrame, min_similarity: float = 0.75) -> DataFrame:
     return found.join(ranked, "component").select(F.format_string("F%03d", "r").alias("family_id"), F.col("node").alias("supplier_id"), "family_size")
 
 
-def component_summary(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """component (C001 is the largest), size, composition (TYPE:n) and sample (labels of the four smallest nodes) of the largest components."""
-    found = connected_components(edges).join(nodes.select(F.col("node_id").alias("node"), "node_type", "label"), "node", "left")
-    typed = found.groupBy("component", F.coalesce("node_type", F.lit("OTHER")).alias("node_type")).agg(F.count(F.lit(1)).alias("n"))
+def component_summary(nodes: DataFrame, edges: DataFrame, limit: int = 20, found: DataFrame | None = None, kind=None) -> DataFrame:
+    """component (C001 is the largest), size, composition (TYPE:n) and sample (labels of the four smallest nodes) of the largest components.
+
+    ``found`` are the components, where they are known; ``kind`` makes the type of a column of nodes, where that can be told from the node, so that not all nodes are looked up.
+    """
+    found = materialise(connected_components(edges)) if found is None else found
+    kinds = found.withColumn("node_type", kind("node")) if kind else found.join(nodes.select(F.col("node_id").alias("node"), "node_type"), "node", "left")
+    typed = kinds.groupBy("component", F.coalesce("node_type", F.lit("OTHER")).alias("node_type")).agg(F.count(F.lit(1)).alias("n"))
     top = typed.groupBy("component").agg(F.sum("n").alias("size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "node_type", "n"))), ", ").alias("composition")).orderBy(F.desc("size"), "component").limit(limit)
     top = materialise(top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("size"), "component"))))  # ``limit`` rows
     # the four smallest of every task first, then of the component: no task sorts a component
     four = lambda c: F.slice(F.array_sort(c), 1, 4)
-    member = F.struct("node", F.coalesce("label", "node").alias("label"))
-    some = found.join(F.broadcast(top.select("component")), "component", "left_semi").select("component", F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"), member.alias("x"))
-    least = some.groupBy("component", "part").agg(four(F.collect_list("x")).alias("x")).groupBy("component").agg(four(F.flatten(F.collect_list("x"))).alias("x"))
+    some = found.join(F.broadcast(top.select("component")), "component", "left_semi").select("component", F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"), "node")
+    least = some.groupBy("component", "part").agg(four(F.collect_list("node")).alias("x")).groupBy("component").agg(four(F.flatten(F.collect_list("x"))).alias("x"))
+    least = materialise(least.select("component", F.explode("x").alias("node")))  # four times ``limit`` rows
+    names = nodes.where(F.col("node_id").isin([r["node"] for r in least.select("node").collect()])).select(F.col("node_id").alias("node"), "label")
+    named = least.join(names, "node", "left").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("node", F.coalesce("label", "node").alias("label")))).alias("x"))
     sample = F.concat(F.array_join(F.transform("x", lambda x: x["label"]), ", "), F.when(F.col("size") > 4, "…").otherwise(""))
-    return top.join(least, "component").select(F.format_string("C%03d", "r").alias("component"), "size", "composition", sample.alias("sample"))
+    return top.join(named, "component").select(F.format_string("C%03d", "r").alias("component"), "size", "composition", sample.alias("sample"))
 
 
 def _single(both: DataFrame, node, **columns) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import activity, attributes, attributes as attr, graphs, normalization as norm, optimise, paths, recommend, search
+from ledgerloom.operators import activity, attributes, attributes as attr, components, graphs, normalization as norm, optimise, paths, recommend, search
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.build import PipelineError, build_dataset, dataset_summary, graph_summary
 from ledgerloom.plans.tables import materialise, numbered, running
@@ -323,6 +323,46 @@ def test_heaviest_connection_writes_no_edges(spark, monkeypatch):
     assert paths.heaviest_connection(near, "s", "nowhere") == ([], 0.0) and paths.heaviest_connection(near, "s", "s") == (["s"], 0.0) and paths.heaviest_connection(near, "s", None) == ([], 0.0)
 
 
+def _sets(edges):
+    parent = {n: n for e in edges for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {n: find(n) for n in parent}
+
+
+def test_components_fold_leaves_first(spark, monkeypatch):
+    """Folding leaves few edges of a graph of centres to the star rounds, and no graph gets other components by it; those of two graphs are tied by what both know."""
+    rng, left = random.Random(8), []
+    stars = components._stars
+    monkeypatch.setattr(components, "_stars", lambda edges: left.append(edges.count()) or stars(edges))
+    as_table = lambda rows: spark.createDataFrame(rows, "source string, target string")
+    got = lambda found: {r["node"]: r["component"] for r in found.collect()}
+    lines = [(f"C{rng.randrange(9)}", f"{kind}{rng.randrange(n)}") for kind, n in (("D", 600), ("P", 90)) for _ in range(1500)] + [("X1", "Y1"), ("X1", "Y1"), ("Y1", "X1"), ("Z", "Z")]
+    assert got(components.connected_components(as_table(lines), few=20)) == _sets([e for e in lines if e[0] != e[1]]) and left.pop() <= 20
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)] + [(f"m{rng.randrange(40):02d}", f"m{rng.randrange(40):02d}") for _ in range(30)]
+    chain = [e for e in chain if e[0] != e[1]]
+    assert got(components.connected_components(as_table(chain), few=0)) == _sets(chain)
+    assert got(components.merged_components(*(components.connected_components(as_table(x)) for x in (chain[:20], chain[20:])))) == _sets(chain)
+
+
+def test_links_hang_a_transaction_graph_together(spark):
+    rows = [("a", "d1", 1), ("a", None, 2), ("b", " ", 3), ("b", "d2", None), (None, "d2", 4), (None, "d3", 5), (None, None, 6), ("c", "d1", 7)]
+    lines = spark.createDataFrame([(*r, "", "", 1.0, 1.0) for r in rows], "entity_norm string, document string, product_id int, entity_name string, product_name string, quantity double, total double")
+    edges = [tuple(r) for r in graphs.transaction_graph(lines, "CLIENT", "sale")[1].select("source", "target").collect()]
+    assert _sets([tuple(r) for r in graphs.transaction_links(lines, "CLIENT").collect()]) == _sets(edges)
+    by_kind = [tuple(r) for e in graphs.transaction_kinds(lines, "CLIENT")[1].values() for r in e.select("source", "target").collect()]
+    assert sorted(by_kind) == sorted(edges)
+    nodes = [tuple(r) for n in graphs.transaction_kinds(lines, "CLIENT")[0].values() for r in n.withColumn("kind", graphs.kind_of("node_id")).collect()]
+    assert sorted(n[:3] for n in nodes) == sorted(tuple(r) for r in graphs.transaction_graph(lines, "CLIENT", "sale")[0].collect()) and all(n[1] == n[3] for n in nodes)
+
+
 def test_searches_over_a_kept_adjacency(spark):
     """Same answers as over the edges; a frontier's join with it shuffles no edges."""
     rng = random.Random(8)
