@@ -441,6 +441,22 @@ def test_running(spark, few):
         assert (r["before"], r["n"], r["before_total"], r["n_total"]) == (sum(v for i, v in own if i > r["i"]), sum(i > r["i"] for i, _ in own), sum(v for _, v in own), len(own))
 
 
+def test_projection_sends_products_and_not_pairs(spark, monkeypatch):
+    """Before pairs are formed a block of suppliers gets a product once: far fewer rows are dealt out than there are pairs, and pairs equal those counted one by one."""
+    rng = random.Random(2)
+    sold = {f"s{i}": {rng.randrange(30) for _ in range(12)} for i in range(60)}
+    monkeypatch.setattr(graphs, "BLOCK", 7)
+    rows = spark.createDataFrame([(s, p) for s, ps in sold.items() for p in ps] + [("s1", None), (None, 3)], "entity_norm string, product_id int")
+    frame, sent = type(rows), []
+    monkeypatch.setattr(frame, "repartition", lambda self, *by, deal=frame.repartition: sent.append(self.count()) or deal(self, *by))
+    out = graphs.supplier_projection(rows, 0.3, 3)
+    want = {(a, b): (len(sold[a] & sold[b]), len(sold[a]), len(sold[b]), len(sold[a] & sold[b]) / len(sold[a] | sold[b])) for a in sold for b in sold if a < b and len(sold[a] & sold[b]) >= 3}
+    got = {(r["source"], r["target"]): (r["shared_products"], r["source_product_count"], r["target_product_count"], r["similarity"]) for r in out.collect()}
+    assert got == {k: v for k, v in want.items() if v[3] >= 0.3} and got
+    pairs = sum(1 for a in sold for b in sold if a < b for _ in sold[a] & sold[b])
+    assert sent and sent[0] < pairs / 4
+
+
 def test_spanning_display(spark):
     rng = random.Random(4)
     edges = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", round(rng.random(), 6)) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.5], "source string, target string, weight double")
